@@ -26,31 +26,25 @@ NULL_WORDS = ("nan", "none", "<na>")
 
 @F.pandas_udf("string")
 def _unicode_token(values: pd.Series) -> pd.Series:
-    def token(text):
-        if text is None:
-            return None
-        folded = unicodedata.normalize("NFKC", text).casefold()
-        return "".join(ch for ch in folded if ch.isalnum())
-
-    return values.map(token)
-
-
-def ascii_token(value: Column) -> Column:
-    return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
+    given = values.dropna()
+    folded = given.map(
+        lambda text: "".join(
+            ch for ch in unicodedata.normalize("NFKC", text).casefold() if ch.isalnum()
+        )
+    )
+    return folded.reindex(values.index).astype(object).where(lambda s: s.notna(), None)
 
 
-def identity_token(value: Column) -> Column:
-    """Compatibility-fold, casefold and keep letters and digits; '' for missing.
+def mixed_token(value: Column) -> Column:
+    """Identity token: compatibility-fold, casefold, keep letters and digits; '' for missing.
 
-    Used where every value may be non-ASCII. On large tables prefer
-    :func:`tidewake.operators.identity.with_tokens`, which sends only the distinct
-    non-ASCII values through Python.
+    ASCII text never leaves the JVM; the Arrow UDF sees NULL for it.
     """
-    return F.coalesce(_unicode_token(value.cast("string")), F.lit(""))
-
-
-def is_ascii(value: Column) -> Column:
-    return ~value.rlike("[^\\x00-\\x7F]")
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    wide = text.rlike("[^\\x00-\\x7F]")
+    return F.when(wide, F.coalesce(_unicode_token(F.when(wide, text)), F.lit(""))).otherwise(
+        F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    )
 
 
 def malformed_identifier(kind: str, value: Column) -> Column:

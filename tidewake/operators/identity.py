@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.functions.identity import ascii_token, identity_token, is_ascii
+from tidewake.functions.identity import mixed_token
 from tidewake.schema import blank
 
 # Resolution order.
@@ -22,33 +22,12 @@ def _has(df: DataFrame, name: str) -> bool:
 
 
 def with_tokens(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``tok_<column>`` for each identity column.
+    """Add ``tok_<column>`` for each identity column ('' where missing).
 
     ASCII text is folded by built-ins. Other text needs compatibility normalisation, which
-    Spark lacks: an Arrow UDF that only those values reach.
+    Spark lacks; only those values are handed to the Arrow UDF, all others reach it as NULL.
     """
-    folded = {
-        f"tok_{c}": F.when(
-            is_ascii(F.coalesce(F.col(c).cast("string"), F.lit(""))),
-            ascii_token(F.coalesce(F.col(c).cast("string"), F.lit(""))),
-        )
-        for c in columns
-    }
-    df = df.withColumns(folded)
-    wide = F.array_distinct(F.array_compact(F.array(*[
-        F.when(F.col(f"tok_{c}").isNull(), F.col(c).cast("string")) for c in columns
-    ])))
-    rare = df.select(F.explode(wide).alias("raw")).distinct().select("raw", identity_token(F.col("raw")).alias("tok"))
-    for c in columns:
-        lookup = rare.select(F.col("raw").alias("__raw"), F.col("tok").alias("__tok"))
-        key = F.when(F.col(f"tok_{c}").isNull(), F.col(c).cast("string"))
-        df = (
-            df.withColumn("__key", key)
-            .join(lookup, F.col("__key") == F.col("__raw"), "left")
-            .withColumn(f"tok_{c}", F.coalesce(f"tok_{c}", "__tok", F.lit("")))
-            .drop("__key", "__raw", "__tok")
-        )
-    return df
+    return df.withColumns({f"tok_{c}": mixed_token(F.col(c)) for c in columns})
 
 
 def duplicate_ids(registry: DataFrame) -> DataFrame:
@@ -59,7 +38,6 @@ def token_index(registry: DataFrame) -> DataFrame:
     """(field, token) → matching entities: count and, where unique, the entity.
 
     ``field`` is an identifier name or ``name``; names include aliases and former names.
-    The registry is a curated dimension, so its tokens go through the Arrow UDF directly.
     """
     entries = [
         F.array(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")))
@@ -75,13 +53,10 @@ def token_index(registry: DataFrame) -> DataFrame:
         for f in REGISTRY_NAME_LISTS if _has(registry, f)
     ]
     tokens = registry.select("entity_id", F.explode(F.flatten(F.array(*entries))).alias("e")).select(
-        "entity_id", "e.field",
-        F.coalesce("e.value", F.lit("")).alias("value"),
+        "entity_id", "e.field", mixed_token(F.col("e.value")).alias("token")
     )
     return (
-        tokens.withColumn("token", F.when(is_ascii(F.col("value")), ascii_token(F.col("value")))
-                          .otherwise(identity_token(F.col("value"))))
-        .filter("token <> ''")
+        tokens.filter("token <> ''")
         .groupBy("field", "token")
         .agg(F.count_distinct("entity_id").alias("matches"), F.min("entity_id").alias("match_id"))
     )
@@ -93,7 +68,8 @@ def resolve(observations: DataFrame, registry: DataFrame) -> DataFrame:
     An asserted id wins or stays unknown. Otherwise the first field, in priority order, whose
     token is known decides; if it names several vessels the search stops as ambiguous. Each
     field is one lookup against the aggregated index; Spark broadcasts the index while it is
-    small and shuffles when it is not.
+    small and shuffles when it is not. Rows without the field probe a spread of keys that no
+    token can equal, so they do not gather in one shuffle partition.
     """
     fields = [f for f in IDENTIFIER_FIELDS if _has(observations, f)]
     names = [f for f in QUERY_NAMES if _has(observations, f)]
@@ -101,8 +77,11 @@ def resolve(observations: DataFrame, registry: DataFrame) -> DataFrame:
     original = observations.columns
     df = with_tokens(observations, [*fields, *names]) if fields or names else observations
     ids = registry.select(F.col("entity_id").alias("__id")).distinct()
-    df = df.withColumn("__asserted", F.when(~blank(F.col("entity_id")), F.trim("entity_id"))).join(
-        ids, F.col("__asserted") == F.col("__id"), "left"
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*original), F.lit(4096)).cast("string"))
+    df = (
+        df.withColumn("__asserted", ~blank(F.col("entity_id")))
+        .withColumn("__key", F.when(F.col("__asserted"), F.trim("entity_id")).otherwise(spread))
+        .join(ids, F.col("__key") == F.col("__id"), "left")
     )
     steps = []
     for f in [*fields, *names]:
@@ -110,7 +89,7 @@ def resolve(observations: DataFrame, registry: DataFrame) -> DataFrame:
             F.col("token").alias(f"__t_{f}"), F.col("matches").alias(f"__n_{f}"),
             F.col("match_id").alias(f"__m_{f}"),
         )
-        probe = F.when(F.col(f"tok_{f}") != "", F.col(f"tok_{f}"))
+        probe = F.when(F.col(f"tok_{f}") != "", F.col(f"tok_{f}")).otherwise(spread)
         df = df.withColumn(f"__p_{f}", probe).join(part, F.col(f"__p_{f}") == F.col(f"__t_{f}"), "left")
         unique = F.col(f"__n_{f}") == 1
         steps.append(F.when(F.col(f"__n_{f}").isNotNull(), F.struct(
@@ -118,7 +97,7 @@ def resolve(observations: DataFrame, registry: DataFrame) -> DataFrame:
             F.when(unique, "DOCUMENTED" if f in fields else "REPORTED").otherwise("UNKNOWN").alias("confidence"),
             F.lit(f).alias("matched_on"), (~unique).alias("ambiguous"),
         )))
-    asserted = F.when(F.col("__asserted").isNotNull(), F.struct(
+    asserted = F.when(F.col("__asserted"), F.struct(
         F.col("__id").alias("resolved_id"),
         F.when(F.col("__id").isNotNull(), "DOCUMENTED").otherwise("UNKNOWN").alias("confidence"),
         F.lit("entity_id").alias("matched_on"), F.lit(False).alias("ambiguous"),

@@ -64,6 +64,37 @@ def last_value_before(
     return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__local", "__carry")
 
 
+def previous_value(
+    df: DataFrame, keys: Sequence[str], slice_col: str, order: str, value: Column, out: str
+) -> DataFrame:
+    """``value`` of the row before each row in ``order``, per key (a sliced ``lag``)."""
+    held = df.withColumn("__v", value)
+    local = held.withColumn("__local", F.lag("__v").over(slice_window([*keys, slice_col], [order])))
+    summary = held.groupBy(*keys, slice_col).agg(F.max_by("__v", order).alias("__tail"))
+    summary = summary.select(
+        *keys, slice_col,
+        F.lag("__tail").over(Window.partitionBy(*keys).orderBy(slice_col)).alias("__carry"),
+    )
+    joined = attach(local, summary, [*keys, slice_col])
+    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__local", "__carry", "__v")
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], slice_col: str, order: str, value: str, out: str,
+    total: str | None = None,
+) -> DataFrame:
+    """Inclusive running sum of ``value`` in ``order`` per key, optionally with the total."""
+    local = df.withColumn("__local", F.sum(value).over(slice_window([*keys, slice_col], [order])))
+    summary = df.groupBy(*keys, slice_col).agg(F.sum(value).alias("__sum"))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    columns = [F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carry")]
+    if total:
+        columns.append(F.sum("__sum").over(by_key).alias(total))
+    joined = attach(local, summary.select(*keys, slice_col, *columns), [*keys, slice_col])
+    return joined.withColumn(out, F.col("__carry") + F.col("__local")).drop("__carry", "__local")
+
+
 def row_index(df: DataFrame, slice_col: str, order: str, out: str, total: str | None = None) -> DataFrame:
     """Zero-based position of each row in a global order, without a global sort.
 
