@@ -17,6 +17,8 @@ AUDIT_RULES = (
      r"(?i)\b(?:api[_-]?key|access[_-]?token|secret|password)\s*[:=]\s*['\"]?[A-Za-z0-9._~+/-]{20,}", "BLOCKER"),
     ("local_absolute_path", r"(?i)\b[A-Z]:\\Users\\[^\\\s]+\\", "REVIEW"),
 )
+# Every line separator of Unicode text, CR LF counted once.
+LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 EXCERPT_LENGTH = 240
 TEXT_LIMIT_BYTES = 8 * 1024 * 1024
 REDACTED = "[REDACTED-MATCH]"
@@ -33,7 +35,7 @@ def audit_texts(
     size limit are skipped, as the audit defines.
     """
     lines = texts.filter(F.octet_length(text_column) <= size_limit).select(
-        F.col(id_column).alias("id"), F.posexplode(F.split(text_column, "\r\n|\n|\r")).alias("pos", "text_line"))
+        F.col(id_column).alias("id"), F.posexplode(F.split(text_column, LINE_BREAK)).alias("pos", "text_line"))
     line = F.col("text_line")
     found = F.array_compact(F.array(*[
         F.when(line.rlike(pattern), F.struct(
