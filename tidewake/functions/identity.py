@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Spellings of actor groups accepted from users.
 ACTOR_ALIASES = {
@@ -24,7 +25,7 @@ ACTOR_ALIASES = {
 NULL_WORDS = ("nan", "none", "<na>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unicode_token(values: pd.Series) -> pd.Series:
     given = values.dropna()
     folded = given.map(
