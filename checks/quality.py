@@ -8,6 +8,7 @@ from checks.registry import Inputs, query
 from tidewake.operators import metrics, qc, segments
 from tidewake.plans.ordered import micros
 from tidewake.schema import QualityConfig
+from tidewake.session import stage
 
 # Both engines use the sphere here; the ellipsoid is covered by unit tests.
 CONFIG = QualityConfig(distance="haversine")
@@ -182,8 +183,9 @@ def qc13(t):
 
 
 def cleaned_of(t: Inputs, config=CONFIG):
+    """Cleaned points with the flags written once, as a build does."""
     obs = t.view("observations")
-    return qc.split(obs, qc.all_flags(obs, config))[0]
+    return qc.split(obs, stage(qc.all_flags(obs, config)))[0]
 
 
 @query("seg1_dense_entities", """SELECT entity_id, min(CASE WHEN source_type IN ('AIS','PUBLIC_TRACK','USER_SUPPLIED') THEN 1 ELSE 0 END) = 1 AS dense
@@ -255,7 +257,7 @@ def agg8(t):
  FROM cleaned c LEFT JOIN (SELECT entity_id, count(*) AS n FROM flags GROUP BY entity_id) f USING (entity_id) GROUP BY c.entity_id""", views=("observations",), recursive=True)
 def agg1(t):
     obs = t.view("observations")
-    flags = qc.all_flags(obs, CONFIG)
+    flags = stage(qc.all_flags(obs, CONFIG))
     s = qc.vessel_summary(qc.split(obs, flags)[0], flags)
     return s.select("entity_id", "actor_type", "observation_count", micros(F.col("first_seen")).alias("first_us"),
                     micros(F.col("last_seen")).alias("last_us"), "flag_count")

@@ -18,7 +18,8 @@ MAX_DISTANCE_M = 20_040_000.0
 
 
 def lon_to_360(lon: Column) -> Column:
-    return F.pmod(lon, F.lit(360.0))
+    # + 0.0 turns the negative zero of a negative multiple of 360 into zero
+    return F.pmod(lon, F.lit(360.0)) + F.lit(0.0)
 
 
 def lon_to_180(lon: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.geo import SPHERE_RADIUS_M, lon_to_180, lon_to_360
 from tidewake.plans.ordered import order_slice, previous_value, running_sum
+from tidewake.session import stage
 
 POINT = "struct<x:double,y:double>"
 
@@ -165,13 +166,16 @@ def source_boxes(bbox) -> list[tuple[tuple[float, float, float, float], float]]:
     return [((xmin, ymin, 180.0, ymax), 0.0), ((-180.0, ymin, xmax - 360, ymax), 360.0)]
 
 
-def clip_ring(ring: Column, bbox) -> Column:
-    """Clip one polygon ring against an axis-aligned box, side by side, inside the JVM."""
+def clip_ring(rings: DataFrame, column: str, bbox) -> DataFrame:
+    """Clip polygon rings against an axis-aligned box, one side per projection, in the JVM.
+
+    Each side is a column of its own: nesting the four would copy the expression of the side
+    before several times over.
+    """
     xmin, ymin, xmax, ymax = (float(v) for v in bbox)
-    sides = (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1))
-    for axis, bound, sign in sides:
-        ring = _clip_side(ring, axis, bound, sign)
-    return ring
+    for axis, bound, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
+        rings = rings.withColumn(column, _clip_side(F.col(column), axis, bound, sign))
+    return rings
 
 
 def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
@@ -197,21 +201,27 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
 
 
 def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
-    """Rings cut to a box; rings without a vertex left are dropped. Rings that only touch the
-    box are excluded beforehand by their own bounds."""
-    boxes = [(tuple(float(v) for v in bbox), 0.0)] if convention == "180" else source_boxes(bbox)
+    """Rings cut to a box; rings without a vertex left are dropped. Rings whose own bounds
+    miss the box are excluded beforehand."""
+    if convention == "180":
+        boxes = [(tuple(float(v) for v in bbox), 0.0)]
+    elif convention == "360":
+        boxes = source_boxes(bbox)
+    else:
+        raise ValueError("longitude must be '180' or '360'")
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cut = []
-    for no, ((xa, ya, xb, yb), shift) in enumerate(boxes):
-        overlaps = (
-            (F.array_max(xs) >= xa) & (F.array_min(xs) <= xb) & (F.array_max(ys) >= ya) & (F.array_min(ys) <= yb)
-        )
-        moved = F.transform(
-            clip_ring(F.col("ring"), (xa, ya, xb, yb)),
-            lambda p, s=shift: F.struct((p["x"] + s).alias("x"), p["y"].alias("y")))
-        cut.append(F.when(overlaps, F.struct(F.lit(no).alias("box"), moved.alias("ring"))))
-    out = rings.withColumn("__c", F.explode(F.array_compact(F.array(*cut))))
-    return out.select(*[c for c in rings.columns if c != "ring"], "__c.*").filter(F.size("ring") >= 3)
+    out = None
+    for no, (box, shift) in enumerate(boxes):
+        xa, ya, xb, yb = box
+        near = rings.filter(
+            (F.array_max(xs) >= xa) & (F.array_min(xs) <= xb) & (F.array_max(ys) >= ya) & (F.array_min(ys) <= yb))
+        cut = clip_ring(near, "ring", box).filter(F.size("ring") >= 3).withColumn("box", F.lit(no))
+        if shift:
+            east = F.lit(shift)
+            cut = cut.withColumn("ring", F.transform(
+                "ring", lambda p: F.struct((p["x"] + east).alias("x"), p["y"].alias("y"))))
+        out = cut if out is None else out.unionByName(cut)
+    return out
 
 
 def ring_area(ring: Column) -> Column:
@@ -263,7 +273,11 @@ def sample_lines(vertices: DataFrame, spacing_m: float) -> DataFrame:
     Sample ``n`` belongs to the edge that ends at or after its distance; the last edge also
     takes the end point, which rounding could otherwise lose.
     """
-    e = edges(vertices).withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return sample_edges(edges(vertices), spacing_m)
+
+
+def sample_edges(edge_table: DataFrame, spacing_m: float) -> DataFrame:
+    e = edge_table.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     e = running_sum(e.filter("len > 0"), ["feature_id"], "slice", "seq", "len", "upto", total="total")
     final_edge = e.groupBy("feature_id").agg(F.max("seq").alias("final_seq"))
     e = e.join(final_edge, "feature_id")
@@ -368,22 +382,26 @@ def equidistance_points(
     """Vertices of a computed median reference between two baselines, ordered by ``along``.
 
     A cartographic reference (legal_status COMPUTED_REFERENCE), never a declared boundary.
+    Edges, samples and midpoints are read several times each, so they are written once.
     """
-    a, b = project(baseline_a, lon0, lat0), project(baseline_b, lon0, lat0)
-    sides = {"a": (a, edges(a)), "b": (b, edges(b))}
+    sides = {
+        "a": stage(edges(project(baseline_a, lon0, lat0))),
+        "b": stage(edges(project(baseline_b, lon0, lat0))),
+    }
 
     def samples(name: str) -> DataFrame:
-        own, other = sides[name], sides["b" if name == "a" else "a"]
-        s = sample_lines(own[0], parameters.sample_spacing_m).withColumn(
-            "sid", F.concat_ws(":", F.lit(name), F.col("feature_id").cast("string"), F.format_string("%012d", "n")))
-        return nearest_on_edges(s, other[1], "sid").select(
+        s = sample_edges(sides[name], parameters.sample_spacing_m).select(
+            F.concat_ws(":", F.lit(name), F.col("feature_id").cast("string"), F.format_string("%012d", "n")).alias("sid"),
+            "x", "y")
+        other = sides["b" if name == "a" else "a"]
+        return nearest_on_edges(stage(s), other, "sid").select(
             "sid", ((F.col("x") + F.col("nx")) / 2).alias("x"), ((F.col("y") + F.col("ny")) / 2).alias("y"))
 
-    mid = samples("a").unionByName(samples("b"))
-    to_a = nearest_on_edges(mid, sides["a"][1], "sid").select("sid", "x", "y", F.col("nd").alias("da"))
-    to_b = nearest_on_edges(mid, sides["b"][1], "sid").select("sid", F.col("nd").alias("db"))
+    mid = stage(samples("a").unionByName(samples("b")))
+    to_a = nearest_on_edges(mid, sides["a"], "sid").select("sid", "x", "y", F.col("nd").alias("da"))
+    to_b = nearest_on_edges(mid, sides["b"], "sid").select("sid", F.col("nd").alias("db"))
     kept = to_a.join(to_b, "sid").filter(F.abs(F.col("da") - F.col("db")) <= parameters.balance_tolerance_m)
-    line = principal_order(distinct_rounded(kept, "sid").select("x", "y"))
+    line = principal_order(stage(distinct_rounded(kept, "sid").select("x", "y")))
     return unproject(line, lon0, lat0).select(
         F.lit("computed-median-1").alias("feature_id"), "along", "x", "y",
         F.lit("computed_median_equidistance_reference").alias("boundary_type"),
