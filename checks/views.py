@@ -196,6 +196,15 @@ SELECT event_id AS source_order, CAST(ts AS varchar(40)) AS observed_at,
 FROM events
 """
 
+# Documents with lines that an audit must find appended to some of them.
+AUDIT_TEXTS = """
+SELECT doc_id, source, concat(text, chr(10), CASE doc_id % 7
+    WHEN 0 THEN concat('password = ', md5(text)) WHEN 1 THEN concat('Authorization: Bearer ', md5(text))
+    WHEN 2 THEN concat('see C:', chr(92), 'Users', chr(92), 'someone', chr(92), 'notes.txt and api_key: ', md5(text))
+    WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 4 THEN concat('from the Owner-Archive/', source) ELSE 'nothing here' END) AS text
+FROM documents
+"""
+
 VIEWS = {
     name.lower(): text.strip() for name, text in list(globals().items()) if name.isupper() and isinstance(text, str)
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,11 @@ REDACTED = "[REDACTED-MATCH]"
 FORBIDDEN_PREFIXES = (".local/", ".tmp/", "data/raw/", "data/derived/")
 
 
+def private_path_rule(*names: str) -> tuple[str, str, str]:
+    """A project's own rule: folder or file names that must never be published."""
+    return ("private_dataset_path", "(?i)(?:" + "|".join(re.escape(n) for n in names) + ")", "BLOCKER")
+
+
 def audit_texts(
     texts: DataFrame, id_column: str, text_column: str, rules: Sequence[tuple[str, str, str]] = AUDIT_RULES,
     size_limit: int = TEXT_LIMIT_BYTES,

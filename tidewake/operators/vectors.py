@@ -166,16 +166,22 @@ def source_boxes(bbox) -> list[tuple[tuple[float, float, float, float], float]]:
     return [((xmin, ymin, 180.0, ymax), 0.0), ((-180.0, ymin, xmax - 360, ymax), 360.0)]
 
 
-def clip_ring(rings: DataFrame, column: str, bbox) -> DataFrame:
-    """Clip polygon rings against an axis-aligned box, one side per projection, in the JVM.
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    Each side is a column of its own: nesting the four would copy the expression of the side
-    before several times over.
-    """
+
+def clip_ring(ring: Column, bbox) -> Column:
+    """Clip one polygon ring against an axis-aligned box, side by side, inside the JVM."""
     xmin, ymin, xmax, ymax = (float(v) for v in bbox)
     for axis, bound, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
-        rings = rings.withColumn(column, _clip_side(F.col(column), axis, bound, sign))
-    return rings
+        ring = _clip_side(ring, axis, bound, sign)
+    return ring
+
+
+def _previous(ring: Column) -> Column:
+    """Each vertex's predecessor; the first vertex follows the last."""
+    return F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.size(ring) - 1))
 
 
 def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
@@ -196,8 +202,8 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
             .otherwise(F.array().cast(f"array<{POINT}>"))
         )
 
-    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-    return F.when(F.size(ring) > 0, F.flatten(F.zip_with(before, ring, step))).otherwise(ring)
+    return _bind(ring, lambda r: F.when(
+        F.size(r) > 0, F.flatten(F.zip_with(_previous(r), r, step))).otherwise(r))
 
 
 def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
@@ -215,7 +221,8 @@ def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
         xa, ya, xb, yb = box
         near = rings.filter(
             (F.array_max(xs) >= xa) & (F.array_min(xs) <= xb) & (F.array_max(ys) >= ya) & (F.array_min(ys) <= yb))
-        cut = clip_ring(near, "ring", box).filter(F.size("ring") >= 3).withColumn("box", F.lit(no))
+        cut = near.withColumn("ring", clip_ring(F.col("ring"), box)).filter(F.size("ring") >= 3)
+        cut = cut.withColumn("box", F.lit(no))
         if shift:
             east = F.lit(shift)
             cut = cut.withColumn("ring", F.transform(
@@ -226,8 +233,7 @@ def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
 
 def ring_area(ring: Column) -> Column:
     """Planar area of a ring by the shoelace sum."""
-    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-    terms = F.zip_with(before, ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    terms = _bind(ring, lambda r: F.zip_with(_previous(r), r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
 
 

@@ -35,7 +35,10 @@ def geocoded_events(
 
     lon, lat = to_number(F.col("longitude")), to_number(F.col("latitude"))
     level = to_number(F.col("level")).cast("long")
-    day = F.date_format(F.try_to_timestamp(F.col("event_date"), F.lit(DATE_FORMAT)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parsed = F.to_date(F.try_to_timestamp(F.col("event_date"), F.lit(DATE_FORMAT)))
+    # two-digit years from 69 on belong to the last century
+    dated = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
+    day = F.date_format(dated, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     reports = to_number(F.col("number_of_report")) if "number_of_report" in present else F.lit(None).cast("double")
     return raw.select(
         F.col("event_id").cast("string").alias("event_id"), F.lit("").alias("entity_id"),

@@ -42,7 +42,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", **options: st
     return with_file_order(df)
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
+def with_file_order(df: DataFrame, keep_file: bool = False) -> DataFrame:
     """Stable ``source_order``: files by name, then rows by their place in the file.
 
     Spark numbers the rows of each scan split; the split is known by the first byte it
@@ -57,11 +57,12 @@ def with_file_order(df: DataFrame) -> DataFrame:
     spec = ["__file", "__start"]
     local = place.withColumn("__n", F.row_number().over(Window.partitionBy(*spec).orderBy("__row")))
     counts = place.groupBy(*spec).agg(F.count("*").alias("__rows"))
-    before = Window.orderBy(*spec).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy(*spec).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*spec, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-    return attach(local, offsets, spec).withColumn(
+    ordered = attach(local, offsets, spec).withColumn(
         "source_order", F.col("__offset") + F.col("__n") - 1
-    ).drop("__file", "__start", "__row", "__n", "__offset")
+    ).drop("__start", "__row", "__n", "__offset")
+    return ordered if keep_file else ordered.drop("__file")
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +80,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     features = raw.select(
         F.input_file_name().alias("__file"), F.posexplode("features").alias("__pos", "f"))
     counts = features.groupBy("__file").agg(F.count("*").alias("__rows"))
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
     point = F.col("f.geometry.coordinates")
     return attach(features, offsets, ["__file"]).select(
@@ -91,24 +92,30 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 def read_preamble_tsv(spark: SparkSession, path: str, constants: Mapping[str, str], id_prefix: str) -> DataFrame:
     """Cruise tables: free text, then a tab-separated table that starts at a marker line.
 
-    Every file is one published cruise and is read whole by one task (files in parallel).
-    ``constants`` are provenance columns; the record id is the prefix plus the 1-based row.
+    Files are read as lines, so a long file is split over tasks like any text. All files
+    must share one column line. ``constants`` are provenance columns; the record id is the
+    prefix plus the 1-based row of the file.
     """
-    files = spark.read.option("wholetext", True).text(path).withColumn("__file", F.input_file_name())
-    at = F.instr("value", PREAMBLE_MARKER)
-    head = files.select(F.when(at > 0, F.split(F.expr(
-        f"substring(value, instr(value, '{PREAMBLE_MARKER}'))"), "\r?\n", 2)[0]).alias("h")).take(1)
-    if not head or head[0][0] is None:
+    lines = with_file_order(spark.read.text(path).select("value"), keep_file=True)
+    marked = F.contains("value", F.lit(PREAMBLE_MARKER))
+    heads = lines.filter(marked).groupBy("__file").agg(
+        F.min(F.struct("source_order", F.regexp_replace("value", "\\r$", "").alias("line"))).alias("h"))
+    layouts = [r[0] for r in heads.select("h.line").distinct().limit(2).collect()]
+    if not layouts:
         raise ValueError("the table header was not found after the preamble")
-    columns = [PREAMBLE_RENAMES.get(c, c) for c in head[0][0].split("\t")]
-    table = F.split(F.expr(f"substring(value, instr(value, '{PREAMBLE_MARKER}'))"), "\r?\n")
-    lines = files.select("__file", F.posexplode(table).alias("__line", "line")).filter("__line > 0 AND trim(line) <> ''")
-    cells = F.split("line", "\t")
-    rows = lines.select("__file", "__line", *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return rows.select(
-        *columns, *[F.lit(v).alias(k) for k, v in constants.items()],
-        F.concat(F.lit(id_prefix), F.col("__line").cast("string")).alias("source_record_id"),
-        (F.col("__line") - 1).cast("long").alias("source_order"),
+    if len(layouts) > 1:
+        raise ValueError("files with different column lines must be read separately")
+    header = layouts[0][layouts[0].index(PREAMBLE_MARKER):]
+    columns = [PREAMBLE_RENAMES.get(c, c) for c in header.split("\t")]
+    start = heads.select(F.col("__file").alias("__f"), F.col("h.source_order").alias("__head"))
+    body = lines.join(start, F.col("__file") == F.col("__f")).filter(
+        (F.col("source_order") > F.col("__head")) & (F.trim("value") != ""))
+    cells = F.split(F.regexp_replace("value", "\\r$", ""), "\t")
+    return body.select(
+        *[F.nullif(F.get(cells, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)],
+        *[F.lit(v).alias(k) for k, v in constants.items()],
+        F.concat(F.lit(id_prefix), (F.col("source_order") - F.col("__head")).cast("string")).alias("source_record_id"),
+        "source_order",
     )
 
 
