@@ -356,7 +356,7 @@ segs AS (SELECT segment_id, 'OBSERVED_TRACK' AS segment_type, actor_type FROM ob
 @query("flt7_segment_routing", f"""WITH {_SEGS.strip()}, l AS (SELECT *, CASE segment_type WHEN 'OBSERVED_TRACK' THEN 'observed_tracks' ELSE 'inferred_segments' END AS name FROM segs)
   SELECT segment_id, name AS layer FROM l UNION ALL SELECT segment_id, concat(actor_type, ':', name) FROM l WHERE actor_type IN ('PLAN','CCG','RESEARCH_SURVEY','FISHING')""", views=("observations",), recursive=True)
 def flt7b(t):
-    segs = segments.track_segments(cleaned_of(t), CONFIG)
+    segs = segments.segments_of(stage(segments.linked_points(cleaned_of(t), CONFIG)), CONFIG)
     return layers.route_segments(segs).select("segment_id", "layer")
 
 

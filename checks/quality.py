@@ -111,6 +111,10 @@ observed AS (
   FROM runs GROUP BY entity_id, run HAVING count(*) >= 2)"""
 
 
+def pairs_of(t: Inputs, config=CONFIG):
+    return qc.screened_pairs(stage(qc.screen(t.view("observations"))), config)
+
+
 def flagged(df, flag):
     return df.filter(F.col("flag") == flag).select("observation_id", "source_order", "severity", "excluded")
 
@@ -148,44 +152,45 @@ def qc8(t):
 
 @query("qc9_repeated_identical_point", f"WITH {FOLD.strip()} " + flag_oracle("", "metres < 1.0", "WARNING", "fold"), views=("observations",), recursive=True)
 def qc9(t):
-    return flagged(qc.sequence_flags(qc.tested_pairs(t.view("observations"), CONFIG), CONFIG), "REPEATED_IDENTICAL_POINT")
+    return flagged(qc.sequence_flags(pairs_of(t), CONFIG), "REPEATED_IDENTICAL_POINT")
 
 
 @query("qc10_impossible_speed", f"WITH {FOLD.strip()} SELECT observation_id, source_order, round(metres / gap * 1.9438444924406, 4) AS knots, p_t FROM fold WHERE fast", views=("observations",), recursive=True)
 def qc10(t):
-    pairs = qc.tested_pairs(t.view("observations"), CONFIG)
+    pairs = pairs_of(t)
     return pairs.filter(F.col("knots") > CONFIG.max_speed_knots).select(
         "observation_id", "source_order", F.round("knots", 4).alias("knots"), micros(F.col("prev_time")).alias("p_t"))
 
 
 @query("qc11_large_observation_gap", f"WITH {FOLD.strip()} SELECT entity_id, p_t AS start_us, t AS end_us, gap AS gap_seconds FROM fold WHERE NOT fast AND gap > 21600", views=("observations",), recursive=True)
 def qc11(t):
-    g = qc.gaps(qc.tested_pairs(t.view("observations"), CONFIG), CONFIG)
+    g = qc.gaps(pairs_of(t), CONFIG)
     return g.select("entity_id", micros(F.col("start_time")).alias("start_us"), micros(F.col("end_time")).alias("end_us"), "gap_seconds")
 
 
 @query("qc12_cleaned_points", f"WITH {CLEANED.strip()} SELECT observation_id, source_order, entity_id, epoch_us(event_time) AS t FROM cleaned", views=("observations",), recursive=True)
 def qc12(t):
-    obs = t.view("observations")
-    cleaned, _ = qc.split(obs, qc.all_flags(obs, CONFIG))
-    return cleaned.select("observation_id", "source_order", "entity_id", micros(F.col("event_time")).alias("t"))
+    return cleaned_of(t).select("observation_id", "source_order", "entity_id", micros(F.col("event_time")).alias("t"))
 
 
 @query("qc12_excluded_points", f"WITH {CLEANED.strip()} SELECT observation_id, source_order FROM screened WHERE source_order NOT IN (SELECT source_order FROM cleaned)", views=("observations",), recursive=True)
 def qc12b(t):
-    obs = t.view("observations")
-    return qc.split(obs, qc.all_flags(obs, CONFIG))[1].select("observation_id", "source_order")
+    return qc.split(t.view("observations"), flags_of(t))[1].select("observation_id", "source_order")
 
 
 @query("qc13_quality_flags", f"WITH {ALL_FLAGS.strip()} SELECT source_order, flag, excluded FROM flags", views=("observations",), recursive=True)
 def qc13(t):
-    return qc.quality_control(t.view("observations"), CONFIG).quality_flags.select("source_order", "flag", "excluded")
+    return qc.all_flags(t.view("observations"), CONFIG).select("source_order", "flag", "excluded")
 
 
 def cleaned_of(t: Inputs, config=CONFIG):
-    """Cleaned points with the flags written once, as a build does."""
-    obs = t.view("observations")
-    return qc.split(obs, stage(qc.all_flags(obs, config)))[0]
+    """Cleaned points with the shared tables written once, as a build does."""
+    return qc.split(t.view("observations"), flags_of(t, config))[0]
+
+
+def flags_of(t: Inputs, config=CONFIG):
+    screened = stage(qc.screen(t.view("observations")))
+    return stage(qc.screened_flags(screened, qc.screened_pairs(screened, config), config))
 
 
 @query("seg1_dense_entities", """SELECT entity_id, min(CASE WHEN source_type IN ('AIS','PUBLIC_TRACK','USER_SUPPLIED') THEN 1 ELSE 0 END) = 1 AS dense
@@ -196,7 +201,7 @@ def seg1(t):
 
 @query("seg2_dense_runs", f"WITH {LINKED_SQL.strip()} SELECT entity_id, start_observation_id, end_observation_id, point_count FROM observed", views=("observations",), recursive=True)
 def seg2(t):
-    return segments.observed_runs(segments.linked_points(cleaned_of(t), CONFIG)).select(
+    return segments.observed_runs(stage(segments.linked_points(cleaned_of(t), CONFIG))).select(
         "entity_id", "start_observation_id", "end_observation_id", "point_count")
 
 
@@ -204,7 +209,7 @@ def seg2(t):
  concat('seg-', substr(sha256(concat(p_id, '|', observation_id)), 1, 16)) AS segment_id
  FROM broken WHERE dense AND brk AND p_t IS NOT NULL AND gap <= 10800""", views=("observations",), recursive=True)
 def seg3(t):
-    return segments.links(segments.linked_points(cleaned_of(t), LINKED), LINKED).filter(
+    return segments.links(stage(segments.linked_points(cleaned_of(t), LINKED)), LINKED).filter(
         "segment_type = 'SHORT_INTERPOLATION'").select(
         "entity_id", "start_observation_id", "end_observation_id", "max_gap_seconds", "segment_id")
 
@@ -214,7 +219,7 @@ def seg3(t):
  array_to_string(list_sort(list_distinct([p_name, source_name])), ',') AS source_set
  FROM broken WHERE NOT dense AND gap > 0 AND gap <= 604800""", views=("observations",), recursive=True)
 def seg4(t):
-    return segments.links(segments.linked_points(cleaned_of(t), CONFIG), CONFIG).select(
+    return segments.links(stage(segments.linked_points(cleaned_of(t), CONFIG)), CONFIG).select(
         "entity_id", "start_observation_id", "end_observation_id", "max_gap_seconds",
         micros(F.col("start_time")).alias("start_us"), micros(F.col("end_time")).alias("end_us"), "actor_type",
         F.array_join("source_set", ",").alias("source_set"))
@@ -222,7 +227,7 @@ def seg4(t):
 
 @query("seg5_segment_records", f"WITH {LINKED_SQL.strip()} SELECT * EXCLUDE (run) FROM observed", views=("observations",), recursive=True)
 def seg5(t):
-    runs = segments.observed_runs(segments.linked_points(cleaned_of(t), CONFIG))
+    runs = segments.observed_runs(stage(segments.linked_points(cleaned_of(t), CONFIG)))
     return runs.select(
         "segment_id", "entity_id", "start_observation_id", "end_observation_id", "actor_type",
         micros(F.col("start_time")).alias("start_us"), micros(F.col("end_time")).alias("end_us"), "point_count",
@@ -247,7 +252,7 @@ def seg6(t):
 
 @query("agg8_source_sets", f"WITH {LINKED_SQL.strip()} SELECT segment_id, source_set, source_segment_ids FROM observed", views=("observations",), recursive=True)
 def agg8(t):
-    runs = segments.observed_runs(segments.linked_points(cleaned_of(t), CONFIG))
+    runs = segments.observed_runs(stage(segments.linked_points(cleaned_of(t), CONFIG)))
     return runs.select("segment_id", F.array_join("source_set", ",").alias("source_set"),
                        F.array_join("source_segment_ids", ",").alias("source_segment_ids"))
 
@@ -257,7 +262,7 @@ def agg8(t):
  FROM cleaned c LEFT JOIN (SELECT entity_id, count(*) AS n FROM flags GROUP BY entity_id) f USING (entity_id) GROUP BY c.entity_id""", views=("observations",), recursive=True)
 def agg1(t):
     obs = t.view("observations")
-    flags = stage(qc.all_flags(obs, CONFIG))
+    flags = flags_of(t)
     s = qc.vessel_summary(qc.split(obs, flags)[0], flags)
     return s.select("entity_id", "actor_type", "observation_count", micros(F.col("first_seen")).alias("first_us"),
                     micros(F.col("last_seen")).alias("last_us"), "flag_count")

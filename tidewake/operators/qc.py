@@ -23,11 +23,6 @@ from tidewake.plans.ordered import (
 from tidewake.schema import ACTOR_TYPES, OBSERVATION_STATES, QualityConfig, blank, conform
 from tidewake.session import stage
 
-FLAG_COLUMNS = (
-    "observation_id", "entity_id", "source_order", "flag", "severity", "detail", "excluded",
-)
-
-
 def prepare(observations: DataFrame) -> DataFrame:
     """Canonical columns plus the parsed ``event_time`` and a trimmed entity key."""
     df = conform(observations)
@@ -61,26 +56,24 @@ def row_rules() -> list[tuple[str, str, Column, Column]]:
     ]
 
 
-def row_flags(observations: DataFrame) -> DataFrame:
-    """Flags that need only the row itself; one pass, no shuffle."""
-    df = prepare(observations)
-    found = F.array_compact(F.array(*[
+def _row_findings() -> Column:
+    return F.array_compact(F.array(*[
         F.when(cond, F.struct(
             F.lit(flag).alias("flag"), F.lit(severity).alias("severity"),
             detail.cast("string").alias("detail"), F.lit(severity == "ERROR").alias("excluded")))
         for flag, severity, cond, detail in row_rules()
     ]))
+
+
+def _explode_findings(df: DataFrame, found: Column) -> DataFrame:
     return df.select(
         "observation_id", "entity_id", "source_order", F.explode(found).alias("f")
     ).select("observation_id", "entity_id", "source_order", "f.*")
 
 
-def _row_excluded() -> Column:
-    bad = [cond for _, severity, cond, _ in row_rules() if severity == "ERROR"]
-    out = bad[0]
-    for cond in bad[1:]:
-        out = out | cond
-    return out
+def row_flags(observations: DataFrame) -> DataFrame:
+    """Flags that need only the row itself; one pass, no shuffle."""
+    return _explode_findings(prepare(observations), _row_findings())
 
 
 # --- duplicates -------------------------------------------------------------------------------
@@ -125,12 +118,31 @@ def duplicate_flags(observations: DataFrame) -> DataFrame:
         "observation_id", "entity_id", "source_order", "timestamp_start", "event_time",
         "latitude", "longitude", "source_record_id",
     )
+    return _duplicates(mark_duplicates(narrow))
+
+
+def _duplicates(marked: DataFrame) -> DataFrame:
     return _flags(
-        mark_duplicates(narrow).filter("is_duplicate"), "DUPLICATE_OBSERVATION", "ERROR",
+        marked.filter("is_duplicate"), "DUPLICATE_OBSERVATION", "ERROR",
         F.lit("same entity, time, position and record id as an earlier row"),
     )
 
 
+def screen(observations: DataFrame) -> DataFrame:
+    """Narrow table of all that quality control needs to know about a row.
+
+    Row findings, the duplicate mark and ``barred`` (excluded before any sequence check).
+    Everything else in this module reads this table instead of the wide input.
+    """
+    df = mark_duplicates(prepare(observations)).withColumn("found", _row_findings())
+    return df.select(
+        "observation_id", "entity_id", "entity_key", "source_order",
+        F.col("event_time").cast("timestamp").alias("event_time"), "latitude", "longitude",
+        "found", "is_duplicate",
+        (F.exists("found", lambda f: f["excluded"]) | F.col("is_duplicate")).alias("barred"),
+    )
+
+
 def _flags(df: DataFrame, flag: str, severity: str, detail: Column) -> DataFrame:
     return df.select(
         "observation_id", "entity_id", "source_order", F.lit(flag).alias("flag"),
@@ -144,7 +156,11 @@ def _flags(df: DataFrame, flag: str, severity: str, detail: Column) -> DataFrame
 
 def disorder_flags(observations: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Rows whose time is before the last known time of the vessel in source order."""
-    rows = prepare(observations).select(
+    return _disorder(prepare(observations), config)
+
+
+def _disorder(prepared: DataFrame, config: QualityConfig) -> DataFrame:
+    rows = prepared.select(
         "observation_id", "entity_id", "entity_key", "source_order", "event_time",
         order_slice(F.col("source_order"), config.source_slice).alias("slice"),
     )
@@ -157,13 +173,13 @@ def disorder_flags(observations: DataFrame, config: QualityConfig = QualityConfi
 
 # --- sequence checks --------------------------------------------------------------------------
 
-PAIR_COLUMNS = (
-    "entity_id string, observation_id string, source_order long, event_time timestamp, "
-    "prev_time timestamp, gap_seconds double, distance_m double"
-)
-
 
 def tested_pairs(observations: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """Pairs of :func:`screened_pairs` straight from observations."""
+    return screened_pairs(screen(observations), config)
+
+
+def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Each row that is compared with the last accepted position of its vessel.
 
     A row that fails the speed test does not become the reference of the next one, so the
@@ -172,10 +188,9 @@ def tested_pairs(observations: DataFrame, config: QualityConfig = QualityConfig(
     the last accepted row *is* the adjacent row. Only the slices within that horizon of an
     adjacent failure (and the one slice after them) go through the fold.
     """
-    base = mark_duplicates(prepare(observations))
-    rows = base.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
+    rows = screened.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
         "entity_id", "entity_key", "observation_id", "source_order", "event_time",
-        "latitude", "longitude", (_row_excluded() | F.col("is_duplicate")).alias("barred"),
+        "latitude", "longitude", "barred",
         time_slice(F.col("event_time"), config.slice_seconds).alias("slice"),
     )
     horizon_us = int(MAX_DISTANCE_M / (config.max_speed_knots / KNOTS_PER_MPS) * 1e6) + 1_000_000
@@ -226,8 +241,7 @@ def tested_pairs(observations: DataFrame, config: QualityConfig = QualityConfig(
         .filter(F.col("gap_seconds").isNotNull())
         .select(
             "entity_id", "observation_id", "source_order",
-            F.col("event_time").cast("timestamp").alias("event_time"),
-            F.col("prev.event_time").cast("timestamp").alias("prev_time"), "gap_seconds",
+            "event_time", F.col("prev.event_time").alias("prev_time"), "gap_seconds",
             distance_m(config.distance, F.col("prev.longitude"), F.col("prev.latitude"),
                        F.col("longitude"), F.col("latitude")).alias("distance_m"),
         )
@@ -308,9 +322,7 @@ def sequence_flags(pairs: DataFrame, config: QualityConfig = QualityConfig()) ->
         F.when(wide, finding(
             "LARGE_OBSERVATION_GAP", "WARNING", F.format_string("%.0f seconds", F.col("gap_seconds")))),
     ))
-    return pairs.select(
-        "observation_id", "entity_id", "source_order", F.explode(found).alias("f")
-    ).select("observation_id", "entity_id", "source_order", "f.*")
+    return _explode_findings(pairs, found)
 
 
 def gaps(pairs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -338,14 +350,17 @@ class QualityResult:
     vessel_summary: DataFrame
 
 
-def all_flags(
-    observations: DataFrame, config: QualityConfig = QualityConfig(), pairs: DataFrame | None = None
-) -> DataFrame:
-    pairs = tested_pairs(observations, config) if pairs is None else pairs
+def all_flags(observations: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """Every flag, lazily; :func:`quality_control` does the same from staged tables."""
+    screened = screen(observations)
+    return screened_flags(screened, screened_pairs(screened, config), config)
+
+
+def screened_flags(screened: DataFrame, pairs: DataFrame, config: QualityConfig) -> DataFrame:
     return (
-        row_flags(observations)
-        .unionByName(duplicate_flags(observations))
-        .unionByName(disorder_flags(observations, config))
+        _explode_findings(screened, F.col("found"))
+        .unionByName(_duplicates(screened))
+        .unionByName(_disorder(screened, config))
         .unionByName(sequence_flags(pairs, config))
     )
 
@@ -381,21 +396,22 @@ def quality_control(
 ) -> QualityResult:
     """Run every check and build the six output frames.
 
-    With ``staged`` the two narrow products every output depends on (the flags and the gaps)
-    are written once to the checkpoint folder; otherwise each output recomputes them.
+    With ``staged`` the narrow tables that several outputs share (screened rows, notable
+    pairs, flags, linked points) are written once to the checkpoint folder, so the wide
+    input is read for screening and for the cleaned/excluded rows only. Otherwise every
+    output recomputes what it needs.
     """
-    from tidewake.operators.segments import track_segments, validate_segments
+    from tidewake.operators.segments import linked_points, segments_of, validate_segments
 
     keep = stage if staged else (lambda df: df)
-    pairs = tested_pairs(observations, config)
-    wanted = (
+    screened = keep(screen(observations))
+    notable = keep(screened_pairs(screened, config).filter(
         (F.col("distance_m") < 1.0) | (F.col("knots") > config.max_speed_knots)
         | (F.col("gap_seconds") > config.large_gap_seconds)
-    )
-    notable = keep(pairs.filter(wanted))
-    flags = keep(all_flags(observations, config, notable))
+    ))
+    flags = keep(screened_flags(screened, notable, config))
     cleaned, excluded = split(observations, flags)
-    segments = track_segments(cleaned, config)
+    segments = segments_of(keep(linked_points(cleaned, config)), config)
     if staged:
         segments = keep(segments)
         validate_segments(segments)

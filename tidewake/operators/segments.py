@@ -200,10 +200,14 @@ def links(linked: DataFrame, config: QualityConfig = QualityConfig()) -> DataFra
     )
 
 
+def segments_of(linked: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    return observed_runs(linked).select(*SEGMENT_COLUMNS).unionByName(
+        links(linked, config).select(*SEGMENT_COLUMNS))
+
+
 def track_segments(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    linked = linked_points(cleaned, config)
-    columns = SEGMENT_COLUMNS
-    return observed_runs(linked).select(*columns).unionByName(links(linked, config).select(*columns))
+    """All segments of cleaned points (observed runs, interpolations, inferred links)."""
+    return segments_of(linked_points(cleaned, config), config)
 
 
 def track_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +22,23 @@ def build_session(app_name: str = "tidewake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, or a scratch folder where none is configured
+    (tests, single-machine runs)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(configured)
+        configured = spark.sparkContext.getCheckpointDir()
+    return configured.rstrip("/")
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write a result that several outputs share to the cluster's checkpoint folder.
+    """Write a result that several outputs share, once, and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; a scratch folder is used only
-    where none is configured (tests, single-machine runs).
+    Parquet in the checkpoint folder: lineage is cut, an executor loss costs nothing that was
+    written, and each reader scans only the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
