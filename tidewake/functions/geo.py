@@ -40,6 +40,11 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return 2 * SPHERE_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance on the WGS84 ellipsoid: Vincenty's inverse formula run inside the JVM.
 
@@ -49,60 +54,69 @@ def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     u1 = F.atan((1 - WGS84_F) * F.tan(F.radians(lat1)))
     u2 = F.atan((1 - WGS84_F) * F.tan(F.radians(lat2)))
     dlon = F.radians(F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0)
-    start = F.struct(
-        dlon.alias("lam"), F.lit(1.0).alias("step"), F.lit(0.0).alias("sigma"),
-        F.lit(0.0).alias("sin_sigma"), F.lit(0.0).alias("cos_sigma"), F.lit(0.0).alias("cos2_alpha"),
-        F.lit(0.0).alias("cos_2m"), F.sin(u1).alias("s1"), F.cos(u1).alias("c1"),
-        F.sin(u2).alias("s2"), F.cos(u2).alias("c2"),
-    )
-
-    def turn(state: Column, _: Column) -> Column:
-        lam, s1, c1, s2, c2 = (state[k] for k in ("lam", "s1", "c1", "s2", "c2"))
-        sin_sigma = F.sqrt(
-            F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2)
-        )
-        cos_sigma = s1 * s2 + c1 * c2 * F.cos(lam)
-        sigma = F.atan2(sin_sigma, cos_sigma)
-        sin_alpha = F.when(sin_sigma == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / sin_sigma)
-        cos2_alpha = 1 - sin_alpha * sin_alpha
-        cos_2m = F.when(cos2_alpha < 1e-15, 0.0).otherwise(cos_sigma - 2 * s1 * s2 / cos2_alpha)
-        c = WGS84_F / 16 * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
-        new_lam = dlon + (1 - c) * WGS84_F * sin_alpha * (
-            sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m * cos_2m - 1))
-        )
-        moved = F.struct(
-            new_lam.alias("lam"), F.abs(new_lam - lam).alias("step"), sigma.alias("sigma"),
-            sin_sigma.alias("sin_sigma"), cos_sigma.alias("cos_sigma"),
-            cos2_alpha.alias("cos2_alpha"), cos_2m.alias("cos_2m"),
-            s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"),
-        )
-        return F.when(state["step"] < 1e-12, state).otherwise(moved)
-
-    def finish(state: Column) -> Column:
-        u_sq = state["cos2_alpha"] * (WGS84_A**2 - WGS84_B**2) / WGS84_B**2
-        big_a = 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq)))
-        big_b = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
-        m, sin_s, cos_s = state["cos_2m"], state["sin_sigma"], state["cos_sigma"]
-        delta = big_b * sin_s * (
-            m + big_b / 4 * (
-                cos_s * (2 * m * m - 1)
-                - big_b / 6 * m * (4 * sin_s * sin_s - 3) * (4 * m * m - 3)
-            )
-        )
-        return F.when(state["step"] < 1e-9, WGS84_B * big_a * (state["sigma"] - delta))
+    fixed = F.struct(
+        dlon.alias("dlon"), F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"))
+
+    def solve(k: Column) -> Column:
+        zero = F.lit(0.0)
+        start = F.struct(
+            k["dlon"].alias("lam"), F.lit(1.0).alias("step"), zero.alias("sin_sigma"), zero.alias("cos_sigma"),
+            zero.alias("sigma"), zero.alias("sin_alpha"), zero.alias("cos2_alpha"), zero.alias("cos_2m"))
+
+        def turn(state: Column, _: Column) -> Column:
+            lam = state["lam"]
+            arc = F.struct(
+                F.hypot(k["c2"] * F.sin(lam), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)).alias("sin_sigma"),
+                (k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)).alias("cos_sigma"))
+
+            def azimuth(g: Column) -> Column:
+                sin_alpha = F.when(g["sin_sigma"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / g["sin_sigma"])
+                return F.struct(
+                    g["sin_sigma"].alias("sin_sigma"), g["cos_sigma"].alias("cos_sigma"),
+                    F.atan2(g["sin_sigma"], g["cos_sigma"]).alias("sigma"), sin_alpha.alias("sin_alpha"))
+
+            def middle(g: Column) -> Column:
+                cos2 = 1 - g["sin_alpha"] * g["sin_alpha"]
+                return F.struct(
+                    *[g[n].alias(n) for n in ("sin_sigma", "cos_sigma", "sigma", "sin_alpha")],
+                    cos2.alias("cos2_alpha"),
+                    F.when(cos2 < 1e-15, 0.0).otherwise(g["cos_sigma"] - 2 * k["s1"] * k["s2"] / cos2).alias("cos_2m"),
+                    (WGS84_F / 16 * cos2 * (4 + WGS84_F * (4 - 3 * cos2))).alias("c"))
+
+            def moved(g: Column) -> Column:
+                new_lam = k["dlon"] + (1 - g["c"]) * WGS84_F * g["sin_alpha"] * (
+                    g["sigma"] + g["c"] * g["sin_sigma"] * (
+                        g["cos_2m"] + g["c"] * g["cos_sigma"] * (2 * g["cos_2m"] * g["cos_2m"] - 1)))
+                return bind(new_lam, lambda n: F.struct(
+                    n.alias("lam"), F.abs(n - lam).alias("step"),
+                    *[g[x].alias(x) for x in ("sin_sigma", "cos_sigma", "sigma", "sin_alpha", "cos2_alpha", "cos_2m")]))
+
+            next_state = bind(arc, lambda g: bind(azimuth(g), lambda h: bind(middle(h), moved)))
+            return F.when(state["step"] < 1e-12, state).otherwise(next_state)
+
+        def finish(state: Column) -> Column:
+            u_sq = state["cos2_alpha"] * (WGS84_A**2 - WGS84_B**2) / WGS84_B**2
+            series = bind(u_sq, lambda u: F.struct(
+                (1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))).alias("a"),
+                (u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))).alias("b")))
+            m, sin_s, cos_s = state["cos_2m"], state["sin_sigma"], state["cos_sigma"]
+
+            def metres(t: Column) -> Column:
+                delta = t["b"] * sin_s * (m + t["b"] / 4 * (
+                    cos_s * (2 * m * m - 1) - t["b"] / 6 * m * (4 * sin_s * sin_s - 3) * (4 * m * m - 3)))
+                return WGS84_B * t["a"] * (state["sigma"] - delta)
+
+            return F.when(state["step"] < 1e-9, bind(series, metres))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(30)), start, turn, finish)
 
-    ellipsoid = F.aggregate(F.sequence(F.lit(1), F.lit(30)), start, turn, finish)
     return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).otherwise(
-        F.coalesce(ellipsoid, haversine_m(lon1, lat1, lon2, lat2))
+        F.coalesce(bind(fixed, solve), haversine_m(lon1, lat1, lon2, lat2))
     )
 
 
-def distance_m(method: str, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    if method == "haversine":
-        return haversine_m(lon1, lat1, lon2, lat2)
-    if method == "geodesic":
-        return geodesic_m(lon1, lat1, lon2, lat2)
-    raise ValueError(f"distance must be 'haversine' or 'geodesic', not {method!r}")
+# The ellipsoid's distance lies within these factors of the sphere's.
+SPHERE_LOW, SPHERE_HIGH = 0.993, 1.006
 
 
 def haversine_scalar(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
@@ -149,6 +163,3 @@ def geodesic_scalar(lon1: float, lat1: float, lon2: float, lat2: float) -> float
         )
     )
     return WGS84_B * big_a * (sigma - delta)
-
-
-SCALAR_DISTANCE = {"haversine": haversine_scalar, "geodesic": geodesic_scalar}

@@ -128,12 +128,15 @@ def manifest_records(sources: DataFrame) -> DataFrame:
 
 
 def license_rows(records: DataFrame) -> DataFrame:
-    known = F.coalesce("commercial_use_known", F.lit(False))
+    def flag(name: str, default: bool) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in records.columns else F.lit(default)
+
+    known = flag("commercial_use_known", False)
     return records.select(
         "source_id", "provider", "dataset",
         _first(records, "license", "licence").alias("license"),
         _first(records, "allowed_use", default="NOT_SPECIFIED").alias("allowed_use"),
-        F.coalesce("attribution_required", F.lit(True)).alias("attribution_required"),
+        flag("attribution_required", True).alias("attribution_required"),
         _first(records, "redistribution_allowed", default="UNKNOWN").alias("redistribution_allowed"),
         known.alias("commercial_use_known"),
         _first(records, "availability", default="AVAILABLE").alias("availability"),

@@ -9,7 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.geo import KNOTS_PER_MPS, MAX_DISTANCE_M, SCALAR_DISTANCE, distance_m
+from tidewake.functions.geo import (
+    KNOTS_PER_MPS,
+    MAX_DISTANCE_M,
+    SPHERE_HIGH,
+    SPHERE_LOW,
+    geodesic_m,
+    geodesic_scalar,
+    haversine_m,
+    haversine_scalar,
+)
 from tidewake.functions.identity import malformed_identifier
 from tidewake.plans.ordered import (
     attach,
@@ -202,11 +211,13 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         seconds = seconds_between(cur["event_time"], prev["event_time"])
         return F.when(open_pair & (seconds > 0), seconds)
 
+    def sphere(prev: Column, cur: Column) -> Column:
+        return haversine_m(prev["longitude"], prev["latitude"], cur["longitude"], cur["latitude"])
+
     def jump(prev: Column, cur: Column) -> Column:
-        metres = distance_m(
-            config.distance, prev["longitude"], prev["latitude"], cur["longitude"], cur["latitude"]
-        )
-        return metres / gap(prev, cur) * KNOTS_PER_MPS > config.max_speed_knots
+        # an upper bound of the speed: a needless hit only widens the fold's share
+        reach = sphere(prev, cur) * (1.0 if config.distance == "haversine" else SPHERE_HIGH)
+        return reach / gap(prev, cur) * KNOTS_PER_MPS > config.max_speed_knots
 
     spec = slice_window(["entity_key", "slice"], order)
     local = rows.withColumn("prev_local", F.lag(point).over(spec))
@@ -242,10 +253,12 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         .select(
             "entity_id", "observation_id", "source_order",
             "event_time", F.col("prev.event_time").alias("prev_time"), "gap_seconds",
-            distance_m(config.distance, F.col("prev.longitude"), F.col("prev.latitude"),
-                       F.col("longitude"), F.col("latitude")).alias("distance_m"),
+            "prev", "longitude", "latitude", sphere(F.col("prev"), point).alias("distance_m"),
         )
     )
+    if config.distance == "geodesic":
+        calm = calm.withColumn("distance_m", _refined(config))
+    calm = calm.drop("prev", "longitude", "latitude")
     rough = (
         joined.filter(F.col("island").isNotNull())
         .select(
@@ -270,9 +283,19 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     )
 
 
+def _refined(config: QualityConfig) -> Column:
+    """Ellipsoidal distance where the spherical one cannot decide a threshold, or where its
+    value is reported; the costly formula is evaluated for those rows only."""
+    d, seconds = F.col("distance_m"), F.col("gap_seconds")
+    unclear = (d * SPHERE_LOW < 1.0) & (d * SPHERE_HIGH >= 1.0)
+    fast = d * SPHERE_HIGH / seconds * KNOTS_PER_MPS > config.max_speed_knots
+    return F.when(unclear | fast, geodesic_m(
+        F.col("prev.longitude"), F.col("prev.latitude"), F.col("longitude"), F.col("latitude"))).otherwise(d)
+
+
 def _fold(config: QualityConfig):
     """Streaming fold over rows sorted by (vessel, island, time); state is one position."""
-    metres = SCALAR_DISTANCE[config.distance]
+    metres = geodesic_scalar if config.distance == "geodesic" else haversine_scalar
     limit = config.max_speed_knots
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,30 +414,24 @@ def vessel_summary(cleaned: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def quality_control(
-    observations: DataFrame, config: QualityConfig = QualityConfig(), staged: bool = True
-) -> QualityResult:
+def quality_control(observations: DataFrame, config: QualityConfig = QualityConfig()) -> QualityResult:
     """Run every check and build the six output frames.
 
-    With ``staged`` the narrow tables that several outputs share (screened rows, notable
-    pairs, flags, linked points) are written once to the checkpoint folder, so the wide
-    input is read for screening and for the cleaned/excluded rows only. Otherwise every
-    output recomputes what it needs.
+    The narrow tables that several outputs share (screened rows, notable pairs, flags,
+    linked points) are written once to the checkpoint folder, so the wide input is read for
+    screening and for the cleaned/excluded rows only.
     """
     from tidewake.operators.segments import linked_points, segments_of, validate_segments
 
-    keep = stage if staged else (lambda df: df)
-    screened = keep(screen(observations))
-    notable = keep(screened_pairs(screened, config).filter(
+    screened = stage(screen(observations))
+    notable = stage(screened_pairs(screened, config).filter(
         (F.col("distance_m") < 1.0) | (F.col("knots") > config.max_speed_knots)
         | (F.col("gap_seconds") > config.large_gap_seconds)
     ))
-    flags = keep(screened_flags(screened, notable, config))
+    flags = stage(screened_flags(screened, notable, config))
     cleaned, excluded = split(observations, flags)
-    segments = segments_of(keep(linked_points(cleaned, config)), config)
-    if staged:
-        segments = keep(segments)
-        validate_segments(segments)
+    segments = stage(segments_of(stage(linked_points(cleaned, config)), config))
+    validate_segments(segments)
     return QualityResult(
         cleaned_points=cleaned.drop("entity_key"),
         excluded_points=excluded.drop("entity_key"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.functions.geo import SPHERE_RADIUS_M, lon_to_180, lon_to_360
+from tidewake.functions.geo import SPHERE_RADIUS_M, bind, lon_to_180, lon_to_360
 from tidewake.plans.ordered import order_slice, previous_value, running_sum
 from tidewake.session import stage
 
@@ -166,11 +166,6 @@ def source_boxes(bbox) -> list[tuple[tuple[float, float, float, float], float]]:
     return [((xmin, ymin, 180.0, ymax), 0.0), ((-180.0, ymin, xmax - 360, ymax), 360.0)]
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def clip_ring(ring: Column, bbox) -> Column:
     """Clip one polygon ring against an axis-aligned box, side by side, inside the JVM."""
     xmin, ymin, xmax, ymax = (float(v) for v in bbox)
@@ -202,7 +197,7 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
             .otherwise(F.array().cast(f"array<{POINT}>"))
         )
 
-    return _bind(ring, lambda r: F.when(
+    return bind(ring, lambda r: F.when(
         F.size(r) > 0, F.flatten(F.zip_with(_previous(r), r, step))).otherwise(r))
 
 
@@ -233,7 +228,7 @@ def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
 
 def ring_area(ring: Column) -> Column:
     """Planar area of a ring by the shoelace sum."""
-    terms = _bind(ring, lambda r: F.zip_with(_previous(r), r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
+    terms = bind(ring, lambda r: F.zip_with(_previous(r), r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
