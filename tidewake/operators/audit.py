@@ -37,10 +37,15 @@ def audit_texts(
 ) -> DataFrame:
     """Findings (id, line, check, severity, excerpt) of every rule on every line.
 
-    Lines are split once and the rules are tested side by side on the line; texts above the
-    size limit are skipped, as the audit defines.
+    Whole texts are tested first; only those where some rule fires are split into lines and
+    tested line by line. Texts above the size limit are skipped, as the audit defines.
     """
-    lines = texts.filter(F.octet_length(text_column) <= size_limit).select(
+    suspect = F.lit(False)
+    for _, pattern, _ in rules:
+        # a rule that looks at line borders can only be judged on lines
+        bordered = re.search(r"(?<!\[)\^|\$|\\[AZz]|\(\?[=!<]", pattern)
+        suspect = suspect | (F.lit(True) if bordered else F.col(text_column).rlike(pattern))
+    lines = texts.filter((F.octet_length(text_column) <= size_limit) & suspect).select(
         F.col(id_column).alias("id"), F.posexplode(F.split(text_column, LINE_BREAK)).alias("pos", "text_line"))
     line = F.col("text_line")
     found = F.array_compact(F.array(*[

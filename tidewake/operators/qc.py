@@ -65,6 +65,18 @@ def row_rules() -> list[tuple[str, str, Column, Column]]:
     ]
 
 
+def _row_mask() -> Column:
+    """Bit i is set where rule i fires: a number to test instead of a list to search."""
+    mask = F.lit(0)
+    for i, (_, _, cond, _) in enumerate(row_rules()):
+        mask = mask + F.when(cond, F.lit(1 << i)).otherwise(F.lit(0))
+    return mask
+
+
+def _error_bits() -> int:
+    return sum(1 << i for i, (_, severity, _, _) in enumerate(row_rules()) if severity == "ERROR")
+
+
 def _row_findings() -> Column:
     return F.array_compact(F.array(*[
         F.when(cond, F.struct(
@@ -82,7 +94,8 @@ def _explode_findings(df: DataFrame, found: Column) -> DataFrame:
 
 def row_flags(observations: DataFrame) -> DataFrame:
     """Flags that need only the row itself; one pass, no shuffle."""
-    return _explode_findings(prepare(observations), _row_findings())
+    flagged = prepare(observations).withColumn("mask", _row_mask()).filter("mask <> 0")
+    return _explode_findings(flagged, _row_findings())
 
 
 # --- duplicates -------------------------------------------------------------------------------
@@ -143,12 +156,12 @@ def screen(observations: DataFrame) -> DataFrame:
     Row findings, the duplicate mark and ``barred`` (excluded before any sequence check).
     Everything else in this module reads this table instead of the wide input.
     """
-    df = mark_duplicates(prepare(observations)).withColumn("found", _row_findings())
+    df = mark_duplicates(prepare(observations)).withColumn("mask", _row_mask())
     return df.select(
         "observation_id", "entity_id", "entity_key", "source_order",
         F.col("event_time").cast("timestamp").alias("event_time"), "latitude", "longitude",
-        "found", "is_duplicate",
-        (F.exists("found", lambda f: f["excluded"]) | F.col("is_duplicate")).alias("barred"),
+        F.when(F.col("mask") != 0, _row_findings()).alias("found"), "is_duplicate",
+        ((F.col("mask").bitwiseAND(_error_bits()) != 0) | F.col("is_duplicate")).alias("barred"),
     )
 
 
