@@ -64,6 +64,29 @@ def test_line_leaves_and_reenters(spark):
     assert [(r.part, r.x, r.y) for r in rows] == [(1, 0, 0), (1, 5, 0), (2, 5, 10), (2, 0, 10)]
 
 
+def test_sliced_scans_equal_plain_windows(spark, monkeypatch):
+    """Tiny slices: predecessors, counts and sums carry over every slice border."""
+    import random
+
+    from tidewake.plans import ordered
+
+    rng = random.Random(3)
+    rows = [(k, i, rng.randint(0, 5)) for k in ("a", "b") for i in rng.sample(range(400), 150)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("slice", ordered.order_slice(F.col("o"), 7))
+    out = ordered.previous_and_count(
+        df, ["k"], "slice", "o", F.struct("o", "v"), lambda p, c: p.isNull() | (p["v"] > c["v"]), "p", "n")
+    out = ordered.running_sum(out, ["k"], "slice", "o", "v", "s", total="t")
+    got = {(r.k, r.o): (r.p and r.p.o, r.n, r.s, r.t) for r in out.collect()}
+    for k in ("a", "b"):
+        mine, prev, n, s = sorted(r for r in rows if r[0] == k), None, 0, 0
+        total = sum(r[2] for r in mine)
+        for r in mine:
+            n += prev is None or prev[2] > r[2]
+            s += r[2]
+            assert got[(k, r[1])] == (prev and prev[1], n, s, total)
+            prev = r
+
+
 def test_antimeridian_crossing_latitude(spark):
     v = spark.createDataFrame([(1, 0, 170.0, 0.0), (1, 1, -170.0, 0.0), (2, 0, 179.0, 10.0), (2, 1, -179.0, 10.0)],
                               "feature_id long, seq long, x double, y double")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions.geo import SPHERE_RADIUS_M, bind, lon_to_180, lon_to_360
-from tidewake.plans.ordered import order_slice, previous_value, running_sum
+from tidewake.plans.ordered import order_slice, previous_and_count, previous_value, running_sum
 from tidewake.session import stage
 
 POINT = "struct<x:double,y:double>"
@@ -73,12 +73,13 @@ def antimeridian_split(vertices: DataFrame) -> DataFrame:
 
     Output: (feature_id, part, seq, sub, x, y); ``part`` counts crossings before the vertex.
     """
-    v = previous_value(_sliced(vertices), ["feature_id"], "slice", "seq", F.struct("x", "y"), "p")
-    v = v.select("*", F.col("p.x").alias("px"), F.col("p.y").alias("py")).withColumn(
-        "cross", F.coalesce(F.abs(F.col("x") - F.col("px")) > 180.0, F.lit(False))
-    )
-    v = v.withColumn("crossed", F.col("cross").cast("long"))
-    v = running_sum(v, ["feature_id"], "slice", "seq", "crossed", "part")
+    def crosses(prev: Column, cur: Column) -> Column:
+        return F.coalesce(F.abs(cur["x"] - prev["x"]) > 180.0, F.lit(False))
+
+    point = F.struct("x", "y")
+    v = previous_and_count(
+        _sliced(vertices), ["feature_id"], "slice", "seq", point, crosses, "p", "part")
+    v = v.select("*", F.col("p.x").alias("px"), F.col("p.y").alias("py"), crosses(F.col("p"), point).alias("cross"))
     lat = crossing_latitude(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
     side = F.when(F.col("px") >= 0, F.lit(180.0)).otherwise(F.lit(-180.0))
 
@@ -136,13 +137,14 @@ def clip_lines(vertices: DataFrame, bbox, convention: str = "180") -> DataFrame:
             F.lit(no).alias("box"), F.lit(shift).alias("shift"), t_in.alias("t0"), t_out.alias("t1"))))
     hits = e.withColumn("c", F.explode(F.array_compact(F.array(*cut)))).withColumn("box", F.col("c.box"))
     hits = hits.filter("c.t0 < c.t1")
-    key = ["feature_id", "box"]
-    hits = previous_value(hits, key, "slice", "seq", F.struct("seq", F.col("c.t1").alias("t1")), "before")
-    hits = hits.withColumn("joined", F.coalesce(
-        (F.col("c.t0") == 0) & (F.col("before.seq") == F.col("seq") - 1) & (F.col("before.t1") == 1),
-        F.lit(False)))
-    hits = hits.withColumn("opens", (~F.col("joined")).cast("long"))
-    hits = running_sum(hits, key, "slice", "seq", "opens", "part")
+
+    def opens(prev: Column, cur: Column) -> Column:
+        joined = (cur["t0"] == 0) & (prev["seq"] == cur["seq"] - 1) & (prev["t1"] == 1)
+        return ~F.coalesce(joined, F.lit(False))
+
+    span = F.struct("seq", F.col("c.t0").alias("t0"), F.col("c.t1").alias("t1"))
+    hits = previous_and_count(hits, ["feature_id", "box"], "slice", "seq", span, opens, "before", "part")
+    hits = hits.withColumn("joined", ~opens(F.col("before"), span))
 
     def at(t: Column, sub: int) -> Column:
         return F.struct(

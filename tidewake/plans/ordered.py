@@ -8,7 +8,7 @@ row per (key, slice). Only that summary, never the rows, is windowed per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +79,35 @@ def previous_value(
     return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__local", "__carry", "__v")
 
 
+def previous_and_count(
+    df: DataFrame, keys: Sequence[str], slice_col: str, order: str, value: Column,
+    opens: Callable[[Column, Column], Column], prev_out: str, count_out: str,
+) -> DataFrame:
+    """The previous ``value`` and the running count of rows where ``opens(prev, cur)`` holds.
+
+    Both come from one summary. ``opens`` sees a NULL ``prev`` at the first row of a key.
+    """
+    spec = slice_window([*keys, slice_col], [order])
+    held = df.withColumn("__v", value)
+    local = held.withColumn("__local", F.lag("__v").over(spec))
+    inner = F.col("__local").isNotNull() & opens(F.col("__local"), F.col("__v"))
+    local = local.withColumn("__open", F.coalesce(inner, F.lit(False)).cast("long"))
+    summary = local.groupBy(*keys, slice_col).agg(
+        F.min_by("__v", order).alias("__head"), F.max_by("__v", order).alias("__tail"), F.sum("__open").alias("__inner"))
+    by_key = Window.partitionBy(*keys).orderBy(slice_col)
+    fresh = F.coalesce(opens(F.col("__carry"), F.col("__head")), F.lit(False)).cast("long")
+    summary = (
+        summary.withColumn("__carry", F.lag("__tail").over(by_key))
+        .withColumn("__fresh", fresh)
+        .withColumn("__before", F.sum(F.col("__inner") + F.col("__fresh")).over(by_key) - F.col("__inner"))
+        .select(*keys, slice_col, "__carry", "__before")
+    )
+    joined = attach(local.withColumn("__n", F.sum("__open").over(spec)), summary, [*keys, slice_col])
+    return joined.withColumns({
+        prev_out: F.coalesce("__local", "__carry"), count_out: F.col("__before") + F.col("__n"),
+    }).drop("__v", "__local", "__open", "__n", "__carry", "__before")
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], slice_col: str, order: str, value: str, out: str,
     total: str | None = None,
