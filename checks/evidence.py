@@ -57,19 +57,16 @@ def src1(t):
 
 @query("src3_geojson_scan", "SELECT entity_id, longitude AS geometry_lon, latitude AS geometry_lat FROM observations WHERE entity_id IS NOT NULL", views=("observations",))
 def src3(t):
-    # one feature collection per vessel
+    # one file per vessel, each a feature collection
     rows = t.view("observations").filter("entity_id IS NOT NULL")
     feature = F.struct(
         F.lit("Feature").alias("type"), F.struct("entity_id").alias("properties"),
-        F.struct(F.lit("Point").alias("type"), F.array(F.col("longitude"), F.coalesce("latitude", F.lit(None).cast("double"))).alias("coordinates")).alias("geometry"))
-    files = rows.groupBy("entity_id").agg(F.collect_list(feature).alias("features")).select(
-        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
-    path = written(t, "geojson", files.repartition(8), "text", lineSep="\n")
-    # each line is one collection here, so the line-based JSON reader applies
-    raw = t.spark.read.option("primitivesAsString", True).json(path)
-    return raw.select(F.explode("features").alias("f")).select(
-        "f.properties.entity_id", normalize.to_number(F.col("f.geometry.coordinates")[0]).alias("geometry_lon"),
-        normalize.to_number(F.col("f.geometry.coordinates")[1]).alias("geometry_lat"))
+        F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    files = rows.groupBy(F.col("entity_id").alias("part")).agg(F.collect_list(feature).alias("features")).select(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"), "part")
+    path = folder(t, "geojson") + "/data"
+    files.repartition(8, "part").write.partitionBy("part").text(path)
+    return readers.read_geojson(t.spark, path).select("entity_id", "geometry_lon", "geometry_lat")
 
 
 @query("src4_preamble_tsv", """SELECT concat('CRUISE:', CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS varchar)) AS source_record_id,
