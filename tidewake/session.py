@@ -23,10 +23,13 @@ def build_session(app_name: str = "tidewake", **conf: str) -> SparkSession:
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a scratch folder where none is configured
-    (tests, single-machine runs)."""
+    """The cluster's shared checkpoint folder. Only a session whose tasks run in this process
+    (``local``, as in tests) may fall back to a scratch folder of this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
         configured = spark.sparkContext.getCheckpointDir()
