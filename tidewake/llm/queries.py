@@ -60,3 +60,52 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    from tidewake.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to wavelet matrix files and read back."""
+    from tidewake.llm.token_files import read_tokens, token_folder, write_tokens
+
+    folder = token_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), folder)
+    return read_tokens(spark, folder)
+
+
+@query
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they stand for, as digests."""
+    from tidewake.llm.bpe_codec import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+@query
+def op7_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from tidewake.llm.near_text import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the word baseline and PPM."""
+    from tidewake.llm.ppm import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)

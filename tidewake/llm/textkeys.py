@@ -57,12 +57,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def batches(iterator, column: str, rows: int = 2000):
-    """Arrow batches cut to a bounded number of rows, each with the bytes of its text column."""
+def batches(iterator, column: str, size: int = 1 << 22):
+    """Arrow batches cut to about ``size`` bytes of text or a single row, each with the bytes and
+    offsets of its text column."""
     for batch in iterator:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            part = batch.slice(at, end - at)
             yield part, *text_bytes(part.column(column))
+            at = end
 
 
 def _pieces(data: np.ndarray, edge: np.ndarray):
