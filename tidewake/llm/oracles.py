@@ -70,3 +70,17 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, l.b FROM reac
 SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
 FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+SQL["op10_near_vectors"] = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counted AS (SELECT vec_id, count(b) AS n_links FROM embeddings LEFT JOIN links ON vec_id = a GROUP BY vec_id)
+SELECT c.vec_id, c.n_links, min(r.b) AS component_id, c.vec_id = min(r.b) AS kept
+FROM counted c JOIN reach r ON r.a = c.vec_id GROUP BY c.vec_id, c.n_links
+"""
