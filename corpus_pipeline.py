@@ -1,3 +1,53 @@
-"""Corpus preparation: quality, near copies, mixing, encoding."""
+"""Corpus preparation: quality, near copies, mixing, encoding.
 
-STAGES = []
+Every stage takes what its predecessor kept, as a table in the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewake.llm.bpe_codec import encode_decode
+from tidewake.llm.mixing import mixed_documents
+from tidewake.llm.near_text import one_of_each
+from tidewake.llm.quality_rules import score_quality
+from tidewake.llm.queries import table, tokenizer_file
+from tidewake.session import stage
+
+#: Least score of a document that stays.
+LEAST_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from the labelled ones among them."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where(scored["score"] >= LEAST_QUALITY).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text they stand for."""
+    return encode_decode(docs, tokenizer_file(), ids=True)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("mix", mix), ("encode", encode)]
+
+#: Learnt scores and a tokenizer are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,42 +34,46 @@ def text_groups(column: pa.Array, size: int = 1 << 20):
         at = end
 
 
-def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` (decimal ids joined by one space), ``decoded``
-    text's ``decoded_sha256``; with ``with_ids`` also ``ids`` and ``decoded``.
+def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one space),
+    ``decoded_sha256``; on request also the ``ids`` and the ``decoded`` text.
 
     NULL texts are encoded as empty ones: no ids, the hash of nothing. One row per input row,
     repeated rows included. No shuffle; memory is bounded by the word cache and a batch.
     """
-    extra = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches):
         tokenizer = encoder(path)
 
-        def entry(ids):
-            return len(ids), " ".join(map(str, ids)), decoded(tokenizer, ids), ids if with_ids else None
+        def entry(found):
+            packed = np.array(found, "<i4").tobytes() if ids else b""
+            return len(found), " ".join(map(str, found)), decoded(tokenizer, found), packed
 
         cache = EncodedWords(tokenizer, entry)
         for batch in batches:
-            counts, hashed, back, id_lists, texts = [], [], [], [], []
+            counts, hashed, back, packed, texts = [], [], [], [], []
             for _, group in text_groups(batch.column("text")):
                 for words in cache.of(group):
                     words = [w for w in words if w[0]]
-                    n, numbers, tokens, ids = zip(*words) if words else ((), (), (), ())
-                    text = " ".join(tokens).encode()
+                    n, numbers, tokens, parts = zip(*words) if words else ((), (), (), ())
+                    whole = " ".join(tokens)
                     counts.append(sum(n))
                     hashed.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
-                    back.append(hashlib.sha256(text).hexdigest())
-                    if with_ids:
-                        id_lists.append([i for part in ids for i in part])
-                        texts.append(text.decode())
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays += [pa.array(id_lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    back.append(hashlib.sha256(whole.encode()).hexdigest())
+                    if ids:
+                        packed.append(b"".join(parts))
+                    if text:
+                        texts.append(whole)
+            columns = {
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array(hashed, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if ids:
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts, dtype=np.int64)), pa.int32()), pa.array(flat))
+            if text:
+                columns["decoded"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

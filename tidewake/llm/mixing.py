@@ -107,3 +107,23 @@ def mix_sources(
     border_rows = joined.where(F.col("__slice") == F.col("__border")).select(
         *out, (F.col("size") * F.col("__epochs") + F.least(F.greatest(left, F.lit(0)), F.col("size"))).alias("taken"))
     return inside.unionAll(border_rows)
+
+
+def mixed_documents(docs: DataFrame, repeat: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself, in the columns of ``docs``: each document as often as it is taken whole, and
+    once more where it is taken in part, then with its first words joined by a space (``n_chars``
+    follows). Documents that the mix doesn't take, empty ones among them, are absent."""
+    size = word_count(F.col("text"))
+    weight = usual_word_length(F.coalesce("text", F.lit("")), size)
+    mixed = mix_sources(docs, size, weight, repeat=repeat, seed=seed).where("taken > 0")
+    part = F.col("taken") % F.col("size")
+    times = F.floor(F.col("taken") / F.col("size")) + (part > 0).cast("long")
+    copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    cut = F.when(
+        (part > 0) & (F.col("__copy") == times),
+        F.concat_ws(" ", F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), part.cast("int"))))
+    out = copies.withColumn("__cut", cut)
+    changed = {"text": F.coalesce("__cut", "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__cut").isNotNull(), F.char_length("__cut")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

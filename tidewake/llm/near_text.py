@@ -47,21 +47,26 @@ def set_digest(keys: np.ndarray) -> bytes:
     return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
 
 
+def mark() -> Column:
+    return F.xxhash64("doc_id", "text").alias("mark")
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class`` (digest of the set, NULL without words), ``sig``."""
+    """``doc_id``, ``mark`` (hash of id and text), ``n_shingles``, ``class`` (digest of the set, NULL
+    without words), ``sig``."""
 
     def run(iterator):
         for batch, data, offsets in batches(iterator, "text"):
             sets = shingle_keys(*word_keys(data, offsets), width)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "class", "sig"])
+            ], ["doc_id", "mark", "n_shingles", "class", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, class binary, sig binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), mark()).mapInArrow(
+        run, f"doc_id {kind}, mark long, n_shingles long, class binary, sig binary")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -157,15 +162,9 @@ def _block_pairs(iterator, percent: int, least_equal: int):
         yield from compare(held)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles`` (size of its set of runs of ``width`` words),
-    ``component_id`` (smallest id that links reach, itself included), ``kept``.
-
-    Links join documents with 100 * intersection >= ``percent`` * union. Texts that are NULL or
-    hold no word have an empty set and no link; fewer than ``width`` words count as one shingle.
-    Rows with equal sets are linked whatever their ids. A NULL id is never a component's id
-    unless all ids of it are NULL; such rows are kept. Repeated rows stay repeated.
-    """
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``mark``, ``n_shingles``, ``root`` (class that stands for its
+    component, NULL without words) and ``component_id``."""
     rows = stage(sketch(docs, width))
     classes = stage(
         rows.where(F.col("class").isNotNull()).groupBy("class")
@@ -208,8 +207,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     node = classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select(
         "class", "rep", F.coalesce("root", "class").alias("root"))
     smallest = node.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = node.join(smallest, "root").select(F.col("class").alias("of"), "component_id")
-    with_set = rows.where(F.col("class").isNotNull()).join(labelled, F.col("class") == F.col("of")).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where(F.col("class").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_set.unionAll(alone).select(
+    labelled = node.join(smallest, "root").select(F.col("class").alias("of"), "root", "component_id")
+    out = ("doc_id", "mark", "n_shingles", "root", "component_id")
+    with_set = rows.where(F.col("class").isNotNull()).join(labelled, F.col("class") == F.col("of")).select(*out)
+    alone = rows.where(F.col("class").isNull()).select(
+        "doc_id", "mark", "n_shingles", F.col("class").alias("root"), F.col("doc_id").alias("component_id"))
+    return with_set.unionAll(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles`` (size of its set of runs of ``width`` words),
+    ``component_id`` (smallest id that links reach, itself included), ``kept``.
+
+    Links join documents with 100 * intersection >= ``percent`` * union. Texts that are NULL or
+    hold no word have an empty set and no link; fewer than ``width`` words count as one shingle.
+    Rows with equal sets are linked whatever their ids. A NULL id is never a component's id
+    unless all ids of it are NULL; such rows are kept. Repeated rows stay repeated.
+    """
+    return grouped(docs, width, percent).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """Rows of ``docs`` with one of each component: the one with the smallest id (then mark), and of
+    repeated rows of it only one. Rows without words all stay. Columns are those of ``docs``."""
+    rows = stage(grouped(docs, width, percent).where(F.col("root").isNotNull()).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n")))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    marked = rows.join(first.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "n",
+        F.struct("doc_id", "mark").eqNullSafe(F.col("first")).alias("stays"))
+    going = marked.where("not stays or n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__mark"))
+    repeated = docs.join(marked.where("stays and n > 1").drop("n", "stays"), same, "left_semi")
+    return docs.join(going, same, "left_anti").unionAll(repeated.dropDuplicates(["doc_id", "text"]))

@@ -125,3 +125,11 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewake.llm.near_vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
