@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.slices import quantile_cuts, slice_of
 from tidewake.llm.textkeys import mix
+from tidewake.session import stage
 
 SHINGLE_BYTES = 16
 FRACTION = 32
@@ -121,6 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     tops = keyed.groupBy("slice").agg(F.max("doc_id").alias("top")).select(
         F.col("slice").alias("__slice"), "top",
         F.coalesce(F.lead("slice").over(around), F.first("slice").over(whole)).alias("__to"))
+    tops = stage(tops)  # of a known small size, so that finding the first rows moves no text
     heads = (
         keyed.join(tops, (F.col("slice") == F.col("__slice")) & F.col("doc_id").eqNullSafe(F.col("top")))
         .groupBy("__to").agg(F.max("text").alias("text"))
