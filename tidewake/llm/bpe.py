@@ -18,8 +18,9 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words kept per worker (about 300 bytes each); the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+#: Words and pretokens that each of a cache's two generations holds (about 200 bytes each).
+CACHE_WORDS = 400_000
+CACHE_PRETOKENS = 300_000
 
 # The tokenizer's pattern of pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,14 +56,16 @@ class WordEncoder:
             self.token[i], self.closes[i] = token, token.endswith(suffix)
         for t in spec["added_tokens"]:
             self.token[t["id"]] = t["content"]
-        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
-        self.number = {letter: b for b, letter in self.letters.items()}
+        self.letters = byte_letters()
+        self.number = np.zeros(1 + max(map(ord, self.letters)), np.uint8)
+        self.number[[ord(c) for c in self.letters]] = np.arange(256)
         self.forced = self._forced(vocab, suffix)
-        self.pattern = regex.compile(PRETOKEN)
+        self.pattern = regex.compile(PRETOKEN + "|\n")
+        # words that the short way doesn't take: below U+0250 all printable texts are in NFC
+        special = "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])
+        self.odd = regex.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u024f]" + (f"|{special}" if special else ""))
         # white space occurs in no token: every pair with it is a forced boundary
         assert all(self.forced[s, :].all() and self.forced[:, s].all() for s in b" \t\n\r\x0b\x0c")
-        self.fragments: dict[str, list[int]] = {}
-        self.words: dict[bytes, list[int]] = {}
 
     @staticmethod
     def _model(spec: dict, suffix: str | None) -> Tokenizer:
@@ -74,88 +77,142 @@ class WordEncoder:
     def _forced(self, vocab: dict[str, int], suffix: str) -> np.ndarray:
         """256 x 256: pairs of bytes that no vocabulary token holds side by side."""
         forced = np.ones((256, 256), bool)
-        for token in vocab:
-            bytes_ = [self.number[c] for c in token.removesuffix(suffix)]
-            for a, b in pairwise(bytes_):
-                forced[a, b] = False
+        bare = [t.removesuffix(suffix) for t in vocab]
+        codes, lengths = self._codes("".join(bare)), np.array([len(t) for t in bare])
+        inside = np.ones(max(0, len(codes) - 1), bool)
+        ends = np.cumsum(lengths)[:-1]
+        inside[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+        forced[codes[:-1][inside], codes[1:][inside]] = False
         return forced
 
-    def _pretokens(self, word: str) -> list[str]:
-        """Pretokens of a word in byte letters."""
-        if word.isprintable() and max(word) < "\u0250":  # such texts are in NFC
-            found = self.pattern.findall(word.lower())
-            return found if word.isascii() else list(map(self._lettered, found))
-        normal = self.whole.normalizer.normalize_str(word)
-        return [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
+    def _codes(self, lettered: str) -> np.ndarray:
+        """Bytes that a text of byte letters stands for."""
+        return self.number[np.frombuffer(lettered.encode("utf-16-le"), np.uint16)]
 
     def _lettered(self, text: str) -> str:
-        return text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-
-    def _cut(self, pretoken: str) -> list[str]:
-        """Fragments of a pretoken between forced boundaries."""
-        codes = np.fromiter(map(self.number.__getitem__, pretoken), np.uint8, len(pretoken))
-        at = np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1
-        return [pretoken[a:b] for a, b in pairwise([0, *at.tolist(), len(pretoken)])] if len(at) else [pretoken]
-
-    def _encode_fragments(self, fragments: list[str]) -> None:
-        """Adds pretokens to the fragment cache, in one call of the library for all of them."""
-        plain = []
-        for pretoken in fragments:
-            parts = self._cut(pretoken)
-            if len(parts) == 1:
-                plain.append(pretoken)
+        if text.isascii() and text.isprintable():
+            return text
+        return "".join(map(self.letters.__getitem__, text.encode("utf-8", "surrogateescape")))
+
+    def pretokens(self, words: list[bytes]) -> list[list[str] | None]:
+        """Lower-cased pretokens of each word; None for words with a special token."""
+        joined = b"\n".join(words).decode()
+        if self.odd.search(joined):
+            texts = joined.split("\n")
+            usual = [not self.odd.search(t) for t in texts]
+            short = iter(self._split([t for t, u in zip(texts, usual) if u]))
+            return [next(short) if u else self._long_way(w, t) for w, t, u in zip(words, texts, usual)]
+        return self._split_joined(joined)
+
+    def _split(self, texts: list[str]) -> list[list[str]]:
+        return self._split_joined("\n".join(texts)) if texts else []
+
+    def _split_joined(self, joined: str) -> list[list[str]]:
+        out: list[list[str]] = [[]]
+        for found in self.pattern.findall(joined.lower()):
+            if found == "\n":
+                out.append([])
             else:
-                ids = self.inner.encode(parts[:-1], is_pretokenized=True, add_special_tokens=False).ids
-                self.fragments[pretoken] = [*ids, *self.final.encode([parts[-1]], is_pretokenized=True, add_special_tokens=False).ids]
-        if plain:
-            ids = self.final.encode(plain, is_pretokenized=True, add_special_tokens=False).ids
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            assert len(ends) == len(plain)
-            for pretoken, (a, b) in zip(plain, pairwise([0, *ends])):
-                self.fragments[pretoken] = ids[a:b]
-
-    def ids_of(self, new: list[bytes]) -> list[list[int]]:
-        """Ids of each of the given words."""
-        if len(self.fragments) > CACHE_WORDS:
-            self.fragments.clear()
-        split: list[list[str] | None] = []
-        for word in new:
-            if any(s in word for s in self.special):
-                split.append(None)
-            else:
-                split.append(self._pretokens(word.decode()))
-        missing = list({p for parts in split if parts for p in parts if p not in self.fragments})
-        self._encode_fragments(missing)
-        known, out = self.fragments, []
-        for word, parts in zip(new, split):
-            if parts is None:
-                out.append(self.whole.encode(word.decode(), add_special_tokens=False).ids)
-            elif len(parts) == 1:
-                out.append(known[parts[0]])
+                out[-1].append(found)
+        return out
+
+    def _long_way(self, word: bytes, text: str) -> list[str] | None:
+        if any(s in word for s in self.special):
+            return None
+        lettered = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
+        return [self._codes(p).tobytes().decode("utf-8", "surrogateescape") for p, _ in lettered]
+
+    def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
+        """Ids of each pretoken, in two calls of the library for all of them."""
+        lettered = [self._lettered(p) for p in pretokens]
+        joined = "".join(lettered)
+        codes = self._codes(joined)
+        ends = np.cumsum([len(p) for p in lettered])
+        final = np.zeros(len(codes), bool)
+        final[ends - 1] = True
+        cut = final.copy()
+        cut[:-1] |= self.forced[codes[:-1], codes[1:]]
+        stops = np.flatnonzero(cut) + 1
+        closing = final[stops - 1].tolist()
+        fragments = [joined[a:b] for a, b in pairwise([0, *stops.tolist()])]
+        known = {f: None for f, c in zip(fragments, closing) if not c}
+        if known:
+            encoded = self.inner.encode(list(known), is_pretokenized=True, add_special_tokens=False)
+            source = np.array(encoded.word_ids)
+            starts = [*np.flatnonzero(np.append(True, source[1:] != source[:-1])).tolist(), len(source)]
+            inner_ids = encoded.ids
+            known = {f: inner_ids[a:b] for f, (a, b) in zip(known, pairwise(starts))}
+        last = [f for f, c in zip(fragments, closing) if c]
+        ids = self.final.encode(last, is_pretokenized=True, add_special_tokens=False).ids
+        closes = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        assert len(closes) == len(pretokens)
+        if not known:
+            return [ids[a:b] for a, b in pairwise([0, *closes])]
+        out, inner, bounds = [], [], iter(pairwise([0, *closes]))
+        for fragment, c in zip(fragments, closing):
+            if c:
+                a, b = next(bounds)
+                out.append([*inner, *ids[a:b]])
+                inner = []
             else:
-                out.append([i for p in parts for i in known[p]])
+                inner += known[fragment]
         return out
 
 
+class Recent:
+    """Cache of two generations: a full one becomes the old one, and what is used again moves on, so
+    that frequent keys stay and memory is bounded."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither generation holds; all others are in ``now`` afterwards."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        absent = keys.difference(now)
+        again = absent.intersection(old)
+        now.update(zip(again, map(old.__getitem__, again)))
+        return list(absent.difference(again))
+
+
 class EncodedWords:
-    """Bounded cache from a word to what ``make`` derives from its ids."""
+    """Bounded caches from words and pretokens to what ``make`` derives from their ids; ``join``
+    does for a list of such values what joining the ids would do."""
+
+    def __init__(self, encoder: WordEncoder, make, join):
+        self.encoder, self.make, self.join = encoder, make, join
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PRETOKENS)
 
-    def __init__(self, encoder: WordEncoder, make):
-        self.encoder, self.make, self.known = encoder, make, {}
+    def _learn(self, words: list[bytes]):
+        split = self.encoder.pretokens(words)
+        new = self.parts.missing(set().union(*filter(None, split)))
+        parts, known, join = self.parts.now, self.words.now, self.join
+        if new:
+            parts.update(zip(new, map(self.make, self.encoder.encode_pretokens(new))))
+        for word, pretokens in zip(words, split):
+            if pretokens is None:
+                known[word] = self.make(self.encoder.whole.encode(word.decode(), add_special_tokens=False).ids)
+            elif len(pretokens) == 1:
+                known[word] = parts[pretokens[0]]
+            else:
+                known[word] = join([parts[p] for p in pretokens])
 
     def of(self, texts: list[bytes]):
         """For each text the list of what its words stand for, in order."""
         split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*split).difference(known))
+        new = self.words.missing(set().union(*split))
         if new:
-            known.update(zip(new, map(self.make, self.encoder.ids_of(new))))
-        get = known.__getitem__
+            self._learn(new)
+        get = self.words.now.__getitem__
         return [list(map(get, words)) for words in split]
 
 
+def ids_only(encoder: WordEncoder) -> EncodedWords:
+    return EncodedWords(encoder, list, lambda parts: [i for p in parts for i in p])
+
+
 def decoded(encoder: WordEncoder, ids) -> str:
     """The library's decode() of a tokenizer without a decoder: tokens joined by a space."""
     return " ".join(map(encoder.token.__getitem__, ids))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,13 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
         tokenizer = encoder(path)
 
         def entry(found):
-            packed = np.array(found, "<i4").tobytes() if ids else b""
-            return len(found), " ".join(map(str, found)), decoded(tokenizer, found), packed
+            return len(found), " ".join(map(str, found)), decoded(tokenizer, found), array("i", found).tobytes() if ids else b""
 
-        cache = EncodedWords(tokenizer, entry)
+        def joined(parts):
+            n, numbers, tokens, packed = zip(*parts) if parts else ((), (), (), ())
+            return sum(n), " ".join(numbers), " ".join(tokens), b"".join(packed)
+
+        cache = kept(("texts", path, ids), lambda: EncodedWords(tokenizer, entry, joined))
         for batch in batches:
             counts, hashed, back, packed, texts = [], [], [], [], []
             for _, group in text_groups(batch.column("text")):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from tidewake.llm.bpe import EncodedWords
 from tidewake.llm.bpe_codec import encoder, text_groups
 from tidewake.llm.slices import quantile_cuts, slice_of
 from tidewake.llm.wavelet import WaveletMatrix, encode
+from tidewake.llm.workers import kept
 from tidewake.session import stage_folder
 
 #: Documents in a shard, about a million tokens.
@@ -33,9 +35,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
 
     def to_ids(batches):
         tokenizer = encoder(path)
-        dtype = np.dtype("<u2" if len(tokenizer.token) <= 1 << 16 else "<u4")
-        cache = EncodedWords(tokenizer, lambda ids: np.array(ids, dtype).tobytes())
-        end = np.array([end_id], dtype).tobytes()
+        code = "H" if len(tokenizer.token) <= 1 << 16 else "I"
+        cache = kept(("packed", path), lambda: EncodedWords(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join))
+        end = array(code, [end_id]).tobytes()
         for batch in batches:
             ids = [b"".join([*words, end]) for _, group in text_groups(batch.column("text")) for words in cache.of(group)]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])

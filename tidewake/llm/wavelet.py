@@ -23,13 +23,13 @@ def encode(values: np.ndarray, bits: int, doc_ids: np.ndarray, sizes: np.ndarray
     n, order = len(values), values
     parts = [doc_ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
     for k in range(bits - 1, -1, -1):
-        one = ((order >> k) & 1).astype(bool)
+        one = order & order.dtype.type(1 << k) != 0
         plane = np.packbits(one, bitorder="little")
         filled = np.zeros(-(-n // BLOCK) * (BLOCK // 8), np.uint8)
         filled[: len(plane)] = plane
         ones = np.bitwise_count(filled.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1)
         parts += [filled.tobytes(), np.append(0, np.cumsum(ones)).astype("<u4").tobytes()]
-        order = np.concatenate((order[~one], order[one]))
+        order = np.concatenate((np.compress(~one, order), np.compress(one, order)))
     return struct.pack(HEAD, MAGIC, bits, n, len(doc_ids)) + b"".join(parts)
 
 
@@ -112,7 +112,7 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
             zeros = self._zeros(k)
             above = np.empty_like(order)
-            above[~one] = order[:zeros]
-            above[one] = order[zeros:]
+            above[np.flatnonzero(~one)] = order[:zeros]
+            above[np.flatnonzero(one)] = order[zeros:]
             order = above | (one.astype(order.dtype) << order.dtype.type(self.bits - 1 - k))
         return order
