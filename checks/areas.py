@@ -180,9 +180,23 @@ def geo6(t):
         F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 6).alias("length"))
 
 
-@query("geo6_clip_lines_360")
+@query("geo6_clip_lines_360", """WITH e AS (SELECT feature_id, seq, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2
+    FROM vertices WINDOW w AS (PARTITION BY feature_id ORDER BY seq)),
+  b(box, shift, xa, xb) AS (VALUES (0, 0.0::double, 170.0::double, 180.0::double), (1, 360.0::double, -180.0::double, -160.0::double)),
+  d AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM e, b WHERE x1 IS NOT NULL),
+  r AS (SELECT *, greatest(0.0::double, CASE WHEN dx > 0 THEN (x1 - xa) / -dx WHEN dx < 0 THEN (xb - x1) / dx ELSE 0 END,
+      CASE WHEN dy > 0 THEN (y1 + 30.0::double) / -dy WHEN dy < 0 THEN (35.0::double - y1) / dy ELSE 0 END) AS t0,
+    least(1.0::double, CASE WHEN dx < 0 THEN (x1 - xa) / -dx WHEN dx > 0 THEN (xb - x1) / dx ELSE 1 END,
+      CASE WHEN dy < 0 THEN (y1 + 30.0::double) / -dy WHEN dy > 0 THEN (35.0::double - y1) / dy ELSE 1 END) AS t1 FROM d
+    WHERE NOT (dx = 0 AND (x1 < xa OR x1 > xb)) AND NOT (dy = 0 AND (y1 < -30 OR y1 > 35))),
+  k AS (SELECT *, NOT coalesce(t0 = 0 AND lag(seq) OVER w = seq - 1 AND lag(t1) OVER w = 1, false) AS opens FROM r WHERE t0 < t1
+    WINDOW w AS (PARTITION BY feature_id, box ORDER BY seq)),
+  p AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY feature_id, box ORDER BY seq) AS bigint) AS part FROM k)
+  SELECT feature_id, box, part, seq, 0 AS sub, round(x1 + t0 * dx + shift, 9) AS x, round(y1 + t0 * dy, 9) AS y FROM p WHERE opens
+  UNION ALL SELECT feature_id, box, part, seq, 1, round(x1 + t1 * dx + shift, 9), round(y1 + t1 * dy, 9) FROM p""", views=("vertices",))
 def geo6b(t):
-    return vectors.clip_lines(t.view("vertices"), (170.0, -30.0, 200.0, 35.0), "360")
+    cut = vectors.clip_lines(t.view("vertices"), (170.0, -30.0, 200.0, 35.0), "360")
+    return cut.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
 
 
 _SQUARES = """squares AS (SELECT c_custkey AS feature_id, CAST(c_custkey % 60 AS double) AS x0, CAST(c_custkey % 37 AS double) AS y0,
@@ -207,7 +221,22 @@ _CUT = "(least(x0 + w, 40.5) - greatest(x0, 10.25)) * (least(y0 + h, 30.0) - gre
   WHERE x0 + w > 10.25 AND x0 < 40.5 AND y0 + h > 5.5 AND y0 < 30.0""")
 def geo6c(t):
     cut = vectors.clip_polygons(_squares(t), (10.25, 5.5, 40.5, 30.0))
-    return cut.select("feature_id", F.round(vectors.ring_area(F.col("ring")), 6).alias("area")).filter("area > 0")
+    return cut.select("feature_id", F.round(vectors.ring_area(F.col("ring")), 6).alias("area"))
+
+
+# a U of three unit-wide bars, open to the east: a box over its arms cuts two parts of it
+@query("geo6_clip_concave", """WITH u AS (SELECT c_custkey AS feature_id, CAST(c_custkey % 60 AS double) AS x0, CAST(c_custkey % 37 AS double) AS y0 FROM customer),
+  arms AS (SELECT *, unnest([0.0::double, 2.0::double]) AS dy FROM u),
+  cut AS (SELECT feature_id, x0, y0, greatest(x0 + 1, 10.25) AS xa, least(x0 + 4, 40.5) AS xb, greatest(y0 + dy, 5.5) AS ya, least(y0 + dy + 1, 30.0) AS yb FROM arms),
+  spine AS (SELECT feature_id, greatest(x0, 10.25) AS xa, least(x0 + 1, 40.5) AS xb, greatest(y0, 5.5) AS ya, least(y0 + 3, 30.0) AS yb FROM u),
+  pieces AS (SELECT feature_id, xa, xb, ya, yb, false AS spine FROM cut WHERE xa < xb AND ya < yb UNION ALL SELECT *, true FROM spine WHERE xa < xb AND ya < yb)
+  SELECT feature_id, CASE WHEN bool_or(spine) THEN 1 ELSE count(*) END AS parts, round(sum((xb - xa) * (yb - ya)), 6) AS area FROM pieces GROUP BY feature_id""")
+def geo6d(t):
+    c = t.table("customer").select("c_custkey", (F.col("c_custkey") % 60).cast("double").alias("x0"), (F.col("c_custkey") % 37).cast("double").alias("y0"))
+    corners = ((0, 0), (4, 0), (4, 1), (1, 1), (1, 2), (4, 2), (4, 3), (0, 3))
+    ring = F.array(*[F.struct((F.col("x0") + x).alias("x"), (F.col("y0") + y).alias("y")) for x, y in corners])
+    cut = vectors.clip_polygons(c.select(F.col("c_custkey").alias("feature_id"), F.lit(0).alias("ring_no"), ring.alias("ring")), (10.25, 5.5, 40.5, 30.0))
+    return cut.groupBy("feature_id").agg(F.count("*").alias("parts"), F.round(F.sum(vectors.ring_area(F.col("ring"))), 6).alias("area"))
 
 
 @query("src10_zone_layer", f"""WITH {_SQUARES} SELECT feature_id, round({_CUT}, 6) AS area, 'zones_v1' AS source_id, 'eez_reference' AS boundary_type,
@@ -215,7 +244,7 @@ def geo6c(t):
 def src10(t):
     z = vectors.zone_layer(_squares(t), (10.25, 5.5, 40.5, 30.0), "zones_v1", "eez_reference")
     return z.select("feature_id", F.round(vectors.ring_area(F.col("ring")), 6).alias("area"), "source_id",
-                    "boundary_type", "legal_status").filter("area > 0")
+                    "boundary_type", "legal_status")
 
 
 @query("geo7_coastline", f"""WITH {_SQUARES}, c AS (SELECT feature_id, unnest([0, 1, 2, 3, 4]) AS seq, x0, y0, w, h FROM squares)
@@ -259,17 +288,54 @@ def geo11(t):
 
 def _baselines(t):
     c = t.table("customer")
-    wiggle = F.sin(F.col("c_custkey") / 40.0) * 0.1
+    # gentle enough that no sample has two nearest points
+    wiggle = F.sin(F.col("c_custkey") / 400.0) * 0.02
     seq, y = F.col("c_custkey").alias("seq"), (20.0 + F.col("c_custkey") * 0.0004).alias("y")
     a = c.select(F.lit(1).cast("long").alias("feature_id"), seq, (120.0 + wiggle).alias("x"), y)
     b = c.select(F.lit(2).cast("long").alias("feature_id"), seq, (122.0 - wiggle).alias("x"), y)
     return a, b
 
 
-@query("geo12_equidistance")
+_PLANE = """SELECT feature_id, seq, 6371008.8 * atanh(cos(radians(y)) * sin(radians(x - 121.0::double))) AS x,
+  6371008.8 * (atan2(tan(radians(y)), cos(radians(x - 121.0::double))) - radians(21.0::double)) AS y FROM """
+
+
+def _side(name: str, number: int, sign: str) -> str:
+    """Edges and samples of one baseline in the plane."""
+    return f"""
+  v{name} AS (SELECT {number}::bigint AS feature_id, c_custkey AS seq, {120 if number == 1 else 122}.0::double {sign} sin(c_custkey / 400.0::double) * 0.02::double AS x,
+    20.0::double + c_custkey * 0.0004::double AS y FROM customer),
+  p{name} AS ({_PLANE} v{name}),
+  e{name} AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM (SELECT feature_id, seq, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2
+    FROM p{name} WINDOW w AS (PARTITION BY feature_id ORDER BY seq)) WHERE x1 IS NOT NULL),
+  u{name} AS (SELECT *, sum(len) OVER (ORDER BY seq) AS upto, sum(len) OVER () AS total, max(seq) OVER () AS last FROM e{name} WHERE len > 0),
+  s{name} AS (SELECT '{name}:' || feature_id || ':' || lpad(n::varchar, 12, '0') AS sid, x1 + least(1.0, (n * step - upto + len) / len) * (x2 - x1) AS x,
+    y1 + least(1.0, (n * step - upto + len) / len) * (y2 - y1) AS y FROM (
+      SELECT *, unnest(range(ceil((upto - len) / step)::bigint, CASE WHEN seq = last THEN count ELSE ceil(upto / step)::bigint END)) AS n FROM (
+        SELECT *, total / (count - 1) AS step FROM (SELECT *, greatest(2, ceil(total / 5000.0) + 1)::bigint AS count FROM u{name}))))"""
+
+
+def _foot_sql(points: str, edges: str) -> str:
+    """Every point with its nearest point on the edges: brute force."""
+    return f"""SELECT sid, x, y, arg_min(fx, d) AS nx, arg_min(fy, d) AS ny, min(d) AS nd FROM (
+    SELECT *, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) AS d FROM (SELECT *, x1 + t * (x2 - x1) AS fx, y1 + t * (y2 - y1) AS fy FROM (
+      SELECT q.*, x1, y1, x2, y2, greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (len * len))) AS t FROM {points} q, {edges} WHERE len > 0)))
+    GROUP BY sid, x, y"""
+
+
+@query("geo12_equidistance", f"""WITH {_side("a", 1, "+").strip()}, {_side("b", 2, "-").strip()},
+  mid AS (SELECT sid, (x + nx) / 2 AS x, (y + ny) / 2 AS y FROM ({_foot_sql("sa", "eb")}) UNION ALL SELECT sid, (x + nx) / 2, (y + ny) / 2 FROM ({_foot_sql("sb", "ea")})),
+  near AS (SELECT a.sid, a.x, a.y FROM ({_foot_sql("mid", "ea")}) a JOIN ({_foot_sql("mid", "eb")}) b USING (sid) WHERE abs(a.nd - b.nd) <= 750.0),
+  one AS (SELECT arg_max(x, sid) AS x, arg_max(y, sid) AS y FROM near GROUP BY round_even(x, 3), round_even(y, 3)),
+  m AS (SELECT avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS g FROM one),
+  l AS (SELECT x, y, (x - mx) * cos(g) + (y - my) * sin(g) AS along, y / 6371008.8 + radians(21.0) AS d, x / 6371008.8 AS e FROM one, m)
+  SELECT 'computed-median-1' AS feature_id, round(along, 3) AS along, round(degrees(atan2(sinh(e), cos(d))) + 121.0, 9) AS x, round(degrees(asin(sin(d) / cosh(e))), 9) AS y,
+    'computed_median_equidistance_reference' AS boundary_type, 'COMPUTED_REFERENCE' AS legal_status, 'MUTUAL_NEAREST_BASELINE_MIDPOINT_REFERENCE' AS method,
+    'a' AS baseline_a, 'b' AS baseline_b, 5000.0::double AS sample_spacing_m, 750.0::double AS balance_tolerance_m FROM l""")
 def geo12(t):
     a, b = _baselines(t)
-    return vectors.equidistance_points(a, b, 121.0, 21.0)
+    line = vectors.equidistance_points(a, b, 121.0, 21.0)
+    return line.withColumns({"along": F.round("along", 3), "x": F.round("x", 9), "y": F.round("y", 9)})
 
 
 @query("ord2_principal_axis", """WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM p),

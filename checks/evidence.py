@@ -18,55 +18,59 @@ from tidewake.sources import sinks
 
 # --- readers ----------------------------------------------------------------------------------
 
-_SIMPLE = """SELECT source_order, entity_id, latitude, longitude, mmsi FROM observations"""
+def _columns(t):
+    """Rows in source order, so that the order of the written lines is known."""
+    return t.view("observations").orderBy("source_order").select(
+        "observation_id", "entity_id", "latitude", "longitude", "mmsi")
 
 
-def _columns(t):
-    return t.view("observations").select("source_order", "entity_id", "latitude", "longitude", "mmsi")
+_ORDERED = """SELECT row_number() OVER (ORDER BY source_order) - 1 AS source_order, observation_id, mmsi, entity_id, latitude, longitude FROM observations"""
 
 
 def _read_back(t: Inputs, fmt: str):
     path = written(t, fmt, _columns(t), fmt)
     raw = readers.read_raw(t.spark, path, fmt)
     return raw.select(
-        F.col("mmsi"), F.col("entity_id"), normalize.to_number(F.col("latitude")).alias("latitude"),
+        "source_order", "observation_id", F.col("mmsi"), F.col("entity_id"), normalize.to_number(F.col("latitude")).alias("latitude"),
         normalize.to_number(F.col("longitude")).alias("longitude"))
 
 
-@query("src2_csv_scan", "SELECT mmsi, entity_id, latitude, longitude FROM observations", views=("observations",))
+@query("src2_csv_scan", _ORDERED, views=("observations",))
 def src2(t):
     return _read_back(t, "csv")
 
 
-@query("src2_tsv_scan", "SELECT mmsi, entity_id, latitude, longitude FROM observations", views=("observations",))
+@query("src2_tsv_scan", _ORDERED, views=("observations",))
 def src2b(t):
     return _read_back(t, "tsv")
 
 
-@query("src1_read_observations", f"""SELECT concat('obs-', CAST(source_order AS varchar)) AS observation_id, entity_id, latitude, longitude, mmsi AS "MMSI",
-  'AIS' AS source_type, 'feed' AS source_name, 'OBSERVED' AS observed_or_inferred, 'b1' AS build_id FROM observations""", views=("observations",))
+@query("src1_read_observations", f"""SELECT source_order, observation_id, entity_id, latitude, longitude, mmsi AS "MMSI",
+  'AIS' AS source_type, 'feed' AS source_name, 'OBSERVED' AS observed_or_inferred, 'b1' AS build_id FROM ({_ORDERED})""", views=("observations",))
 def src1(t):
     df = _columns(t).select(
-        F.concat(F.lit("obs-"), F.col("source_order").cast("string")).alias("observation_id"), "entity_id",
-        F.col("latitude").alias("Lat"), F.col("longitude").alias("LNG"), F.col("mmsi").alias("MMSI"))
+        "observation_id", "entity_id", F.col("latitude").alias("Lat"), F.col("longitude").alias("LNG"), F.col("mmsi").alias("MMSI"))
     path = written(t, "feed", df, "csv")
     out = readers.read_observations(t.spark, path, build_id="b1", source_type="AIS", source_name="feed", fmt="csv")
-    return out.select("observation_id", "entity_id", "latitude", "longitude", "MMSI", "source_type", "source_name",
+    return out.select("source_order", "observation_id", "entity_id", "latitude", "longitude", "MMSI", "source_type", "source_name",
                       "observed_or_inferred", "build_id")
 
 
-@query("src3_geojson_scan", "SELECT entity_id, longitude AS geometry_lon, latitude AS geometry_lat FROM observations WHERE entity_id IS NOT NULL", views=("observations",))
+@query("src3_geojson_scan", """SELECT row_number() OVER (ORDER BY concat('part=', coalesce(entity_id, 'none'), '/'), source_order) - 1 AS source_order,
+  entity_id, longitude AS geometry_lon, latitude AS geometry_lat FROM observations""", views=("observations",))
 def src3(t):
-    # one file per vessel, each a feature collection
-    rows = t.view("observations").filter("entity_id IS NOT NULL")
+    # one file per vessel, and one for rows without any, each a feature collection
+    rows = t.view("observations")
     feature = F.struct(
-        F.lit("Feature").alias("type"), F.struct("entity_id").alias("properties"),
-        F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
-    files = rows.groupBy(F.col("entity_id").alias("part")).agg(F.collect_list(feature).alias("features")).select(
+        "source_order", F.struct(
+            F.lit("Feature").alias("type"), F.struct("entity_id").alias("properties"),
+            F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry")).alias("f"))
+    features = F.transform(F.array_sort(F.collect_list(feature)), lambda x: x["f"])
+    files = rows.groupBy(F.coalesce("entity_id", F.lit("none")).alias("part")).agg(features.alias("features")).select(
         F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"), "part")
     path = folder(t, "geojson") + "/data"
     files.repartition(8, "part").write.partitionBy("part").text(path)
-    return readers.read_geojson(t.spark, path).select("entity_id", "geometry_lon", "geometry_lat")
+    return readers.read_geojson(t.spark, path).select("source_order", "entity_id", "geometry_lon", "geometry_lat")
 
 
 @query("src4_preamble_tsv", """SELECT concat('CRUISE:', CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS varchar)) AS source_record_id,
@@ -229,10 +233,11 @@ def nrm13(t):
     return t.table("customer").select("c_custkey", mixed_token(F.col("c_name")).alias("token"))
 
 
-@query("nrm13_identity_token_unicode")
+@query("nrm13_identity_token_unicode", r"""SELECT word, regexp_replace(replace(lower(word), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS token
+  FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents)""")
 def nrm13u(t):
     words = t.table("documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("word"))
-    return words.groupBy("word").agg(F.min("doc_id").alias("doc_id")).select("word", mixed_token(F.col("word")).alias("token"))
+    return words.select("word").distinct().select("word", mixed_token(F.col("word")).alias("token"))
 
 
 @query("nrm14_actor_names", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'PLAN' WHEN 1 THEN 'CCG,RESEARCH_SURVEY' WHEN 2 THEN 'RESEARCH_SURVEY,TANKER' ELSE 'PLAN,MARITIME_MILITIA' END AS actors FROM customer""")
@@ -423,33 +428,52 @@ def cen3(t):
 # --- provenance -------------------------------------------------------------------------------
 
 
+# one entry per document
+_MANIFEST = """SELECT concat('docs/', CAST(doc_id AS varchar), '.txt') AS path, strlen(text) AS bytes, sha256(text) AS sha256 FROM documents"""
+
+
 def _manifest(t):
-    return provenance.file_manifest(t.spark, t.sf_dir)
+    return t.table("documents").select(
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
+def _files(t):
+    """Manifest of real files: every document is written to one."""
+    path = folder(t, "files") + "/data"
+    t.table("documents").select("doc_id", F.col("text").alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
+    number = F.regexp_extract("path", "doc_id=([0-9]+)/", 1)
+    return provenance.file_manifest(t.spark, path).withColumn("path", F.concat(F.lit("docs/"), number, F.lit(".txt")))
 
 
-@query("prv1_file_manifest")
+_FILES = """SELECT concat('docs/', CAST(doc_id AS varchar), '.txt') AS path, strlen(text) + 1 AS bytes, sha256(concat(text, chr(10))) AS sha256 FROM documents"""
+
+
+@query("prv1_file_manifest", _FILES)
 def prv1(t):
-    return _manifest(t)
+    return _files(t)
 
 
-@query("prv2_checksum_lines")
+@query("prv2_checksum_lines", f"SELECT concat(sha256, '  ', path) AS value FROM ({_FILES})")
 def prv2(t):
-    return provenance.checksum_lines(_manifest(t))
+    return provenance.checksum_lines(_files(t))
 
 
-@query("src14_pinned_digests")
+@query("src14_pinned_digests", f"""SELECT path AS name, CASE WHEN path LIKE '%7.txt' THEN NULL ELSE path END AS path,
+  CASE WHEN path LIKE '%7.txt' THEN 'MISSING' WHEN path LIKE 'docs/1%' THEN 'DIGEST_MISMATCH' ELSE 'OK' END AS status FROM ({_MANIFEST})""")
 def src14(t):
-    m = stage(_manifest(t))
+    m = _manifest(t)
     expected = m.select(
         F.col("path").alias("name"), F.array(F.concat(F.lit("absent/"), "path"), "path").alias("locations"),
-        F.when(F.col("path").like("o%"), "0").otherwise(F.col("sha256")).alias("sha256"))
-    return provenance.pinned_digests(expected, m)
+        F.when(F.col("path").like("docs/1%"), "0").otherwise(F.col("sha256")).alias("sha256"))
+    return provenance.pinned_digests(expected, m.filter("path NOT LIKE '%7.txt'"))
 
 
-@query("jn12_manifest_verification")
+@query("jn12_manifest_verification", f"""SELECT concat('sha256:', path) AS error FROM ({_MANIFEST}) WHERE path LIKE 'docs/2%'
+  UNION ALL SELECT concat('missing:', path, '.gone') FROM ({_MANIFEST})""")
 def jn12(t):
-    m = stage(_manifest(t))
-    expected = m.withColumn("sha256", F.when(F.col("path").like("e%"), "0").otherwise(F.col("sha256"))).unionByName(
+    m = _manifest(t)
+    expected = m.withColumn("sha256", F.when(F.col("path").like("docs/2%"), "0").otherwise(F.col("sha256"))).unionByName(
         m.withColumn("path", F.concat("path", F.lit(".gone"))))
     return provenance.verify_manifest(expected, m)
 
@@ -460,33 +484,60 @@ def prv3(t):
     return provenance.row_fingerprint(s).select("s_suppkey", "fingerprint")
 
 
-@query("prv3_table_fingerprint")
+_WORDS_SUM = ", ".join(f"sum(('0x' || substr(f, {16 * i + 1}, 16))::UBIGINT::HUGEINT) AS w{i}" for i in range(4))
+
+
+@query("prv3_table_fingerprint", f"""SELECT n AS rows, sha256(concat_ws(':', n, w0, w1, w2, w3)) AS fingerprint FROM (SELECT count(*) AS n, {_WORDS_SUM} FROM (
+  SELECT sha256(concat('{{"o_custkey":', o_custkey, ',"o_orderkey":', o_orderkey, ',"o_orderpriority":"', o_orderpriority, '","o_orderstatus":"', o_orderstatus, '"}}')) AS f FROM orders))""")
 def prv3b(t):
-    return provenance.table_fingerprint(t.table("orders"))
+    return provenance.table_fingerprint(t.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+# every document is an artifact; its manifests are those of its source and of one of seven styles
+_KINDS = {"build": "concat('build/', source)", "source": "concat('source/', source)", "style": "concat('style/', CAST(doc_id % 7 AS varchar))"}
+_MANIFESTS = " UNION ALL ".join(f"SELECT DISTINCT {e} AS path, sha256({e}) AS sha256 FROM documents" for e in _KINDS.values())
+_SIDECARS = f"""SELECT concat('docs/', CAST(doc_id AS varchar), '.txt') AS artifact, sha256(text) AS artifact_sha256,
+  {", ".join(f"{e} AS {k}_path" for k, e in _KINDS.items())}, {", ".join(f"CASE WHEN {e} <> 'style/3' THEN sha256({e}) END AS {k}_sha256" for k, e in _KINDS.items())} FROM documents"""
 
 
 def _artifacts(t):
-    m = stage(_manifest(t))
-    arts = m.withColumns({f"{k}_path": F.lit(f"{k}.json") for k in provenance.MANIFESTS})
-    manifests = t.spark.createDataFrame([(f"{k}.json", k * 8) for k in provenance.MANIFESTS], "path string, sha256 string")
-    return m, provenance.sidecars(arts, manifests), manifests
+    t.table("documents").createOrReplaceTempView("documents")
+    manifests = t.spark.sql(_MANIFESTS.replace("varchar", "string").replace("sha256(", "sha2(").replace(") AS sha256", ", 256) AS sha256"))
+    arts = t.spark.sql(f"SELECT concat('docs/', CAST(doc_id AS string), '.txt') AS path, sha2(text, 256) AS sha256, "
+                       + ", ".join(f"{e.replace('varchar', 'string')} AS {k}_path" for k, e in _KINDS.items()) + " FROM documents")
+    return manifests, provenance.sidecars(arts, manifests.filter("path <> 'style/3'"))
 
 
-@query("prv4_artifact_sidecars")
+@query("prv4_artifact_sidecars", _SIDECARS)
 def prv4(t):
     return _artifacts(t)[1]
 
 
-@query("jn13_lineage_verification")
+@query("jn13_lineage_verification", f"""WITH r AS (SELECT *, artifact LIKE 'docs/1%' AS changed, artifact LIKE 'docs/9%' AS gone,
+    source_path = 'source/src4' AS lost, build_path = 'build/src2' AS edited, style_sha256 IS NULL AS bare FROM ({_SIDECARS})),
+  e AS (SELECT artifact, build_path, array_to_string(list_filter([
+    CASE WHEN gone THEN 'missing-artifact' WHEN changed THEN 'artifact-sha256-mismatch' END,
+    CASE WHEN edited THEN 'build-manifest-sha256-mismatch' END,
+    CASE WHEN lost THEN 'missing-source-manifest' END,
+    CASE WHEN bare THEN 'missing-style-manifest-reference' END,
+    CASE WHEN source_path = 'source/src6' THEN 'build-source-manifest-link-mismatch' END,
+    CASE WHEN source_path = 'source/src5' THEN 'build-source-manifest-id-mismatch' END,
+    CASE WHEN NOT edited AND style_path = 'style/5' THEN 'build-style-theme-hash-mismatch' END], lambda x: x IS NOT NULL), ',') AS errors,
+    array_to_string(list_filter([CASE WHEN build_path <> 'build/src1' THEN 'canonical-repository-not-configured-before-publication' END,
+      'canonical-release-manifest-anchor-not-configured'], lambda x: x IS NOT NULL), ',') AS warnings FROM r)
+  SELECT artifact, errors, warnings, errors = '' AS ok FROM e""")
 def jn13(t):
-    m, records, manifests = _artifacts(t)
-    contents = t.spark.createDataFrame(
-        [("build.json", None, "s-1", "source" * 8, "p", "", ""), ("source.json", "s-1", None, None, None, None, None),
-         ("style.json", None, None, None, "p", None, None)],
-        "path string, manifest_id string, source_manifest_id string, source_manifest_sha256 string, palette_sha256 string, "
-        "canonical_repository string, release_sha256 string")
-    tampered = m.withColumn("sha256", F.when(F.col("path").like("p%"), "0").otherwise(F.col("sha256")))
-    return provenance.verify_lineage(records, tampered.select("path", "sha256").unionByName(manifests), contents).select(
+    manifests, records = _artifacts(t)
+    path = F.col("path")
+    kept = manifests.filter("path <> 'source/src4'").withColumn("sha256", F.when(path == "build/src2", "0").otherwise(F.col("sha256")))
+    docs = _manifest(t).filter("path NOT LIKE 'docs/9%'").select(
+        "path", F.when(path.like("docs/1%"), "0").otherwise(F.col("sha256")).alias("sha256"))
+    named = F.sha2(F.concat(F.lit("source/"), F.substring_index("path", "/", -1)), 256)
+    contents = manifests.select(
+        "path", F.when(path == "source/src5", "other").otherwise("id").alias("manifest_id"), F.lit("id").alias("source_manifest_id"),
+        F.when(path != "build/src6", named).alias("source_manifest_sha256"), F.when(path == "style/5", "q").otherwise("p").alias("palette_sha256"),
+        F.when(path == "build/src1", "somewhere").alias("canonical_repository"), F.lit("").alias("release_sha256"))
+    return provenance.verify_lineage(records, docs.unionByName(kept), contents).select(
         "artifact", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "ok")
 
 
@@ -514,7 +565,7 @@ def _sq(pattern: str) -> str:
 
 AUDIT_SQL = f"WITH {_LINES} " + " UNION ALL ".join(
     f"SELECT id, line, '{name}' AS \"check\", '{severity}' AS severity, "
-    f"substr(regexp_replace(txt, '{_sq(p)}', '[REDACTED-MATCH]', 'g'), 1, 240) AS excerpt FROM lines WHERE regexp_matches(txt, '{_sq(p)}')"
+    f"regexp_replace(txt, '{_sq(p)}', '[REDACTED-MATCH]', 'g') AS excerpt FROM lines WHERE regexp_matches(txt, '{_sq(p)}')"
     for name, p, severity in RULES
 )
 

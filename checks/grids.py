@@ -36,10 +36,24 @@ def grd2(t):
     return grid.downsample_average(cells(t), 4.0, NODATA).withColumn("value", F.round("value", 6))
 
 
-@query("grd2_downsample_bilinear")
+@query("grd2_downsample_fractional", """WITH s AS (SELECT grid_row, grid_col, CASE WHEN value <> -9999 AND NOT isnan(value) THEN value END AS v FROM grid),
+  r AS (SELECT *, unnest(range(CAST(floor(grid_row / 2.5) AS bigint), CAST(ceil((grid_row + 1) / 2.5) AS bigint))) AS o FROM s),
+  c AS (SELECT *, unnest(range(CAST(floor(grid_col / 2.5) AS bigint), CAST(ceil((grid_col + 1) / 2.5) AS bigint))) AS p FROM r),
+  w AS (SELECT o, p, v, (least(grid_row + 1.0::double, (o + 1) * 2.5::double) - greatest(grid_row::double, o * 2.5::double))
+    * (least(grid_col + 1.0::double, (p + 1) * 2.5::double) - greatest(grid_col::double, p * 2.5::double)) AS w FROM c)
+  SELECT o AS grid_row, p AS grid_col, round(coalesce(sum(v * w) / sum(w) FILTER (WHERE v IS NOT NULL), -9999), 6) AS value FROM w GROUP BY 1, 2""", views=("grid",))
+def grd2c(t):
+    return grid.downsample_average(cells(t), 2.5, NODATA).withColumn("value", F.round("value", 6))
+
+
+@query("grd2_downsample_bilinear", """WITH r AS (SELECT o, greatest(0.0::double, least(15999.0::double, (o + 0.5::double) * 2.5::double - 0.5::double)) AS y FROM range(0, 6400) t(o)),
+  c AS (SELECT p, greatest(0.0::double, least(119.0::double, (p + 0.5::double) * 2.5::double - 0.5::double)) AS x FROM range(0, 48) t(p)),
+  rr AS (SELECT o, unnest([CAST(floor(y) AS bigint), CAST(floor(y) AS bigint) + 1]) AS grid_row, unnest([1 - (y - floor(y)), y - floor(y)]) AS wy FROM r),
+  cc AS (SELECT p, unnest([CAST(floor(x) AS bigint), CAST(floor(x) AS bigint) + 1]) AS grid_col, unnest([1 - (x - floor(x)), x - floor(x)]) AS wx FROM c)
+  SELECT o AS grid_row, p AS grid_col, round(sum(wx * wy * value) / sum(wx * wy), 6) AS value
+  FROM grid JOIN rr USING (grid_row) JOIN cc USING (grid_col) WHERE wx > 0 AND wy > 0 GROUP BY 1, 2""", views=("grid",))
 def grd2b(t):
-    height = t.table("orders").agg(F.max("o_orderkey")).first()[0] // 120 + 1
-    return grid.downsample_bilinear(cells(t), 2.5, 120, height)
+    return grid.downsample_bilinear(cells(t), 2.5, FRAME.width, FRAME.height).withColumn("value", F.round("value", 6))
 
 
 @query("grd3_mosaic_360", """SELECT grid_row, CASE WHEN grid_col >= 110 THEN grid_col - 110 ELSE grid_col + 10 END AS grid_col, value FROM grid
@@ -67,7 +81,7 @@ def grd4(t):
     coalesce(avg(CASE WHEN value <> -9999 THEN value END), -9999) AS value FROM w GROUP BY 1, 2)
   SELECT grid_row, grid_col, round(CASE WHEN value <> -9999 AND value >= 0 THEN ln(1 + value) ELSE -9999 END, 9) AS value FROM d""", views=("grid",))
 def grd5(t):
-    sub = grid.density_subset(cells(t), FRAME, (150.0, 80.0, 210.0, 85.0), 0.75, max_width=10)
+    sub = grid.density_subset(cells(t), FRAME, (150.0, 80.0, 210.0, 85.0), 0.75, factor=2.0)
     return sub.withColumn("value", F.round("value", 9))
 
 

@@ -318,17 +318,39 @@ def smp1(t):
     return metrics.sample_positions(t.view("observations"), slice_rows=4096)
 
 
-@query("ord1_source_and_time_order", """SELECT source_order, row_number() OVER (PARTITION BY entity_id ORDER BY event_time NULLS LAST, source_order) AS position
- FROM observations WHERE entity_id IS NOT NULL AND event_time IS NOT NULL""", views=("observations",))
+@query("ord1_source_and_time_order", """SELECT source_order, row_number() OVER (PARTITION BY coalesce(entity_id, '') ORDER BY event_time NULLS LAST, source_order) AS position
+ FROM observations""", views=("observations",))
 def ord1(t):
     from tidewake.plans.ordered import running_sum, time_slice
 
-    rows = t.view("observations").filter("entity_id IS NOT NULL AND event_time IS NOT NULL").select(
-        "entity_id", "source_order", F.struct("event_time", "source_order").alias("ord"),
-        time_slice(F.col("event_time"), 86400).alias("slice"), F.lit(1).alias("one"))
+    # rows without a time come last: in a slice of their own after all others
+    late = F.col("event_time").isNull()
+    rows = t.view("observations").select(
+        F.coalesce("entity_id", F.lit("")).alias("entity_id"), "source_order", F.struct(late.alias("late"), "event_time", "source_order").alias("ord"),
+        F.when(late, F.lit((1 << 62))).otherwise(time_slice(F.col("event_time"), 86400)).alias("slice"), F.lit(1).alias("one"))
     return running_sum(rows, ["entity_id"], "slice", "ord", "one", "position").select("source_order", "position")
 
 
+_TWO = CLEANED.replace("FROM observations)", "FROM two_feeds)", 1)
+
+
+@query("build_two_sources", f"""WITH two_feeds AS (SELECT * REPLACE (row_number() OVER (ORDER BY feed, source_order) AS source_order) FROM (
+    SELECT *, CASE WHEN source_order >= 1000000000 THEN 1 ELSE 0 END AS feed FROM observations)), {_TWO.strip()}
+  SELECT observation_id, true AS cleaned FROM cleaned UNION ALL SELECT observation_id, false FROM two_feeds WHERE observation_id NOT IN (SELECT observation_id FROM cleaned)""",
+       views=("observations",), recursive=True)
+def build_two(t):
+    """Two feeds whose orders both start at 0 and overlap."""
+    from tidewake.operators.qc import quality_control
+    from tidewake.plans.build import number_sources
+
+    rows = t.view("observations")
+    first = rows.filter("source_order < 1000000000")
+    second = rows.filter("source_order >= 1000000000").withColumn("source_order", F.col("source_order") - 1000000000)
+    r = quality_control(metrics.union_sources(*number_sources(first, second)), CONFIG)
+    return r.cleaned_points.select("observation_id", F.lit(True).alias("cleaned")).unionByName(
+        r.excluded_points.select("observation_id", F.lit(False).alias("cleaned")))
+
+
 @query("ord4_first_rows", "SELECT source_order, observation_id FROM observations ORDER BY source_order LIMIT 400", views=("observations",))
 def ord4(t):
     return metrics.first_rows(t.view("observations").select("source_order", "observation_id"))

@@ -101,8 +101,8 @@ def test_equidistance_between_parallel_baselines(spark):
     cols = "feature_id long, seq long, x double, y double"
     a = spark.createDataFrame([(1, 0, 120.0, 22.0), (1, 1, 120.0, 24.0)], cols)
     b = spark.createDataFrame([(2, 0, 122.0, 22.0), (2, 1, 122.0, 24.0)], cols)
-    params = vectors.EquidistanceParameters(25_000, 2_500)
-    rows = vectors.require_line(vectors.equidistance_points(a, b, 121.0, 23.0, params)).orderBy("along").collect()
+    params = vectors.MedianReference(25_000, 2_500)
+    rows = vectors.equidistance_points(a, b, 121.0, 23.0, params).orderBy("along").collect()
     assert all(120.9 < r.x < 121.1 and r.legal_status == "COMPUTED_REFERENCE" for r in rows)
     ys = [r.y for r in rows]
     assert ys == sorted(ys) or ys == sorted(ys, reverse=True)

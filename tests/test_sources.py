@@ -122,13 +122,16 @@ def test_manifest_and_tamper(spark, tmp_path):
     assert {r.error for r in errors.collect()} == {"sha256:a.txt", "missing:sub/b.txt"}
 
 
-def test_large_files_are_hashed_by_streaming(spark, tmp_path, monkeypatch):
+def test_files_are_hashed_block_by_block(spark, tmp_path):
     import hashlib
 
-    monkeypatch.setattr(provenance, "ROW_LIMIT_BYTES", 10)
-    (tmp_path / "big.bin").write_bytes(b"x" * 5000)
-    row = provenance.file_manifest(spark, str(tmp_path)).collect()[0]
-    assert row.sha256 == hashlib.sha256(b"x" * 5000).hexdigest() and row.bytes == 5000
+    (tmp_path / "big file.bin").write_bytes(b"x" * 5_000_000)
+    (tmp_path / "empty").write_bytes(b"")
+    rows = {r.path: r for r in provenance.file_manifest(spark, str(tmp_path)).collect()}
+    assert rows["big file.bin"].sha256 == hashlib.sha256(b"x" * 5_000_000).hexdigest() and rows["big file.bin"].bytes == 5_000_000
+    assert rows["empty"].sha256 == hashlib.sha256(b"").hexdigest()
+    opened = provenance.file_manifest(spark, str(tmp_path), lambda path: __import__("io").BytesIO(b"y"))
+    assert {r.sha256 for r in opened.collect()} == {hashlib.sha256(b"y").hexdigest()}
 
 
 def test_lineage_errors_and_warnings(spark):

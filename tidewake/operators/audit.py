@@ -20,8 +20,7 @@ AUDIT_RULES = (
 )
 # Every line separator of Unicode text, CR LF counted once.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
-EXCERPT_LENGTH = 240
-TEXT_LIMIT_BYTES = 8 * 1024 * 1024
+# Text of a redaction, folders that must not be published.
 REDACTED = "[REDACTED-MATCH]"
 FORBIDDEN_PREFIXES = (".local/", ".tmp/", "data/raw/", "data/derived/")
 
@@ -33,25 +32,25 @@ def private_path_rule(*names: str) -> tuple[str, str, str]:
 
 def audit_texts(
     texts: DataFrame, id_column: str, text_column: str, rules: Sequence[tuple[str, str, str]] = AUDIT_RULES,
-    size_limit: int = TEXT_LIMIT_BYTES,
 ) -> DataFrame:
     """Findings (id, line, check, severity, excerpt) of every rule on every line.
 
-    Whole texts are tested first; only those where some rule fires are split into lines and
-    tested line by line. Texts above the size limit are skipped, as the audit defines.
+    Every text is tested whole first, whatever its size; only those where some rule fires are
+    split into lines and tested line by line. An excerpt is the whole line with its matches
+    redacted.
     """
     suspect = F.lit(False)
     for _, pattern, _ in rules:
         # a rule that looks at line borders can only be judged on lines
         bordered = re.search(r"(?<!\[)\^|\$|\\[AZz]|\(\?[=!<]", pattern)
         suspect = suspect | (F.lit(True) if bordered else F.col(text_column).rlike(pattern))
-    lines = texts.filter((F.octet_length(text_column) <= size_limit) & suspect).select(
+    lines = texts.filter(suspect).select(
         F.col(id_column).alias("id"), F.posexplode(F.split(text_column, LINE_BREAK)).alias("pos", "text_line"))
     line = F.col("text_line")
     found = F.array_compact(F.array(*[
         F.when(line.rlike(pattern), F.struct(
             F.lit(name).alias("check"), F.lit(severity).alias("severity"),
-            F.substring(F.regexp_replace(line, pattern, REDACTED), 1, EXCERPT_LENGTH).alias("excerpt")))
+            F.regexp_replace(line, pattern, REDACTED).alias("excerpt")))
         for name, pattern, severity in rules
     ]))
     return lines.select("id", (F.col("pos") + 1).cast("long").alias("line"), F.explode(found).alias("f")).select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewake.operators.vectors import source_boxes
 from tidewake.plans.ordered import running_sum
 from tidewake.schema import DEPTH_CLASSES
+from tidewake.session import stage
 
 # Fixed values.
 DENSITY_QUANTILES = (0.5, 0.75, 0.9, 0.98)
@@ -112,13 +113,32 @@ def log_density(cells: DataFrame, nodata: float = DENSITY_NODATA, out_nodata: fl
 
 
 def downsample_average(cells: DataFrame, factor: float, nodata: float | None = None) -> DataFrame:
-    """Mean of the valid cells of each output cell; all-nodata cells stay nodata."""
-    value = F.col("value") if nodata is None else F.when(F.col("value") != nodata, F.col("value"))
-    mean = F.avg(value)
-    return cells.groupBy(
-        F.floor(F.col("grid_row") / F.lit(factor)).cast("long").alias("grid_row"),
-        F.floor(F.col("grid_col") / F.lit(factor)).cast("long").alias("grid_col"),
-    ).agg((mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
+    """Area-weighted mean of the valid cells of each output cell, ``factor`` (1 or more) source
+    cells wide; a source cell on a border counts on both sides with its share.
+
+    NULL, NaN and infinite values are no values, nor is ``nodata``; an output cell without a value
+    is ``nodata`` (NULL where there is none).
+    """
+    if factor < 1:
+        raise ValueError("the factor must be 1 or more")
+    value = F.col("value")
+    valid = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    if nodata is not None:
+        valid = valid & (value != nodata)
+
+    def shares(index: str) -> Column:
+        i = F.col(index)
+        outputs = F.sequence(F.floor(i / factor).cast("long"), F.ceil((i + 1) / factor).cast("long") - 1)
+        return F.transform(outputs, lambda o: F.struct(
+            o.alias("o"), (F.least(i + 1.0, (o + 1) * factor) - F.greatest(i.cast("double"), o * factor)).alias("w")))
+
+    spread = cells.select(
+        F.explode(shares("grid_row")).alias("r"), "grid_col", F.when(valid, value).alias("value")
+    ).select("r", F.explode(shares("grid_col")).alias("c"), "value")
+    weight = F.col("r.w") * F.col("c.w")
+    mean = F.sum(weight * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), weight))
+    return spread.groupBy(F.col("r.o").alias("grid_row"), F.col("c.o").alias("grid_col")).agg(
+        (mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
 
 
 def downsample_bilinear(cells: DataFrame, factor: float, width: int, height: int) -> DataFrame:
@@ -150,20 +170,20 @@ def downsample_bilinear(cells: DataFrame, factor: float, width: int, height: int
         (F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
-QUANTILE_SLICES = 1 << 14
+QUANTILE_SLICES = 256
 
 
 def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float]) -> DataFrame:
     """One row ``q0, q1, …`` of linearly interpolated quantiles over all rows.
 
-    Equal values are counted first (a value held by a third of the rows becomes one row),
-    then ranked by value slice; no task sees more than one slice of distinct values.
+    Equal values are counted first (a value held by a third of the rows becomes one row), then
+    ranked by slices with about equal numbers of distinct values, however these are spaced.
     """
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    ends = values.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    span = F.when(ends["hi"] > ends["lo"], ends["hi"] - ends["lo"]).otherwise(1.0)
-    sliced = counts.withColumn(
-        "slice", F.floor((F.col("v") - ends["lo"]) / span * QUANTILE_SLICES).cast("long"))
+    counts = stage(values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")))
+    shares = [i / QUANTILE_SLICES for i in range(1, QUANTILE_SLICES)]
+    cuts = counts.agg(F.percentile_approx("v", shares, 20 * QUANTILE_SLICES)).first()[0] or []
+    steps = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
+    sliced = counts.withColumn("slice", F.size(F.filter(steps, lambda c: c <= F.col("v"))).cast("long"))
     ranked = running_sum(sliced, [], "slice", "v", "n", "upto", total="total")
 
     def pick(position: Column) -> Column:
@@ -189,48 +209,64 @@ def density_quantiles(cells: DataFrame, nodata: float = DENSITY_NODATA) -> DataF
     return row.toDF(*[f"q{int(round(q * 100)):02d}" for q in DENSITY_QUANTILES])
 
 
-def density_window(bbox: Sequence[float], buffer_degrees: float = 0.75) -> tuple[float, float, float, float]:
+def density_window(
+    bbox: Sequence[float], buffer_degrees: float = 0.75, lat_limit: float = DENSITY_LAT_LIMIT,
+) -> tuple[float, float, float, float]:
+    """Buffered box, cut to its longitude frame and to ``lat_limit`` degrees north and south (the
+    usual limit is that of the published density grids; cells beyond it are not returned)."""
     xmin, ymin, xmax, ymax = bbox
     low, high = (0.0, 360.0) if xmax > 180.0 else (-180.0, 180.0)
     return (
-        max(low, xmin - buffer_degrees), max(-DENSITY_LAT_LIMIT, ymin - buffer_degrees),
-        min(high, xmax + buffer_degrees), min(DENSITY_LAT_LIMIT, ymax + buffer_degrees),
+        max(low, xmin - buffer_degrees), max(-lat_limit, ymin - buffer_degrees),
+        min(high, xmax + buffer_degrees), min(lat_limit, ymax + buffer_degrees),
     )
 
 
+def _density_cut(cells, frame, bbox, buffer_degrees, lat_limit) -> tuple[DataFrame, Affine]:
+    window = density_window(bbox, buffer_degrees, lat_limit)
+    return clip_360(cells, frame, window) if window[2] > 180.0 else clip(cells, frame, window)
+
+
+def factor_for_width(
+    cells: DataFrame, frame: Affine, bbox: Sequence[float], width: int, buffer_degrees: float = 0.75,
+    lat_limit: float = DENSITY_LAT_LIMIT,
+) -> float:
+    """Factor at which a density subset is ``width`` columns wide at most (1 where it is already)."""
+    return max(1.0, _density_cut(cells, frame, bbox, buffer_degrees, lat_limit)[1].width / width)
+
+
 def density_subset(
     cells: DataFrame, frame: Affine, bbox: Sequence[float], buffer_degrees: float = 0.75,
-    max_width: int = 4000, nodata: float = DENSITY_NODATA,
+    factor: float = 1.0, nodata: float = DENSITY_NODATA, lat_limit: float = DENSITY_LAT_LIMIT,
 ) -> DataFrame:
-    """Log density around a box: buffered window, average to ``max_width``, log1p."""
-    window = density_window(bbox, buffer_degrees)
-    cut, sub = clip_360(cells, frame, window) if window[2] > 180.0 else clip(cells, frame, window)
-    factor = max(1.0, sub.width / max_width)
-    if factor > 1.0:
+    """Log density around a box: buffered window, averaged over ``factor`` cells (full resolution
+    by default), log1p."""
+    cut, _ = _density_cut(cells, frame, bbox, buffer_degrees, lat_limit)
+    if factor != 1.0:
         cut = downsample_average(cut, factor, nodata)
     return log_density(cut, nodata)
 
 
-def density_request_key(source_sha256: str, window: Sequence[float], max_width: int) -> str:
-    """Folder key of a cached subset: same source content, window and size → same key."""
+def density_request_key(source_sha256: str, frame: Affine, window: Sequence[float], factor: float, nodata: float) -> str:
+    """Folder key of a cached subset: same source content, frame, window and factor → same key."""
     import hashlib
 
-    text = "|".join([source_sha256, *[repr(float(v)) for v in window], str(max_width), "log1p-average"])
+    text = "|".join([source_sha256, repr(frame), *[repr(float(v)) for v in (*window, factor, nodata)], "log1p-average"])
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
 def cached_density_subset(
     cells: DataFrame, frame: Affine, bbox: Sequence[float], cache_root: str, source_sha256: str,
-    buffer_degrees: float = 0.75, max_width: int = 4000,
+    buffer_degrees: float = 0.75, factor: float = 1.0, nodata: float = DENSITY_NODATA, lat_limit: float = DENSITY_LAT_LIMIT,
 ) -> tuple[DataFrame, bool]:
     """The subset as a Parquet dataset keyed by request; the flag tells a cache hit."""
     spark = cells.sparkSession
-    key = density_request_key(source_sha256, density_window(bbox, buffer_degrees), max_width)
+    key = density_request_key(source_sha256, frame, density_window(bbox, buffer_degrees, lat_limit), factor, nodata)
     path = f"{cache_root.rstrip('/')}/density-{key}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     hit = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not hit:
-        density_subset(cells, frame, bbox, buffer_degrees, max_width).write.mode("overwrite").parquet(path)
+        density_subset(cells, frame, bbox, buffer_degrees, factor, nodata, lat_limit).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), hit
 
 

@@ -66,47 +66,51 @@ def resolve(observations: DataFrame, registry: DataFrame) -> DataFrame:
     """Add ``resolved_id``, ``confidence``, ``matched_on`` and ``ambiguous``.
 
     An asserted id wins or stays unknown. Otherwise the first field, in priority order, whose
-    token is known decides; if it names several vessels the search stops as ambiguous. Each
-    field is one lookup against the aggregated index; Spark broadcasts the index while it is
-    small and shuffles when it is not. Rows without the field probe a spread of keys that no
-    token can equal, so they do not gather in one shuffle partition.
+    token is known decides; if it names several vessels the search stops as ambiguous.
+
+    Observations repeat few identities, so each distinct one is looked up once: its fields become
+    rows, one join with the index finds them all, the first in priority decides, and one join
+    brings the decision back. Rows without any identity never meet a key that another row has.
     """
     fields = [f for f in IDENTIFIER_FIELDS if _has(observations, f)]
     names = [f for f in QUERY_NAMES if _has(observations, f)]
-    index = token_index(registry)
     original = observations.columns
-    df = with_tokens(observations, [*fields, *names]) if fields or names else observations
-    ids = registry.select(F.col("entity_id").alias("__id")).distinct()
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*original), F.lit(4096)).cast("string"))
-    df = (
-        df.withColumn("__asserted", ~blank(F.col("entity_id")))
-        .withColumn("__key", F.when(F.col("__asserted"), F.trim("entity_id")).otherwise(spread))
-        .join(ids, F.col("__key") == F.col("__id"), "left")
+    given = F.to_json(F.struct("entity_id", *fields, *names))
+    identities = observations.select("entity_id", *fields, *names, given.alias("__identity")).distinct()
+    asserted = ~blank(F.col("entity_id"))
+
+    def probe(rank: int, field: str, token, name: str):
+        return F.struct(F.lit(rank).alias("rank"), F.lit(field).alias("field"), token.alias("token"), F.lit(name).alias("on"))
+
+    searched = [
+        probe(i, f if f in fields else "name", mixed_token(F.col(f)), f) for i, f in enumerate([*fields, *names], 1)]
+    probes = identities.select("__identity", F.explode(
+        F.when(asserted, F.array(probe(0, "entity_id", F.trim("entity_id"), "entity_id")))
+        .otherwise(F.filter(F.array(*searched), lambda p: p["token"] != "") if searched else None)).alias("p")
+    ).select("__identity", "p.*")
+    ids = registry.filter("entity_id IS NOT NULL").select(
+        F.lit("entity_id").alias("field"), F.col("entity_id").alias("token"), F.lit(1).cast("long").alias("matches"),
+        F.col("entity_id").alias("match_id")).distinct()
+    found = (
+        probes.join(token_index(registry).unionByName(ids), ["field", "token"])
+        .groupBy("__identity").agg(F.min_by(F.struct("matches", "match_id", "on"), "rank").alias("__f"))
+        .select(F.col("__identity").alias("__found"), "__f")
     )
-    steps = []
+    anything = blank(F.col("entity_id"))
     for f in [*fields, *names]:
-        part = index.filter(F.col("field") == (f if f in fields else "name")).select(
-            F.col("token").alias(f"__t_{f}"), F.col("matches").alias(f"__n_{f}"),
-            F.col("match_id").alias(f"__m_{f}"),
-        )
-        probe = F.when(F.col(f"tok_{f}") != "", F.col(f"tok_{f}")).otherwise(spread)
-        df = df.withColumn(f"__p_{f}", probe).join(part, F.col(f"__p_{f}") == F.col(f"__t_{f}"), "left")
-        unique = F.col(f"__n_{f}") == 1
-        steps.append(F.when(F.col(f"__n_{f}").isNotNull(), F.struct(
-            F.when(unique, F.col(f"__m_{f}")).alias("resolved_id"),
-            F.when(unique, "DOCUMENTED" if f in fields else "REPORTED").otherwise("UNKNOWN").alias("confidence"),
-            F.lit(f).alias("matched_on"), (~unique).alias("ambiguous"),
-        )))
-    asserted = F.when(F.col("__asserted"), F.struct(
-        F.col("__id").alias("resolved_id"),
-        F.when(F.col("__id").isNotNull(), "DOCUMENTED").otherwise("UNKNOWN").alias("confidence"),
-        F.lit("entity_id").alias("matched_on"), F.lit(False).alias("ambiguous"),
-    ))
-    nothing = F.struct(
-        F.lit(None).cast("string").alias("resolved_id"), F.lit("UNKNOWN").alias("confidence"),
-        F.lit(None).cast("string").alias("matched_on"), F.lit(False).alias("ambiguous"),
+        anything = anything & blank(F.col(f))
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*original), F.lit(4096)).cast("string"))
+    df = observations.withColumn("__identity", F.when(anything, spread).otherwise(given)).join(
+        found, F.col("__identity") == F.col("__found"), "left")
+    unique = F.col("__f.matches") == 1
+    documented = F.col("__f.on").isin("entity_id", *fields)
+    return df.select(
+        *original,
+        F.when(unique, F.col("__f.match_id")).alias("resolved_id"),
+        F.when(unique, F.when(documented, "DOCUMENTED").otherwise("REPORTED")).otherwise("UNKNOWN").alias("confidence"),
+        F.when(asserted, "entity_id").otherwise(F.col("__f.on")).alias("matched_on"),
+        F.coalesce(~unique, F.lit(False)).alias("ambiguous"),
     )
-    return df.withColumn("__r", F.coalesce(asserted, *steps, nothing)).select(*original, "__r.*")
 
 
 def enrich(observations: DataFrame, registry: DataFrame) -> DataFrame:
@@ -122,7 +126,10 @@ def enrich(observations: DataFrame, registry: DataFrame) -> DataFrame:
         resolved = resolved.withColumn(
             "identity_confidence", F.when(take, F.col("confidence")).otherwise(F.col("identity_confidence")))
     df = resolved.withColumn("entity_id", F.when(take, F.col("resolved_id")).otherwise(F.col("entity_id")))
-    df = df.join(entity, F.trim("entity_id") == F.col("__id"), "left").withColumn(
+    # rows without an id probe keys that no vessel has, so they do not gather in one task
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*original), F.lit(4096)).cast("string"))
+    key = F.when(blank(F.col("entity_id")), spread).otherwise(F.trim("entity_id"))
+    df = df.withColumn("__key", key).join(entity, F.col("__key") == F.col("__id"), "left").withColumn(
         "actor_type", F.coalesce("__actor", "actor_type"))
     if _has(observations, "vessel_name"):
         df = df.withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.plans.ordered import order_slice, row_index
 
-# Size of the map preview sample.
+# Fixed value: usual size of the map preview sample.
 SAMPLE_SIZE = 400
 
 
@@ -69,17 +69,17 @@ def inspect(df: DataFrame, longitude: str = "longitude", latitude: str = "latitu
     )
 
 
-def sample_positions(df: DataFrame, slice_rows: int = 1 << 20) -> DataFrame:
-    """Every ⌊n/400⌋-th valid position in source order, at most 400 (a sampling operator)."""
+def sample_positions(df: DataFrame, slice_rows: int = 1 << 20, size: int = SAMPLE_SIZE) -> DataFrame:
+    """Every ⌊n/size⌋-th valid position in source order, at most ``size`` (a sampling operator)."""
     valid = df.filter(F.col("longitude").between(-180, 180) & F.col("latitude").between(-90, 90))
     indexed = row_index(
         valid.select("source_order", "longitude", "latitude",
                      order_slice(F.col("source_order"), slice_rows).alias("slice")),
         "slice", "source_order", "pos", total="n",
     )
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE_SIZE))
+    stride = F.greatest(F.lit(1), F.floor(F.col("n") / size))
     return indexed.filter(
-        (F.col("pos") % stride == 0) & (F.col("pos") / stride < SAMPLE_SIZE)
+        (F.col("pos") % stride == 0) & (F.col("pos") / stride < size)
     ).select("pos", "source_order", "longitude", "latitude")
 
 

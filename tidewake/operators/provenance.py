@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,52 +12,55 @@ from pyspark.sql import functions as F
 
 # Fixed value: the three manifests an artifact's lineage names.
 MANIFESTS = ("build", "source", "style")
-# A binaryFile row holds the whole file; larger files are hashed by streaming reads.
-ROW_LIMIT_BYTES = 256 * 1024 * 1024
+# Names of object stores in Hadoop and in Arrow.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
-def file_manifest(spark: SparkSession, root: str) -> DataFrame:
+def file_manifest(
+    spark: SparkSession, root: str, open_stream: Callable[[str], BinaryIO] | None = None,
+) -> DataFrame:
     """(path, bytes, sha256) of every file under ``root``, relative paths.
 
-    The listing carries no content. Small files are hashed inside the JVM; files too large
-    for a row are read and hashed block by block by the task that owns them.
+    Spark lists the files without their content; each is then read and hashed block by block by
+    the task that owns it, so a file of any size needs one block of memory. ``open_stream`` opens a
+    path for reading where the default, Arrow's file systems, doesn't know its scheme.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     relative = F.regexp_replace("path", "^.*?" + _quoted(base) + "/", "")
-    small = files.filter(F.col("length") <= ROW_LIMIT_BYTES).select(
-        relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = (
-        files.filter(F.col("length") > ROW_LIMIT_BYTES).select("path", "length")
-        .mapInPandas(_stream_hashes, "path string, bytes long, sha256 string")
-        .withColumn("path", relative)
-    )
-    return small.unionByName(large)
+    listed = files.select("path", "length").repartition(F.col("path"))
+    return listed.mapInPandas(_hashes(open_stream or _arrow_stream), "path string, bytes long, sha256 string").withColumn("path", relative)
 
 
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _arrow_stream(path: str) -> BinaryIO:
     from urllib.parse import unquote, urlparse
 
     from pyarrow import fs
 
-    for batch in batches:
-        rows = []
-        for path, length in zip(batch["path"], batch["length"]):
-            parsed = urlparse(path)
-            if parsed.scheme in ("", "file"):
-                system, inner = fs.LocalFileSystem(), unquote(parsed.path)
-            else:
-                system, inner = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while block := stream.read(1 << 20):
-                    digest.update(block)
-            rows.append((path, length, digest.hexdigest()))
-        yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+    scheme, _, rest = path.partition(":")
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_stream(unquote(urlparse(path).path))
+    system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+    return system.open_input_stream(inner)
+
+
+def _hashes(open_stream: Callable[[str], BinaryIO]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch["path"], batch["length"]):
+                digest = hashlib.sha256()
+                with open_stream(path) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                rows.append((path, length, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+
+    return run
 
 
 def checksum_lines(manifest: DataFrame) -> DataFrame:
@@ -95,18 +99,17 @@ def row_fingerprint(df: DataFrame, columns=None) -> DataFrame:
 def table_fingerprint(df: DataFrame, columns=None) -> DataFrame:
     """Order-independent fingerprint of a table: row count and the sum of row digests.
 
-    Each digest contributes its 256 bits as four 64-bit words that are summed modulo 2^64,
-    a partial aggregate without any sort or collection.
+    Each digest contributes its 256 bits as four 64-bit words, which are summed as decimals: a
+    partial aggregate without any sort or collection.
     """
     rows = row_fingerprint(df, columns).select("fingerprint")
 
     def word(i: int):
-        # 15 hex digits of each quarter stay inside a signed long
-        return F.conv(F.substring("fingerprint", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+        return F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
 
-    sums = [F.sum(word(i)).alias(f"w{i}") for i in range(4)]
+    sums = [F.sum(word(i)).cast("string").alias(f"w{i}") for i in range(4)]
     return rows.agg(F.count("*").alias("rows"), *sums).select(
-        "rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(f"w{i}", F.lit(0)) for i in range(4)]), 256).alias("fingerprint"))
+        "rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(f"w{i}", F.lit("0")) for i in range(4)]), 256).alias("fingerprint"))
 
 
 def sidecars(artifacts: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -138,6 +141,7 @@ def verify_lineage(records: DataFrame, files: DataFrame, contents: DataFrame) ->
         part = contents.select(F.col("path").alias("__p"), F.struct(*[c for c in contents.columns if c != "path"]).alias(f"c_{m}"))
         ok = F.when(F.col(f"now_{m}") == F.col(f"{m}_sha256"), F.col(f"{m}_path"))
         df = df.withColumn("__k", ok).join(part, F.col("__k") == F.col("__p"), "left").drop("__k", "__p")
+    # The codes of errors and warnings below.
     errors = [
         F.when(F.col("now_artifact").isNull(), F.lit("missing-artifact"))
         .when(F.col("now_artifact") != F.col("artifact_sha256"), F.lit("artifact-sha256-mismatch")),
@@ -172,10 +176,13 @@ def verify_lineage(records: DataFrame, files: DataFrame, contents: DataFrame) ->
 def build_manifest(metrics: DataFrame, build_id: str, parameters: dict[str, str], source_manifest_sha256: str) -> DataFrame:
     """One row: build parameters, source manifest link and metrics as a map of counts.
 
-    Metrics are a bounded list (one entry per enumeration value), so they fit one row.
+    Entries are named ``metric/key``, or ``metric`` where the key is NULL or blank; values under
+    one name are added. The map has an entry per distinct key, so keys must be enumerations;
+    for free keys keep the metrics table itself.
     """
     params = F.create_map(*[F.lit(x) for kv in sorted(parameters.items()) for x in kv]) if parameters else F.create_map().cast("map<string,string>")
-    entry = F.struct(F.concat_ws("/", "metric", F.nullif("key", F.lit(""))).alias("k"), F.col("value").alias("v"))
-    return metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("evidence")).select(
+    named = metrics.groupBy(F.concat_ws("/", "metric", F.nullif(F.trim("key"), F.lit(""))).alias("k")).agg(F.sum("value").alias("v"))
+    entry = F.struct("k", "v")
+    return named.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("evidence")).select(
         F.lit(build_id).alias("build_id"), params.alias("parameters"),
         F.lit(source_manifest_sha256).alias("source_manifest_sha256"), "evidence")

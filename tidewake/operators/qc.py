@@ -29,14 +29,16 @@ from tidewake.plans.ordered import (
     slice_window,
     time_slice,
 )
+from tidewake.operators.normalize import parse_time
 from tidewake.schema import ACTOR_TYPES, OBSERVATION_STATES, QualityConfig, blank, conform
 from tidewake.session import stage
 
+
 def prepare(observations: DataFrame) -> DataFrame:
     """Canonical columns plus the parsed ``event_time`` and a trimmed entity key."""
     df = conform(observations)
     if "event_time" not in df.columns:
-        df = df.withColumn("event_time", F.try_to_timestamp("timestamp_start"))
+        df = df.withColumn("event_time", parse_time(F.col("timestamp_start")))
     if "source_order" not in df.columns:
         raise ValueError("observations need a source_order column (see sources.observations)")
     return df.withColumn("entity_key", F.trim(F.coalesce("entity_id", F.lit(""))))
@@ -233,12 +235,14 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         return reach / gap(prev, cur) * KNOTS_PER_MPS > config.max_speed_knots
 
     spec = slice_window(["entity_key", "slice"], order)
-    local = rows.withColumn("prev_local", F.lag(point).over(spec))
+    local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
+        "bars_local", F.sum(F.col("barred").cast("long")).over(spec))
     ordinal = F.struct(*order)
     summary = local.groupBy("entity_key", "slice").agg(
         F.min_by(point, ordinal).alias("head"),
         F.max_by(point, ordinal).alias("tail"),
         F.max(F.when(jump(F.col("prev_local"), point), micros(F.col("event_time")))).alias("hit"),
+        F.count_if("barred").alias("bars"),
     )
     by_entity = Window.partitionBy("entity_key").orderBy("slice")
     summary = (
@@ -252,12 +256,14 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(by_entity), F.lit(False)))
         .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(by_entity), F.lit(False)))
         .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(by_entity)))
-        .select("entity_key", "slice", "carry", "island")
+        .withColumn("bars_before", F.sum("bars").over(by_entity) - F.col("bars"))
+        .select("entity_key", "slice", "carry", "island", "bars_before")
     )
     joined = (
         attach(local, summary, ["entity_key", "slice"])
         .withColumn("prev", F.coalesce("prev_local", "carry"))
-        .drop("prev_local", "carry", "slice")
+        .withColumn("bar", F.col("bars_before") + F.col("bars_local"))
+        .drop("prev_local", "carry", "slice", "bars_before", "bars_local")
     )
     calm = (
         joined.filter(F.col("island").isNull())
@@ -275,14 +281,15 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     rough = (
         joined.filter(F.col("island").isNotNull())
         .select(
-            "entity_key", "island", micros(F.col("event_time")).alias("t"), "source_order",
+            "entity_key", "island", "bar", micros(F.col("event_time")).alias("t"), "source_order",
             "entity_id", "observation_id", "latitude", "longitude", "barred",
             micros(F.col("prev.event_time")).alias("p_t"),
             F.col("prev.latitude").alias("p_lat"), F.col("prev.longitude").alias("p_lon"),
             F.col("prev.barred").alias("p_barred"),
         )
-        .repartition("entity_key", "island")
-        .sortWithinPartitions("entity_key", "island", "t", "source_order")
+        # a barred row clears the state, so it starts a stream of its own
+        .repartition("entity_key", "island", "bar")
+        .sortWithinPartitions("entity_key", "island", "bar", "t", "source_order")
         .mapInPandas(_fold(config), "entity_id string, observation_id string, source_order long, "
                                     "t long, p_t long, distance_m double")
         .select(
@@ -307,7 +314,7 @@ def _refined(config: QualityConfig) -> Column:
 
 
 def _fold(config: QualityConfig):
-    """Streaming fold over rows sorted by (vessel, island, time); state is one position."""
+    """Streaming fold over rows sorted by (vessel, island, bar, time); state is one position."""
     metres = geodesic_scalar if config.distance == "geodesic" else haversine_scalar
     limit = config.max_speed_knots
 
@@ -315,22 +322,25 @@ def _fold(config: QualityConfig):
         current, last = None, None
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                key = (r.entity_key, r.island)
+            rows = zip(*(batch[c].tolist() for c in (
+                "entity_key", "island", "bar", "t", "latitude", "longitude", "barred", "p_t", "p_lat", "p_lon", "p_barred",
+                "entity_id", "observation_id", "source_order")))
+            for entity, island, bar, t, lat, lon, barred, p_t, p_lat, p_lon, p_barred, entity_id, observation_id, order in rows:
+                key = (entity, island, bar)
                 if key != current:
                     current, last = key, None
-                    if not pd.isna(r.p_t) and not r.p_barred:
-                        last = (int(r.p_t), r.p_lat, r.p_lon)
-                here = (r.t, r.latitude, r.longitude)
-                if r.barred:
+                    if not pd.isna(p_t) and not p_barred:
+                        last = (int(p_t), p_lat, p_lon)
+                if barred:
                     last = None
                     continue
-                if last is None or r.t <= last[0]:
+                here = (t, lat, lon)
+                if last is None or t <= last[0]:
                     last = here
                     continue
-                dist = metres(last[2], last[1], r.longitude, r.latitude)
-                out.append((r.entity_id, r.observation_id, r.source_order, r.t, last[0], dist))
-                if not dist / ((r.t - last[0]) / 1e6) * KNOTS_PER_MPS > limit:
+                dist = metres(last[2], last[1], lon, lat)
+                out.append((entity_id, observation_id, order, t, last[0], dist))
+                if not dist / ((t - last[0]) / 1e6) * KNOTS_PER_MPS > limit:
                     last = here
             yield pd.DataFrame(
                 out, columns=["entity_id", "observation_id", "source_order", "t", "p_t", "distance_m"]
@@ -376,7 +386,7 @@ def gaps(pairs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame
 
 @dataclass
 class QualityResult:
-    """Lazy frames; only ``quality_flags`` and ``gaps`` stem from the sequence scan."""
+    """Frames over tables that :func:`quality_control` has written; reading one repeats no check."""
 
     cleaned_points: DataFrame
     excluded_points: DataFrame
@@ -427,6 +437,13 @@ def vessel_summary(cleaned: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
+def require_distinct_order(screened: DataFrame) -> None:
+    """Rows are excluded by their ``source_order``, so it must name one row only."""
+    repeated = screened.groupBy("source_order").agg(F.count("*").alias("n")).filter("n > 1").take(1)
+    if repeated:
+        raise ValueError(f"source_order {repeated[0][0]} names several rows; number the sources first (plans.build.number_sources)")
+
+
 def quality_control(observations: DataFrame, config: QualityConfig = QualityConfig()) -> QualityResult:
     """Run every check and build the six output frames.
 
@@ -437,6 +454,7 @@ def quality_control(observations: DataFrame, config: QualityConfig = QualityConf
     from tidewake.operators.segments import linked_points, segments_of, validate_segments
 
     screened = stage(screen(observations))
+    require_distinct_order(screened)
     notable = stage(screened_pairs(screened, config).filter(
         (F.col("distance_m") < 1.0) | (F.col("knots") > config.max_speed_knots)
         | (F.col("gap_seconds") > config.large_gap_seconds)

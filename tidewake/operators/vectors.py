@@ -7,8 +7,10 @@ vertex repeated.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,9 +205,90 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
         F.size(r) > 0, F.flatten(F.zip_with(_previous(r), r, step))).otherwise(r))
 
 
+def _crossings(ring: Column, bbox) -> Column:
+    """Most edges of a ring that cross the line of one side of a box."""
+    xmin, ymin, xmax, ymax = (float(v) for v in bbox)
+
+    def crossed(axis: str, bound: float) -> Column:
+        return bind(ring, lambda r: F.size(F.filter(
+            F.zip_with(_previous(r), r, lambda a, b: (a[axis] >= bound) != (b[axis] >= bound)), lambda c: c)))
+
+    return F.greatest(crossed("x", xmin), crossed("x", xmax), crossed("y", ymin), crossed("y", ymax))
+
+
+def _half_plane(ring: list[tuple[float, float]], axis: int, bound: float, sign: int) -> list[list[tuple[float, float]]]:
+    """Parts of a simple ring on one side of a line.
+
+    The ring falls into chains on the inner side. Where the line enters and leaves the ring, in order
+    along the line, every second stretch lies inside; it joins the end of one chain to the start of
+    another, and following these joints gives one ring per part.
+    """
+    inside = [sign * (p[axis] - bound) >= 0 for p in ring]
+    if all(inside):
+        return [ring]
+    if not any(inside):
+        return []
+    first = next(i for i in range(len(ring)) if inside[i] and not inside[i - 1])
+    order = ring[first:] + ring[:first]
+    flags = inside[first:] + inside[:first]
+
+    def meet(a, b):
+        t = (bound - a[axis]) / (b[axis] - a[axis])
+        at = a[1 - axis] + t * (b[1 - axis] - a[1 - axis])
+        return (bound, at) if axis == 0 else (at, bound)
+
+    chains: list[list[tuple[float, float]]] = []
+    for i, (p, keep) in enumerate(zip(order, flags)):
+        if keep:
+            if not flags[i - 1]:
+                chains.append([meet(order[i - 1], p)])
+            chains[-1].append(p)
+        elif flags[i - 1]:
+            chains[-1].append(meet(order[i - 1], p))
+    ends = sorted([(c[0][1 - axis], k, 0) for k, c in enumerate(chains)] + [(c[-1][1 - axis], k, 1) for k, c in enumerate(chains)])
+    partner = {}
+    for (_, k, end), (_, m, other) in zip(ends[::2], ends[1::2]):
+        partner[k, end], partner[m, other] = (m, other), (k, end)
+    parts, left = [], set(range(len(chains)))
+    while left:
+        k, part = min(left), []
+        start, end = k, 1
+        while k in left:
+            left.discard(k)
+            part += chains[k] if end == 1 else chains[k][::-1]
+            k, at = partner[k, end]
+            end = 1 - at
+        parts.append(part)
+        assert k == start
+    return parts
+
+
+def _clip_to_parts(bbox):
+    xmin, ymin, xmax, ymax = (float(v) for v in bbox)
+
+    @F.pandas_udf(f"array<array<{POINT}>>")
+    def parts(rings: pd.Series) -> pd.Series:
+        out = []
+        for ring in rings:
+            if ring is None:
+                out.append(None)
+                continue
+            pieces = [[(p["x"], p["y"]) for p in ring]]
+            for axis, bound, sign in ((0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)):
+                pieces = [part for piece in pieces for part in _half_plane(piece, axis, bound, sign)]
+            out.append([[{"x": x, "y": y} for x, y in piece] for piece in pieces])
+        return pd.Series(out, dtype=object)
+
+    return parts
+
+
 def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
-    """Rings cut to a box; rings without a vertex left are dropped. Rings whose own bounds
-    miss the box are excluded beforehand."""
+    """Parts of rings inside a box, numbered by ``part`` from 0.
+
+    Rings whose own bounds miss the box are excluded beforehand. A ring that crosses no side of the
+    box more than twice has one part, cut by expressions; only others, which may fall into several
+    parts, are cut in Python. Parts without an area (a touching side or corner) are dropped.
+    """
     if convention == "180":
         boxes = [(tuple(float(v) for v in bbox), 0.0)]
     elif convention == "360":
@@ -218,7 +301,12 @@ def clip_polygons(rings: DataFrame, bbox, convention: str = "180") -> DataFrame:
         xa, ya, xb, yb = box
         near = rings.filter(
             (F.array_max(xs) >= xa) & (F.array_min(xs) <= xb) & (F.array_max(ys) >= ya) & (F.array_min(ys) <= yb))
-        cut = near.withColumn("ring", clip_ring(F.col("ring"), box)).filter(F.size("ring") >= 3)
+        near = near.withColumn("__many", _crossings(F.col("ring"), box) > 2)
+        parts = F.when(F.col("__many"), _clip_to_parts(box)(F.when(F.col("__many"), F.col("ring")))).otherwise(
+            F.array(clip_ring(F.col("ring"), box)))
+        kept = [c for c in rings.columns if c != "ring"]
+        cut = near.select(*kept, F.posexplode(parts).alias("part", "ring")).filter(
+            (F.size("ring") >= 3) & (ring_area(F.col("ring")) > 0))
         cut = cut.withColumn("box", F.lit(no))
         if shift:
             east = F.lit(shift)
@@ -246,7 +334,9 @@ def zone_layer(rings: DataFrame, bbox, source_id: str, boundary_type: str, legal
 
 
 @dataclass(frozen=True)
-class EquidistanceParameters:
+class MedianReference:
+    """How a median reference is computed; the defaults and the method's name are fixed values."""
+
     sample_spacing_m: float = 5000.0
     balance_tolerance_m: float = 750.0
     method: str = "MUTUAL_NEAREST_BASELINE_MIDPOINT_REFERENCE"
@@ -306,18 +396,28 @@ def _foot(px: Column, py: Column) -> tuple[Column, Column]:
     return F.col("x1") + t * dx, F.col("y1") + t * dy
 
 
-LEVELS = 14
+def _grid_levels(points: DataFrame, edge_table: DataFrame, cell_m: float) -> int:
+    """Levels after which one cell is as large as the extent of all points and edges, so that
+    every point has every edge beside it at the last level."""
+    ends = [F.max(F.greatest(F.abs(F.col(a)), F.abs(F.col(b)))) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    edge = edge_table.agg(*ends).first()
+    point = points.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
+    reach = max([v for v in (*edge, *point) if v is not None], default=0.0)
+    return max(0, math.ceil(math.log2(max(2 * reach, cell_m) / cell_m)))
 
 
 def nearest_on_edges(points: DataFrame, edge_table: DataFrame, key: str, cell_m: float = 5000.0) -> DataFrame:
-    """Exact nearest edge point for each point: adds ``nx``, ``ny``, ``nd``.
-
-    Edges are entered in a pyramid of grids whose cell doubles per level. For each point the
-    finest level with an edge in the 3×3 block around it bounds the distance by the block's
-    diagonal, so the true nearest edge lies within a 7×7 block of that level, and only that
-    block is searched. Work follows the local density; nothing is paired point × edge.
+    """Exact nearest edge point for each point: adds ``nx``, ``ny``, ``nd``; no point is lost as
+    long as there is an edge.
+
+    Edges are entered in a pyramid of grids whose cell doubles per level, up to the extent of the
+    data. For each point the finest level with an edge in the 3×3 block around it bounds the
+    distance by the block's diagonal, so the true nearest edge lies within a 7×7 block of that
+    level, and only that block is searched. Work follows the local density; nothing is paired
+    point × edge.
     """
-    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: k))
+    depth = _grid_levels(points, edge_table, cell_m)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
 
     def cells(value_a: Column, value_b: Column) -> Column:
         size = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("level"))
@@ -325,10 +425,22 @@ def nearest_on_edges(points: DataFrame, edge_table: DataFrame, key: str, cell_m:
             F.floor(F.least(value_a, value_b) / size).cast("long"),
             F.floor(F.greatest(value_a, value_b) / size).cast("long"))
 
+    # an edge enters the cells it passes: column by column, with its own span there
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    width = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("level"))
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    from_x = F.greatest(low, F.col("gx") * width)
+    to_x = F.least(high, (F.col("gx") + 1) * width)
+
+    def at(x: Column) -> Column:
+        return F.when(dx != 0, F.col("y1") + dy * (x - F.col("x1")) / dx)
+
+    bottom = F.greatest(F.least("y1", "y2"), F.coalesce(F.least(at(from_x), at(to_x)), F.least("y1", "y2")) - 1e-6 * width)
+    top = F.least(F.greatest("y1", "y2"), F.coalesce(F.greatest(at(from_x), at(to_x)), F.greatest("y1", "y2")) + 1e-6 * width)
     boxed = (
         edge_table.select("x1", "y1", "x2", "y2", levels.alias("level"))
         .withColumn("gx", F.explode(cells(F.col("x1"), F.col("x2"))))
-        .withColumn("gy", F.explode(cells(F.col("y1"), F.col("y2"))))
+        .withColumn("gy", F.explode(cells(bottom, top)))
     )
     occupied = boxed.select("level", "gx", "gy").distinct()
     size = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("level"))
@@ -380,7 +492,7 @@ def distinct_rounded(points: DataFrame, order: str, digits: int = 3) -> DataFram
 
 def equidistance_points(
     baseline_a: DataFrame, baseline_b: DataFrame, lon0: float, lat0: float,
-    parameters: EquidistanceParameters = EquidistanceParameters(),
+    parameters: MedianReference = MedianReference(), names: tuple[str, str] = ("a", "b"),
 ) -> DataFrame:
     """Vertices of a computed median reference between two baselines, ordered by ``along``.
 
@@ -404,16 +516,18 @@ def equidistance_points(
     to_a = nearest_on_edges(mid, sides["a"], "sid").select("sid", "x", "y", F.col("nd").alias("da"))
     to_b = nearest_on_edges(mid, sides["b"], "sid").select("sid", F.col("nd").alias("db"))
     kept = to_a.join(to_b, "sid").filter(F.abs(F.col("da") - F.col("db")) <= parameters.balance_tolerance_m)
-    line = principal_order(stage(distinct_rounded(kept, "sid").select("x", "y")))
+    line = principal_order(require_line(stage(distinct_rounded(kept, "sid").select("x", "y"))))
     return unproject(line, lon0, lat0).select(
         F.lit("computed-median-1").alias("feature_id"), "along", "x", "y",
         F.lit("computed_median_equidistance_reference").alias("boundary_type"),
         F.lit("COMPUTED_REFERENCE").alias("legal_status"), F.lit(parameters.method).alias("method"),
+        F.lit(names[0]).alias("baseline_a"), F.lit(names[1]).alias("baseline_b"),
+        F.lit(parameters.sample_spacing_m).alias("sample_spacing_m"), F.lit(parameters.balance_tolerance_m).alias("balance_tolerance_m"),
     )
 
 
 def require_line(points: DataFrame) -> DataFrame:
+    """The points of a median reference, of which a line needs two."""
     if len(points.select("x").take(2)) < 2:
         raise ValueError("the baselines do not give a stable equidistance reference")
     return points
-

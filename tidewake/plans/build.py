@@ -46,10 +46,11 @@ def research_build(
 ) -> BuildResult:
     """Area and period filter first, then quality control over the union of all sources.
 
-    ``source_order`` must order rows over all given tables (see ``number_sources``).
+    Sources follow one another in the order given: their ``source_order`` is shifted here, so
+    that tables which all start at 0 do not collide.
     """
     rows = filter_observations(
-        metrics.union_sources(*observations), request.bbox, request.convention, request.start_date,
+        metrics.union_sources(*number_sources(*observations)), request.bbox, request.convention, request.start_date,
         request.end_date, request.actors, request.default_actors, request.product_mode)
     result = quality_control(rows, request.quality)
     kept = filter_events(metrics.union_sources(*events), request.bbox, request.convention) if events else None

@@ -45,23 +45,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", **options: st
 def with_file_order(df: DataFrame, keep_file: bool = False) -> DataFrame:
     """Stable ``source_order``: files by name, then rows by their place in the file.
 
-    Spark numbers the rows of each scan split; the split is known by the first byte it
-    reads, so (file, block start, row in split) orders the input. Rows in a split are read
-    in order by one task, which makes ``monotonically_increasing_id`` their position there;
-    the running offset over splits comes from one small summary.
+    Spark numbers the rows of each task in the order they are read, and a scan split is known by
+    the first byte it reads. So the place in a split is the number less the split's first one, and
+    (file, block start, place) orders the input. First numbers and row counts come from one small
+    summary with a row per split, which alone is windowed; the rows themselves are only joined to
+    it, and Spark broadcasts it while it is small.
     """
     place = df.select(
         "*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"),
         F.monotonically_increasing_id().alias("__row"),
     )
     spec = ["__file", "__start"]
-    local = place.withColumn("__n", F.row_number().over(Window.partitionBy(*spec).orderBy("__row")))
-    counts = place.groupBy(*spec).agg(F.count("*").alias("__rows"))
+    splits = place.groupBy(*spec).agg(F.count("*").alias("__rows"), F.min("__row").alias("__first"))
     before = Window.partitionBy(F.lit(0)).orderBy(*spec).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*spec, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-    ordered = attach(local, offsets, spec).withColumn(
-        "source_order", F.col("__offset") + F.col("__n") - 1
-    ).drop("__start", "__row", "__n", "__offset")
+    offsets = splits.select(*spec, (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    ordered = attach(place, offsets, spec).withColumn("source_order", F.col("__offset") + F.col("__row")).drop("__start", "__row", "__offset")
     return ordered if keep_file else ordered.drop("__file")
 
 
@@ -74,8 +72,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     if "features" not in raw.columns:
         raise ValueError("not a GeoJSON feature collection")
     if "crs" in raw.columns:
-        names = raw.select(F.to_json("crs").alias("c")).filter("c IS NOT NULL").take(1)
-        if names and "CRS84" not in names[0][0] and "4326" not in names[0][0]:
+        named = F.to_json("crs")
+        if raw.filter(named.isNotNull() & ~F.contains(named, F.lit("CRS84")) & ~F.contains(named, F.lit("4326"))).take(1):
             raise ValueError("geospatial input is not WGS84; reproject it before import")
     features = raw.select(
         F.input_file_name().alias("__file"), F.posexplode("features").alias("__pos", "f"))
