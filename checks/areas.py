@@ -328,7 +328,8 @@ def _foot_sql(points: str, edges: str) -> str:
   near AS (SELECT a.sid, a.x, a.y FROM ({_foot_sql("mid", "ea")}) a JOIN ({_foot_sql("mid", "eb")}) b USING (sid) WHERE abs(a.nd - b.nd) <= 750.0),
   one AS (SELECT arg_max(x, sid) AS x, arg_max(y, sid) AS y FROM near GROUP BY round_even(x, 3), round_even(y, 3)),
   m AS (SELECT avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS g FROM one),
-  l AS (SELECT x, y, (x - mx) * cos(g) + (y - my) * sin(g) AS along, y / 6371008.8 + radians(21.0) AS d, x / 6371008.8 AS e FROM one, m)
+  o AS (SELECT mx, my, CASE WHEN g < -pi() / 4 THEN g + pi() ELSE g END AS g FROM m),
+  l AS (SELECT x, y, (x - mx) * cos(g) + (y - my) * sin(g) AS along, y / 6371008.8 + radians(21.0) AS d, x / 6371008.8 AS e FROM one, o)
   SELECT 'computed-median-1' AS feature_id, round(along, 3) AS along, round(degrees(atan2(sinh(e), cos(d))) + 121.0, 9) AS x, round(degrees(asin(sin(d) / cosh(e))), 9) AS y,
     'computed_median_equidistance_reference' AS boundary_type, 'COMPUTED_REFERENCE' AS legal_status, 'MUTUAL_NEAREST_BASELINE_MIDPOINT_REFERENCE' AS method,
     'a' AS baseline_a, 'b' AS baseline_b, 5000.0::double AS sample_spacing_m, 750.0::double AS balance_tolerance_m FROM l""")

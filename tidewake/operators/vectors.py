@@ -468,12 +468,15 @@ def nearest_on_edges(points: DataFrame, edge_table: DataFrame, key: str, cell_m:
 
 
 def principal_order(points: DataFrame) -> DataFrame:
-    """Add ``along``: the coordinate on the principal axis of the point set."""
+    """Add ``along``: the coordinate on the principal axis of the point set, which points east or
+    north (an axis has no direction of its own; the angle lies from -45 to 135 degrees)."""
+    angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
+    angle = F.when(angle < -math.pi / 4, angle + math.pi).otherwise(angle)
     moments = points.agg(
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("xx"),
         F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"),
     ).select(F.struct(
-        "mx", "my", (F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("angle")))
+        "mx", "my", angle.alias("angle")))
     m = moments.scalar()
     return points.withColumn(
         "along",
