@@ -8,8 +8,9 @@ full sets confirm them.
 Documents with equal sets form one class and appear once. Within a band, members are compared
 with the band's smallest member only; whoever it confirms needs no further comparison, because
 components are wanted, not pairs. Only bands that still hold several components afterwards are
-compared member by member, in blocks. So a large group of near copies costs one comparison per
-member and band, and no key is ever gathered in one task.
+compared member by member, in blocks that several tasks share: a block screens its pairs by
+signatures, confirms the rest on full sets and hands on a spanning forest of the links, so that
+neither pairs nor links of a large group ever become rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from tidewake.session import stage
 PERMUTATIONS = 60
 BAND_VALUES = 5
 #: Members of a band in one block of the member-by-member comparison.
-BLOCK = 1024
+BLOCK = 512
+#: Cells of a block's incidence matrix that are held at a time.
+CELLS = 1 << 24
 
 _ids = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
 _TIMES, _PLUS = mix(_ids) | np.uint64(1), mix(_ids + np.uint64(1 << 20))
@@ -73,6 +76,12 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``class``, ``text`` of the classes wanted; several rows where the id has several texts."""
+    ids = wanted.join(classes.select("class", "rep"), "class").select("class", "rep")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "text")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of classes (``a``, ``b``) whose full sets reach the similarity.
 
@@ -80,8 +89,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     id occurs with several texts, the digest tells which one is meant.
     """
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    ids = wanted.join(classes.select("class", "rep"), "class").select("class", "rep")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id") == F.col("rep")).select("class", "text")
+    texts = _texts(wanted, classes, docs)
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("right_text"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
@@ -127,9 +135,48 @@ def _screened(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFra
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _block_pairs(iterator, percent: int, least_equal: int):
-    """Pairs within runs of rows of equal (band, i, j): members of block i against block j, where
-    components differ, sizes fit and signatures agree well enough."""
+def _sets(texts: list[str], width: int) -> list[np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return shingle_keys(*word_keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])), width)
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other: products of
+    incidence matrices, which need the keys that occur on both sides only."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, CELLS // (len(left) + len(right)))
+
+    def incidence(sets, keys):
+        cells = np.zeros((len(sets), len(keys)), np.float32)
+        for row, found in zip(cells, sets):
+            at = np.searchsorted(keys, found)
+            at[at == len(keys)] = 0
+            row[at[keys[at] == found]] = 1
+        return cells
+
+    for at in range(0, len(shared), step):
+        keys = shared[at : at + step]
+        out += incidence(left, keys) @ incidence(right, keys).T
+    return out
+
+
+def _forest(linked: np.ndarray) -> np.ndarray:
+    """Smallest index that links reach from each index of a symmetric boolean matrix."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label[None, :], len(label)).min(axis=1)
+        lower = np.minimum(label, near)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _block_links(iterator, width: int, percent: int, least_equal: int):
+    """Links within runs of rows of equal (band, i, j), members of block i with block j where
+    components differ: edges of a spanning forest."""
+    import pandas as pd
 
     def compare(frame):
         left, right = frame[frame["block"] == frame["i"]], frame[frame["block"] == frame["j"]]
@@ -137,17 +184,30 @@ def _block_pairs(iterator, percent: int, least_equal: int):
             return
         unpack = lambda f: np.frombuffer(b"".join(f["sig"]), np.int32).reshape(len(f), -1)
         sig_l, sig_r = unpack(left), unpack(right)
-        names_r, root_r, n_r = right["class"].to_numpy(), right["root"].to_numpy(), right["n"].to_numpy()
-        same_block = left["block"].iloc[0] == right["block"].iloc[0]
-        for name, root, n, sig in zip(left["class"], left["root"], left["n"], sig_l):
-            fits = (root_r != root) & ((names_r > name) | (not same_block)) & (100 * np.minimum(n, n_r) >= percent * np.maximum(n, n_r))
-            at = np.flatnonzero(fits)
-            at = at[(sig_r[at] == sig).sum(axis=1) >= least_equal]
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at), pa.binary()), pa.array(names_r[at], pa.binary())], ["a", "b"])
-
-    import pandas as pd
+        root_r, n_l, n_r = right["root"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+        fits = np.zeros((len(left), len(right)), bool)
+        for row, root, n, sig in zip(fits, left["root"], n_l, sig_l):
+            at = np.flatnonzero((root_r != root) & (100 * np.minimum(n, n_r) >= percent * np.maximum(n, n_r)))
+            row[at] = (sig_r[at] == sig).sum(axis=1) >= least_equal
+        rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+        if not len(rows):
+            return
+        left, right, fits = left.iloc[rows], right.iloc[columns], fits[np.ix_(rows, columns)]
+        sets_l, sets_r = _sets(left["text"].tolist(), width), _sets(right["text"].tolist(), width)
+        # where an id occurs with several texts, the digest tells which one is meant
+        true_l = np.array([set_digest(s) == c for s, c in zip(sets_l, left["class"])])
+        true_r = np.array([set_digest(s) == c for s, c in zip(sets_r, right["class"])])
+        common = _common(sets_l, sets_r)
+        linked = fits & true_l[:, None] & true_r & (100 * common >= percent * (n_l[rows][:, None] + n_r[columns] - common))
+        if not linked.any():
+            return
+        names, index = np.unique(np.concatenate([left["class"].to_numpy(), right["class"].to_numpy()]), return_inverse=True)
+        whole = np.zeros((len(names), len(names)), bool)
+        a, b = np.nonzero(linked)
+        whole[index[a], index[len(left) + b]] = whole[index[len(left) + b], index[a]] = True
+        label = _forest(whole)
+        at = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[at], pa.binary()), pa.array(names[label[at]], pa.binary())], ["a", "b"])
 
     held = None
     for batch in iterator:
@@ -191,18 +251,18 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("m").alias("size")).where(
         "lo <> hi and size > 2").select("band")
     blocks = F.ceil(F.col("m") / BLOCK)
-    rest = (
-        rooted.join(open_bands, "band").join(classes.select("class", "sig"), "class")
-        .withColumn("block", F.pmod(F.xxhash64("class"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "n", "root", "sig")
-    )
-    ordered = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = ordered.mapInArrow(lambda it: _block_pairs(it, percent, least_equal), "a binary, b binary").distinct()
-    more = stage(more)
-    if more.take(1):
-        links = links.unionAll(confirm(more, classes, docs, width, percent))
-        roots = components(links)
+    unsettled = stage(rooted.join(open_bands, "band"))
+    if unsettled.take(1):
+        texts = _texts(unsettled.select("class").distinct(), classes, docs)
+        rest = (
+            unsettled.join(classes.select("class", "sig"), "class").join(texts, "class")
+            .withColumn("block", F.pmod(F.xxhash64("class"), blocks))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "n", "root", "sig", "text")
+        )
+        ordered = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        more = ordered.mapInArrow(lambda it: _block_links(it, width, percent, least_equal), "a binary, b binary").distinct()
+        roots = components(links.unionAll(stage(more)))
 
     node = classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select(
         "class", "rep", F.coalesce("root", "class").alias("root"))
