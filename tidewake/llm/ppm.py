@@ -219,8 +219,8 @@ def most_frequent(table: DataFrame, count: str, limit: int) -> tuple[np.ndarray,
     while least > 0 and total + rows.get(least - 1, 0) <= limit:
         least -= 1
         total += rows.get(least, 0)
-    part = table.where(F.col(count) >= float(2**least)).select("key", "value").toPandas()
-    return part["key"].to_numpy(np.int64).view(np.uint64), part["value"].to_numpy(float)
+    part = table.where(F.col(count) >= float(2**least)).select("key", "value").toArrow()
+    return part["key"].to_numpy().view(np.uint64), part["value"].to_numpy()
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
