@@ -255,3 +255,13 @@ def cen4(t):
 def cen4b(t):
     log = t.table("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "YES").otherwise("NO").alias("novel"))
     return cw.search_saturated(log, "o_orderkey", "novel")
+
+
+@query("set2_malformed_mmsi", """SELECT vessel_key, slot, mmsi FROM (SELECT vessel_key, 0 AS slot, mmsi_primary AS mmsi FROM short UNION ALL SELECT vessel_key, 1, mmsi_secondary FROM short)
+  WHERE mmsi <> '' AND NOT regexp_full_match(mmsi, '[0-9]{9}')""".replace("SELECT vessel_key, slot", "WITH short AS (SELECT vessel_key, CASE WHEN hull_number <> '' THEN mmsi_primary ELSE substr(mmsi_primary, 1, CAST(6 + length(name_en) % 4 AS bigint)) END AS mmsi_primary, mmsi_secondary || hull_number AS mmsi_secondary FROM crosswalk) SELECT vessel_key, slot", 1), views=("crosswalk",))
+def set2_malformed(t):
+    short = t.view("crosswalk").select(
+        "vessel_key", F.when(F.col("hull_number") != "", F.col("mmsi_primary")).otherwise(
+            F.col("mmsi_primary").substr(F.lit(1), 6 + F.length("name_en") % 4)).alias("mmsi_primary"),
+        F.concat("mmsi_secondary", "hull_number").alias("mmsi_secondary"))
+    return cw.invalid_mmsi(short)

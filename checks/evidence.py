@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.files import folder, written
-from checks.quality import CONFIG, LINKED_SQL, cleaned_of
+from checks.quality import _SEGMENTS as SEGMENTS_SQL
+from checks.quality import ALL_FLAGS, BAD_POSITION, CLEANED, CONFIG, LINKED_SQL, cleaned_of
 from checks.registry import Inputs, query
 from tidewake.functions.identity import actor_names, mixed_token
 from tidewake.operators import audit, catalog, identity, layers, normalize, provenance, qc, segments
@@ -133,6 +134,25 @@ def src8b(t):
     return read_registry(t.spark, written(t, "registry", df, "json")).select("entity_id", "canonical_name", "actor_type")
 
 
+@query("src8_profile_load", """SELECT CAST(p_partkey AS varchar) AS profile, CAST(p_size % 5 - 1 AS int) AS label_rank_max, p_brand AS coastline_detail, CAST(p_size * -100 AS int) AS deepest FROM part""")
+def src8c(t):
+    from tidewake.sources.dimensions import read_profiles
+
+    df = t.table("part").select(
+        F.col("p_partkey").cast("string").alias("profile"), (F.col("p_size") % 5 - 1).cast("int").alias("label_rank_max"),
+        F.col("p_brand").alias("coastline_detail"), F.array(F.lit(-200), (F.col("p_size") * -100).cast("int")).alias("contour_levels_m"))
+    return read_profiles(t.spark, written(t, "profiles", df, "json")).select(
+        "profile", "label_rank_max", "coastline_detail", F.element_at("contour_levels_m", -1).alias("deepest"))
+
+
+@query("src8_source_load", "SELECT source_id, title, provider, licence FROM sources", views=("sources",))
+def src8d(t):
+    from tidewake.sources.dimensions import read_sources
+
+    df = t.view("sources").select("source_id", "title", "provider", "licence")
+    return read_sources(t.spark, written(t, "sources", df, "json")).select("source_id", "title", "provider", "licence")
+
+
 @query("src9_adapter_coverage", """SELECT a.adapter_id, a.mode, a.source_type, count(o.source_order) AS observations FROM (VALUES
   ('global_fishing_watch','IMPORT_OR_AUTHENTICATED_API','AIS'),('global_fishing_watch','IMPORT_OR_AUTHENTICATED_API','SAR_DETECTION'),('global_fishing_watch','IMPORT_OR_AUTHENTICATED_API','PORT_RECORD'),
   ('japan_official','PUBLIC_NORMALIZED_IMPORT','OFFICIAL_OBSERVATION'),('taiwan_official','PUBLIC_NORMALIZED_IMPORT','OFFICIAL_OBSERVATION'),('taiwan_official','PUBLIC_NORMALIZED_IMPORT','PORT_RECORD'),
@@ -219,13 +239,28 @@ def nrm4(t):
     ).select("source_order", "latitude", "longitude")
 
 
-@query("nrm12_user_import", """SELECT count(*) AS rows, count(DISTINCT CASE WHEN mmsi IS NOT NULL THEN mmsi END) AS entities,
-  count(*) FILTER (WHERE lat = 'bad') AS bad_latitudes FROM user_file""", views=("user_file",))
+_USER_OBSERVATIONS = f"""observations AS (SELECT source_order, CAST(source_order AS varchar) AS observation_id,
+  CASE WHEN mmsi IS NOT NULL THEN concat('user-', substr(sha256({_MMSI}), 1, 16)) END AS entity_id, TRY_CAST(observed_at AS timestamp) AS event_time,
+  TRY_CAST(lat AS double) AS latitude, TRY_CAST(lng AS double) AS longitude, concat('user.csv:', CAST(source_order AS varchar)) AS source_record_id,
+  {_MMSI} AS mmsi, 'OBSERVED' AS observed_or_inferred, 'UNKNOWN' AS actor_type, coalesce(source_type, 'USER_SUPPLIED') AS source_type,
+  'user.csv' AS source_name, CAST(NULL AS varchar) AS source_segment_id FROM user_file)"""
+
+
+@query("nrm12_user_import", f"""WITH {_USER_OBSERVATIONS}, {ALL_FLAGS.strip()}, {SEGMENTS_SQL[len(CLEANED):].strip().lstrip(',').strip()}
+ SELECT 'HIGH' AS confidence, false AS requires_confirmation, (SELECT count(*) FROM observations) AS record_count,
+  (SELECT count(*) FROM observations WHERE NOT ({BAD_POSITION})) AS valid_points, (SELECT min(longitude) FROM observations WHERE NOT ({BAD_POSITION})) AS xmin,
+  (SELECT epoch_us(max(event_time)) FROM observations) AS last_us,
+  (SELECT count(*) FROM cleaned) AS cleaned_positions, (SELECT count(*) FROM observations) - (SELECT count(*) FROM cleaned) AS excluded_positions,
+  (SELECT count(*) FROM flags WHERE flag = 'DUPLICATE_OBSERVATION') AS duplicate_positions,
+  (SELECT count(*) FROM flags WHERE flag = 'INVALID_COORDINATE') AS invalid_coordinates, (SELECT count(*) FROM flags WHERE flag = 'MISSING_TIME') AS invalid_timestamps,
+  (SELECT count(*) FROM flags WHERE flag = 'LARGE_OBSERVATION_GAP') AS large_gaps, (SELECT count(*) FROM segs) AS track_segments""", views=("user_file",), recursive=True)
 def nrm12(t):
-    u = _user(t)
-    return u.agg(
-        F.count("*").alias("rows"), F.count_distinct(F.when(F.col("entity_id") != "", F.col("entity_id"))).alias("entities"),
-        F.count_if(F.col("latitude").isNull()).alias("bad_latitudes"))
+    from tidewake.plans.build import import_user_rows
+
+    _, summary = import_user_rows(t.view("user_file"), build_id="b7", source_name="user.csv", quality=CONFIG)
+    return summary.select(
+        "confidence", "requires_confirmation", "record_count", "valid_points", "xmin", micros(F.col("last_time")).alias("last_us"), "cleaned_positions",
+        "excluded_positions", "duplicate_positions", "invalid_coordinates", "invalid_timestamps", "large_gaps", "track_segments")
 
 
 @query("nrm13_identity_token", "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token FROM customer")
@@ -350,6 +385,20 @@ def flt7(t):
     return layers.route_observations(_confident(t)).select("source_order", "layer")
 
 
+@query("flt7_event_routing", """SELECT event_id, 'public_events' AS layer FROM events WHERE event_type IN (SELECT min(event_type) FROM events)""")
+def flt7c(t):
+    e = t.table("events")
+    kind = F.when(F.col("event_type") == e.agg(F.min("event_type")).scalar(), "PUBLIC_EVENT").otherwise("AIS")
+    return layers.route_events(e.select("event_id", kind.alias("source_type"))).select("event_id", "layer")
+
+
+@query("flt7_label_routing", """SELECT region, 'orientation_paper' AS layer FROM boxes WHERE convention = '180' UNION ALL SELECT region, 'orientation_media' FROM boxes WHERE profile <> 'local'""", views=("boxes",))
+def flt7d(t):
+    labels = t.view("boxes").select(
+        "region", (F.col("convention") == "180").cast("int").alias("paper_visible"), (F.col("profile") != "local").cast("int").alias("media_visible"))
+    return layers.route_labels(labels).select("region", "layer")
+
+
 _SEGS = LINKED_SQL + """,
 segs AS (SELECT segment_id, 'OBSERVED_TRACK' AS segment_type, actor_type FROM observed
   UNION ALL SELECT concat('seg-', substr(sha256(concat(p_id, '|', observation_id)), 1, 16)), 'INFERRED_CONNECTION', p_actor FROM broken WHERE NOT dense AND gap > 0 AND gap <= 604800)"""

@@ -55,10 +55,11 @@ def test_unsupported_suffix():
 
 
 def test_ambiguous_and_missing_fields():
-    mapping, reasons = detect_fields(["lat", "latitude", "lon", "timestamp", "id"])
-    assert any("Ambiguous latitude" in r for r in reasons) and "latitude" not in mapping
-    assert "Missing required field: latitude" in missing_fields(mapping)
-    assert missing_fields({"latitude": "a", "longitude": "b", "timestamp_start": "c"}) == ["Missing vessel/entity identity field"]
+    mapping, findings = detect_fields(["lat", "latitude", "lon", "timestamp", "id"])
+    assert [f for f in findings if f.code == "several" and f.field == "latitude"][0].columns and "latitude" not in mapping
+    assert "latitude" in {f.field for f in missing_fields(mapping)}
+    assert "latitude" not in {f.field for f in missing_fields(mapping, has_point=True)}
+    assert [f.field for f in missing_fields({"latitude": "a", "longitude": "b", "timestamp_start": "c"})] == ["identity"]
     assert resolve_columns(["LAT", "x", "Time", "mmsi"]) == {"latitude": "LAT", "longitude": "x", "timestamp_start": "Time", "MMSI": "mmsi"}
     with pytest.raises(ValueError):
         resolve_columns(["a"], {"latitude": "b"})
@@ -66,7 +67,7 @@ def test_ambiguous_and_missing_fields():
 
 def test_user_input_needs_confirmation(spark):
     raw = spark.createDataFrame([("1", 0)], "lat string, source_order long")
-    with pytest.raises(ValueError, match="Schema confirmation required"):
+    with pytest.raises(ValueError, match="name the columns"):
         normalize_user_input(raw, build_id="b", source_name="s")
 
 

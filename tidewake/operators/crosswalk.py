@@ -74,8 +74,11 @@ def resolve_crosswalk(crosswalk: DataFrame, bulk: DataFrame, bulk_loaded: bool =
     """Status, years, flags and classes of each crosswalk vessel in the archive.
 
     The archive is reduced to one row per MMSI before it meets the slots; of the slots
-    with a match the first wins. ``executed_interface`` is NONE where nothing was searched.
+    with a match the first wins. A row without a class takes ``vessel_class_inferred``, where
+    the archive has that column. ``executed_interface`` is NONE where nothing was searched.
     """
+    if "vessel_class_inferred" in bulk.columns:
+        bulk = bulk.withColumn("vessel_class", F.coalesce(F.nullif("vessel_class", F.lit("")), "vessel_class_inferred"))
     facts = (
         bulk_of_interest(bulk, crosswalk)
         .groupBy("mmsi")

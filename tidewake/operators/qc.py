@@ -265,6 +265,7 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         .withColumn("bar", F.col("bars_before") + F.col("bars_local"))
         .drop("prev_local", "carry", "slice", "bars_before", "bars_local")
     )
+    joined = stage(joined)  # read for the slices without and with the fold
     calm = (
         joined.filter(F.col("island").isNull())
         .withColumn("gap_seconds", gap(F.col("prev"), point))
@@ -397,8 +398,8 @@ class QualityResult:
 
 
 def all_flags(observations: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """Every flag, lazily; :func:`quality_control` does the same from staged tables."""
-    screened = screen(observations)
+    """Every flag; the screened rows are written once and read by each check."""
+    screened = stage(screen(observations))
     return screened_flags(screened, screened_pairs(screened, config), config)
 
 
@@ -412,13 +413,13 @@ def screened_flags(screened: DataFrame, pairs: DataFrame, config: QualityConfig)
 
 
 def split(observations: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cleaned, excluded): the wide rows meet only the keys of the excluding flags."""
-    out = flags.filter("excluded").select("source_order").distinct()
+    """(cleaned, excluded): the wide rows meet the keys of the excluding flags once and are written
+    with the mark, so that every output is a scan."""
+    out = flags.filter("excluded").select(F.col("source_order").alias("__order")).distinct()
     df = prepare(observations)
-    return (
-        df.join(out, "source_order", "left_anti"),
-        df.join(out, "source_order", "left_semi"),
-    )
+    marked = stage(df.join(out, F.col("source_order") == F.col("__order"), "left").withColumn(
+        "__order", F.col("__order").isNotNull()))
+    return marked.filter(~F.col("__order")).drop("__order"), marked.filter("__order").drop("__order")
 
 
 def vessel_summary(cleaned: DataFrame, flags: DataFrame) -> DataFrame:

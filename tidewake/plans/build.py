@@ -12,7 +12,8 @@ from tidewake.operators import metrics
 from tidewake.operators.catalog import license_rows, orientation_labels
 from tidewake.operators.filters import filter_events, filter_observations
 from tidewake.operators.identity import registry_subset
-from tidewake.operators.provenance import build_manifest
+from tidewake.operators.normalize import inspect_user_input, normalize_user_input
+from tidewake.operators.provenance import build_manifest, table_fingerprint
 from tidewake.operators.qc import QualityResult, quality_control
 from tidewake.schema import QualityConfig
 from tidewake.sources import sinks
@@ -65,6 +66,24 @@ def research_build(
     return BuildResult(result, kept, vessels, counts, manifest)
 
 
+def import_user_rows(
+    loaded: DataFrame, *, build_id: str, source_name: str, field_map=None, quality: QualityConfig = QualityConfig(),
+) -> tuple[DataFrame, DataFrame]:
+    """Canonical observations of a user's table and one summary row: what was detected
+    (:func:`inspect_user_input`), a fingerprint of the table, and what quality control would keep,
+    exclude and flag."""
+    rows = normalize_user_input(loaded, build_id=build_id, source_name=source_name, field_map=field_map)
+    result = quality_control(rows, quality)
+    counts = metrics.import_summary(
+        result.quality_flags, result.cleaned_points, result.excluded_points, result.gaps, result.track_segments)
+    digest = table_fingerprint(loaded.drop("source_order")).select(F.col("fingerprint").alias("source_fingerprint"))
+    # three tables of one row each
+    one = inspect_user_input(loaded, field_map).withColumn("__one", F.lit(1))
+    for part in (counts, digest):
+        one = one.join(part.withColumn("__one", F.lit(1)), "__one")
+    return rows, one.drop("__one")
+
+
 def number_sources(*frames: DataFrame, stride: int = 1 << 44) -> list[DataFrame]:
     """Shift each source's order so that sources follow one another."""
     return [
