@@ -128,9 +128,10 @@ def test_files_are_hashed_block_by_block(spark, tmp_path):
 
     (tmp_path / "big file.bin").write_bytes(b"x" * 5_000_000)
     (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "100%41 a+b").write_bytes(b"z")
     rows = {r.path: r for r in provenance.file_manifest(spark, str(tmp_path)).collect()}
     assert rows["big file.bin"].sha256 == hashlib.sha256(b"x" * 5_000_000).hexdigest() and rows["big file.bin"].bytes == 5_000_000
-    assert rows["empty"].sha256 == hashlib.sha256(b"").hexdigest()
+    assert rows["empty"].sha256 == hashlib.sha256(b"").hexdigest() and rows["100%41 a+b"].bytes == 1
     opened = provenance.file_manifest(spark, str(tmp_path), lambda path: __import__("io").BytesIO(b"y"))
     assert {r.sha256 for r in opened.collect()} == {hashlib.sha256(b"y").hexdigest()}
 

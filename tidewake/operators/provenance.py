@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -19,17 +20,20 @@ ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 def file_manifest(
     spark: SparkSession, root: str, open_stream: Callable[[str], BinaryIO] | None = None,
 ) -> DataFrame:
-    """(path, bytes, sha256) of every file under ``root``, relative paths.
+    """(path, bytes, sha256) of every file under ``root`` (empty ones too), relative paths.
 
-    Spark lists the files without their content; each is then read and hashed block by block by
-    the task that owns it, so a file of any size needs one block of memory. ``open_stream`` opens a
-    path for reading where the default, Arrow's file systems, doesn't know its scheme.
+    Spark lists the files, which takes no content; each is then read and hashed block by block by the
+    task that owns it, so a file of any size needs one block of memory. ``open_stream`` opens a listed
+    address for reading where the default, Arrow's file systems, doesn't know its scheme. Names that
+    begin with ``_`` or ``.`` are not listed.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace("path", "^.*?" + _quoted(base) + "/", "")
-    listed = files.select("path", "length").repartition(F.col("path"))
-    return listed.mapInPandas(_hashes(open_stream or _arrow_stream), "path string, bytes long, sha256 string").withColumn("path", relative)
+    # the addresses that Spark's own file index holds
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "address string").repartition(F.col("address"))
+    hashed = listed.mapInPandas(_hashes(open_stream or _arrow_stream), "path string, bytes long, sha256 string")
+    inner = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
+    return hashed.withColumn("path", F.regexp_replace("path", "^.*?" + _quoted(inner) + "/", ""))
 
 
 def _quoted(text: str) -> str:
@@ -42,7 +46,7 @@ def _arrow_stream(path: str) -> BinaryIO:
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
-    if scheme in ("", "file"):
+    if scheme == "file":
         return fs.LocalFileSystem().open_input_stream(unquote(urlparse(path).path))
     system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
     return system.open_input_stream(inner)
@@ -50,14 +54,17 @@ def _arrow_stream(path: str) -> BinaryIO:
 
 def _hashes(open_stream: Callable[[str], BinaryIO]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import unquote
+
         for batch in batches:
             rows = []
-            for path, length in zip(batch["path"], batch["length"]):
-                digest = hashlib.sha256()
-                with open_stream(path) as stream:
+            for address in batch["address"]:
+                digest, length = hashlib.sha256(), 0
+                with open_stream(address) as stream:
                     while block := stream.read(1 << 20):
                         digest.update(block)
-                rows.append((path, length, digest.hexdigest()))
+                        length += len(block)
+                rows.append((unquote(address), length, digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
 
     return run
