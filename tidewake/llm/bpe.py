@@ -12,7 +12,8 @@ its end-of-word mark.
 from __future__ import annotations
 
 import json
-from itertools import pairwise
+from itertools import accumulate, chain, compress, count, pairwise, repeat
+from operator import is_
 
 import numpy as np
 import regex
@@ -124,10 +125,14 @@ class WordEncoder:
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         """Ids of each pretoken, in two calls of the library for all of them."""
-        lettered = [self._lettered(p) for p in pretokens]
+        joined = "".join(pretokens)
+        if joined.isprintable():
+            lettered = pretokens if joined.isascii() else [p if p.isascii() else self._lettered(p) for p in pretokens]
+        else:
+            lettered = list(map(self._lettered, pretokens))
         joined = "".join(lettered)
         codes = self._codes(joined)
-        ends = np.cumsum([len(p) for p in lettered])
+        ends = np.cumsum(list(map(len, lettered)))
         final = np.zeros(len(codes), bool)
         final[ends - 1] = True
         cut = final.copy()
@@ -202,11 +207,18 @@ class EncodedWords:
     def of(self, texts: list[bytes]):
         """For each text the list of what its words stand for, in order."""
         split = [t.split() for t in texts]
-        new = self.words.missing(set().union(*split))
-        if new:
-            self._learn(new)
-        get = self.words.now.__getitem__
-        return [list(map(get, words)) for words in split]
+        words = list(chain.from_iterable(split))
+        values = list(map(self.words.now.get, words))
+        absent = list(compress(count(), map(is_, values, repeat(None))))
+        if absent:
+            new = self.words.missing(set(map(words.__getitem__, absent)))
+            if new:
+                self._learn(new)
+            known = self.words.now
+            for i in absent:
+                values[i] = known[words[i]]
+        ends = [0, *accumulate(map(len, split))]
+        return [values[a:b] for a, b in pairwise(ends)]
 
 
 def ids_only(encoder: WordEncoder) -> EncodedWords:
