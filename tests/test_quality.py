@@ -217,6 +217,18 @@ def test_runs_over_slices_keep_one_id(spark):
     assert points.count() == 300 and points.select("segment_id").distinct().count() == 1
 
 
+def test_all_points_of_a_day_in_several_pieces(spark, monkeypatch):
+    rows = [(f"o{i:04d}", "v", i * 60, 10.0 + i * 0.001, 120.0, i) for i in range(300)]
+    df = spark.createDataFrame(
+        rows, "observation_id string, entity_id string, t long, latitude double, longitude double, source_order long"
+    ).withColumns({"event_time": F.timestamp_seconds("t"), "source_type": F.lit("AIS"), "source_name": F.lit("s"), "actor_type": F.lit("PLAN")})
+    whole = segments.track_segments(df).collect()
+    monkeypatch.setattr(segments, "PIECE_ROWS", 7)
+    linked = segments.linked_points(df)
+    assert linked.select("slice", "piece").distinct().count() == 43
+    assert segments.segments_of(linked).collect() == whole and whole[0].point_count == 300
+
+
 def test_each_point_in_at_most_one_run_and_counts_conserve(spark):
     rows = _walk(9)
     df = spark.createDataFrame(

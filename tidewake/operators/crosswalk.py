@@ -21,6 +21,7 @@ EVIDENCE_MARKERS = (
     ("DETECT", ("SAR", "VIIRS")),
     ("EVENT", ("EVENT", "OBSERVATION")),
 )
+# Fixed values.
 ACCOUNT_CLASSES = ("OPEN_REGISTRATION", "COMMERCIAL", "PARTNER_ONLY", "CONTRIBUTOR_ONLY")
 EVENT_KINDS = ("fishing", "encounter", "loitering", "port_visit", "AIS_gap")
 # interface, authentication, account, token, display, export, format, download, status
@@ -36,6 +37,7 @@ _INTERFACE_FIELDS = (
     "track_display_available", "track_export_available", "export_format",
     "actual_download_success", "retrieval_status",
 )
+# Fixed values.
 _QUERY_ORDER = (
     ("IMO", "imo"), ("MMSI", "mmsi_primary"), ("MMSI", "mmsi_secondary"), ("OTHER", "hull_number"),
     ("NAME", "name_en"), ("NAME", "name_zh"), ("ALIAS", "aliases"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewake.plans.ordered import attach, micros, seconds_between, slice_window, time_slice
 from tidewake.schema import DENSE_SOURCE_TYPES, SEGMENT_COLUMNS, QualityConfig, blank, conform
+from tidewake.session import stage
 
 _ORDER = ["event_time", "source_order"]
 
@@ -29,6 +30,10 @@ def _provider_changed(prev: Column, cur: Column) -> Column:
     )
 
 
+#: Rows of a slice in one piece of a run.
+PIECE_ROWS = 4096
+
+
 def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Cleaned points in time order with their predecessor and run key.
 
@@ -54,7 +59,7 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
     spec = slice_window(["entity_id", "slice"], _ORDER)
     local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
         "break_local", F.coalesce(breaks(F.col("prev_local"), point), F.lit(False)).cast("long")
-    )
+    ).withColumn("piece", F.floor((F.row_number().over(spec) - 1) / PIECE_ROWS))
     ordinal = F.struct(*_ORDER)
     summary = local.groupBy("entity_id", "slice").agg(
         F.min_by(point, ordinal).alias("head"),
@@ -97,9 +102,9 @@ _PIECE_OUT = (
 def observed_runs(linked: DataFrame) -> DataFrame:
     """OBSERVED_TRACK segments of dense vessels; runs of a single point are dropped.
 
-    Points are first reduced to one piece per (run, slice), which needs no shuffle. Pieces of
-    a run are then streamed in order: ids are fed to the hash piece by piece, so a run may be
-    longer than any single row or group could be.
+    Points are first reduced to pieces of at most ``PIECE_ROWS`` points of a run and a slice, so no
+    row holds more ids than that, however many points a day has. Pieces of a run are then streamed in
+    order and their ids fed to the hash one after another.
     """
     same_run = F.col("prev").isNotNull() & ~F.col("run_break")
     provider = F.trim(F.coalesce("source_segment_id", F.lit("")))
@@ -107,7 +112,7 @@ def observed_runs(linked: DataFrame) -> DataFrame:
     ordinal = F.struct(*_ORDER)
     pieces = (
         linked.filter("dense")
-        .groupBy("entity_id", "slice", "run_slice", "run_no")
+        .groupBy("entity_id", "slice", "piece", "run_slice", "run_no")
         .agg(
             F.array_join(F.transform(in_order, lambda s: s["observation_id"]), "|").alias("ids"),
             F.min_by("observation_id", ordinal).alias("first_id"),
@@ -121,7 +126,7 @@ def observed_runs(linked: DataFrame) -> DataFrame:
             F.collect_set(F.when(provider != "", provider)).alias("providers"),
         )
         .repartition("entity_id", "run_slice", "run_no")
-        .sortWithinPartitions("entity_id", "run_slice", "run_no", "slice")
+        .sortWithinPartitions("entity_id", "run_slice", "run_no", "slice", "piece")
     )
     merged = pieces.mapInPandas(_merge_pieces, _PIECE_OUT)
     return merged.filter("point_count >= 2").select(
@@ -216,7 +221,7 @@ def track_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) ->
     The path is a table, not an array: a track's length is not bounded by a row's size. Sort
     by (segment_id, event_time, source_order) to draw it.
     """
-    linked = linked_points(cleaned, config)
+    linked = stage(linked_points(cleaned, config))
     runs = observed_runs(linked).select("segment_id", "entity_id", "run_slice", "run_no")
     return (
         linked.join(runs, ["entity_id", "run_slice", "run_no"])
