@@ -142,4 +142,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     model = fit_rules(labelled_sample(docs, labels, rows), names)
     kept = [c for c in docs.columns if c != "score"]
     stats = docs.select(*kept, *[c.alias(f"__{n}") for n, c in statistics(F.coalesce("text", F.lit(""))).items()])
+    # one row each: a filter on the score stops here instead of repeating every statistic for every rule
+    stats = stats.select(*kept, F.inline(F.array(F.struct(*[F.col(f"__{n}") for n in names]))))
     return stats.select(*kept, model.score({n: F.col(f"__{n}") for n in names}).alias("score"))
