@@ -31,7 +31,7 @@ BAND_VALUES = 5
 #: Members of a band in one block of the member-by-member comparison.
 BLOCK = 512
 #: Cells of a block's incidence matrix that are held at a time.
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 _ids = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
 _TIMES, _PLUS = mix(_ids) | np.uint64(1), mix(_ids + np.uint64(1 << 20))
