@@ -16,6 +16,8 @@ from tidewake.session import stage
 
 #: Least score of a document that stays.
 LEAST_QUALITY = 0.3
+#: Least Jaccard similarity, in percent, of five-word shingle sets that counts as a near copy.
+NEAR_PERCENT = 85
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return one_of_each(docs)
+    return one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

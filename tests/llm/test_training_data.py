@@ -363,6 +363,26 @@ def test_near_text_odd_rows_and_one_of_each(spark):
     assert near_duplicates(frame(spark).limit(0)).count() == 0 and one_of_each(frame(spark).limit(0)).count() == 0
 
 
+def test_one_of_each_from_a_similarity_of_80_percent(spark):
+    from tidewake.llm.near_text import BAND_VALUES, MISS, one_of_each, permutations
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(30):  # 86 common of 106 shingles: 0.811
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base), " ".join("changed" if i in (30, 60) else w for i, w in enumerate(base))]
+    for _ in range(10):  # 81 common of 111: 0.730
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base), " ".join("changed" if i in (20, 50, 80) else w for i, w in enumerate(base))]
+    kept = one_of_each(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), percent=80)
+    assert len(set(brute_components([shingles(t) for t in texts], 80))) == 50
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 60, 2), *range(60, 80)]
+    assert permutations(85) == 60
+    for percent in (50, 80, 85, 100):
+        assert (1 - (percent / 100) ** BAND_VALUES) ** (2 * permutations(percent) // BAND_VALUES) <= MISS
+
+
 def test_components_of_a_long_path(spark):
     from tidewake.llm.components import components
 

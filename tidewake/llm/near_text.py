@@ -3,7 +3,8 @@
 Under every permutation of the shingle keys both the minimum and the maximum are kept: each
 agrees for two sets with their Jaccard similarity as its chance, so 60 permutations give 120
 values. Bands of five values propose candidates, the number of equal values screens them, and
-full sets confirm them.
+full sets confirm them. The number of permutations follows from the similarity asked for: 60
+at 0.85 and 90 at 0.8.
 
 Documents with equal sets form one class and appear once. Within a band, members are compared
 with the band's smallest member only; whoever it confirms needs no further comparison, because
@@ -15,7 +16,9 @@ neither pairs nor links of a large group ever become rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +29,35 @@ from tidewake.llm.components import components
 from tidewake.llm.textkeys import batches, mix, shingle_keys, text_bytes, word_keys
 from tidewake.session import stage
 
-PERMUTATIONS = 60
 BAND_VALUES = 5
+#: Greatest chance that sets of exactly the similarity asked for share no band.
+MISS = 1e-6
 #: Members of a band in one block of the member-by-member comparison.
 BLOCK = 512
 #: Cells of a block's incidence matrix that are held at a time.
 CELLS = 1 << 22
 
-_ids = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
-_TIMES, _PLUS = mix(_ids) | np.uint64(1), mix(_ids + np.uint64(1 << 20))
 
 
-def signature(keys: np.ndarray) -> np.ndarray:
-    """Minimum and maximum of a set under every permutation, as 32-bit values in turn."""
-    out = np.empty(2 * PERMUTATIONS, np.uint64)
-    for i in range(PERMUTATIONS):
-        order = (keys ^ _PLUS[i]) * _TIMES[i]
+def permutations(percent: int) -> int:
+    """Permutations whose bands miss a pair at the similarity with a chance of at most ``MISS``."""
+    miss = 1 - min(percent / 100, 0.99) ** BAND_VALUES
+    bands = math.ceil(math.log(MISS) / math.log(miss))
+    return (bands + bands % 2) * BAND_VALUES // 2
+
+
+@functools.cache
+def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.arange(1, n + 1, dtype=np.uint64)
+    return mix(ids) | np.uint64(1), mix(ids + np.uint64(1 << 20))
+
+
+def signature(keys: np.ndarray, n: int) -> np.ndarray:
+    """Minimum and maximum of a set under each of ``n`` permutations, as 32-bit values in turn."""
+    out = np.empty(2 * n, np.uint64)
+    times, plus = _constants(n)
+    for i in range(n):
+        order = (keys ^ plus[i]) * times[i]
         out[2 * i], out[2 * i + 1] = order.min(), order.max()
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -54,7 +70,7 @@ def mark() -> Column:
     return F.xxhash64("doc_id", "text").alias("mark")
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
+def sketch(docs: DataFrame, width: int, n: int) -> DataFrame:
     """``doc_id``, ``mark`` (hash of id and text), ``n_shingles``, ``class`` (digest of the set, NULL
     without words), ``sig``."""
 
@@ -64,7 +80,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([signature(s, n).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], ["doc_id", "mark", "n_shingles", "class", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -119,7 +135,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _screened(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
+def _screened(pairs: DataFrame, classes: DataFrame, values: int, least_equal: int) -> DataFrame:
     """Pairs whose signatures agree in at least ``least_equal`` values."""
     left = classes.select(F.col("class").alias("a"), F.col("sig").alias("sig_a"))
     right = classes.select(F.col("class").alias("b"), F.col("sig").alias("sig_b"))
@@ -129,7 +145,7 @@ def _screened(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFra
         for batch in iterator:
             a, _ = text_bytes(batch.column("sig_a"))
             b, _ = text_bytes(batch.column("sig_b"))
-            equal = (a.view(np.int32) == b.view(np.int32)).reshape(-1, 2 * PERMUTATIONS).sum(axis=1)
+            equal = (a.view(np.int32) == b.view(np.int32)).reshape(-1, values).sum(axis=1)
             yield batch.select(["a", "b"]).filter(pa.array(equal >= least_equal))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -225,17 +241,18 @@ def _block_links(iterator, width: int, percent: int, least_equal: int):
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``mark``, ``n_shingles``, ``root`` (class that stands for its
     component, NULL without words) and ``component_id``."""
-    rows = stage(sketch(docs, width))
+    values = 2 * permutations(percent)
+    rows = stage(sketch(docs, width, values // 2))
     classes = stage(
         rows.where(F.col("class").isNotNull()).groupBy("class")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
     # six standard deviations below the similarity asked for
     p = percent / 100
-    least_equal = int(2 * PERMUTATIONS * p - 6 * (2 * PERMUTATIONS * p * (1 - p)) ** 0.5)
+    least_equal = int(values * p - 6 * (values * p * (1 - p)) ** 0.5)
     size = 4 * BAND_VALUES
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(2 * PERMUTATIONS // BAND_VALUES - 1)),
+        F.sequence(F.lit(0), F.lit(values // BAND_VALUES - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * size + 1, F.lit(size))))
     banded = classes.select("class", "n", F.explode(bands).alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("class", "n")).alias("centre")).where("m > 1")
@@ -243,7 +260,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     stars = members.where(F.col("class") != F.col("centre.class")).where(
         _size_fits(F.col("n"), F.col("centre.n"), percent)).select(F.col("centre.class").alias("a"), F.col("class").alias("b")).distinct()
-    links = stage(confirm(stage(_screened(stars, classes, least_equal)), classes, docs, width, percent))
+    links = stage(confirm(stage(_screened(stars, classes, values, least_equal)), classes, docs, width, percent))
     roots = components(links)
 
     rooted = members.join(roots, F.col("class") == F.col("node"), "left").select(
