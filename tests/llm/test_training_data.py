@@ -530,6 +530,29 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, block):
     assert all(g[2] == (i == g[1]) for i, g in got.items())
 
 
+@pytest.mark.parametrize("d, used", [(64, 64), (64, 32), (384, 192), (768, 256), (64, "decaying")])
+def test_near_vectors_meet_wherever_their_energy_lies(d, used):
+    from tidewake.llm.near_vectors import codes, filters_of
+
+    rng = np.random.default_rng(6)
+    scale = 0.9 ** np.arange(d) if used == "decaying" else (np.arange(d) < used).astype(float)
+    a, b = (rng.standard_normal((150, d)) * scale for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    assert np.mean([len(np.intersect1d(f, g)) > 0 for f, g in zip(filters_of(a, codes(d)), filters_of(b, codes(d)))]) > 0.97
+
+
+def test_near_vectors_padded_against_all_pairs(spark):
+    from tidewake.llm.near_vectors import near_vectors
+
+    rows = np.hstack([clustered(800, 32, 4), np.zeros((800, 32), np.float32)])
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(800), "embedding": list(rows.tolist())}), "vec_id long, embedding array<float>")
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    true = int((unit @ unit.T >= 0.95).sum()) - 800
+    assert 0.97 * true <= near_vectors(table).agg(F.sum("n_links")).first()[0] <= true
+
+
 def test_near_vectors_odd_rows(spark):
     from tidewake.llm.near_vectors import near_vectors
 

@@ -1,7 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-Filter directions are products of random codes: a vector is cut into two blocks, each block has
-a code of random unit vectors, and a filter is a pair of codewords. The score of a vector with a
+Filter directions are products of random codes: a vector is rotated at random, so that its energy
+is spread over all dimensions, and cut into two blocks; each block has a code of random unit
+vectors, and a filter is a pair of codewords. The score of a vector with a
 filter is the sum of two inner products, so all filters that exceed a threshold are listed from
 two short lists without visiting the others. Vectors meet in the filters that both exceed, and
 every meeting is verified by the cosine in double precision.
@@ -13,6 +14,7 @@ with their number. A filter with many members is compared in blocks by several t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -33,18 +35,21 @@ LEAST_FILTERS = 24
 BLOCK = 1024
 
 
+@functools.cache
 def codes(dimensions: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Unit codewords of the first and the second half of the (rotated) dimensions."""
+    """Unit codewords of the first and the second half of the rotated dimensions, turned back: their
+    products with a vector are those of the codewords with the rotated vector."""
     rng = np.random.default_rng(seed)
     half = dimensions // 2
     made = [rng.standard_normal((CODEWORDS, n)) for n in (half, dimensions - half)]
-    return tuple(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in made)
+    rotation, _ = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))
+    return tuple(
+        m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) @ rows for m, rows in zip(made, (rotation[:half], rotation[half:])))
 
 
 def filters_of(vectors: np.ndarray, book: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """Sorted numbers of the filters of each unit vector (rows)."""
-    half = book[0].shape[1]
-    first, second = vectors[:, :half] @ book[0].T, vectors[:, half:] @ book[1].T
+    first, second = vectors @ book[0].T, vectors @ book[1].T
     # a codeword pair has length sqrt(2); its score has deviation sqrt(2 / d)
     least = THRESHOLD * (2.0 / vectors.shape[1]) ** 0.5
     out = []
@@ -90,7 +95,6 @@ def _with_filters(classes: DataFrame) -> DataFrame:
     """Classes with the sorted list ``filters`` (32-bit numbers, packed) and its elements ``found``."""
 
     def run(batches):
-        books: dict[int, tuple] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -98,10 +102,8 @@ def _with_filters(classes: DataFrame) -> DataFrame:
                 found: list[np.ndarray] = [np.zeros(0, int)] * len(rows)
                 for size in {len(r) for r in rows}:
                     at_size = [i for i, r in enumerate(rows) if len(r) == size]
-                    if size not in books:
-                        books[size] = codes(size)
                     # vectors of other lengths share no filter
-                    for i, f in zip(at_size, filters_of(np.array([rows[i] for i in at_size]), books[size])):
+                    for i, f in zip(at_size, filters_of(np.array([rows[i] for i in at_size]), codes(size))):
                         found[i] = f
                 yield pa.RecordBatch.from_arrays([
                     batch.column("class"), batch.column("copies"), batch.column("vector"),
