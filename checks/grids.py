@@ -53,7 +53,11 @@ def grd2c(t):
   SELECT o AS grid_row, p AS grid_col, round(sum(wx * wy * value) / sum(wx * wy), 6) AS value
   FROM grid JOIN rr USING (grid_row) JOIN cc USING (grid_col) WHERE wx > 0 AND wy > 0 GROUP BY 1, 2""", views=("grid",))
 def grd2b(t):
-    return grid.downsample_bilinear(cells(t), 2.5, FRAME.width, FRAME.height).withColumn("value", F.round("value", 6))
+    # the frame, or as many rows as the table has, up to a whole number of output rows at 2.5
+    rows = F.coalesce(F.ceil((F.max("grid_row") + 1) / 5) * 5, F.lit(0))
+    height = cells(t).agg(F.greatest(F.lit(FRAME.height), rows).alias("height"))
+    framed = cells(t).crossJoin(height)
+    return grid.downsample_bilinear(framed, 2.5, FRAME.width, F.col("height")).withColumn("value", F.round("value", 6))
 
 
 @query("grd3_mosaic_360", """SELECT grid_row, CASE WHEN grid_col >= 110 THEN grid_col - 110 ELSE grid_col + 10 END AS grid_col, value FROM grid

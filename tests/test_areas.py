@@ -157,6 +157,25 @@ def test_bilinear_keeps_a_plane(spark):
         assert r.value == pytest.approx((2 * r.grid_col + 0.5) * 2.0 + 2 * r.grid_row + 0.5)
 
 
+def test_bilinear_query_covers_tables_beyond_its_frame(spark, tmp_path):
+    import __spark_entry__
+
+    def made(rows):
+        path = str(tmp_path / str(rows))
+        # two columns of cells in the last 50 of so many rows
+        spark.range(100).select(((F.lit(rows - 50) + F.col("id") / 2).cast("long") * 120 + F.col("id") % 2).alias("o_orderkey")).write.parquet(f"{path}/orders.parquet")
+        return {(r[0], r[1]): r[2] for r in __spark_entry__.queries()["grd2_downsample_bilinear"](spark, path).collect()}
+
+    inside, beyond = made(1_000), made(40_000)
+    assert {(r, c) for r, c in beyond} == {(r + (40_000 - 1_000) // 5 * 2, c) for r, c in inside} and len(inside) >= 20
+    assert max(r for r, _ in beyond) == 40_000 * 2 // 5 - 1
+
+
+def test_bilinear_ignores_cells_outside(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (10**9, 0, 5.0), (0, 10**9, 5.0)], "grid_row long, grid_col long, value double")
+    assert [tuple(r) for r in grid.downsample_bilinear(cells, 2.0, 2, 2).collect()] == [(0, 0, 1.0)]
+
+
 def test_density_cache_hits_on_the_same_request(spark, tmp_path):
     frame = grid.Affine(0.0, 4.0, 1.0, 1.0, 4, 4)
     cells = spark.range(16).select((F.col("id") / 4).cast("long").alias("grid_row"), (F.col("id") % 4).alias("grid_col"), F.col("id").cast("double").alias("value"))

@@ -141,29 +141,31 @@ def downsample_average(cells: DataFrame, factor: float, nodata: float | None = N
         (mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
 
 
-def downsample_bilinear(cells: DataFrame, factor: float, width: int, height: int) -> DataFrame:
+def downsample_bilinear(cells: DataFrame, factor: float, width: int | Column, height: int | Column) -> DataFrame:
     """Bilinear value at output-cell centres from the four source cells around them.
 
     Every source cell knows which output centres it contributes to, so this is one
-    weighted aggregate; weights of cells outside the raster fall to the border cell.
+    weighted aggregate; weights of cells outside the raster fall to the border cell. Width and
+    height may be columns of ``cells``. Cells outside them contribute to nothing.
     """
-    out_w, out_h = max(1, round_half(width / factor)), max(1, round_half(height / factor))
-    fx, fy = width / out_w, height / out_h
 
-    def shares(index: str, scale: float, size: int, outputs: int) -> Column:
-        i = F.col(index)
+    def shares(index: str, size: int | Column) -> Column:
+        i, size = F.col(index), F.lit(size) if isinstance(size, int) else size
+        outputs = F.greatest(F.lit(1), F.floor(size / factor + 0.5)).cast("long")
+        scale = size / outputs
         low = F.greatest(F.lit(0), F.floor((i - 1 + 0.5) / scale - 0.5).cast("long") - 1)
-        high = F.least(F.lit(outputs - 1), F.ceil((i + 1 + 0.5) / scale - 0.5).cast("long") + 1)
+        high = F.least(outputs - 1, F.ceil((i + 1 + 0.5) / scale - 0.5).cast("long") + 1)
 
         def weigh(o: Column) -> Column:
-            centre = F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), (o + 0.5) * scale - 0.5))
+            centre = F.greatest(F.lit(0.0), F.least(size - 1.0, (o + 0.5) * scale - 0.5))
             return F.struct(o.alias("o"), F.greatest(F.lit(0.0), 1 - F.abs(centre - i)).alias("w"))
 
-        return F.filter(F.transform(F.sequence(low, high), weigh), lambda s: s["w"] > 0)
+        # a sequence whose start lies above its end would descend
+        return F.filter(F.transform(F.when(low <= high, F.sequence(low, high)), weigh), lambda s: s["w"] > 0)
 
     spread = (
-        cells.withColumn("r", F.explode(shares("grid_row", fy, height, out_h)))
-        .withColumn("c", F.explode(shares("grid_col", fx, width, out_w)))
+        cells.withColumn("r", F.explode(shares("grid_row", height)))
+        .withColumn("c", F.explode(shares("grid_col", width)))
         .withColumn("w", F.col("r.w") * F.col("c.w"))
     )
     return spread.groupBy(F.col("r.o").alias("grid_row"), F.col("c.o").alias("grid_col")).agg(
