@@ -483,6 +483,20 @@ def test_main_text_without_article():
     assert text.count("\n") == 2 and "So it was." in text and "Home" not in text and "One" not in text and "Imprint" not in text and "xx" not in text
 
 
+@pytest.mark.parametrize("opening, closing", [
+    ("<article class='post no-sidebar'>", "</article>"), ("<main class='has-comments'>", "</main>"),
+    ("<div class='layout with-sidebar'><article>", "</article></div>"), ("<div id=no-menu><div class='with-sidebar'><main>", "</main></div></div>"),
+    ("<div class='layout with-sidebar'>", "</div>"), ("<div class='with-sidebar'><article>", "")])
+def test_main_text_in_elements_with_names_of_a_layout(opening, closing):
+    from tidewake.llm.html_text import main_text
+
+    prose = "This is the story of a man who went to the sea and who did not come back to his house for many years, and it was told by all of them in the town. " * 2
+    page = f"<body><nav>{prose * 9}</nav>{opening}<p>{prose}</p><div class=ad>Buy it now, it is the best of all</div><p>{prose}</p>{closing}"
+    if closing:
+        page += "<div class=related>What the others have to say</div>"
+    assert main_text(page) == "\n".join([prose.strip()] * 2)
+
+
 def test_extract_text_edge_cases(spark):
     from tidewake.llm.html_text import extract_text
 

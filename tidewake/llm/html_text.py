@@ -54,9 +54,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _blocks(page: str):
-    """Blocks in page order: (text, characters in links, inside an article, inside boilerplate)."""
-    open_tags: list[tuple[str, bool, bool]] = []  # name, makes bad, makes main
+    """Blocks in page order: (text, characters in links, inside an article, inside boilerplate).
+
+    Names of an article, or of an element with most of the page's text outside bad tags (and of its articles' text, if it
+    has articles), mark nothing: they speak of the page's layout.
+    """
+    open_tags: list[tuple[str, bool, bool, int]] = []  # name, makes bad, makes main, first block where its names are bad (else -1)
+    named: list[tuple[int, int]] = []  # runs of blocks in elements of bad names
     bad = main = links = 0
+    articles = False
     parts: list[str] = []
     linked = at = 0
     out = []
@@ -70,7 +76,9 @@ def _blocks(page: str):
 
     def pop_to(index: int):
         nonlocal bad, main, links
-        for name, was_bad, was_main in open_tags[index:]:
+        for name, was_bad, was_main, first in open_tags[index:]:
+            if first >= 0:
+                named.append((first, len(out)))
             bad -= was_bad
             main -= was_main
             links -= name == "a"
@@ -124,13 +132,32 @@ def _blocks(page: str):
                 if open_tags[index][0] in BLOCK_TAGS:
                     break
         marks = " ".join("".join(m) for m in _NAMES.findall(found[3])) if found[3] else ""
-        is_bad = name in BAD_TAGS or bool(marks and name not in ("html", "body") and BAD_NAMES.search(marks))
-        is_main = name in MAIN_TAGS
-        open_tags.append((name, is_bad, is_main))
+        is_bad, is_main = name in BAD_TAGS, name in MAIN_TAGS
+        articles = articles or is_main
+        by_name = marks and not is_bad and not is_main and name not in ("html", "body") and BAD_NAMES.search(marks)
+        open_tags.append((name, is_bad, is_main, len(out) if by_name else -1))
         bad += is_bad
         main += is_main
         links += name == "a"
     close_block()
+    pop_to(0)
+    upto, upto_main = [0], [0]  # characters outside bad tags before each block, and of articles alone
+    for text, _, in_main, in_bad in out:
+        upto.append(upto[-1] + (0 if in_bad else len(text)))
+        upto_main.append(upto_main[-1] + (len(text) if in_main and not in_bad else 0))
+
+    def most(counts, first, end):
+        return 2 * (counts[end] - counts[first]) > counts[-1]
+
+    steps = [0] * (len(out) + 1)
+    for first, end in named:
+        if not (most(upto, first, end) and (not articles or most(upto_main, first, end))):
+            steps[first] += 1
+            steps[end] -= 1
+    depth = 0
+    for i, (text, in_links, in_main, in_bad) in enumerate(out):
+        depth += steps[i]
+        out[i] = (text, in_links, in_main, in_bad or depth > 0)
     return out
 
 
