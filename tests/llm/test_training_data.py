@@ -272,6 +272,24 @@ def test_token_files_round_trip(spark, library, tmp_path):
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_are_bounded_in_tokens(spark, library, tmp_path):
+    from tidewake.llm.token_files import read_tokens, write_tokens
+
+    path, tokenizer = library
+    texts = [f"w{i} " * (i % 90) for i in range(120)] + ["long text " * 2000]
+    docs = frame(spark, [(None if i < 60 else 7, t, "s") for i, t in enumerate(texts)])  # ids that no quantile can cut
+    write_tokens(docs, path, str(tmp_path / "tokens"), file_tokens=600)
+    files = spark.read.parquet(str(tmp_path / "tokens"))
+    longest = max(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+    sizes = sorted(r["n_tokens"] for r in files.collect())
+    assert len(sizes) > 10 and sizes[-1] == longest and sizes[-2] <= 600
+    got = read_tokens(spark, str(tmp_path / "tokens"), with_ids=True).orderBy("start").collect()
+    want = sorted(([*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts))
+    assert sorted(list(r["ids"]) for r in got) == want
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert [r["doc_id"] for r in got] == [None] * 60 + [7] * 61
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 5000])
 def test_wavelet_matrix_answers_like_an_array(n):
     from tidewake.llm.wavelet import WaveletMatrix, encode
