@@ -401,6 +401,17 @@ def test_one_of_each_from_a_similarity_of_80_percent(spark):
         assert (1 - (percent / 100) ** BAND_VALUES) ** (2 * permutations(percent) // BAND_VALUES) <= MISS
 
 
+def test_near_text_fetches_one_text_of_a_class(spark):
+    from tidewake.llm import near_text
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
+    docs = frame(spark, [(i, t, "s") for t in texts for i in (None, 5)] + [(5, texts[0], "s")] * 9)  # two ids with 30 texts each, one row repeated
+    rows = near_text.sketch(docs, 5, 60)
+    classes = rows.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("source"))
+    got = near_text._texts(classes.select("class"), classes, docs).collect()
+    assert len(got) == 30 and sorted(r["text"] for r in got) == sorted(texts)
+
+
 def test_components_of_a_long_path(spark):
     from tidewake.llm.components import components
 

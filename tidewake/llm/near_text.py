@@ -93,16 +93,20 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``class``, ``text`` of the classes wanted; several rows where the id has several texts."""
-    ids = wanted.join(classes.select("class", "rep"), "class").select("class", "rep")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "text")
+    """``class``, ``text`` of the classes wanted, one row each: the row of a class is found by id and
+    mark, and repeated rows are folded before the shuffle."""
+    ids = wanted.join(classes.select("class", "source"), "class").select(
+        "class", F.col("source.doc_id").alias("__id"), F.col("source.mark").alias("__mark"))
+    rows = docs.select("doc_id", mark(), F.col("text").cast("string").alias("text"))
+    found = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    return found.groupBy("class").agg(F.first("text").alias("text"))
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of classes (``a``, ``b``) whose full sets reach the similarity.
 
-    The texts of the classes in question are fetched by id and their sets made anew; where an
-    id occurs with several texts, the digest tells which one is meant.
+    The texts of the classes in question are fetched by id and mark and their sets made anew; the
+    digest tells whether it is the text that is meant.
     """
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
     texts = _texts(wanted, classes, docs)
@@ -210,7 +214,7 @@ def _block_links(iterator, width: int, percent: int, least_equal: int):
             return
         left, right, fits = left.iloc[rows], right.iloc[columns], fits[np.ix_(rows, columns)]
         sets_l, sets_r = _sets(left["text"].tolist(), width), _sets(right["text"].tolist(), width)
-        # where an id occurs with several texts, the digest tells which one is meant
+        # the digest tells whether it is the text that is meant
         true_l = np.array([set_digest(s) == c for s, c in zip(sets_l, left["class"])])
         true_r = np.array([set_digest(s) == c for s, c in zip(sets_r, right["class"])])
         common = _common(sets_l, sets_r)
@@ -245,7 +249,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = stage(sketch(docs, width, values // 2))
     classes = stage(
         rows.where(F.col("class").isNotNull()).groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+        .agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("source"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
     # six standard deviations below the similarity asked for
     p = percent / 100
