@@ -84,3 +84,23 @@ counted AS (SELECT vec_id, count(b) AS n_links FROM embeddings LEFT JOIN links O
 SELECT c.vec_id, c.n_links, min(r.b) AS component_id, c.vec_id = min(r.b) AS kept
 FROM counted c JOIN reach r ON r.a = c.vec_id GROUP BY c.vec_id, c.n_links
 """
+
+SQL["op11_ranked_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+found AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM found GROUP BY term), whole),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN found USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

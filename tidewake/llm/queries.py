@@ -127,6 +127,36 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    from tidewake.llm.bag_ranking import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_rank_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document and the bytes they stand for, as digests."""
+    import public_tokenizers
+
+    from tidewake.llm.rank_codec import encode_decode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    import public_tokenizers
+
+    from tidewake.llm.token_alignment import align_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
