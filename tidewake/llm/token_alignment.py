@@ -91,7 +91,7 @@ class Aligner:
         """Entries of a table one after another, and the n + 1 places where they begin."""
         taken = table.take(pa.array(index))
         data = taken.buffers()[2]
-        return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(taken.buffers()[1], np.int64)[: len(index) + 1]
+        return memoryview(data or b"").cast("B"), np.frombuffer(taken.buffers()[1], np.int64)[: len(index) + 1]
 
     def align(self, pieces: list[str]) -> list[Aligned | None]:
         """Alignment of each text by itself; None where the joined tokens are not the space and the text."""
