@@ -46,18 +46,32 @@ def grd2c(t):
     return grid.downsample_average(cells(t), 2.5, NODATA).withColumn("value", F.round("value", 6))
 
 
-@query("grd2_downsample_bilinear", """WITH r AS (SELECT o, greatest(0.0::double, least(15999.0::double, (o + 0.5::double) * 2.5::double - 0.5::double)) AS y FROM range(0, 6400) t(o)),
+# the frame, or as many rows as the table has, up to a whole number of output rows at 2.5
+_BILINEAR = """WITH h AS (SELECT greatest(16000, coalesce(CAST(ceil((max(grid_row) + 1) / 5.0) AS bigint) * 5, 0)) AS height FROM grid),
+  r AS (SELECT o, greatest(0.0::double, least(height - 1.0::double, (o + 0.5::double) * 2.5::double - 0.5::double)) AS y
+    FROM (SELECT height, unnest(range(0, height * 2 // 5)) AS o FROM h)),
   c AS (SELECT p, greatest(0.0::double, least(119.0::double, (p + 0.5::double) * 2.5::double - 0.5::double)) AS x FROM range(0, 48) t(p)),
   rr AS (SELECT o, unnest([CAST(floor(y) AS bigint), CAST(floor(y) AS bigint) + 1]) AS grid_row, unnest([1 - (y - floor(y)), y - floor(y)]) AS wy FROM r),
   cc AS (SELECT p, unnest([CAST(floor(x) AS bigint), CAST(floor(x) AS bigint) + 1]) AS grid_col, unnest([1 - (x - floor(x)), x - floor(x)]) AS wx FROM c)
-  SELECT o AS grid_row, p AS grid_col, round(sum(wx * wy * value) / sum(wx * wy), 6) AS value
-  FROM grid JOIN rr USING (grid_row) JOIN cc USING (grid_col) WHERE wx > 0 AND wy > 0 GROUP BY 1, 2""", views=("grid",))
+  SELECT o AS grid_row, p AS grid_col, {value} AS value
+  FROM grid JOIN rr USING (grid_row) JOIN cc USING (grid_col) WHERE wx > 0 AND wy > 0 GROUP BY 1, 2"""
+
+
+@query("grd2_downsample_bilinear", _BILINEAR.format(value="round(sum(wx * wy * value) / sum(wx * wy), 6)"), views=("grid",))
 def grd2b(t):
-    # the frame, or as many rows as the table has, up to a whole number of output rows at 2.5
+    return grid.downsample_bilinear(*_framed(t)).withColumn("value", F.round("value", 6))
+
+
+def _framed(t):
     rows = F.coalesce(F.ceil((F.max("grid_row") + 1) / 5) * 5, F.lit(0))
     height = cells(t).agg(F.greatest(F.lit(FRAME.height), rows).alias("height"))
-    framed = cells(t).crossJoin(height)
-    return grid.downsample_bilinear(framed, 2.5, FRAME.width, F.col("height")).withColumn("value", F.round("value", 6))
+    return cells(t).crossJoin(height), 2.5, FRAME.width, F.col("height")
+
+
+@query("grd2_bilinear_nodata", _BILINEAR.format(
+    value="round(coalesce(sum(wx * wy * value) FILTER (WHERE value <> -9999) / sum(wx * wy) FILTER (WHERE value <> -9999), -9999), 6)"), views=("grid",))
+def grd2d(t):
+    return grid.downsample_bilinear(*_framed(t), nodata=NODATA).withColumn("value", F.round("value", 6))
 
 
 @query("grd3_mosaic_360", """SELECT grid_row, CASE WHEN grid_col >= 110 THEN grid_col - 110 ELSE grid_col + 10 END AS grid_col, value FROM grid
@@ -130,6 +144,47 @@ def grd8(t):
         F.round(F.sum(F.col("x1") + F.col("x2") - 2 * F.col("grid_col")), 6).alias("x_sum"))
 
 
+#: The grid with cells that hold no number.
+_HOLED = "SELECT grid_row, grid_col, CASE WHEN (grid_row * 120 + grid_col) % 97 = 0 THEN 'nan'::double ELSE value END AS value FROM grid"
+
+
+def holed(t: Inputs):
+    return cells(t).withColumn("value", F.when((F.col("grid_row") * 120 + F.col("grid_col")) % 97 == 0, float("nan")).otherwise(F.col("value")))
+
+
+@query("agg6_quantiles_with_nan", f"""SELECT quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.9) AS q90,
+  quantile_cont(value, 0.98) AS q98 FROM ({_HOLED}) WHERE value <> -9999 AND NOT isnan(value)""", views=("grid",))
+def agg6b(t):
+    return grid.density_quantiles(holed(t))
+
+
+@query("grd8_contour_lines", f"""WITH g AS (SELECT grid_row AS r, grid_col AS c, -value AS v FROM ({_HOLED}) WHERE value <> -9999 AND NOT isnan(value)),
+  s AS (SELECT a.r, a.c, a.v AS nw, b.v AS ne, x.v AS sw, y.v AS se, l.level::double AS lv, l.n AS ln FROM g a
+    JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g x ON x.r = a.r + 1 AND x.c = a.c JOIN g y ON y.r = a.r + 1 AND y.c = a.c + 1,
+    (VALUES (-6000.0, 0), (-4000.0, 1), (-2000.0, 2), (-1000.0, 3), (-200.0, 4)) l(level, n)),
+  ends AS (
+    SELECT *, 0 AS k, nw >= lv AS leaves, r AS er, c AS ec, 0 AS o, c + (lv - nw) / (ne - nw) AS x, r::double AS y FROM s WHERE (nw >= lv) <> (ne >= lv)
+    UNION ALL SELECT *, 1, ne >= lv, r, c + 1, 1, c + 1, r + (lv - ne) / (se - ne) FROM s WHERE (ne >= lv) <> (se >= lv)
+    UNION ALL SELECT *, 2, se >= lv, r + 1, c, 0, c + (lv - sw) / (se - sw), r + 1 FROM s WHERE (se >= lv) <> (sw >= lv)
+    UNION ALL SELECT *, 3, sw >= lv, r, c, 1, c, r + (lv - nw) / (sw - nw) FROM s WHERE (sw >= lv) <> (nw >= lv)),
+  keyed AS (SELECT *, ln * 144115188075855872 + (er + 134217728) * 536870912 + (ec + 134217728) * 2 + o AS edge,
+    CASE WHEN count(*) OVER (PARTITION BY r, c, ln) = 2 THEN 0 WHEN ((nw + ne + sw + se) / 4 >= lv) = (nw >= lv) THEN k // 2
+      ELSE (k IN (0, 3))::int END AS side FROM ends),
+  p AS MATERIALIZED (SELECT a.lv, a.edge::bigint AS s, b.edge::bigint AS e, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+    FROM keyed a JOIN keyed b ON a.r = b.r AND a.c = b.c AND a.ln = b.ln AND a.side = b.side WHERE NOT a.leaves AND b.leaves),
+  walk(line, lv, e, pos, x1, y1, x2, y2, closed) AS (
+    SELECT s, lv, e, 0, x1, y1, x2, y2, s IN (SELECT e FROM p) FROM p
+    UNION ALL SELECT w.line, w.lv, p.e, w.pos + 1, p.x1, p.y1, p.x2, p.y2, w.closed FROM walk w JOIN p ON p.s = w.e WHERE NOT w.closed OR p.s > w.line),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY pos DESC) = 1 AS final FROM walk
+    WHERE NOT closed OR line IN (SELECT line FROM walk WHERE e = line))
+  SELECT lv AS level, line AS line_id, pos::bigint AS position, round(x1, 6) AS x, round(y1, 6) AS y, closed FROM kept
+  UNION ALL SELECT lv, line, pos::bigint + 1, round(x2, 6), round(y2, 6), closed FROM kept WHERE final""", views=("grid",), recursive=True)
+def grd8b(t):
+    depth = holed(t).withColumn("value", F.when(F.col("value") != NODATA, -F.col("value")))
+    lines = grid.contour_lines(depth, (-200, -1000, -2000, -4000, -6000))
+    return lines.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
 @query("grd9_canonical_columns", """SELECT grid_row, CAST((grid_col + 60) % 120 AS bigint) AS grid_col, value FROM grid""", views=("grid",))
 def grd9(t):
     return grid.canonical_columns(cells(t), 0.0, 3.0)
@@ -142,6 +197,13 @@ def grd10(t):
     return grid.density_ramp(cells(t)).select("grid_row", "grid_col", "ramp")
 
 
+@query("grd10_ramp_with_nan", f"""WITH g AS ({_HOLED}), v AS (SELECT * FROM g WHERE value <> -9999 AND NOT isnan(value)), m AS (SELECT greatest(1.0, max(value)) AS top FROM v)
+  SELECT grid_row, grid_col, CASE WHEN value <= 0 THEN 'No recorded density' WHEN value <= top * 0.72 THEN 'Lower' WHEN value <= top * 0.82 THEN 'Moderate'
+    WHEN value <= top * 0.92 THEN 'Common corridor' ELSE 'Highest' END AS ramp FROM v, m""", views=("grid",))
+def grd10b(t):
+    return grid.density_ramp(holed(t)).select("grid_row", "grid_col", "ramp")
+
+
 @query("grd11_invalid_cells", "SELECT count(*) AS cells, count(*) FILTER (WHERE value = -9999) AS invalid_cells FROM grid", views=("grid",))
 def grd11(t):
     return grid.invalid_cells(cells(t), NODATA)

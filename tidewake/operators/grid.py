@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators.vectors import source_boxes
+from tidewake.plans.chains import ordered_pieces
 from tidewake.plans.ordered import running_sum
 from tidewake.schema import DEPTH_CLASSES
 from tidewake.session import stage
@@ -103,6 +104,12 @@ def mosaic(parts: Sequence[tuple[DataFrame, int, int]], nodata: float | None = N
     return out.groupBy("grid_row", "grid_col").agg(F.min_by("value", rank).alias("value"))
 
 
+def usable(value: Column, nodata: float | None = None) -> Column:
+    """Whether a cell holds a number: NULL, NaN, infinite values and ``nodata`` are none."""
+    held = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return held if nodata is None else held & (value != nodata)
+
+
 def valid_density(value: Column, nodata: float = DENSITY_NODATA) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")) & (value != nodata) & (value >= 0), F.lit(False))
 
@@ -122,9 +129,7 @@ def downsample_average(cells: DataFrame, factor: float, nodata: float | None = N
     if factor < 1:
         raise ValueError("the factor must be 1 or more")
     value = F.col("value")
-    valid = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    if nodata is not None:
-        valid = valid & (value != nodata)
+    valid = usable(value, nodata)
 
     def shares(index: str) -> Column:
         i = F.col(index)
@@ -141,8 +146,12 @@ def downsample_average(cells: DataFrame, factor: float, nodata: float | None = N
         (mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
 
 
-def downsample_bilinear(cells: DataFrame, factor: float, width: int | Column, height: int | Column) -> DataFrame:
-    """Bilinear value at output-cell centres from the four source cells around them.
+def downsample_bilinear(
+    cells: DataFrame, factor: float, width: int | Column, height: int | Column, nodata: float | None = None,
+) -> DataFrame:
+    """Bilinear value at output-cell centres from the four source cells around them, of which those
+    without a number (NULL, NaN, infinite or ``nodata``) weigh nothing; an output cell with no
+    other around it is ``nodata`` (NULL where there is none).
 
     Every source cell knows which output centres it contributes to, so this is one
     weighted aggregate; weights of cells outside the raster fall to the border cell. Width and
@@ -168,8 +177,10 @@ def downsample_bilinear(cells: DataFrame, factor: float, width: int | Column, he
         .withColumn("c", F.explode(shares("grid_col", width)))
         .withColumn("w", F.col("r.w") * F.col("c.w"))
     )
+    held = usable(F.col("value"), nodata)
+    mean = F.sum(F.when(held, F.col("w") * F.col("value"))) / F.sum(F.when(held, F.col("w")))
     return spread.groupBy(F.col("r.o").alias("grid_row"), F.col("c.o").alias("grid_col")).agg(
-        (F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+        (mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
 
 
 QUANTILE_SLICES = 256
@@ -206,8 +217,8 @@ def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float])
 
 
 def density_quantiles(cells: DataFrame, nodata: float = DENSITY_NODATA) -> DataFrame:
-    """Median, 75th, 90th and 98th percentile of the valid cells: q50, q75, q90, q98."""
-    row = exact_quantiles(cells.filter(F.col("value") != nodata), "value", DENSITY_QUANTILES)
+    """Median, 75th, 90th and 98th percentile of the cells that hold a number: q50, q75, q90, q98."""
+    row = exact_quantiles(cells.filter(usable(F.col("value"), nodata)), "value", DENSITY_QUANTILES)
     return row.toDF(*[f"q{int(round(q * 100)):02d}" for q in DENSITY_QUANTILES])
 
 
@@ -332,8 +343,8 @@ def canonical_columns(cells: DataFrame, left: float, px: float) -> DataFrame:
 
 
 def density_ramp(cells: DataFrame, nodata: float = DENSITY_NODATA) -> DataFrame:
-    """Legend bin of each valid cell, relative to the maximum of the band (at least 1)."""
-    valid = cells.filter(F.col("value") != nodata)
+    """Legend bin of each cell that holds a number, relative to the maximum of the band (at least 1)."""
+    valid = cells.filter(usable(F.col("value"), nodata))
     top = F.greatest(F.lit(1.0), F.coalesce(valid.agg(F.max("value")).scalar(), F.lit(1.0)))
     v = F.col("value")
     # Legend texts.
@@ -349,48 +360,90 @@ def invalid_cells(cells: DataFrame, nodata: float) -> DataFrame:
     return cells.agg(F.count("*").alias("cells"), F.count_if(bad).alias("invalid_cells"))
 
 
-def contours(cells: DataFrame, levels: Sequence[float], nodata: float | None = None) -> DataFrame:
-    """Line pieces where the surface crosses each level (marching squares).
-
-    Squares are formed by letting each cell centre join its four squares in one aggregate.
-    Output: (level, grid_row, grid_col, x1, y1, x2, y2) in cell coordinates. The two pieces
-    of a saddle are told apart by the mean of its corners.
-    """
+def _squares(cells: DataFrame, levels: Sequence[float], nodata: float | None) -> DataFrame:
+    """Pieces ``s`` (from ``a`` to ``b``, the higher side on the left) of every square of four cells and
+    level. The ends carry the edge of the grid on which they lie, which two squares share."""
+    if len(levels) > 64:
+        raise ValueError("at most 64 levels at a time")
     corner = F.array(*[
         F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(2 * dr + dc).alias("k"))
         for dr in (0, 1) for dc in (0, 1)
     ])
-    known = cells if nodata is None else cells.filter(F.col("value") != nodata)
     squares = (
-        known.withColumn("o", F.explode(corner))
+        cells.filter(usable(F.col("value"), nodata)).withColumn("o", F.explode(corner))
         .groupBy((F.col("grid_row") + F.col("o.dr")).alias("grid_row"), (F.col("grid_col") + F.col("o.dc")).alias("grid_col"))
         .agg(*[F.max(F.when(F.col("o.k") == k, F.col("value"))).alias(n) for k, n in enumerate(("nw", "ne", "sw", "se"))])
         .filter("nw IS NOT NULL AND ne IS NOT NULL AND sw IS NOT NULL AND se IS NOT NULL")
-        .withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in sorted(levels)])))
+        .select("*", F.posexplode(F.array(*[F.lit(float(v)) for v in sorted(levels)])).alias("level_no", "level"))
     )
     lv = F.col("level")
     up = {n: F.col(n) >= lv for n in ("nw", "ne", "sw", "se")}
 
-    def cut(a: str, b: str) -> Column:
-        return (lv - F.col(a)) / (F.col(b) - F.col(a))
-
-    def pt(x: Column, y: Column) -> Column:
-        return F.struct((F.col("grid_col") + x).cast("double").alias("x"), (F.col("grid_row") + y).cast("double").alias("y"))
-
-    zero, one = F.lit(0.0), F.lit(1.0)
-    top = F.when(up["nw"] != up["ne"], pt(cut("nw", "ne"), zero))
-    right = F.when(up["ne"] != up["se"], pt(one, cut("ne", "se")))
-    bottom = F.when(up["sw"] != up["se"], pt(cut("sw", "se"), one))
-    left = F.when(up["nw"] != up["sw"], pt(zero, cut("nw", "sw")))
+    def end(p: str, q: str, dr: int, dc: int, upright: bool) -> Column:
+        """Where the level lies between the corners p and q, which follow each other clockwise; the
+        edge begins dr rows and dc columns from the square's corner."""
+        low, high = (p, q) if p == "nw" or q == "se" else (q, p)  # left to right or downwards
+        share = (lv - F.col(low)) / (F.col(high) - F.col(low))
+        x = F.lit(float(dc)) if upright else share
+        y = share if upright else F.lit(float(dr))
+        half = 1 << 27
+        place = F.shiftleft(F.col("level_no").cast("long"), 57).bitwiseOR(
+            F.shiftleft((F.col("grid_row") + (dr + half)).cast("long"), 29)).bitwiseOR(
+            F.shiftleft((F.col("grid_col") + (dc + half)).cast("long"), 1)).bitwiseOR(F.lit(int(upright)).cast("long"))
+        return F.when(up[p] != up[q], F.struct(
+            (F.col("grid_col") + x).cast("double").alias("x"), (F.col("grid_row") + y).cast("double").alias("y"),
+            place.alias("edge"), up[p].alias("out")))  # with the higher side on the left, a line leaves here
+
+    top, right = end("nw", "ne", 0, 0, False), end("ne", "se", 0, 1, True)
+    bottom, left = end("se", "sw", 1, 0, False), end("sw", "nw", 0, 0, True)
 
     def piece(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"))
+        return F.when(b["out"], F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
 
     hits = F.array_compact(F.array(top, right, bottom, left))
     centre_up = (F.col("nw") + F.col("ne") + F.col("sw") + F.col("se")) / 4 >= lv
     saddle = F.when(centre_up == up["nw"], F.array(piece(top, right), piece(left, bottom))).otherwise(
         F.array(piece(top, left), piece(right, bottom)))
     pieces = F.when(F.size(hits) == 4, saddle).when(F.size(hits) == 2, F.array(piece(hits[0], hits[1])))
-    return squares.withColumn("s", F.explode(pieces)).select(
+    return squares.select("level", "grid_row", "grid_col", F.explode(pieces).alias("s"))
+
+
+def contours(cells: DataFrame, levels: Sequence[float], nodata: float | None = None) -> DataFrame:
+    """Line pieces where the surface crosses each level (marching squares).
+
+    Squares are formed by letting each cell centre join its four squares in one aggregate; cells
+    without a number (NULL, NaN, infinite or ``nodata``) give none. Output: (level, grid_row,
+    grid_col, x1, y1, x2, y2) in cell coordinates, the higher side on the left. The two pieces of
+    a saddle are told apart by the mean of its corners.
+    """
+    return _squares(cells, levels, nodata).select(
         "level", "grid_row", "grid_col", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"),
         F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
+#: Rows and columns of the squares whose pieces one task chains.
+CONTOUR_TILE = 256
+
+
+def contour_lines(
+    cells: DataFrame, levels: Sequence[float], nodata: float | None = None, tile: int = CONTOUR_TILE,
+) -> DataFrame:
+    """Vertices of the contour lines: (level, line_id, position, x, y, closed), one row each.
+
+    A line runs with the higher side on its left; ``position`` counts from 0. The first vertex of a
+    closed line is repeated as its last. Lines end where the raster or its numbers end. Neither
+    ``line_id`` nor the order depends on ``tile`` or on how the table is partitioned. Rows and
+    columns lie within 2^27 of zero.
+    """
+    pieces = _squares(cells, levels, nodata).select(
+        "level", "grid_row", "grid_col", F.col("s.a.edge").alias("start"), F.col("s.b.edge").alias("stop"),
+        F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    lines = ordered_pieces(pieces, [F.col("level"), F.floor(F.col("grid_row") / tile), F.floor(F.col("grid_col") / tile)])
+
+    def vertex(position: Column, end: int) -> Column:
+        return F.struct(position.alias("position"), F.col(f"x{end}").alias("x"), F.col(f"y{end}").alias("y"))
+
+    here = F.array(vertex(F.col("position"), 1))
+    ends = F.array(vertex(F.col("position"), 1), vertex(F.col("total"), 2))
+    return lines.select("level", "line_id", F.explode(F.when(F.col("position") == F.col("total") - 1, ends).otherwise(here)).alias("v"), "closed").select(
+        "level", "line_id", "v.position", "v.x", "v.y", "closed")
