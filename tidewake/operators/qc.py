@@ -22,12 +22,13 @@ from tidewake.functions.geo import (
 from tidewake.functions.identity import malformed_identifier
 from tidewake.plans.ordered import (
     attach,
+    bounded_slices,
     last_value_before,
     micros,
     order_slice,
     seconds_between,
+    slice_start,
     slice_window,
-    time_slice,
 )
 from tidewake.operators.normalize import parse_time
 from tidewake.schema import ACTOR_TYPES, OBSERVATION_STATES, QualityConfig, blank, conform
@@ -210,16 +211,15 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     result is a sequential fold. Almost all rows do not need it: as long as no adjacent pair
     failed within the time a vessel at the speed limit needs to reach any point on Earth,
     the last accepted row *is* the adjacent row. Only the slices within that horizon of an
-    adjacent failure (and the one slice after them) go through the fold.
+    adjacent failure (and the one slice after them) go through :func:`folded_pairs`.
     """
-    rows = screened.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
-        "entity_id", "entity_key", "observation_id", "source_order", "event_time",
-        "latitude", "longitude", "barred",
-        time_slice(F.col("event_time"), config.slice_seconds).alias("slice"),
-    )
+    rows = bounded_slices(
+        screened.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
+            "entity_id", "entity_key", "observation_id", "source_order", "event_time", "latitude", "longitude", "barred"),
+        "entity_key", "event_time", "source_order", config.slice_seconds, config.slice_rows)
     horizon_us = int(MAX_DISTANCE_M / (config.max_speed_knots / KNOTS_PER_MPS) * 1e6) + 1_000_000
     order = ["event_time", "source_order"]
-    point = F.struct("event_time", "latitude", "longitude", "barred")
+    point = F.struct("event_time", "latitude", "longitude", "barred", "source_order")
 
     def gap(prev: Column, cur: Column) -> Column:
         open_pair = ~prev["barred"] & ~cur["barred"]
@@ -235,14 +235,12 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         return reach / gap(prev, cur) * KNOTS_PER_MPS > config.max_speed_knots
 
     spec = slice_window(["entity_key", "slice"], order)
-    local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
-        "bars_local", F.sum(F.col("barred").cast("long")).over(spec))
+    local = rows.withColumn("prev_local", F.lag(point).over(spec))
     ordinal = F.struct(*order)
     summary = local.groupBy("entity_key", "slice").agg(
         F.min_by(point, ordinal).alias("head"),
         F.max_by(point, ordinal).alias("tail"),
         F.max(F.when(jump(F.col("prev_local"), point), micros(F.col("event_time")))).alias("hit"),
-        F.count_if("barred").alias("bars"),
     )
     by_entity = Window.partitionBy("entity_key").orderBy("slice")
     summary = (
@@ -251,20 +249,13 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
             "hit", F.when(jump(F.col("carry"), F.col("head")), micros(F.col("head.event_time")))))
         .withColumn("last_hit", F.last("hit", ignorenulls=True).over(by_entity))
         .withColumn("near", F.coalesce(
-            F.col("slice") * F.lit(config.slice_seconds * 1_000_000)
-            <= F.col("last_hit") + F.lit(horizon_us), F.lit(False)))
+            slice_start(F.col("slice"), config.slice_seconds) <= F.col("last_hit") + F.lit(horizon_us), F.lit(False)))
         .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(by_entity), F.lit(False)))
         .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(by_entity), F.lit(False)))
         .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(by_entity)))
-        .withColumn("bars_before", F.sum("bars").over(by_entity) - F.col("bars"))
-        .select("entity_key", "slice", "carry", "island", "bars_before")
-    )
-    joined = (
-        attach(local, summary, ["entity_key", "slice"])
-        .withColumn("prev", F.coalesce("prev_local", "carry"))
-        .withColumn("bar", F.col("bars_before") + F.col("bars_local"))
-        .drop("prev_local", "carry", "slice", "bars_before", "bars_local")
+        .select("entity_key", "slice", "carry", "island")
     )
+    joined = attach(local, summary, ["entity_key", "slice"]).withColumn("prev", F.coalesce("prev_local", "carry")).drop("prev_local", "carry")
     joined = stage(joined)  # read for the slices without and with the fold
     calm = (
         joined.filter(F.col("island").isNull())
@@ -279,25 +270,10 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     if config.distance == "geodesic":
         calm = calm.withColumn("distance_m", _refined(config))
     calm = calm.drop("prev", "longitude", "latitude")
-    rough = (
-        joined.filter(F.col("island").isNotNull())
-        .select(
-            "entity_key", "island", "bar", micros(F.col("event_time")).alias("t"), "source_order",
-            "entity_id", "observation_id", "latitude", "longitude", "barred",
-            micros(F.col("prev.event_time")).alias("p_t"),
-            F.col("prev.latitude").alias("p_lat"), F.col("prev.longitude").alias("p_lon"),
-            F.col("prev.barred").alias("p_barred"),
-        )
-        # a barred row clears the state, so it starts a stream of its own
-        .repartition("entity_key", "island", "bar")
-        .sortWithinPartitions("entity_key", "island", "bar", "t", "source_order")
-        .mapInPandas(_fold(config), "entity_id string, observation_id string, source_order long, "
-                                    "t long, p_t long, distance_m double")
-        .select(
-            "entity_id", "observation_id", "source_order",
-            F.timestamp_micros("t").alias("event_time"), F.timestamp_micros("p_t").alias("prev_time"),
-            ((F.col("t") - F.col("p_t")) / F.lit(1e6)).alias("gap_seconds"), "distance_m",
-        )
+    rough = folded_pairs(joined.filter(F.col("island").isNotNull()), config).select(
+        "entity_id", "observation_id", "source_order",
+        F.timestamp_micros("t").alias("event_time"), F.timestamp_micros("p_t").alias("prev_time"),
+        ((F.col("t") - F.col("p_t")) / F.lit(1e6)).alias("gap_seconds"), "distance_m",
     )
     return calm.unionByName(rough).withColumn(
         "knots", F.col("distance_m") / F.col("gap_seconds") * KNOTS_PER_MPS
@@ -314,38 +290,132 @@ def _refined(config: QualityConfig) -> Column:
         F.col("prev.longitude"), F.col("prev.latitude"), F.col("longitude"), F.col("latitude"))).otherwise(d)
 
 
+# A reference: the accepted row that the next one is compared with (``ref`` is its source order,
+# -1 where there is none).
+_REFERENCE = ("ref", "ref_t", "ref_lat", "ref_lon")
+#: References that a piece tries ahead of time.
+TRIED_AHEAD = 4
+
+
+def folded_pairs(rows: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The sequential fold over islands of slices (``entity_key``, ``island``, ``slice``), slices side by side.
+
+    A slice is a piece whose rows one task runs through. All pieces start at once from a guess,
+    the row before their first, and report the reference they end with. Following the pieces of
+    an island, the true reference of each is known as far as the piece before has been run from
+    *its* true one; pieces that lack theirs are run again from it. To keep an error from moving
+    one piece a round, a piece also tries the other references its predecessor has ended with, a
+    few at most: where two ships share an identity, each piece knows both chains after two
+    rounds. In every round at least the first open piece of an island is settled. Only the pieces
+    concerned are read again; reports have one row per piece and reference.
+    """
+    schema = (
+        "kind int, entity_key string, island long, slice long, ref long, ref_t long, ref_lat double, ref_lon double, entity_id string, "
+        "observation_id string, source_order long, t long, p_t long, distance_m double, lat double, lon double")
+    flat = rows.select(
+        "entity_key", "island", "slice", micros(F.col("event_time")).alias("t"), "source_order", "entity_id",
+        "observation_id", "latitude", "longitude", "barred",
+        F.when(F.col("prev.barred"), None).otherwise(F.col("prev.source_order")).alias("p_ref"),
+        micros(F.col("prev.event_time")).alias("p_t"), F.col("prev.latitude").alias("p_lat"), F.col("prev.longitude").alias("p_lon"))
+
+    def run(part: DataFrame, asked: DataFrame | None) -> DataFrame:
+        if asked is None:
+            part = part.withColumns({n: F.lit(None).cast("double" if n in ("ref_lat", "ref_lon") else "long") for n in _REFERENCE})
+        else:
+            asked = asked.select(F.col("entity_key").alias("__key"), F.col("slice").alias("__slice"), *_REFERENCE)
+            part = part.join(asked, (F.col("entity_key") == F.col("__key")) & (F.col("slice") == F.col("__slice"))).drop("__key", "__slice")
+        keys = ["entity_key", "slice", "ref"]
+        return stage(part.repartition(*keys).sortWithinPartitions(*keys, "t", "source_order").mapInPandas(_fold(config), schema))
+
+    done = run(flat, None)
+    while True:
+        reports = done.filter("kind = 1")
+        plan = stage(reports.groupBy("entity_key", "island").applyInPandas(
+            _follow, "entity_key string, slice long, ref long, ref_t long, ref_lat double, ref_lon double, settled boolean"))
+        asked = plan.filter("NOT settled")
+        if not asked.take(1):
+            break
+        done = done.unionByName(run(flat, asked))
+    true = plan.select(F.col("entity_key").alias("__key"), F.col("slice").alias("__slice"), F.col("ref").alias("__ref"))
+    return done.filter("kind = 0").join(
+        true, (F.col("entity_key") == F.col("__key")) & (F.col("slice") == F.col("__slice")) & (F.col("ref") == F.col("__ref")), "left_semi")
+
+
+def _follow(reports: pd.DataFrame) -> pd.DataFrame:
+    """True references of an island's pieces, as far as they are known, and references to run from:
+    the first one that is missing, and others that a later piece may need."""
+    pieces: dict[int, dict[int, tuple]] = {}
+    for r in reports.sort_values("slice", kind="stable").itertuples(index=False):
+        pieces.setdefault(r.slice, {})[r.ref] = (
+            (r.ref, r.ref_t, r.ref_lat, r.ref_lon), (r.source_order, r.t, r.lat, r.lon))
+    entity, out, wanted = reports["entity_key"].iloc[0], [], {}
+    before, reference = None, next(iter(pieces[min(pieces)].values()))[0]  # the first piece's guess is true
+    for number, known in pieces.items():
+        if reference is not None:
+            if reference[0] in known:
+                out.append((entity, number, *reference, True))
+                reference = known[reference[0]][1]
+            else:
+                wanted[number, reference[0]] = reference
+                reference = None
+        if before is not None:
+            ends = {end[0]: end for _, end in before.values()}
+            for end in list(ends.values())[: max(0, TRIED_AHEAD - len(known))]:
+                if end[0] not in known:
+                    wanted.setdefault((number, end[0]), end)
+        before = known
+    # nothing is run ahead once all is settled
+    if reference is None:
+        out += [(entity, number, *r, False) for (number, _), r in wanted.items()]
+    return pd.DataFrame(out, columns=["entity_key", "slice", *_REFERENCE, "settled"])
+
+
 def _fold(config: QualityConfig):
-    """Streaming fold over rows sorted by (vessel, island, bar, time); state is one position."""
+    """Fold over rows sorted by (vessel, slice, reference, time). Yields tested pairs (kind 0) and, for
+    each piece and reference, the reference it ends with (kind 1)."""
     metres = geodesic_scalar if config.distance == "geodesic" else haversine_scalar
     limit = config.max_speed_knots
+    none = (-1, 0, 0.0, 0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
+        current = begin = last = None
+        columns = ["kind", "entity_key", "island", "slice", *_REFERENCE, "entity_id", "observation_id", "source_order", "t",
+                   "p_t", "distance_m", "lat", "lon"]
+
+        def report():
+            ref, t, lat, lon = last or none
+            return (1, *current[:3], *(begin or none), None, None, ref, t, 0, 0.0, lat, lon)
+
         for batch in batches:
             out = []
             rows = zip(*(batch[c].tolist() for c in (
-                "entity_key", "island", "bar", "t", "latitude", "longitude", "barred", "p_t", "p_lat", "p_lon", "p_barred",
-                "entity_id", "observation_id", "source_order")))
-            for entity, island, bar, t, lat, lon, barred, p_t, p_lat, p_lon, p_barred, entity_id, observation_id, order in rows:
-                key = (entity, island, bar)
+                "entity_key", "island", "slice", *_REFERENCE, "p_ref", "p_t", "p_lat", "p_lon", "t", "latitude", "longitude",
+                "barred", "entity_id", "observation_id", "source_order")))
+            for entity, island, piece, ref, r_t, r_lat, r_lon, p_ref, p_t, p_lat, p_lon, t, lat, lon, barred, entity_id, observation_id, order in rows:
+                key = (entity, island, piece, None if pd.isna(ref) else int(ref))
                 if key != current:
-                    current, last = key, None
-                    if not pd.isna(p_t) and not p_barred:
-                        last = (int(p_t), p_lat, p_lon)
+                    if current is not None:
+                        out.append(report())
+                    current = key
+                    if key[3] is not None:
+                        last = None if key[3] < 0 else (key[3], int(r_t), r_lat, r_lon)
+                    else:
+                        last = None if pd.isna(p_ref) else (int(p_ref), int(p_t), p_lat, p_lon)
+                    begin = last
                 if barred:
                     last = None
                     continue
-                here = (t, lat, lon)
-                if last is None or t <= last[0]:
+                here = (order, t, lat, lon)
+                if last is None or t <= last[1]:
                     last = here
                     continue
-                dist = metres(last[2], last[1], lon, lat)
-                out.append((entity_id, observation_id, order, t, last[0], dist))
-                if not dist / ((t - last[0]) / 1e6) * KNOTS_PER_MPS > limit:
+                dist = metres(last[3], last[2], lon, lat)
+                out.append((0, *current[:3], *(begin or none), entity_id, observation_id, order, t, last[1], dist, lat, lon))
+                if not dist / ((t - last[1]) / 1e6) * KNOTS_PER_MPS > limit:
                     last = here
-            yield pd.DataFrame(
-                out, columns=["entity_id", "observation_id", "source_order", "t", "p_t", "distance_m"]
-            )
+            yield pd.DataFrame(out, columns=columns)
+        if current is not None:
+            yield pd.DataFrame([report()], columns=columns)
 
     return run
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.plans.ordered import attach, micros, seconds_between, slice_window, time_slice
+from tidewake.plans.ordered import attach, bounded_slices, micros, seconds_between, slice_window
 from tidewake.schema import DENSE_SOURCE_TYPES, SEGMENT_COLUMNS, QualityConfig, blank, conform
 from tidewake.session import stage
 
@@ -32,21 +28,24 @@ def _provider_changed(prev: Column, cur: Column) -> Column:
 
 #: Rows of a slice in one piece of a run.
 PIECE_ROWS = 4096
+#: Fixed value: identifiers or digests under one node of a run's hash tree.
+TREE_WIDTH = 4096
 
 
 def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Cleaned points in time order with their predecessor and run key.
 
     Added: ``prev`` (struct), ``gap_seconds``, ``run_break``, ``dense`` and the run key
-    (``run_slice``, ``run_no``): the slice a run starts in and its number there. A run that
-    continues over slices keeps the key of its first slice, found on the per-slice summary.
+    (``run_slice``, ``run_no``): the slice a run starts in and its number there; ``run_place`` is the
+    point's place in its run, from 0. A run that continues over slices keeps the key of its first
+    slice, and its places go on, both found on the per-slice summary.
     """
     rows = conform(cleaned).filter(~blank(F.col("entity_id"))).select(
         F.trim("entity_id").alias("entity_id"), "observation_id", "source_order",
         F.col("event_time").cast("timestamp").alias("event_time"), "longitude", "latitude",
         "actor_type", "source_type", "source_name", "source_segment_id",
-        time_slice(F.col("event_time"), config.slice_seconds).alias("slice"),
     )
+    rows = bounded_slices(rows, "entity_id", "event_time", "source_order", config.slice_seconds, config.slice_rows)
     point = F.struct(
         "event_time", "source_order", "observation_id", "actor_type", "source_name",
         "source_segment_id", "longitude", "latitude",
@@ -59,12 +58,13 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
     spec = slice_window(["entity_id", "slice"], _ORDER)
     local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
         "break_local", F.coalesce(breaks(F.col("prev_local"), point), F.lit(False)).cast("long")
-    ).withColumn("piece", F.floor((F.row_number().over(spec) - 1) / PIECE_ROWS))
+    ).withColumn("nth_row", F.row_number().over(spec).cast("long") - 1).withColumn("piece", F.floor(F.col("nth_row") / PIECE_ROWS))
     ordinal = F.struct(*_ORDER)
     summary = local.groupBy("entity_id", "slice").agg(
         F.min_by(point, ordinal).alias("head"),
         F.max_by(point, ordinal).alias("tail"),
-        F.sum("break_local").alias("breaks"),
+        F.sum("break_local").alias("breaks"), F.count("*").alias("rows"),
+        F.max(F.when(F.col("break_local") == 1, F.col("nth_row"))).alias("last_break"),
         F.bool_and(F.coalesce(F.col("source_type").isin(*DENSE_SOURCE_TYPES), F.lit(False))).alias("dense"),
     )
     by_entity = Window.partitionBy("entity_id").orderBy("slice")
@@ -73,14 +73,17 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
         summary.withColumn("carry", F.lag("tail").over(by_entity))
         .withColumn("fresh", F.coalesce(breaks(F.col("carry"), F.col("head")), F.lit(True)).cast("long"))
         .withColumn("starts", F.col("breaks") + F.col("fresh"))
+        .withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
         .withColumn("open_run", F.last(
-            F.when(F.col("starts") > 0, F.struct("slice", "starts")), ignorenulls=True).over(earlier))
+            F.when(F.col("starts") > 0, F.struct("slice", "starts", (
+                F.col("rows_before") + F.coalesce("last_break", F.lit(0))).alias("start"))), ignorenulls=True).over(earlier))
         .withColumn("dense", F.min("dense").over(Window.partitionBy("entity_id")))
-        .select("entity_id", "slice", "carry", "fresh", "open_run", "dense")
-    )
-    joined = attach(
-        local.withColumn("nth", F.sum("break_local").over(spec)), summary, ["entity_id", "slice"]
+        .select("entity_id", "slice", "carry", "fresh", "open_run", "dense", "rows_before")
     )
+    joined = attach(local.withColumns({
+        "nth": F.sum("break_local").over(spec),
+        "opened": F.last(F.when(F.col("break_local") == 1, F.col("nth_row")), ignorenulls=True).over(spec),
+    }), summary, ["entity_id", "slice"])
     number = F.col("nth") + F.col("fresh")
     return (
         joined.withColumn("prev", F.coalesce("prev_local", "carry"))
@@ -88,94 +91,64 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
         .withColumn("run_break", F.coalesce(breaks(F.col("prev"), point), F.lit(False)))
         .withColumn("run_slice", F.when(number > 0, F.col("slice")).otherwise(F.col("open_run.slice")))
         .withColumn("run_no", F.when(number > 0, number).otherwise(F.col("open_run.starts")))
-        .drop("prev_local", "break_local", "nth", "carry", "fresh", "open_run")
+        .withColumn("run_place", F.when(number > 0, F.col("nth_row") - F.coalesce("opened", F.lit(0))).otherwise(
+            F.col("rows_before") + F.col("nth_row") - F.col("open_run.start")))
+        .drop("prev_local", "break_local", "nth", "nth_row", "opened", "carry", "fresh", "open_run", "rows_before")
     )
 
 
-_PIECE_OUT = (
-    "entity_id string, run_slice long, run_no long, digest string, start_observation_id string, "
-    "end_observation_id string, actor_type string, start_us long, end_us long, point_count long, "
-    "max_gap_seconds double, source_set array<string>, source_segment_ids array<string>"
-)
-
-
 def observed_runs(linked: DataFrame) -> DataFrame:
     """OBSERVED_TRACK segments of dense vessels; runs of a single point are dropped.
 
-    Points are first reduced to pieces of at most ``PIECE_ROWS`` points of a run and a slice, so no
-    row holds more ids than that, however many points a day has. Pieces of a run are then streamed in
-    order and their ids fed to the hash one after another.
+    A segment is named by the hash of its observation ids, joined by ``|``. The ids of longer runs
+    are hashed as a tree: every ``TREE_WIDTH`` ids in order give a digest, every ``TREE_WIDTH``
+    digests another, and these the last one; a level with one member passes it on, so a run of up
+    to ``TREE_WIDTH`` points keeps the plain hash. Nodes are aggregates by place: they come
+    together in any order and on any task, and no row or task holds the ids of a long run.
     """
     same_run = F.col("prev").isNotNull() & ~F.col("run_break")
     provider = F.trim(F.coalesce("source_segment_id", F.lit("")))
-    in_order = F.array_sort(F.collect_list(F.struct(*_ORDER, "observation_id")))
-    ordinal = F.struct(*_ORDER)
-    pieces = (
-        linked.filter("dense")
-        .groupBy("entity_id", "slice", "piece", "run_slice", "run_no")
-        .agg(
-            F.array_join(F.transform(in_order, lambda s: s["observation_id"]), "|").alias("ids"),
-            F.min_by("observation_id", ordinal).alias("first_id"),
-            F.max_by("observation_id", ordinal).alias("last_id"),
-            F.min_by("actor_type", ordinal).alias("actor_type"),
-            F.min(micros(F.col("event_time"))).alias("start_us"),
-            F.max(micros(F.col("event_time"))).alias("end_us"),
-            F.count("*").alias("points"),
-            F.max(F.when(same_run, F.col("gap_seconds"))).alias("max_gap"),
-            F.collect_set("source_name").alias("names"),
-            F.collect_set(F.when(provider != "", provider)).alias("providers"),
-        )
-        .repartition("entity_id", "run_slice", "run_no")
-        .sortWithinPartitions("entity_id", "run_slice", "run_no", "slice", "piece")
-    )
-    merged = pieces.mapInPandas(_merge_pieces, _PIECE_OUT)
-    return merged.filter("point_count >= 2").select(
+    run = ["entity_id", "run_slice", "run_no"]
+
+    def joined(place: str, value: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda s: s[value]), "|")
+
+    def first(column: str) -> Column:
+        return F.min_by(column, "place").alias(column)
+
+    facts = [first("first_id"), F.max_by("last_id", "place").alias("last_id"), first("actor_type"), F.min("start_us").alias("start_us"),
+             F.max("end_us").alias("end_us"), F.sum("points").alias("points"), F.max("max_gap").alias("max_gap"),
+             F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"),
+             F.array_distinct(F.flatten(F.collect_list("providers"))).alias("providers"), F.min("place").alias("place")]
+    # within a slice, where the rows of a piece are together already
+    parts = linked.filter("dense").withColumn("leaf", F.floor(F.col("run_place") / TREE_WIDTH)).groupBy(
+        "entity_id", "slice", "piece", "run_slice", "run_no", "leaf").agg(
+        joined("run_place", "observation_id").alias("ids"),
+        F.min_by("observation_id", "run_place").alias("first_id"), F.max_by("observation_id", "run_place").alias("last_id"),
+        F.min_by("actor_type", "run_place").alias("actor_type"), F.min(micros(F.col("event_time"))).alias("start_us"),
+        F.max(micros(F.col("event_time"))).alias("end_us"), F.count("*").alias("points"),
+        F.max(F.when(same_run, F.col("gap_seconds"))).alias("max_gap"), F.collect_set("source_name").alias("names"),
+        F.collect_set(F.when(provider != "", provider)).alias("providers"), F.min("run_place").alias("place"))
+    node = parts.groupBy(*run, "leaf").agg(F.sha2(joined("place", "ids"), 256).alias("digest"), *facts)
+    node = node.repartition(*run)
+    for level, upper in (("leaf", "branch"), ("branch", "root")):
+        only = (F.count("*") == 1) & (F.min(level) == 0)
+        digest = F.when(only, F.min("digest")).otherwise(F.sha2(joined(level, "digest"), 256)).alias("digest")
+        group = F.floor(F.col(level) / TREE_WIDTH) if upper == "branch" else F.lit(0).cast("long")
+        node = node.withColumn(upper, group).groupBy(*run, upper).agg(digest, *facts)
+    return node.filter("points >= 2").select(
         F.concat(F.lit("seg-"), F.substring("digest", 1, 16)).alias("segment_id"),
-        "entity_id", "start_observation_id", "end_observation_id",
+        "entity_id", F.col("first_id").alias("start_observation_id"), F.col("last_id").alias("end_observation_id"),
         F.col("entity_id").alias("start_entity_id"), F.col("entity_id").alias("end_entity_id"),
         "actor_type", F.timestamp_micros("start_us").alias("start_time"),
         F.timestamp_micros("end_us").alias("end_time"),
-        F.lit("OBSERVED_TRACK").alias("segment_type"), "point_count", "max_gap_seconds",
-        F.lit("HIGH").alias("confidence"), "source_set", "source_segment_ids",
-        "run_slice", "run_no",
+        F.lit("OBSERVED_TRACK").alias("segment_type"), F.col("points").alias("point_count"),
+        F.coalesce("max_gap", F.lit(0.0)).alias("max_gap_seconds"),
+        F.lit("HIGH").alias("confidence"), F.array_sort("names").alias("source_set"),
+        F.array_sort("providers").alias("source_segment_ids"), "run_slice", "run_no",
     )
 
 
-def _merge_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _PIECE_OUT.split(", ")]
-    run = None
-
-    def record(r):
-        return (
-            *r["key"], r["hash"].hexdigest(), r["first"], r["last"], r["actor"], r["start"], r["end"],
-            r["points"], r["gap"], sorted(r["names"]), sorted(r["providers"]),
-        )
-
-    for batch in batches:
-        done = []
-        for p in batch.itertuples(index=False):
-            key = (p.entity_id, p.run_slice, p.run_no)
-            gap = 0.0 if pd.isna(p.max_gap) else p.max_gap
-            if run is None or run["key"] != key:
-                if run is not None:
-                    done.append(record(run))
-                run = {
-                    "key": key, "hash": hashlib.sha256(p.ids.encode()), "first": p.first_id,
-                    "last": p.last_id, "actor": p.actor_type, "start": p.start_us, "end": p.end_us,
-                    "points": p.points, "gap": gap, "names": set(p.names), "providers": set(p.providers),
-                }
-                continue
-            run["hash"].update(b"|" + p.ids.encode())
-            run["last"], run["end"] = p.last_id, p.end_us
-            run["points"] += p.points
-            run["gap"] = max(run["gap"], gap)
-            run["names"].update(p.names)
-            run["providers"].update(p.providers)
-        yield pd.DataFrame(done, columns=columns)
-    if run is not None:
-        yield pd.DataFrame([record(run)], columns=columns)
-
-
 def links(linked: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Two-point segments: opt-in interpolations at run breaks of dense vessels, and
     inferred connections between consecutive points of all other vessels."""

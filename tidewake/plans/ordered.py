@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.session import stage
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -30,6 +32,52 @@ def order_slice(order: Column, width: int) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
+#: Bits of a slice number that count the parts of a time slice.
+PART_BITS = 20
+#: Sampled rows between two cuts; a part's size varies by about an eighth.
+SAMPLES = 64
+
+
+def slice_start(part: Column, width_seconds: int) -> Column:
+    """Microseconds at which the time slice of a :func:`bounded_slices` number begins."""
+    return F.shiftright(part, PART_BITS) * F.lit(width_seconds * 1_000_000)
+
+
+def bounded_slices(df: DataFrame, key: str, time: str, order: str, width_seconds: int, slice_rows: int) -> DataFrame:
+    """``df`` with ``slice``, which ascends with (``time``, ``order``) in each key: time slices of a fixed width,
+    those of more than ``slice_rows`` rows cut into parts of about so many.
+
+    Rows are counted per key and time slice first. Only where there are too many, every
+    ``slice_rows / 64``-th row by hash is sampled and every 64th of the samples in order becomes a
+    cut, so cuts follow the rows however they bunch, down to rows of one instant. Nothing else
+    depends on the sample. Without a full slice the cost is one count.
+    """
+    base = df.withColumn("slice", F.shiftleft(time_slice(F.col(time), width_seconds), PART_BITS))
+    full = stage(base.groupBy(key, "slice").agg(F.count("*").alias("__n")).where(F.col("__n") > slice_rows).select(
+        F.col(key).alias("__key"), F.col("slice").alias("__slice")))
+    if not full.take(1):
+        return base
+    step = max(1, slice_rows // SAMPLES)
+    every = max(1, slice_rows // step)
+    point = F.struct(micros(F.col(time)).alias("t"), F.col(order).cast("long").alias("o"))
+    sample = base.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0).select(key, "slice", point.alias("__at"))
+    sample = sample.join(full, (F.col(key) == F.col("__key")) & (F.col("slice") == F.col("__slice"))).select("__key", "__slice", "__at")
+    nth = F.row_number().over(Window.partitionBy("__key", "__slice").orderBy("__at"))
+    cuts = sample.withColumn("__nth", nth).where(F.col("__nth") % every == 0).groupBy("__key", "__slice").agg(
+        F.sort_array(F.collect_list("__at")).alias("__cuts"))
+    # two levels, so that a row looks at the square root of the cuts twice
+    width = F.ceil(F.sqrt(F.size("__cuts"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / F.col("__width")).cast("int")),
+                         lambda i: F.slice("__cuts", i * F.col("__width") + 1, F.col("__width")))
+    cuts = stage(cuts.withColumn("__width", width).withColumn("__blocks", blocks).select(
+        "__key", "__slice", "__width", "__blocks", F.transform("__blocks", lambda b: b[0]).alias("__top")))
+    joined = base.join(cuts, (F.col(key) == F.col("__key")) & (F.col("slice") == F.col("__slice")), "left")
+    block = F.size(F.filter("__top", lambda c: c <= point))
+    inner = F.size(F.filter(F.get("__blocks", block - 1), lambda c: c <= point))
+    part = F.when(F.col("__key").isNull() | (block == 0), 0).otherwise((block - 1) * F.col("__width") + inner)
+    return joined.withColumn("slice", F.col("slice") + part.cast("long")).drop("__key", "__slice", "__width", "__blocks", "__top")
+
+
 def slice_window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 

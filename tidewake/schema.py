@@ -115,9 +115,11 @@ class QualityConfig:
     inferred_connection_max_gap_seconds: int = 7 * 86400
     # 'geodesic' is the WGS84 ellipsoid, 'haversine' the sphere.
     distance: str = "geodesic"
-    # A vessel's history is cut into time slices of this width so that one vessel never
-    # becomes one task; source order is cut into slices of ``source_slice`` rows.
+    # A vessel's history is cut into time slices of this width, and a slice of more than about
+    # ``slice_rows`` rows again, so that neither a vessel nor its busiest day becomes one task;
+    # source order is cut into slices of ``source_slice`` rows.
     slice_seconds: int = 86400
+    slice_rows: int = 1 << 16
     source_slice: int = 1 << 20
 
 
