@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.bpe import byte_letters
+from tidewake.llm.bpe import Recent, byte_letters
 from tidewake.llm.workers import kept
 from tidewake.session import stage
 
@@ -36,8 +37,11 @@ LINKS = 1 << 21
 #: Id pairs of highest count that every executor holds (about 50 bytes each); others are joined.
 HELD_PAIRS = 1 << 19
 
+#: Words that each of the cache's two generations holds (about 250 bytes each).
+CACHE_WORDS = 150_000
+
 #: A place where both sides' tokens end: neither joins a character to a space after it.
-CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+CUT = re.compile("(?<=[!-~\xa1-\xff]) (?=[!-~\xa1-\xff])")
 
 
 @dataclass
@@ -85,6 +89,8 @@ class Aligner:
         marked = [b"%d%b" % (i, end) for n, last in ((len(tokens), b"|"), (size, b";")) for i in range(n) for end in (b",", last)]
         self.marked = pa.array(marked, pa.large_binary())
         self.first_b = 2 * len(tokens)
+        self.packed = ["H" if n <= 1 << 16 else "I" for n in (len(tokens), size)]
+        self.recent = Recent(CACHE_WORDS)
 
     @staticmethod
     def _taken(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -95,12 +101,11 @@ class Aligner:
 
     def align(self, pieces: list[str]) -> list[Aligned | None]:
         """Alignment of each text by itself; None where the joined tokens are not the space and the text."""
-        spaced = [" " + p for p in pieces]
-        found_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        found_b = self.b.encode(pieces, num_threads=1)
-        flat_a, ends_a = _flat(found_a)
-        flat_b, ends_b = _flat(found_b)
-        whole = [s.encode() for s in spaced]
+        split = [CUT.split(p) for p in pieces]
+        known = self._known(set().union(*split))
+        (flat_a, ends_a), (flat_b, ends_b) = (
+            _flat([b"".join([known[w][side] for w in words]) for words in split], self.packed[side]) for side in (0, 1))
+        whole = [b" " + p.encode() for p in pieces]
         content_a, at_a = self._taken(self.bytes_a, flat_a)
         content_b, at_b = self._taken(self.bytes_b, flat_b)
         same = np.array([
@@ -140,6 +145,17 @@ class Aligner:
             out[i].links = np.concatenate([n for _, n in parts])
         return out
 
+    def _known(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Packed ids of both sides for each word; words met lately are not tokenised again."""
+        new = self.recent.missing(words)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found_a = self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
+            found_b = self.b.encode(part, num_threads=1)
+            for word, a, b in zip(part, found_a, found_b):
+                self.recent.now[word] = array(self.packed[0], a.ids).tobytes(), array(self.packed[1], b).tobytes()
+        return self.recent.now
+
     def _links(self, a, group_a, b, group_b, of_group, total: int):
         """(text, pair, links) in ascending order, in blocks of about ``LINKS`` of them. A pair of ids of a
         group is one link with a weight, however often either occurs in the group."""
@@ -171,9 +187,10 @@ class Aligner:
                 yield text[new], pair[new], np.add.reduceat(weight, new)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.append(0, np.cumsum(list(map(len, lists)), dtype=np.int64))
-    return np.fromiter((i for ids in lists for i in ids), np.int64, int(ends[-1])), ends
+def _flat(packed: list[bytes], code: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and the n + 1 places where each text's begin."""
+    size = array(code).itemsize
+    return np.frombuffer(b"".join(packed), code).astype(np.int64), np.append(0, np.cumsum([len(p) // size for p in packed], dtype=np.int64))
 
 
 def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
