@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewake.operators.normalize import normalize, to_number
 from tidewake.plans.ordered import attach
+from tidewake.session import stage
+from tidewake.sources.geojson import file_offsets, read_features
 
 # Container formats by file suffix.
 FORMATS = {"csv": "csv", "tsv": "tsv", "geojson": "geojson", "json": "geojson", "parquet": "parquet"}
@@ -47,43 +49,43 @@ def with_file_order(df: DataFrame, keep_file: bool = False) -> DataFrame:
 
     Spark numbers the rows of each task in the order they are read, and a scan split is known by
     the first byte it reads. So the place in a split is the number less the split's first one, and
-    (file, block start, place) orders the input. First numbers and row counts come from one small
-    summary with a row per split, which alone is windowed; the rows themselves are only joined to
-    it, and Spark broadcasts it while it is small.
+    (file, block start, place) orders the input. The rows are numbered in the pass that writes them
+    to the shared folder; first numbers and row counts come from what was written, as a summary
+    with a row per split, which alone is windowed. The input is scanned once, so nothing depends
+    on a second scan being split alike, and later readers take the columns they need.
     """
-    place = df.select(
+    numbered = stage(df.select(
         "*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"),
         F.monotonically_increasing_id().alias("__row"),
-    )
+    ))
     spec = ["__file", "__start"]
-    splits = place.groupBy(*spec).agg(F.count("*").alias("__rows"), F.min("__row").alias("__first"))
+    splits = numbered.groupBy(*spec).agg(F.count("*").alias("__rows"), F.min("__row").alias("__first"))
     before = Window.partitionBy(F.lit(0)).orderBy(*spec).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(*spec, (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
-    ordered = attach(place, offsets, spec).withColumn("source_order", F.col("__offset") + F.col("__row")).drop("__start", "__row", "__offset")
+    ordered = attach(numbered, offsets, spec).withColumn("source_order", F.col("__offset") + F.col("__row")).drop("__start", "__row", "__offset")
     return ordered if keep_file else ordered.drop("__file")
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Point features: properties as columns, position as ``geometry_lon``/``geometry_lat``.
 
-    GeoJSON is WGS84 by definition; a file that declares another CRS is refused.
+    GeoJSON is WGS84 by definition; a file that declares another CRS is refused. A file is read by
+    as many tasks as it has scan splits (:mod:`tidewake.sources.geojson`).
     """
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    if "features" not in raw.columns:
+    lines = read_features(spark, path)
+    if "frame" not in lines.columns:
         raise ValueError("not a GeoJSON feature collection")
-    if "crs" in raw.columns:
-        named = F.to_json("crs")
-        if raw.filter(named.isNotNull() & ~F.contains(named, F.lit("CRS84")) & ~F.contains(named, F.lit("4326"))).take(1):
-            raise ValueError("geospatial input is not WGS84; reproject it before import")
-    features = raw.select(
-        F.input_file_name().alias("__file"), F.posexplode("features").alias("__pos", "f"))
-    counts = features.groupBy("__file").agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    named = F.get_json_object("frame", "$.crs")
+    if lines.where(named.isNotNull() & ~F.contains(named, F.lit("CRS84")) & ~F.contains(named, F.lit("4326"))).take(1):
+        raise ValueError("geospatial input is not WGS84; reproject it before import")
+    if "f" not in lines.columns:
+        return spark.createDataFrame([], "geometry_lon double, geometry_lat double, source_order long")
+    features = lines.where("number IS NOT NULL")
+    offsets = file_offsets(features.groupBy("file").agg(F.count("*").alias("rows")))
     point = F.col("f.geometry.coordinates")
-    return attach(features, offsets, ["__file"]).select(
+    return features.join(offsets, F.col("file") == F.col("__file")).select(
         "f.properties.*", to_number(point[0]).alias("geometry_lon"), to_number(point[1]).alias("geometry_lat"),
-        (F.col("__offset") + F.col("__pos")).cast("long").alias("source_order"),
+        (F.col("__offset") + F.col("number").cast("long")).alias("source_order"),
     )
 
 
