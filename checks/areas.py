@@ -8,7 +8,7 @@ from checks.quality import HAVERSINE
 from checks.registry import Inputs, query
 from tidewake.functions import geo
 from tidewake.functions.identity import malformed_identifier
-from tidewake.operators import filters, layers, vectors
+from tidewake.operators import filters, layers, polygons, vectors
 from tidewake.operators.audit import forbidden_paths
 
 DAYS = "event_time::date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
@@ -239,6 +239,33 @@ def geo6d(t):
     return cut.groupBy("feature_id").agg(F.count("*").alias("parts"), F.round(F.sum(vectors.ring_area(F.col("ring"))), 6).alias("area"))
 
 
+# the U with a hole in its lower arm, one across its spine's western half and one that the box's sides may cut
+_HOLES = ((2.25, 0.25, 0.5, 0.5), (0.25, 0.5, 0.25, 2.0), (3.0, 2.125, 0.75, 0.75))
+
+
+@query("geo6_clip_holes", """WITH u AS (SELECT c_custkey AS feature_id, CAST(c_custkey % 60 AS double) AS x0, CAST(c_custkey % 37 AS double) AS y0 FROM customer),
+  bars AS (SELECT feature_id, 0 AS hole, x0 + dx AS xa, y0 + dy AS ya, x0 + dx + w AS xb, y0 + dy + h AS yb FROM u, (VALUES (0.0::double, 0.0::double, 1.0::double, 3.0::double),
+    (1.0, 0.0, 3.0, 1.0), (1.0, 2.0, 3.0, 1.0)) b(dx, dy, w, h)),
+  gaps AS (SELECT feature_id, 1, x0 + dx, y0 + dy, x0 + dx + w, y0 + dy + h FROM u, (VALUES (2.25::double, 0.25::double, 0.5::double, 0.5::double),
+    (0.25, 0.5, 0.25, 2.0), (3.0, 2.125, 0.75, 0.75)) g(dx, dy, w, h)),
+  every AS (SELECT * FROM bars UNION ALL SELECT * FROM gaps),
+  cut AS (SELECT feature_id, hole, greatest(xa, 10.25) AS xl, least(xb, 40.5) AS xr, greatest(ya, 5.5) AS yl, least(yb, 30.0) AS yr,
+    xa >= 10.25 AND xb <= 40.5 AND ya >= 5.5 AND yb <= 30.0 AS whole FROM every)
+  SELECT feature_id, count(*) FILTER (WHERE hole = 1 AND whole) AS holes,
+    round(sum((xr - xl) * (yr - yl) * (1 - 2 * hole)), 6) AS area FROM cut WHERE xl < xr AND yl < yr GROUP BY feature_id""")
+def geo6e(t):
+    c = t.table("customer").select("c_custkey", (F.col("c_custkey") % 60).cast("double").alias("x0"), (F.col("c_custkey") % 37).cast("double").alias("y0"))
+    corners = ((0, 0), (4, 0), (4, 1), (1, 1), (1, 2), (4, 2), (4, 3), (0, 3))
+
+    def ring(points):
+        return F.array(*[F.struct((F.col("x0") + x).alias("x"), (F.col("y0") + y).alias("y")) for x, y in points])
+
+    rings = [ring(corners), *[ring(((x, y), (x + w, y), (x + w, y + h), (x, y + h))) for x, y, w, h in _HOLES]]
+    table = c.select(F.col("c_custkey").alias("feature_id"), F.lit(0).alias("polygon_no"), F.posexplode(F.array(*rings)).alias("ring_no", "ring"))
+    parts = polygons.polygon_areas(polygons.clip_with_holes(table, (10.25, 5.5, 40.5, 30.0)))
+    return parts.groupBy("feature_id").agg(F.sum("holes").alias("holes"), F.round(F.sum("area"), 6).alias("area"))
+
+
 @query("src10_zone_layer", f"""WITH {_SQUARES} SELECT feature_id, round({_CUT}, 6) AS area, 'zones_v1' AS source_id, 'eez_reference' AS boundary_type,
   'provider_reference' AS legal_status FROM squares WHERE x0 + w > 10.25 AND x0 < 40.5 AND y0 + h > 5.5 AND y0 < 30.0""")
 def src10(t):

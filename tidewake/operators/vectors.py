@@ -216,35 +216,42 @@ def _crossings(ring: Column, bbox) -> Column:
     return F.greatest(crossed("x", xmin), crossed("x", xmax), crossed("y", ymin), crossed("y", ymax))
 
 
-def _half_plane(ring: list[tuple[float, float]], axis: int, bound: float, sign: int) -> list[list[tuple[float, float]]]:
-    """Parts of a simple ring on one side of a line.
+def cut_rings(
+    rings: list[list[tuple[float, float]]], axis: int, bound: float, sign: int,
+) -> tuple[list[int], list[list[tuple[float, float]]]]:
+    """The rings of one polygon on one side of a line: indices of those that lie there whole, and the
+    parts that the others form.
 
-    The ring falls into chains on the inner side. Where the line enters and leaves the ring, in order
+    Rings fall into chains on the inner side. Where the line enters and leaves the polygon, in order
     along the line, every second stretch lies inside; it joins the end of one chain to the start of
-    another, and following these joints gives one ring per part.
+    another, and following these joints gives one ring per part. A hole that the line cuts becomes a
+    bay of the part around it.
     """
-    inside = [sign * (p[axis] - bound) >= 0 for p in ring]
-    if all(inside):
-        return [ring]
-    if not any(inside):
-        return []
-    first = next(i for i in range(len(ring)) if inside[i] and not inside[i - 1])
-    order = ring[first:] + ring[:first]
-    flags = inside[first:] + inside[:first]
+    whole: list[int] = []
+    chains: list[list[tuple[float, float]]] = []
 
     def meet(a, b):
         t = (bound - a[axis]) / (b[axis] - a[axis])
         at = a[1 - axis] + t * (b[1 - axis] - a[1 - axis])
         return (bound, at) if axis == 0 else (at, bound)
 
-    chains: list[list[tuple[float, float]]] = []
-    for i, (p, keep) in enumerate(zip(order, flags)):
-        if keep:
-            if not flags[i - 1]:
-                chains.append([meet(order[i - 1], p)])
-            chains[-1].append(p)
-        elif flags[i - 1]:
-            chains[-1].append(meet(order[i - 1], p))
+    for n, ring in enumerate(rings):
+        inside = [sign * (p[axis] - bound) >= 0 for p in ring]
+        if all(inside):
+            whole.append(n)
+            continue
+        if not any(inside):
+            continue
+        first = next(i for i in range(len(ring)) if inside[i] and not inside[i - 1])
+        order = ring[first:] + ring[:first]
+        flags = inside[first:] + inside[:first]
+        for i, (p, keep) in enumerate(zip(order, flags)):
+            if keep:
+                if not flags[i - 1]:
+                    chains.append([meet(order[i - 1], p)])
+                chains[-1].append(p)
+            elif flags[i - 1]:
+                chains[-1].append(meet(order[i - 1], p))
     ends = sorted([(c[0][1 - axis], k, 0) for k, c in enumerate(chains)] + [(c[-1][1 - axis], k, 1) for k, c in enumerate(chains)])
     partner = {}
     for (_, k, end), (_, m, other) in zip(ends[::2], ends[1::2]):
@@ -260,7 +267,13 @@ def _half_plane(ring: list[tuple[float, float]], axis: int, bound: float, sign:
             end = 1 - at
         parts.append(part)
         assert k == start
-    return parts
+    return whole, parts
+
+
+def _half_plane(ring: list[tuple[float, float]], axis: int, bound: float, sign: int) -> list[list[tuple[float, float]]]:
+    """Parts of a simple ring on one side of a line."""
+    whole, parts = cut_rings([ring], axis, bound, sign)
+    return [ring] if whole else parts
 
 
 def _clip_to_parts(bbox):
