@@ -72,6 +72,20 @@ def jn6(t):
         "resolution_status", "candidate_count")
 
 
+# an archive that leaves classes empty and carries inferred ones
+_INFERRED = ("CASE WHEN yr % 3 = 0 THEN '' WHEN yr % 3 = 1 THEN NULL ELSE vessel_class END", "CASE WHEN yr % 2 = 0 THEN concat('inferred-', flag) END")
+
+
+@query("jn6_inferred_classes", f"""WITH archive AS (SELECT mmsi, CASE WHEN coalesce({_INFERRED[0]}, '') <> '' THEN vessel_class ELSE {_INFERRED[1]} END AS class FROM bulk),
+  slots AS (SELECT vessel_key, 0 AS slot, mmsi_primary AS mmsi FROM crosswalk WHERE mmsi_primary <> '' UNION ALL SELECT vessel_key, 1, mmsi_secondary FROM crosswalk WHERE mmsi_secondary <> ''),
+  facts AS (SELECT mmsi, array_to_string(list_sort(list_distinct(list(class) FILTER (WHERE class <> ''))), ';') AS classes FROM archive GROUP BY mmsi),
+  hits AS (SELECT vessel_key, arg_min(mmsi, slot) AS mmsi FROM slots JOIN facts USING (mmsi) GROUP BY vessel_key)
+  SELECT c.vessel_key AS entity_key, coalesce(f.classes, '') AS vessel_class FROM crosswalk c LEFT JOIN hits h USING (vessel_key) LEFT JOIN facts f ON f.mmsi = h.mmsi""", views=VIEWS)
+def jn6b(t):
+    bulk = t.view("bulk").selectExpr("mmsi", "yr", "flag", f"{_INFERRED[0]} AS vessel_class", f"{_INFERRED[1]} AS vessel_class_inferred")
+    return cw.resolve_crosswalk(t.view("crosswalk"), bulk).select("entity_key", "vessel_class")
+
+
 @query("ord3_strongest_query", f"WITH {RESOLVED.strip()} SELECT entity_key AS vessel_key, query_method, query_value FROM resolution", views=VIEWS)
 def ord3(t):
     return cw.strongest_query(t.view("crosswalk")).select("vessel_key", "query_method", "query_value")

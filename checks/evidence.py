@@ -420,6 +420,16 @@ def agg7(t):
     return layers.legend(stage(segments.track_segments(cleaned, CONFIG)), cleaned)
 
 
+@query("agg7_legend_without_actor", f"""WITH {_SEGS.strip()}, marked AS (SELECT CASE WHEN source_order % 3 = 0 THEN 'OFFICIAL_OBSERVATION' ELSE 'AIS' END AS method FROM cleaned),
+  f AS (SELECT segment_type AS layer FROM segs UNION ALL SELECT method FROM marked WHERE method = 'OFFICIAL_OBSERVATION')
+  SELECT e.entry, e.layer, count(f.layer) AS features, count(f.layer) > 0 AS shown FROM (VALUES ('Observed Tracks', 'OBSERVED_TRACK'), ('Inferred Segments', 'INFERRED_CONNECTION'),
+    ('Official Observations', 'OFFICIAL_OBSERVATION')) e(entry, layer) LEFT JOIN f ON f.layer = e.layer GROUP BY 1, 2""", views=("observations",), recursive=True)
+def agg7c(t):
+    cleaned = cleaned_of(t)
+    method = F.when(F.col("source_order") % 3 == 0, "OFFICIAL_OBSERVATION").otherwise("AIS")
+    return layers.legend_without_actor(stage(segments.track_segments(cleaned, CONFIG)), cleaned.withColumn("observation_method", method))
+
+
 @query("agg7_visible_layers", """SELECT l.layer, count(d.doc_id) AS features, count(d.doc_id) > 0 AS shown FROM (SELECT DISTINCT c_mktsegment AS layer FROM customer UNION SELECT DISTINCT lang FROM documents) l
   LEFT JOIN documents d ON d.lang = l.layer GROUP BY 1""")
 def agg7b(t):
@@ -452,6 +462,37 @@ def snk1(t):
     return t.spark.read.parquet(path).groupBy("actor_type").agg(F.count("*").alias("rows"))
 
 
+@query("snk1_reference_layers", """WITH zones AS (SELECT CASE c_custkey % 2 WHEN 0 THEN 'eez_reference' ELSE 'territorial_sea' END AS layer, count(*) AS features FROM customer GROUP BY 1),
+  boundaries AS (SELECT 'computed_median' AS layer, count(*) AS features FROM supplier), cells AS (SELECT 'traffic_density' AS layer, count(*) AS features FROM grid),
+  have AS (SELECT * FROM zones UNION ALL SELECT * FROM boundaries UNION ALL SELECT * FROM cells)
+  SELECT 'layer' AS part, n AS name, coalesce(features, 0) AS rows FROM (VALUES ('eez_reference'), ('territorial_sea'), ('contiguous_zone'), ('maritime_boundary'), ('continental_shelf'),
+    ('computed_median'), ('custom_boundary'), ('traffic_density')) l(n) LEFT JOIN have ON layer = n
+  UNION ALL SELECT 'AVAILABLE', layer, features FROM have
+  UNION ALL SELECT 'UNAVAILABLE', 'contiguous_zone', 0 UNION ALL SELECT 'NOT_CACHED_LARGE_SOURCE', 'satellite', 0
+  UNION ALL SELECT 'warning', w, 1 FROM (VALUES ('contiguous_zone: no data, UNAVAILABLE'), ('satellite: no data, NOT_CACHED_LARGE_SOURCE'), ('custom_boundary: selected without a source')) v(w)""", views=("grid",))
+def snk1b(t):
+    """Reference layers of a package, its availability ledger and its warnings, read back."""
+    from tidewake.plans.build import ReferenceData, write_reference
+    from tidewake.schema import BOUNDARY_SCHEMA, ZONE_SCHEMA
+
+    def of(df, schema):
+        wanted = t.spark.createDataFrame([], schema).schema
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+    c = t.table("customer").withColumn("layer", F.when(F.col("c_custkey") % 2 == 0, "eez_reference").otherwise("territorial_sea"))
+    zones = {name: of(c.filter(F.col("layer") == name).withColumn("source_id", F.col("layer")), ZONE_SCHEMA) for name in ("eez_reference", "territorial_sea")}
+    median = of(t.table("supplier").withColumn("source_id", F.lit("computed_median")), BOUNDARY_SCHEMA)
+    expected = t.spark.createDataFrame(
+        [(n, "remote") for n in ("eez_reference", "territorial_sea", "contiguous_zone", "computed_median", "traffic_density")] + [("satellite", "large")], "source_id string, kind string")
+    root = folder(t, "reference")
+    layers = write_reference(t.spark, root, ReferenceData(
+        zones=zones, boundaries={"computed_median": median}, density=t.view("grid"), expected=expected, enabled=("computed_median", "custom_boundary")))
+    ledger = t.spark.read.json(f"{root}/metadata/availability")
+    warnings = t.spark.read.json(f"{root}/metadata/warnings")
+    return layers.select(F.lit("layer").alias("part"), F.col("layer").alias("name"), F.col("features").alias("rows")).unionAll(
+        ledger.select("availability", "source_id", "records")).unionAll(warnings.select(F.lit("warning"), "warning", F.lit(1).cast("long")))
+
+
 @query("snk2_source_evidence", """SELECT observation_id, entity_id, source_type, source_name, source_record_id, CAST(NULL AS varchar) AS license FROM observations""", views=("observations",))
 def snk2(t):
     rows = qc.prepare(t.view("observations"))

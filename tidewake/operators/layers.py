@@ -82,6 +82,18 @@ def legend(segments: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
+def legend_without_actor(segments: DataFrame, observations: DataFrame) -> DataFrame:
+    """The entries of layers that belong to no actor: counts over all actors, those outside
+    ``ACTOR_LAYERS`` and missing ones included. Observations count where their method is the layer's."""
+    # Entry, its table's column and the value that counts.
+    entries = (("Observed Tracks", "OBSERVED_TRACK"), ("Inferred Segments", "INFERRED_CONNECTION"), ("Official Observations", "OFFICIAL_OBSERVATION"))
+    kinds = segments.groupBy(F.col("segment_type").alias("layer")).agg(F.count("*").alias("features"))
+    methods = observations.groupBy(F.col("observation_method").alias("layer")).agg(F.count("*").alias("features")).where("layer = 'OFFICIAL_OBSERVATION'")
+    wanted = segments.sparkSession.createDataFrame(list(entries), "entry string, layer string")
+    return wanted.join(kinds.unionByName(methods), "layer", "left").select(
+        "entry", "layer", F.coalesce("features", F.lit(0)).alias("features"), F.col("features").isNotNull().alias("shown"))
+
+
 def visible_layers(layers: DataFrame, enabled: DataFrame) -> DataFrame:
     """Layer is shown iff it was requested and is not empty. ``layers`` has one row per
     feature with ``layer``; ``enabled`` lists requested layers."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.operators import metrics
-from tidewake.operators.catalog import license_rows, orientation_labels
+from tidewake.operators.catalog import availability_ledger, license_rows, orientation_labels
 from tidewake.operators.filters import filter_events, filter_observations
 from tidewake.operators.identity import registry_subset
 from tidewake.operators.normalize import inspect_user_input, normalize_user_input
@@ -91,12 +92,73 @@ def number_sources(*frames: DataFrame, stride: int = 1 << 44) -> list[DataFrame]
     ]
 
 
+# Reference layers a package always has, filled or empty, and the kind of each.
+ZONE_LAYERS = ("eez_reference", "territorial_sea", "contiguous_zone")
+BOUNDARY_LAYERS = ("maritime_boundary", "continental_shelf", "computed_median", "custom_boundary")
+
+
+@dataclass(frozen=True)
+class ReferenceData:
+    """What a package shows beside the evidence; all of it may be absent.
+
+    ``zones`` and ``boundaries``: tables by layer name; ``density``: cells of the traffic grid
+    (``grid_row``, ``grid_col``, ``value``); ``expected``: the sources a package should have
+    (``source_id``, ``kind``); ``enabled``: layers that were asked for; ``live``: whether sources could be reached.
+    """
+
+    zones: Mapping[str, DataFrame] = field(default_factory=dict)
+    boundaries: Mapping[str, DataFrame] = field(default_factory=dict)
+    density: DataFrame | None = None
+    expected: DataFrame | None = None
+    enabled: Sequence[str] = ()
+    live: bool = True
+
+
+def write_reference(spark: SparkSession, root: str, reference: ReferenceData) -> DataFrame:
+    """Writes zones, boundaries and density under ``data/`` and the availability ledger and the warnings under
+    ``metadata/``; returns (layer, features, shown), one row per layer.
+
+    A layer without a source is a typed empty table. A layer that was asked for and is empty, a
+    density grid that is absent and every source without data give a warning; none is replaced.
+    """
+    unknown = set(reference.zones) - set(ZONE_LAYERS) | set(reference.boundaries) - set(BOUNDARY_LAYERS)
+    if unknown:
+        raise ValueError(f"unknown reference layers: {sorted(unknown)}")
+    counted, sources = [], []
+    for names, tables, empty in ((ZONE_LAYERS, reference.zones, "maritime_zones"), (BOUNDARY_LAYERS, reference.boundaries, "maritime_boundaries")):
+        for name in names:
+            table = tables[name] if name in tables else sinks.empty_layer(spark, empty)
+            layer = spark.read.schema(table.schema).parquet(sinks.write_layer(table, f"{root}/data/maritime", name))
+            counted.append(layer.agg(F.lit(name).alias("layer"), F.count("*").alias("features")))
+            sources.append(layer.select("source_id"))
+    if reference.density is not None:
+        cells = spark.read.parquet(sinks.write_layer(reference.density, f"{root}/data", "traffic_density"))
+        counted.append(cells.agg(F.lit("traffic_density").alias("layer"), F.count("*").alias("features")))
+        sources.append(cells.select(F.lit("traffic_density").alias("source_id")))
+    else:
+        counted.append(spark.createDataFrame([("traffic_density", 0)], "layer string, features long"))
+    layers = reduce(DataFrame.unionByName, counted).withColumn("shown", F.col("features") > 0)
+
+    asked = F.col("layer").isin(*reference.enabled) if reference.enabled else F.lit(False)
+    warnings = layers.where(~F.col("shown") & (asked | (F.col("layer") == "traffic_density"))).select(
+        F.when(F.col("layer") == "traffic_density", "traffic_density: no grid supplied, an empty group is kept").otherwise(
+            F.concat("layer", F.lit(": selected without a source"))).alias("warning"))
+    if reference.expected is not None:
+        ledger = availability_ledger(reference.expected, reduce(DataFrame.unionAll, sources), reference.live)
+        ledger.write.mode("overwrite").json(f"{root}/metadata/availability")
+        warnings = warnings.unionAll(ledger.where("warning <> ''").select("warning"))
+    warnings.write.mode("overwrite").json(f"{root}/metadata/warnings")
+    return layers
+
+
 def write_package(
     result: BuildResult, root: str, regions: DataFrame | None = None, sources: DataFrame | None = None,
+    reference: ReferenceData | None = None,
 ) -> None:
-    """Layers as Parquet, derived tables as CSV, licences and manifest as JSON."""
+    """Layers as Parquet, derived tables as CSV, licences, availability, warnings and manifest as JSON."""
     spark = result.metrics.sparkSession
     data, derived, meta = f"{root}/data", f"{root}/derived", f"{root}/metadata"
+    write_reference(spark, root, reference or ReferenceData())
     sinks.write_layer(result.quality.cleaned_points, data, "observations")
     sinks.write_layer(result.quality.track_segments, data, "track_segments", ("segment_type",))
     sinks.write_layer(result.events if result.events is not None else sinks.empty_layer(spark, "events"), data, "events")
