@@ -624,9 +624,9 @@ def test_pipeline_stages(spark):
             assert kept.exceptAll(before).count() == 0
         if name == "near_copies":
             sets = [shingles(r["text"]) for r in kept.collect()]
-            roots = brute_components(sets)
-            assert len(set(roots)) == len(roots)
-            all_roots = brute_components([shingles(r["text"]) for r in before.collect()])
+            roots = brute_components(sets, corpus_pipeline.NEAR_PERCENT)
+            assert corpus_pipeline.NEAR_PERCENT == 80 and len(set(roots)) == len(roots)
+            all_roots = brute_components([shingles(r["text"]) for r in before.collect()], 80)
             assert len(set(all_roots)) == len(roots)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert last.count() == kept.count()

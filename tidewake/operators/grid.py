@@ -7,15 +7,17 @@ cells whatever the raster's size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators.vectors import source_boxes
 from tidewake.plans.chains import ordered_pieces
-from tidewake.plans.ordered import running_sum
 from tidewake.schema import DEPTH_CLASSES
 from tidewake.session import stage
 
@@ -183,37 +185,86 @@ def downsample_bilinear(
         (mean if nodata is None else F.coalesce(mean, F.lit(nodata))).alias("value"))
 
 
-QUANTILE_SLICES = 256
+#: Bits of a number that one pass of the selection decides.
+DIGIT_BITS = 16
 
 
-def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float]) -> DataFrame:
-    """One row ``q0, q1, …`` of linearly interpolated quantiles over all rows.
+def order_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers that ascend with the numbers (-0.0 counts as 0.0)."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))).view(np.uint64)
+
+
+def from_order_bits(bits: int) -> float:
+    signed = np.uint64(bits ^ (1 << 63) if bits >> 63 else ~bits & (1 << 64) - 1)
+    return float(np.array([signed], np.uint64).view(np.float64)[0])
+
+
+def _digits(prefixes: Sequence[int], shift: int):
+    """Histograms of one digit of the numbers that begin with a prefix, summed within a task."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {p: np.zeros(1 << DIGIT_BITS, np.int64) for p in prefixes}
+        for batch in batches:
+            values = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            bits = order_bits(values[np.isfinite(values)])
+            for prefix, counts in sums.items():
+                part = bits if shift + DIGIT_BITS == 64 else bits[bits >> np.uint64(shift + DIGIT_BITS) == np.uint64(prefix)]
+                digit = (part >> np.uint64(shift) & np.uint64((1 << DIGIT_BITS) - 1)).astype(np.int64)
+                counts += np.bincount(digit, minlength=1 << DIGIT_BITS)
+        for prefix, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), prefix, np.uint64).view(np.int64)), pa.array(at), pa.array(counts[at])], ["prefix", "digit", "n"])
+
+    return run
 
-    Equal values are counted first (a value held by a third of the rows becomes one row), then
-    ranked by slices with about equal numbers of distinct values, however these are spaced.
+
+def order_statistics(values: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, float]]:
+    """Number of finite values and those at the ranks (from 0) that ``ranks`` names for that number.
+
+    Digit selection: a pass counts the first 16 bits, in order, of every number; the bin that holds
+    a rank is its prefix, and the next pass counts the next 16 bits below the wanted prefixes, all
+    ranks at once. After four passes a rank's number is known to the bit. Nothing is sorted; what
+    moves are histograms, of which the driver sees one row per bin in use.
     """
-    counts = stage(values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")))
-    shares = [i / QUANTILE_SLICES for i in range(1, QUANTILE_SLICES)]
-    cuts = counts.agg(F.percentile_approx("v", shares, 20 * QUANTILE_SLICES)).first()[0] or []
-    steps = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
-    sliced = counts.withColumn("slice", F.size(F.filter(steps, lambda c: c <= F.col("v"))).cast("long"))
-    ranked = running_sum(sliced, [], "slice", "v", "n", "upto", total="total")
-
-    def pick(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") > position, F.col("v")))
-
-    out = []
-    for i, q in enumerate(quantiles):
-        pos = F.lit(float(q)) * (F.col("total") - 1)
-        out += [
-            pick(F.floor(pos)).alias(f"lo{i}"), pick(F.ceil(pos)).alias(f"hi{i}"),
-            F.max(pos - F.floor(pos)).alias(f"w{i}"),
-        ]
-    row = ranked.agg(*out)
-    return row.select(*[
-        (F.col(f"lo{i}") + F.col(f"w{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}")
-        for i in range(len(quantiles))
-    ])
+    narrow = stage(values.select(F.col(column).cast("double").alias("v")))
+    open_ranks: dict[int, tuple[int, int]] = {}  # rank: (prefix, rank among the numbers with it)
+    total = None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        prefixes = sorted({p for p, _ in open_ranks.values()}) if total is not None else [0]
+        bins = narrow.mapInArrow(_digits(prefixes, shift), "prefix long, digit long, n long").groupBy("prefix", "digit").agg(F.sum("n").alias("n"))
+        table: dict[int, list[tuple[int, int]]] = {}
+        for row in bins.collect():
+            table.setdefault(row["prefix"] & (1 << 64) - 1, []).append((row["digit"], row["n"]))
+        if total is None:
+            total = sum(n for _, n in table.get(0, []))
+            open_ranks = {k: (0, k) for k in ranks(total)} if total else {}
+        for rank, (prefix, left) in open_ranks.items():
+            for digit, n in sorted(table[prefix]):
+                if left < n:
+                    open_ranks[rank] = (prefix << DIGIT_BITS | digit, left)
+                    break
+                left -= n
+        if not open_ranks:
+            break
+    return total or 0, {rank: from_order_bits(bits) for rank, (bits, _) in open_ranks.items()}
+
+
+def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float]) -> DataFrame:
+    """One row ``q0, q1, …`` of linearly interpolated quantiles over all finite values (NULL without
+    any), by :func:`order_statistics`."""
+    places: list[tuple[int, int, float]] = []
+
+    def ranks(total: int) -> list[int]:
+        for q in quantiles:
+            at = q * (total - 1)
+            places.append((math.floor(at), math.ceil(at), at - math.floor(at)))
+        return sorted({r for lo, hi, _ in places for r in (lo, hi)})
+
+    _, found = order_statistics(values, column, ranks)
+    row = [found[lo] + share * (found[hi] - found[lo]) for lo, hi, share in places] or [None] * len(quantiles)
+    return values.sparkSession.createDataFrame([tuple(row)], ", ".join(f"q{i} double" for i in range(len(quantiles))))
 
 
 def density_quantiles(cells: DataFrame, nodata: float = DENSITY_NODATA) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.session import stage
+
 # Fixed value: the three manifests an artifact's lineage names.
 MANIFESTS = ("build", "source", "style")
 # Names of object stores in Hadoop and in Arrow.
@@ -19,43 +22,77 @@ ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 def file_manifest(
     spark: SparkSession, root: str, open_stream: Callable[[str], BinaryIO] | None = None,
+    list_folder: Callable[[str], Iterable[tuple[str, bool]]] | None = None,
 ) -> DataFrame:
     """(path, bytes, sha256) of every file under ``root`` (empty ones too), relative paths.
 
-    Spark lists the files, which takes no content; each is then read and hashed block by block by the
-    task that owns it, so a file of any size needs one block of memory. ``open_stream`` opens a listed
-    address for reading where the default, Arrow's file systems, doesn't know its scheme. Names that
-    begin with ``_`` or ``.`` are not listed.
+    Tasks list the folders and read the files, block by block, so a file of any size needs one
+    block of memory and no list of paths passes through the driver. ``open_stream`` opens an address
+    for reading and ``list_folder`` yields (address, whether it is a folder) where the defaults,
+    Arrow's file systems, don't know its scheme. Names that begin with ``_`` or ``.`` are not listed.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # the addresses that Spark's own file index holds
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "address string").repartition(F.col("address"))
+    listed = list_files(spark, base, list_folder or _arrow_folder).repartition(F.col("address"))
     hashed = listed.mapInPandas(_hashes(open_stream or _arrow_stream), "path string, bytes long, sha256 string")
     inner = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
-    return hashed.withColumn("path", F.regexp_replace("path", "^.*?" + _quoted(inner) + "/", ""))
+    below = F.when(F.startswith("path", F.lit(base + "/")), F.substring("path", len(base) + 2, 1 << 30))
+    return hashed.withColumn("path", below.otherwise(F.regexp_replace("path", "^.*?" + _quoted(inner) + "/", "")))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def list_files(spark: SparkSession, root: str, list_folder: Callable[[str], Iterable[tuple[str, bool]]]) -> DataFrame:
+    """``address`` of every file under ``root``: round by round, the folders found in one round are
+    listed side by side by the tasks of the next. There are as many rounds as levels of folders."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(a, inner) for folder in batch["address"] for a, inner in list_folder(folder)
+                     if not a.rstrip("/").rsplit("/", 1)[-1].startswith(("_", "."))]
+            yield pd.DataFrame(found, columns=["address", "folder"])
 
-def _arrow_stream(path: str) -> BinaryIO:
-    from urllib.parse import unquote, urlparse
+    level, files = spark.createDataFrame([(root,)], "address string"), []
+    while True:
+        entries = stage(level.repartition(F.col("address")).mapInPandas(run, "address string, folder boolean"))
+        files.append(entries.where("NOT folder").select("address"))
+        level = entries.where("folder").select("address")
+        if not level.take(1):
+            return reduce(DataFrame.unionAll, files)
 
+
+def _arrow_folder(address: str) -> Iterator[tuple[str, bool]]:
     from pyarrow import fs
 
-    scheme, _, rest = path.partition(":")
+    system, inner, prefix = _arrow_place(address)
+    if system.get_file_info(inner).type == fs.FileType.File:
+        yield address, False
+        return
+    for entry in system.get_file_info(fs.FileSelector(inner)):
+        yield prefix + entry.path, entry.type == fs.FileType.Directory
+
+
+def _arrow_place(address: str):
+    """(file system, path in it, what to put before its paths) of an address."""
+    from pyarrow import fs
+
+    scheme, colon, rest = address.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), address, ""
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream(unquote(urlparse(path).path))
+        return fs.LocalFileSystem(), re.sub("^/+", "/", rest), "file:"
     system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+    return system, inner, address[: len(address.rstrip("/")) - len(inner)]
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text + "\\E"
+
+
+def _arrow_stream(address: str) -> BinaryIO:
+    system, inner, _ = _arrow_place(address)
     return system.open_input_stream(inner)
 
 
 def _hashes(open_stream: Callable[[str], BinaryIO]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote
-
         for batch in batches:
             rows = []
             for address in batch["address"]:
@@ -64,7 +101,7 @@ def _hashes(open_stream: Callable[[str], BinaryIO]):
                     while block := stream.read(1 << 20):
                         digest.update(block)
                         length += len(block)
-                rows.append((unquote(address), length, digest.hexdigest()))
+                rows.append((address, length, digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
 
     return run
