@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 from checks.registry import Inputs
+from tidewake.session import stage_folder
 
 
 def folder(t: Inputs, name: str) -> str:
-    """A fresh folder: beside the shared checkpoint folder where one is configured."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/checks-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    """A fresh folder beside the stages of the session."""
+    return f"{stage_folder(t.spark)}/checks-{name}-{uuid.uuid4().hex}"
 
 
 def written(t: Inputs, name: str, df: DataFrame, fmt: str, **options) -> str:

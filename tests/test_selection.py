@@ -74,3 +74,34 @@ def test_a_package_without_reference_data(spark, tmp_path):
         "eez_reference: no data, UNAVAILABLE_OFFLINE_MODE", "big: no data, NOT_CACHED_LARGE_SOURCE", "mine: no data, LOCAL_ONLY"}
     with pytest.raises(ValueError):
         write_reference(spark, str(tmp_path), ReferenceData(zones={"unknown": expected}))
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_nearest_edges_of_far_coasts_against_all_pairs(spark, monkeypatch, far):
+    """A ragged coast of many edges and points up to a thousand cells away."""
+    from tidewake.operators import vectors
+
+    rng = random.Random(12)
+    coast = [(x * 40.0, rng.uniform(-300, 300)) for x in range(800)]
+    edges = [(*a, *b) for a, b in zip(coast, coast[1:])] + [(-9e4, -9e4, -9e4, -9e4)]
+    points = [(f"p{i}", rng.uniform(-2e4, 5e4), rng.uniform(2e4, 9e4) if far else rng.uniform(-2e3, 2e3)) for i in range(60)]
+    df = spark.createDataFrame(points, "sid string, x double, y double")
+    table = spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")
+    met = []
+    foot = vectors._foot
+    monkeypatch.setattr(vectors, "_foot", lambda px, py: met.append(1) or foot(px, py))
+    got = {r.sid: (r.nd, r.nx, r.ny) for r in vectors.nearest_on_edges(df, table, "sid", 50.0).collect()}
+
+    def brute(px, py):
+        best = None
+        for x1, y1, x2, y2 in edges:
+            dx, dy = x2 - x1, y2 - y1
+            sq = dx * dx + dy * dy
+            t = max(0.0, min(1.0, ((px - x1) * dx + (py - y1) * dy) / sq)) if sq else 0.0
+            d = ((px - x1 - t * dx) ** 2 + (py - y1 - t * dy) ** 2) ** 0.5
+            best = d if best is None else min(best, d)
+        return best
+
+    assert len(got) == len(points) and met
+    for sid, x, y in points:
+        assert got[sid][0] == pytest.approx(brute(x, y), rel=1e-9)

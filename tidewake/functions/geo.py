@@ -28,10 +28,6 @@ def lon_to_180(lon: Column) -> Column:
     return F.when((folded == -180.0) & (lon > 0), F.lit(180.0)).otherwise(folded)
 
 
-def to_convention(lon: Column, convention: Column) -> Column:
-    return F.when(convention == "360", lon_to_360(lon)).otherwise(lon)
-
-
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_dp = (p2 - p1) / 2

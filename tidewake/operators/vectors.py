@@ -425,9 +425,11 @@ def nearest_on_edges(points: DataFrame, edge_table: DataFrame, key: str, cell_m:
 
     Edges are entered in a pyramid of grids whose cell doubles per level, up to the extent of the
     data. For each point the finest level with an edge in the 3×3 block around it bounds the
-    distance by the block's diagonal, so the true nearest edge lies within a 7×7 block of that
-    level, and only that block is searched. Work follows the local density; nothing is paired
-    point × edge.
+    distance by the block's diagonal, so the true nearest edge lies within a 7×7 block of cells of
+    that level. From there the cells are divided level by level: each has a least and a greatest
+    distance at which its edges may lie, and cells farther than the least of a point's greatest
+    distances are dropped before the next level. Only edges in what is left of the finest cells are
+    measured, however far the coast; nothing is paired point × edge.
     """
     depth = _grid_levels(points, edge_table, cell_m)
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
@@ -466,11 +468,42 @@ def nearest_on_edges(points: DataFrame, edge_table: DataFrame, key: str, cell_m:
         )
 
     at_level = points.select(key, "x", "y", levels.alias("level"))
-    finest = (
+    finest = stage(
         probe(at_level, 1).join(occupied, ["level", "gx", "gy"], "left_semi")
         .groupBy(key).agg(F.min("level").alias("level"))
     )
-    found = probe(points.join(finest, key), 3).join(boxed, ["level", "gx", "gy"])
+    top = finest.agg(F.max("level")).first()[0] or 0
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (point, occupied cell) that can hold the point's nearest edge."""
+        left, right = F.col("gx") * size, (F.col("gx") + 1) * size
+        low, high = F.col("gy") * size, (F.col("gy") + 1) * size
+
+        def gap(at: Column, a: Column, b: Column) -> Column:
+            return F.greatest(a - at, at - b, F.lit(0.0))
+
+        def reach(at: Column, a: Column, b: Column) -> Column:
+            return F.greatest(F.abs(at - a), F.abs(at - b))
+
+        # an edge may pass a cell at a millionth of its width
+        slack = size * 1e-5
+        bounded = pairs.join(occupied, ["level", "gx", "gy"], "left_semi").withColumns({
+            "least": F.hypot(gap(F.col("x"), left, right), gap(F.col("y"), low, high)) - slack,
+            "most": F.hypot(reach(F.col("x"), left, right), reach(F.col("y"), low, high)) + slack})
+        bound = bounded.groupBy(key).agg(F.min("most").alias("bound"))
+        return bounded.join(bound, key).where("least <= bound").select(key, "x", "y", "level", "gx", "gy")
+
+    def entering(level: int) -> DataFrame:
+        return probe(points.select(key, "x", "y").join(finest.where(F.col("level") == level), key), 3)
+
+    halves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)])
+    pairs = None
+    for level in range(top, 0, -1):
+        pairs = stage(near(entering(level) if pairs is None else pairs.unionByName(entering(level))))
+        pairs = pairs.withColumn("h", F.explode(halves)).select(
+            key, "x", "y", (F.col("level") - 1).alias("level"), (F.col("gx") * 2 + F.col("h.dx")).alias("gx"), (F.col("gy") * 2 + F.col("h.dy")).alias("gy"))
+    pairs = near(entering(0) if pairs is None else pairs.unionByName(entering(0)))
+    found = pairs.join(boxed, ["level", "gx", "gy"])
     fx, fy = _foot(F.col("x"), F.col("y"))
     best = (
         found.select(key, F.struct(

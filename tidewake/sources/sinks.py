@@ -72,10 +72,6 @@ def pair_difference(spark: SparkSession, root: str, name: str) -> DataFrame:
     return table_difference(left, right)
 
 
-def write_checksums(lines: DataFrame, path: str) -> None:
-    lines.select("value").sortWithinPartitions("value").write.mode("overwrite").text(path)
-
-
 def case_summary(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """Row counts of the derived tables of a package."""
     out = None
