@@ -12,16 +12,18 @@ its end-of-word mark.
 from __future__ import annotations
 
 import json
-from itertools import accumulate, chain, compress, count, pairwise, repeat
-from operator import is_
+from array import array
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 #: Words and pretokens that each of a cache's two generations holds (about 200 bytes each).
-CACHE_WORDS = 400_000
-CACHE_PRETOKENS = 300_000
+CACHE_WORDS = 200_000
+CACHE_PRETOKENS = 150_000
 
 # The tokenizer's pattern of pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -182,47 +184,75 @@ class Recent:
         return list(absent.difference(again))
 
 
+    def values(self, keys: list) -> list:
+        """Value of each key, None where neither generation holds it; those of the old one move on."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        found = list(map(self.now.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = self.now[keys[i]] = value
+        return found
+
+
 class EncodedWords:
-    """Bounded caches from words and pretokens to what ``make`` derives from their ids; ``join``
-    does for a list of such values what joining the ids would do."""
+    """Bounded caches from words and pretokens to their packed ids. Texts are split and their words
+    made distinct by Arrow, so that only the distinct words of a group are Python objects."""
 
-    def __init__(self, encoder: WordEncoder, make, join):
-        self.encoder, self.make, self.join = encoder, make, join
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+        self.code = "H" if len(encoder.token) <= 1 << 16 else "I"
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PRETOKENS)
 
     def _learn(self, words: list[bytes]):
+        def pack(ids):
+            return array(self.code, ids).tobytes()
+
         split = self.encoder.pretokens(words)
         new = self.parts.missing(set().union(*filter(None, split)))
-        parts, known, join = self.parts.now, self.words.now, self.join
+        parts, known = self.parts.now, self.words.now
         if new:
-            parts.update(zip(new, map(self.make, self.encoder.encode_pretokens(new))))
+            parts.update(zip(new, map(pack, self.encoder.encode_pretokens(new))))
         for word, pretokens in zip(words, split):
             if pretokens is None:
-                known[word] = self.make(self.encoder.whole.encode(word.decode(), add_special_tokens=False).ids)
-            elif len(pretokens) == 1:
-                known[word] = parts[pretokens[0]]
+                known[word] = pack(self.encoder.whole.encode(word.decode(), add_special_tokens=False).ids)
             else:
-                known[word] = join([parts[p] for p in pretokens])
-
-    def of(self, texts: list[bytes]):
-        """For each text the list of what its words stand for, in order."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        values = list(map(self.words.now.get, words))
-        absent = list(compress(count(), map(is_, values, repeat(None))))
+                known[word] = b"".join([parts[p] for p in pretokens])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes, no NULL) one after another, and the n + 1 places where each
+        text's begin."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        packed = self.words.values(distinct)
+        absent = [i for i, p in enumerate(packed) if p is None]
         if absent:
-            new = self.words.missing(set(map(words.__getitem__, absent)))
-            if new:
-                self._learn(new)
-            known = self.words.now
-            for i in absent:
-                values[i] = known[words[i]]
-        ends = [0, *accumulate(map(len, split))]
-        return [values[a:b] for a, b in pairwise(ends)]
+            new = [distinct[i] for i in absent if distinct[i]]
+            self._learn(new)
+            for i in absent:  # before and after the words of a text there may be an empty one
+                packed[i] = self.words.now[distinct[i]] if distinct[i] else b""
+        ids = np.frombuffer(b"".join(packed), self.code)
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // ids.itemsize
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        index = np.asarray(words.indices)
+        each = sizes[index]
+        upto = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=upto[1:])
+        small = np.int32 if upto[-1] < 1 << 31 else np.int64
+        within = np.repeat((starts[index] - upto[:-1]).astype(small), each)
+        within += np.arange(upto[-1], dtype=small)
+        return ids[within], upto[np.asarray(split.offsets, np.int64)]
+
+    def of(self, texts: list[bytes]) -> list[list[list[int]]]:
+        """For each text its ids, in one list."""
+        ids, ends = self.ids(pa.array(texts, pa.large_binary()))
+        return [[ids[a:b].tolist()] for a, b in pairwise(ends.tolist())]
 
 
 def ids_only(encoder: WordEncoder) -> EncodedWords:
-    return EncodedWords(encoder, list, lambda parts: [i for p in parts for i in p])
+    return EncodedWords(encoder)
 
 
 def decoded(encoder: WordEncoder, ids) -> str:

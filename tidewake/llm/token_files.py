@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +39,19 @@ def write_tokens(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def to_ids(batches):
-        tokenizer = encoder(path)
-        code = "H" if len(tokenizer.token) <= 1 << 16 else "I"
-        cache = kept(("packed", path), lambda: EncodedWords(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join))
-        end = array(code, [end_id]).tobytes()
+        cache = kept(("ids", path), lambda: EncodedWords(encoder(path)))
         for batch in batches:
-            ids = [b"".join([*words, end]) for _, group in text_groups(batch.column("text")) for words in cache.of(group)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+            for at, group in text_groups(batch.column("text")):
+                found, ends = cache.ids(group)
+                stops = ends[1:] + np.arange(1, len(ends))  # with an end id each
+                ids = np.full(int(stops[-1]), end_id, found.dtype)
+                inner = np.ones(len(ids), bool)
+                inner[stops - 1] = False
+                ids[inner] = found
+                places = np.append(0, stops * ids.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+                part = batch.slice(at, len(group))
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), packed], ["shard", "doc_id", "ids"])
 
     def shard_file(shard: int, piece: int, doc_ids: list, ids: list[bytes], tokenizer):
         dtype = np.dtype("<u2" if len(tokenizer.token) <= 1 << 16 else "<u4")
