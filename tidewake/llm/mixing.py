@@ -62,31 +62,21 @@ def source_targets(sizes: DataFrame, repeat: int) -> DataFrame:
     return capped.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, size: Column, weight: Column, doc_id: str = "doc_id", source: str = "source",
-    repeat: int = 3, seed: str = "mix",
-) -> DataFrame:
-    """Rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words that the mix
-    takes, repeats counted); columns of those names are replaced, all others stay.
-
-    NULL sources form a source of their own. Rows with equal keys (repeated rows, NULL ids) are
-    ordered by id and size; equal ones are interchangeable. Empty texts have size and taken 0.
-    Two passes over ``docs``; nothing but rows of the border slices is sorted.
-    """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    keyed = docs.select(*kept, size.alias("size")).withColumn("__key", sampling_key(F.col(doc_id), weight, seed))
+def _mixed(docs: DataFrame, size: Column, weight: Column, doc_id: str, source: str, repeat: int, seed: str) -> DataFrame:
+    """Rows of ``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__taken``; every column of ``docs`` stays."""
+    keyed = docs.select("*", size.alias("__size")).withColumn("__key", sampling_key(F.col(doc_id), weight, seed))
     # 1 - exp(-key) rises with the key from 0 to 1
     keyed = keyed.withColumn(
         "__slice", F.least(F.floor((1 - F.exp(-F.col("__key"))) * SLICES), F.lit(SLICES - 1)).cast("int"))
 
-    sums = keyed.groupBy(F.col(source).alias("source"), "__slice").agg(F.sum("size").alias("slice_size"))
+    sums = keyed.groupBy(F.col(source).alias("source"), "__slice").agg(F.sum("__size").alias("slice_size"))
     sums = stage(sums)  # at most 1,024 rows per source
     targets = source_targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), repeat)
     by_slice = Window.partitionBy("source").orderBy("__slice")
     ends = sums.withColumn("__end", F.sum("slice_size").over(by_slice)).withColumnRenamed("source", "__of")
     words = F.floor("target").cast("long")
     plan = targets.select(
-        F.col("source").alias("__source"), "source_size", "target",
+        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
         F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long").alias("__epochs"),
         F.when(F.col("source_size") > 0, words % F.col("source_size")).otherwise(0).alias("__rest"))
     border = (
@@ -95,29 +85,45 @@ def mix_sources(
         .groupBy("__source").agg(F.min(F.struct("__slice", (F.col("__end") - F.col("slice_size")).alias("before"))).alias("b")))
     plan = plan.join(
         border.withColumnRenamed("__source", "__at"), F.col("__source").eqNullSafe(F.col("__at")), "left"
-    ).select("__source", "source_size", "target", "__epochs", "__rest", F.col("b.__slice").alias("__border"), F.col("b.before").alias("__before"))
+    ).select("__source", "__source_size", "__target", "__epochs", "__rest", F.col("b.__slice").alias("__border"), F.col("b.before").alias("__before"))
     plan = stage(plan)  # one row per source
 
-    out = [*kept, "size", "source_size", "target"]
+    out = [*docs.columns, "__size", "__source_size", "__target"]
     joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("__source")))
     inside = joined.where(F.col("__slice") != F.col("__border")).select(
-        *out, (F.col("size") * (F.col("__epochs") + (F.col("__slice") < F.col("__border")).cast("long"))).alias("taken"))
-    order = Window.partitionBy(source).orderBy("__key", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("size").over(order), F.lit(0))
+        *out, (F.col("__size") * (F.col("__epochs") + (F.col("__slice") < F.col("__border")).cast("long"))).alias("__taken"))
+    order = Window.partitionBy(source).orderBy("__key", doc_id, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("__size").over(order), F.lit(0))
     border_rows = joined.where(F.col("__slice") == F.col("__border")).select(
-        *out, (F.col("size") * F.col("__epochs") + F.least(F.greatest(left, F.lit(0)), F.col("size"))).alias("taken"))
+        *out, (F.col("__size") * F.col("__epochs") + F.least(F.greatest(left, F.lit(0)), F.col("__size"))).alias("__taken"))
     return inside.unionAll(border_rows)
 
 
+def mix_sources(
+    docs: DataFrame, size: Column, weight: Column, doc_id: str = "doc_id", source: str = "source",
+    repeat: int = 3, seed: str = "mix",
+) -> DataFrame:
+    """Rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words that the mix
+    takes, repeats counted); columns of those names are replaced, all others stay.
+
+    NULL sources form a source of their own. Rows with equal keys (repeated rows, NULL ids) are
+    ordered by id and size; equal ones are interchangeable. Empty texts have size and taken 0.
+    Two passes over ``docs``; nothing but rows of the border slices is sorted.
+    """
+    names = ("size", "source_size", "target", "taken")
+    mixed = _mixed(docs, size, weight, doc_id, source, repeat, seed)
+    return mixed.select(*[c for c in docs.columns if c not in names], *[F.col(f"__{n}").alias(n) for n in names])
+
+
 def mixed_documents(docs: DataFrame, repeat: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself, in the columns of ``docs``: each document as often as it is taken whole, and
     once more where it is taken in part, then with its first words joined by a space (``n_chars``
     follows). Documents that the mix doesn't take, empty ones among them, are absent."""
     size = word_count(F.col("text"))
     weight = usual_word_length(F.coalesce("text", F.lit("")), size)
-    mixed = mix_sources(docs, size, weight, repeat=repeat, seed=seed).where("taken > 0")
-    part = F.col("taken") % F.col("size")
-    times = F.floor(F.col("taken") / F.col("size")) + (part > 0).cast("long")
+    mixed = _mixed(docs, size, weight, "doc_id", "source", repeat, seed).where("__taken > 0")
+    part = F.col("__taken") % F.col("__size")
+    times = F.floor(F.col("__taken") / F.col("__size")) + (part > 0).cast("long")
     copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     cut = F.when(
         (part > 0) & (F.col("__copy") == times),
