@@ -28,8 +28,10 @@ from tidewake.session import stage
 
 #: Bytes of the longest context.
 ORDER = 4
-#: Bound on the entries of each table that every worker holds (16 bytes each, twice for the slots).
+#: Bound on the entries of each table that every worker holds (16 bytes each).
 HELD_KEYS = 1 << 20
+#: Bytes of text taken at a time; arrays of a group take about a hundred times as much.
+TEXT_BYTES = 1 << 18
 #: Distinct keys that a counting task gathers before it hands them on.
 TASK_KEYS = 1 << 21
 #: Byte that no UTF-8 text holds: context before a text and symbol of its end.
@@ -103,7 +105,7 @@ def count_keys(docs: DataFrame) -> DataFrame:
                         [pa.array([kind], pa.int32()).take(pa.array(np.zeros(len(n), np.int64))), pa.array(sums[0].view(np.int64)),
                          n if train else pa.array(np.zeros(len(n), np.int64)), n], ["kind", "key", "n", "n_all"])
 
-        for batch, data, offsets in batches(iterator, "text", 1 << 21):
+        for batch, data, offsets in batches(iterator, "text", TEXT_BYTES):
             train = ~np.asarray(batch.column("held_out"))
             words, first = word_keys(data, offsets)
             held[WORDS, True].add(words[np.repeat(train, np.diff(first))])
@@ -173,46 +175,24 @@ def string_scores(strings: DataFrame) -> DataFrame:
 
 
 class KeyTable:
-    """Open-addressing table from 64-bit keys to numbers, filled and asked by numpy."""
-
-    EMPTY = np.uint64((1 << 64) - 1)
+    """Numbers by 64-bit key; the keys ascend. Tables are arrays as they were sent, without a copy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits)
-        slot = self._slot(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[slot[left]] == self.EMPTY]
-            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
-            placed = free[self.keys[slot[free]] == keys[free]]
-            self.values[slot[placed]] = values[placed]
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = slot[left] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        self.keys, self.values = keys, values
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Value of each key (0 where it has none), and whether it has one."""
-        slot = self._slot(keys)
-        at = self.keys[slot]
-        hit = at == keys
-        values = np.where(hit, self.values[slot], 0.0)
-        left = np.flatnonzero(~hit & (at != self.EMPTY))
-        while len(left):
-            slot[left] = slot[left] + 1 & self.mask
-            at = self.keys[slot[left]]
-            found = at == keys[left]
-            values[left[found]], hit[left[found]] = self.values[slot[left[found]]], True
-            left = left[~found & (at != self.EMPTY)]
-        return values, hit
+        """Value of each key (0 where it has none), and whether it has one; a key is looked up once."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        distinct, index = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        hit = self.keys[at] == distinct
+        return np.where(hit, self.values[at], 0.0)[index], hit[index]
 
 
 def most_frequent(table: DataFrame, count: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """``key`` and ``value`` of the rows with the largest counts: as many powers of two of the count,
-    from the top, as have ``limit`` rows at most."""
+    """``key`` (ascending) and ``value`` of the rows with the largest counts: as many powers of two of the
+    count, from the top, as have ``limit`` rows at most."""
     level = F.floor(F.log2(F.col(count).cast("double")))
     rows = dict(table.groupBy(level.alias("l")).agg(F.count("*")).collect())  # at most 64 levels
     least, total = 64, 0
@@ -220,7 +200,9 @@ def most_frequent(table: DataFrame, count: str, limit: int) -> tuple[np.ndarray,
         least -= 1
         total += rows.get(least, 0)
     part = table.where(F.col(count) >= float(2**least)).select("key", "value").toArrow()
-    return part["key"].to_numpy().view(np.uint64), part["value"].to_numpy()
+    keys = part["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], part["value"].to_numpy()[order]
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -255,7 +237,7 @@ def score_texts(docs: DataFrame, held_out: Column, held_keys: int = HELD_KEYS) -
 
         known_words, known_strings = kept(("ppm", name), lambda: tuple(KeyTable(*t) for t in tables.value))
         number = TaskContext.get().partitionId() << 40
-        for batch, data, offsets in batches(iterator, "text", 1 << 21):
+        for batch, data, offsets in batches(iterator, "text", TEXT_BYTES):
             words, first = word_keys(data, offsets)
             base, hit = known_words.find(words)
             strings, at = byte_strings(data, offsets)
