@@ -53,10 +53,11 @@ def bounded_slices(df: DataFrame, key: str, time: str, order: str, width_seconds
     depends on the sample. Without a full slice the cost is one count.
     """
     base = df.withColumn("slice", F.shiftleft(time_slice(F.col(time), width_seconds), PART_BITS))
-    full = stage(base.groupBy(key, "slice").agg(F.count("*").alias("__n")).where(F.col("__n") > slice_rows).select(
-        F.col(key).alias("__key"), F.col("slice").alias("__slice")))
+    full = base.groupBy(key, "slice").agg(F.count("*").alias("__n")).where(F.col("__n") > slice_rows).select(
+        F.col(key).alias("__key"), F.col("slice").alias("__slice"))
     if not full.take(1):
         return base
+    full = stage(full)
     step = max(1, slice_rows // SAMPLES)
     every = max(1, slice_rows // step)
     point = F.struct(micros(F.col(time)).alias("t"), F.col(order).cast("long").alias("o"))
