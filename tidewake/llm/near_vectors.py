@@ -159,8 +159,12 @@ def _classes(vectors: DataFrame) -> DataFrame:
         run, f"vec_id {kind}, class binary, vector binary")
 
 
+def _packing(words: int) -> str:
+    return "<i4" if words**2 < 2**31 else "<i8"
+
+
 def _with_filters(classes: DataFrame, rows_in_all: int, least: float) -> DataFrame:
-    """Classes with the sorted list ``filters`` (packed 64-bit numbers) and the buckets ``found`` that hold them."""
+    """Classes with the sorted list ``filters`` (packed numbers) and the buckets ``found`` that hold them."""
 
     def run(batches):
         for whole in batches:
@@ -179,7 +183,7 @@ def _with_filters(classes: DataFrame, rows_in_all: int, least: float) -> DataFra
                             found[i], buckets[i] = f, np.unique(f // span)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("class"), batch.column("copies"), batch.column("vector"),
-                    pa.array([f.astype("<i8").tobytes() for f in found], pa.binary()),
+                    pa.array([f.astype(_packing(shape(rows_in_all, len(r), least)[0])).tobytes() for f, r in zip(found, rows)], pa.binary()),
                     pa.array([b.tolist() for b in buckets], pa.list_(pa.int64())),
                     pa.array([len(r) for r in rows], pa.int32())], ["class", "copies", "vector", "filters", "found", "size"])
 
@@ -238,7 +242,7 @@ def _links_of(vectors: np.ndarray, filters: list[np.ndarray], copies: np.ndarray
     """Of the members of a bucket (filters ``low`` to below ``high``): copies that each is linked with by pairs between
     blocks i and j, smallest member that those links reach, number of pairs compared."""
     counts, label, pairs = np.zeros(len(vectors), np.int64), np.arange(len(vectors)), 0
-    flat = np.concatenate(filters)
+    flat = np.concatenate(filters).astype(np.int64)
     owner = np.repeat(np.arange(len(filters)), [len(f) for f in filters])
     inside = (flat >= low) & (flat < high)
     flat, owner = flat[inside], owner[inside]
@@ -275,9 +279,9 @@ def _blocks_linked(iterator, rows_in_all: int, least: float):
 
     def compare(frame):
         bucket, i, j = (int(frame[c].iloc[0]) for c in ("found", "i", "j"))
-        names, span = frame["class"].to_numpy(), shape(rows_in_all, int(frame["size"].iloc[0]), least)[1]
+        names, (words, span) = frame["class"].to_numpy(), shape(rows_in_all, int(frame["size"].iloc[0]), least)
         counts, label, _ = _links_of(
-            np.frombuffer(b"".join(frame["vector"])).reshape(len(frame), -1), [np.frombuffer(f, "<i8") for f in frame["filters"]],
+            np.frombuffer(b"".join(frame["vector"])).reshape(len(frame), -1), [np.frombuffer(f, _packing(words)) for f in frame["filters"]],
             frame["copies"].to_numpy(), frame["block"].to_numpy(), i, j, bucket * span, (bucket + 1) * span, least)
         at = np.flatnonzero(counts)
         if len(at):
@@ -312,11 +316,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     classes = stage(classes)
     count = classes.count()
     listed = stage(_with_filters(classes.select("class", "copies", "vector").repartition(F.col("class")), count, least))
-    members = listed.select("class", F.explode("found").alias("found"), "size")
-    sizes = members.groupBy("found", "size").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK)
+    # only buckets of several blocks, at most one for each BLOCK rows: the others stay whole and need no look-up
+    large = stage(
+        listed.select(F.explode("found").alias("found"), "size").groupBy("found", "size").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1).cast("long"))
     met = (
-        listed.withColumn("found", F.explode("found")).join(sizes, ["found", "size"])
+        listed.withColumn("found", F.explode("found")).join(large, ["found", "size"], "left")
         .withColumn("block", F.pmod(F.xxhash64("class"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select("found", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "copies", "vector", "filters")
