@@ -199,20 +199,22 @@ def _weight(text: str) -> int:
 
 def _stops(text: str) -> tuple[int, int]:
     words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words), len(words)
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
 
-def _listed(blocks: list[Block]) -> bool:
+def _longer_stops(block: Block) -> tuple[int, int] | None:
+    """Stop words and words of a block that tells the page's language."""
+    longer = not block.bad and len(block.text) >= SHORT and block.linked <= MOST_LINKS * len(block.text)
+    return _stops(block.text) if longer else None
+
+
+def _listed(counts: list[tuple[int, int] | None]) -> bool:
     """Whether stop words say anything on this page: its longer blocks, taken together, hold enough of them."""
-    stops = words = 0
-    for block in blocks:
-        if not block.bad and len(block.text) >= SHORT and block.linked <= MOST_LINKS * len(block.text):
-            more = _stops(block.text)
-            stops, words = stops + more[0], words + more[1]
-    return words > 0 and stops >= STOPS_LISTED * words
+    words = sum(c[1] for c in counts if c)
+    return words > 0 and sum(c[0] for c in counts if c) >= STOPS_LISTED * words
 
 
-def first_pass(block: Block, listed: bool, outside: bool) -> tuple[str, str]:
+def first_pass(block: Block, listed: bool, outside: bool, counts: tuple[int, int] | None = None) -> tuple[str, str]:
     """Kind of a block (``good``, ``bad``, ``near`` or ``short``; ``none`` in boilerplate) and the rule that says so."""
     if block.bad:
         return "none", "place"
@@ -223,7 +225,7 @@ def first_pass(block: Block, listed: bool, outside: bool) -> tuple[str, str]:
         return ("bad", "links") if block.linked and not block.main else ("short", "length")
     if not listed:
         return ("near" if outside or size <= LONG and not block.main else "good"), "length"
-    stops, words = _stops(block.text)
+    stops, words = counts or _stops(block.text)
     density = stops / max(1, words)
     if block.main:
         return ("good" if density >= STOPS_IN_ARTICLE else "near"), "stop words"
@@ -270,8 +272,9 @@ def judged_blocks(page: str | None) -> list[tuple[str, bool, str]]:
     blocks = blocks_of(page or "")
     inside = sum(len(b.text) for b in blocks if b.main and not b.bad)
     outside = 2 * inside > sum(len(b.text) for b in blocks if not b.bad)
-    listed = _listed(blocks)
-    found = [first_pass(b, listed, outside and not b.main) for b in blocks]
+    counts = [_longer_stops(b) for b in blocks]
+    listed = _listed(counts)
+    found = [first_pass(b, listed, outside and not b.main, c) for b, c in zip(blocks, counts)]
     good = second_pass(blocks, [kind for kind, _ in found], outside)
     return [(b.text, g, "neighbours" if kind in ("near", "short") else rule) for b, g, (kind, rule) in zip(blocks, good, found)]
 
