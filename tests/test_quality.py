@@ -16,6 +16,7 @@ from tidewake.operators import metrics, qc, segments
 from tidewake.operators.identity import resolve
 from tidewake.operators.normalize import normalize
 from tidewake.schema import QualityConfig
+from tidewake.session import stage
 
 REGISTRY = [
     ("ccg-2304", "China Coast Guard 2304", ["CCG 2304"], "CCG", "2304", None),
@@ -189,6 +190,21 @@ def test_fold_equals_brute_force(spark, seed, slice_seconds, speed):
     assert got == want
 
 
+@pytest.mark.parametrize("slice_rows,rounds", [(1 << 16, False), (64, True)])
+def test_islands_of_one_piece_need_no_rounds(spark, monkeypatch, slice_rows, rounds):
+    """Sparse vessels with failures on most days: one run settles them. Cut into pieces, the fold is the same."""
+    rows = _walk(5, vessels=8, rows=150)
+    config = QualityConfig(distance="haversine", slice_rows=slice_rows)
+    df = spark.createDataFrame(
+        rows, "observation_id string, entity_id string, t long, latitude double, longitude double, observed_or_inferred string, source_order long"
+    ).withColumn("event_time", F.timestamp_seconds("t")).withColumn("source_record_id", F.col("observation_id"))
+    written = []
+    monkeypatch.setattr(qc, "stage", lambda frame: written.append(frame) or stage(frame))
+    pairs = qc.tested_pairs(df, config)
+    assert (len(written) > 1) == rounds  # the rows themselves, then reports and plans of rounds
+    assert {(r.source_order, r.flag) for r in qc.sequence_flags(pairs, config).collect()} == _brute(rows, config, haversine_scalar)
+
+
 def test_two_places_under_one_identity(spark):
     """Alternating positions: the chain of the first place survives, whatever the slicing."""
     rows = [(f"o{i}", "v", i * 600, 10.0 if i % 2 == 0 else 40.0, 120.0, "OBSERVED", i) for i in range(3000)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -239,10 +240,12 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     ordinal = F.struct(*order)
     summary = local.groupBy("entity_key", "slice").agg(
         F.min_by(point, ordinal).alias("head"),
-        F.max_by(point, ordinal).alias("tail"),
+        F.max_by(point, ordinal).alias("tail"), F.count("*").alias("rows"),
         F.max(F.when(jump(F.col("prev_local"), point), micros(F.col("event_time")))).alias("hit"),
     )
     by_entity = Window.partitionBy("entity_key").orderBy("slice")
+    by_island = Window.partitionBy("entity_key", "island")
+    earlier = by_island.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         summary.withColumn("carry", F.lag("tail").over(by_entity))
         .withColumn("hit", F.greatest(
@@ -253,7 +256,9 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(by_entity), F.lit(False)))
         .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(by_entity), F.lit(False)))
         .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(by_entity)))
-        .select("entity_key", "slice", "carry", "island")
+        .withColumn("piece", F.floor(F.coalesce(F.sum("rows").over(earlier), F.lit(0)) / config.slice_rows))
+        .withColumn("alone", F.max("piece").over(by_island) == 0)
+        .select("entity_key", "slice", "carry", "island", "piece", "alone")
     )
     joined = attach(local, summary, ["entity_key", "slice"]).withColumn("prev", F.coalesce("prev_local", "carry")).drop("prev_local", "carry")
     joined = stage(joined)  # read for the slices without and with the fold
@@ -298,9 +303,11 @@ TRIED_AHEAD = 4
 
 
 def folded_pairs(rows: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The sequential fold over islands of slices (``entity_key``, ``island``, ``slice``), slices side by side.
+    """The sequential fold over islands of slices (``entity_key``, ``island``), cut into pieces side by side.
 
-    A slice is a piece whose rows one task runs through. All pieces start at once from a guess,
+    A piece is as many slices in a row as hold about ``slice_rows`` rows together, which one task runs
+    through. An island of one piece (``alone``) is settled by a single run, because the row before
+    its first is its true reference; no rounds and no reports are needed. In longer ones all pieces start at once from a guess,
     the row before their first, and report the reference they end with. Following the pieces of
     an island, the true reference of each is known as far as the piece before has been run from
     *its* true one; pieces that lack theirs are run again from it. To keep an error from moving
@@ -310,50 +317,59 @@ def folded_pairs(rows: DataFrame, config: QualityConfig = QualityConfig()) -> Da
     concerned are read again; reports have one row per piece and reference.
     """
     schema = (
-        "kind int, entity_key string, island long, slice long, ref long, ref_t long, ref_lat double, ref_lon double, entity_id string, "
+        "kind int, entity_key string, island long, piece long, ref long, ref_t long, ref_lat double, ref_lon double, entity_id string, "
         "observation_id string, source_order long, t long, p_t long, distance_m double, lat double, lon double")
     flat = rows.select(
-        "entity_key", "island", "slice", micros(F.col("event_time")).alias("t"), "source_order", "entity_id",
+        "entity_key", "island", "piece", "alone", micros(F.col("event_time")).alias("t"), "source_order", "entity_id",
         "observation_id", "latitude", "longitude", "barred",
         F.when(F.col("prev.barred"), None).otherwise(F.col("prev.source_order")).alias("p_ref"),
         micros(F.col("prev.event_time")).alias("p_t"), F.col("prev.latitude").alias("p_lat"), F.col("prev.longitude").alias("p_lon"))
 
+    keys = ["entity_key", "island", "piece"]
+
     def run(part: DataFrame, asked: DataFrame | None) -> DataFrame:
         if asked is None:
             part = part.withColumns({n: F.lit(None).cast("double" if n in ("ref_lat", "ref_lon") else "long") for n in _REFERENCE})
         else:
-            asked = asked.select(F.col("entity_key").alias("__key"), F.col("slice").alias("__slice"), *_REFERENCE)
-            part = part.join(asked, (F.col("entity_key") == F.col("__key")) & (F.col("slice") == F.col("__slice"))).drop("__key", "__slice")
-        keys = ["entity_key", "slice", "ref"]
-        return stage(part.repartition(*keys).sortWithinPartitions(*keys, "t", "source_order").mapInPandas(_fold(config), schema))
-
-    done = run(flat, None)
+            asked = asked.select(*[F.col(k).alias(f"__{k}") for k in keys], *_REFERENCE)
+            part = part.join(asked, _same(keys)).drop(*[f"__{k}" for k in keys])
+        placed = part.drop("alone").repartition(*keys, "ref").sortWithinPartitions(*keys, "ref", "t", "source_order")
+        return placed.mapInPandas(_fold(config), schema)
+
+    alone = run(flat.filter("alone"), None).filter("kind = 0")
+    flat = flat.filter("NOT alone")
+    if not flat.take(1):
+        return alone
+    done = stage(run(flat, None))
     while True:
         reports = done.filter("kind = 1")
         plan = stage(reports.groupBy("entity_key", "island").applyInPandas(
-            _follow, "entity_key string, slice long, ref long, ref_t long, ref_lat double, ref_lon double, settled boolean"))
+            _follow, "entity_key string, island long, piece long, ref long, ref_t long, ref_lat double, ref_lon double, settled boolean"))
         asked = plan.filter("NOT settled")
         if not asked.take(1):
             break
-        done = done.unionByName(run(flat, asked))
-    true = plan.select(F.col("entity_key").alias("__key"), F.col("slice").alias("__slice"), F.col("ref").alias("__ref"))
-    return done.filter("kind = 0").join(
-        true, (F.col("entity_key") == F.col("__key")) & (F.col("slice") == F.col("__slice")) & (F.col("ref") == F.col("__ref")), "left_semi")
+        done = done.unionByName(stage(run(flat, asked)))
+    true = plan.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "ref")])
+    return alone.unionByName(done.filter("kind = 0").join(true, _same([*keys, "ref"]), "left_semi"))
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
 
 
 def _follow(reports: pd.DataFrame) -> pd.DataFrame:
     """True references of an island's pieces, as far as they are known, and references to run from:
     the first one that is missing, and others that a later piece may need."""
     pieces: dict[int, dict[int, tuple]] = {}
-    for r in reports.sort_values("slice", kind="stable").itertuples(index=False):
-        pieces.setdefault(r.slice, {})[r.ref] = (
+    for r in reports.sort_values("piece", kind="stable").itertuples(index=False):
+        pieces.setdefault(r.piece, {})[r.ref] = (
             (r.ref, r.ref_t, r.ref_lat, r.ref_lon), (r.source_order, r.t, r.lat, r.lon))
-    entity, out, wanted = reports["entity_key"].iloc[0], [], {}
+    entity, island, out, wanted = reports["entity_key"].iloc[0], reports["island"].iloc[0], [], {}
     before, reference = None, next(iter(pieces[min(pieces)].values()))[0]  # the first piece's guess is true
     for number, known in pieces.items():
         if reference is not None:
             if reference[0] in known:
-                out.append((entity, number, *reference, True))
+                out.append((entity, island, number, *reference, True))
                 reference = known[reference[0]][1]
             else:
                 wanted[number, reference[0]] = reference
@@ -366,12 +382,12 @@ def _follow(reports: pd.DataFrame) -> pd.DataFrame:
         before = known
     # nothing is run ahead once all is settled
     if reference is None:
-        out += [(entity, number, *r, False) for (number, _), r in wanted.items()]
-    return pd.DataFrame(out, columns=["entity_key", "slice", *_REFERENCE, "settled"])
+        out += [(entity, island, number, *r, False) for (number, _), r in wanted.items()]
+    return pd.DataFrame(out, columns=["entity_key", "island", "piece", *_REFERENCE, "settled"])
 
 
 def _fold(config: QualityConfig):
-    """Fold over rows sorted by (vessel, slice, reference, time). Yields tested pairs (kind 0) and, for
+    """Fold over rows sorted by (vessel, piece, reference, time). Yields tested pairs (kind 0) and, for
     each piece and reference, the reference it ends with (kind 1)."""
     metres = geodesic_scalar if config.distance == "geodesic" else haversine_scalar
     limit = config.max_speed_knots
@@ -379,7 +395,7 @@ def _fold(config: QualityConfig):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = begin = last = None
-        columns = ["kind", "entity_key", "island", "slice", *_REFERENCE, "entity_id", "observation_id", "source_order", "t",
+        columns = ["kind", "entity_key", "island", "piece", *_REFERENCE, "entity_id", "observation_id", "source_order", "t",
                    "p_t", "distance_m", "lat", "lon"]
 
         def report():
@@ -389,7 +405,7 @@ def _fold(config: QualityConfig):
         for batch in batches:
             out = []
             rows = zip(*(batch[c].tolist() for c in (
-                "entity_key", "island", "slice", *_REFERENCE, "p_ref", "p_t", "p_lat", "p_lon", "t", "latitude", "longitude",
+                "entity_key", "island", "piece", *_REFERENCE, "p_ref", "p_t", "p_lat", "p_lon", "t", "latitude", "longitude",
                 "barred", "entity_id", "observation_id", "source_order")))
             for entity, island, piece, ref, r_t, r_lat, r_lon, p_ref, p_t, p_lat, p_lon, t, lat, lon, barred, entity_id, observation_id, order in rows:
                 key = (entity, island, piece, None if pd.isna(ref) else int(ref))
