@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.files import folder, written
+from checks.files import folder, written, written_each
 from checks.quality import _SEGMENTS as SEGMENTS_SQL
 from checks.quality import ALL_FLAGS, BAD_POSITION, CLEANED, CONFIG, LINKED_SQL, cleaned_of
 from checks.registry import Inputs, query
@@ -530,9 +530,11 @@ def _manifest(t):
 
 def _files(t):
     """Manifest of real files: every document is written to one."""
-    path = folder(t, "files") + "/data"
-    t.table("documents").select("doc_id", F.col("text").alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
-    number = F.regexp_extract("path", "doc_id=([0-9]+)/", 1)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("string"), F.lit("/doc_id="), number, F.lit(".txt"))
+    d = t.table("documents").select(name.alias("file"), F.coalesce("text", F.lit("")).alias("value"), "doc_id")
+    path = written_each(t, "files", d, "doc_id")
+    number = F.regexp_extract("path", r"doc_id=(-?[0-9]*)\.txt$", 1)
     return provenance.file_manifest(t.spark, path).withColumn("path", F.concat(F.lit("docs/"), number, F.lit(".txt")))
 
 

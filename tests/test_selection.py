@@ -62,6 +62,29 @@ def test_listing_goes_through_the_given_function(spark):
     assert {(r.path, r.bytes) for r in rows} == {("f1", 8), ("a/f2", 10)}
 
 
+def test_files_are_hashed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Few bytes of addresses don't gather the files in one task; a large folder comes in parts."""
+    import io
+
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(provenance, "LISTED_ROWS", 3)
+    for i in range(40):
+        (tmp_path / f"f{i}").write_text("x")
+    rows = provenance.file_manifest(spark, str(tmp_path), lambda path: io.BytesIO(str(TaskContext.get().partitionId()).encode())).collect()
+    assert len(rows) == 40 and len({r.sha256 for r in rows}) == 4
+
+
+def test_documents_become_one_file_each(spark):
+    from checks.files import written_each
+    from checks.registry import Inputs
+
+    lines = spark.createDataFrame([("a/x", "2", 2), ("a/x", "1", 1), ("b.txt", "", 1)], "file string, value string, at long")
+    root = written_each(Inputs(spark, "/tmp"), "each", lines, "at", "h:", ",", "!")
+    got = {r.path: (r.bytes, r.sha256) for r in provenance.file_manifest(spark, root).collect()}
+    assert got == {p: (len(v), hashlib.sha256(v.encode()).hexdigest()) for p, v in (("a/x", "h:1,2!"), ("b.txt", "h:!"))}
+
+
 def test_a_package_without_reference_data(spark, tmp_path):
     expected = spark.createDataFrame([("eez_reference", "remote"), ("mine", "local"), ("big", "large")], "source_id string, kind string")
     layers = write_reference(spark, str(tmp_path), ReferenceData(expected=expected, enabled=("custom_boundary",), live=False))

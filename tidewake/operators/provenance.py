@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import islice
 from typing import BinaryIO
 
 import pandas as pd
@@ -18,6 +19,8 @@ from tidewake.session import stage
 MANIFESTS = ("build", "source", "style")
 # Names of object stores in Hadoop and in Arrow.
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+#: Entries of a folder that a task holds at once.
+LISTED_ROWS = 10_000
 
 
 def file_manifest(
@@ -32,26 +35,33 @@ def file_manifest(
     Arrow's file systems, don't know its scheme. Names that begin with ``_`` or ``.`` are not listed.
     """
     base = root.rstrip("/")
-    listed = list_files(spark, base, list_folder or _arrow_folder).repartition(F.col("address"))
+    listed = _spread(list_files(spark, base, list_folder or _arrow_folder))
     hashed = listed.mapInPandas(_hashes(open_stream or _arrow_stream), "path string, bytes long, sha256 string")
     inner = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base)
     below = F.when(F.startswith("path", F.lit(base + "/")), F.substring("path", len(base) + 2, 1 << 30))
     return hashed.withColumn("path", below.otherwise(F.regexp_replace("path", "^.*?" + _quoted(inner) + "/", "")))
 
 
+def _spread(addresses: DataFrame) -> DataFrame:
+    """Addresses over a fixed number of tasks: the work behind one is not seen in its bytes, by which
+    Spark would merge them."""
+    return addresses.repartition(int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "address")
+
+
 def list_files(spark: SparkSession, root: str, list_folder: Callable[[str], Iterable[tuple[str, bool]]]) -> DataFrame:
     """``address`` of every file under ``root``: round by round, the folders found in one round are
     listed side by side by the tasks of the next. There are as many rounds as levels of folders."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(a, inner) for folder in batch["address"] for a, inner in list_folder(folder)
-                     if not a.rstrip("/").rsplit("/", 1)[-1].startswith(("_", "."))]
-            yield pd.DataFrame(found, columns=["address", "folder"])
+            found = ((a, inner) for folder in batch["address"] for a, inner in list_folder(folder)
+                     if not a.rstrip("/").rsplit("/", 1)[-1].startswith(("_", ".")))
+            while some := list(islice(found, LISTED_ROWS)):
+                yield pd.DataFrame(some, columns=["address", "folder"])
 
     level, files = spark.createDataFrame([(root,)], "address string"), []
     while True:
-        entries = stage(level.repartition(F.col("address")).mapInPandas(run, "address string, folder boolean"))
+        entries = stage(_spread(level).mapInPandas(run, "address string, folder boolean"))
         files.append(entries.where("NOT folder").select("address"))
         level = entries.where("folder").select("address")
         if not level.take(1):
@@ -61,7 +71,7 @@ def list_files(spark: SparkSession, root: str, list_folder: Callable[[str], Iter
 def _arrow_folder(address: str) -> Iterator[tuple[str, bool]]:
     from pyarrow import fs
 
-    system, inner, prefix = _arrow_place(address)
+    system, inner, prefix = arrow_place(address)
     if system.get_file_info(inner).type == fs.FileType.File:
         yield address, False
         return
@@ -69,7 +79,7 @@ def _arrow_folder(address: str) -> Iterator[tuple[str, bool]]:
         yield prefix + entry.path, entry.type == fs.FileType.Directory
 
 
-def _arrow_place(address: str):
+def arrow_place(address: str):
     """(file system, path in it, what to put before its paths) of an address."""
     from pyarrow import fs
 
@@ -87,7 +97,7 @@ def _quoted(text: str) -> str:
 
 
 def _arrow_stream(address: str) -> BinaryIO:
-    system, inner, _ = _arrow_place(address)
+    system, inner, _ = arrow_place(address)
     return system.open_input_stream(inner)
 
 
