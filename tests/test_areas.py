@@ -26,6 +26,21 @@ def test_buffers_and_custom_extents(spark):
     assert got["local"] == pytest.approx((119.2, 19.0, 126.8, 27.9))
 
 
+def test_regions_of_one_box_meet_a_point_once(spark, monkeypatch):
+    """Equal boxes are joined as lists, and the points of one file are joined by many tasks."""
+    monkeypatch.setattr(filters, "LIST_ROWS", 7)
+    points = spark.createDataFrame([(i, 1.0 if i % 2 else 50.0, 2.0, "p") for i in range(40)], "o long, longitude double, latitude double, kind string").coalesce(1)
+    regions = spark.createDataFrame(
+        [(f"r{i}", 0.0, 0.0, 3.0 + i % 2, 9.0, "180") for i in range(100)] + [("far", 49.0, 0.0, 51.0, 9.0, "360")],
+        "region string, xmin double, ymin double, xmax double, ymax double, convention string")
+    out = filters.assign_regions(points, regions)
+    assert out.columns == ["o", "longitude", "latitude", "kind", *regions.columns]
+    got = [(r.o, r.region) for r in out.collect()]
+    assert sorted(got) == sorted(
+        [(o, f"r{i}") for o in range(1, 40, 2) for i in range(100)] + [(o, "far") for o in range(0, 40, 2)])
+    assert "RoundRobinPartitioning(4)" in out._jdf.queryExecution().toString()
+
+
 def test_region_assignment_equals_brute_force(spark):
     import random
 
