@@ -63,14 +63,12 @@ def src3(t):
     # one file per vessel, and one for rows without any, each a feature collection
     rows = t.view("observations")
     feature = F.struct(
-        "source_order", F.struct(
-            F.lit("Feature").alias("type"), F.struct("entity_id").alias("properties"),
-            F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry")).alias("f"))
-    features = F.transform(F.array_sort(F.collect_list(feature)), lambda x: x["f"])
-    files = rows.groupBy(F.coalesce("entity_id", F.lit("none")).alias("part")).agg(features.alias("features")).select(
-        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"), "part")
-    path = folder(t, "geojson") + "/data"
-    files.repartition(8, "part").write.partitionBy("part").text(path)
+        F.lit("Feature").alias("type"), F.struct("entity_id").alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    # a dot, like a slash, comes before the digits: the files' order is that of the SQL
+    name = F.concat(F.lit("part="), F.coalesce("entity_id", F.lit("none")), F.lit(".json"))
+    path = written_each(t, "geojson", rows.select(name.alias("file"), F.to_json(feature).alias("value"), "source_order"), "source_order",
+                        '{"type":"FeatureCollection","features":[', ",", "]}\n")
     return readers.read_geojson(t.spark, path).select("source_order", "entity_id", "geometry_lon", "geometry_lat")
 
 
@@ -79,12 +77,10 @@ def src3(t):
 def src4(t):
     e = t.table("events")
     line = F.concat_ws("\t", F.col("ts").cast("string"), F.col("user_id").cast("string"), F.col("value").cast("string"), F.lit("12.5"))
-    head = F.lit("/* comment */\nmore text\n" + readers.PREAMBLE_MARKER + "Depth water [m]\n")
-    body = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
-    docs = body.select(F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value"), F.col("user_id").alias("part"))
-    path = folder(t, "cruises") + "/data"
+    head = "/* comment */\nmore text\n" + readers.PREAMBLE_MARKER + "Depth water [m]\n"
     # one file per cruise
-    docs.repartition(8, "part").write.partitionBy("part").text(path)
+    name = F.concat(F.lit("part="), F.coalesce(F.col("user_id").cast("string"), F.lit("none")), F.lit(".tab"))
+    path = written_each(t, "cruises", e.select(name.alias("file"), line.alias("value"), "event_id"), "event_id", head)
     out = readers.read_preamble_tsv(t.spark, path, {"source_type": "PUBLIC_TRACK"}, "CRUISE:")
     return out.select("source_record_id", "timestamp_start", "longitude", "latitude", "source_type")
 

@@ -110,3 +110,12 @@ def test_preamble_rows_keep_their_numbers_when_splits_change(spark, splits, tmp_
     df = read_preamble_tsv(spark, str(tmp_path / "t.tab"), {"source": "s"}, "row-")
     splits(5000)
     assert {(r.source_record_id, r.Depth) for r in df.collect()} == {(f"row-{i + 1}", str(i)) for i in range(400)}
+
+
+def test_steps_on_geojson_records_are_formed_once(spark, tmp_path):
+    from tidewake.sources.geojson import feature_lines
+
+    (tmp_path / "a.json").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":"}"}},{"type":"Feature"}]}')
+    lines = feature_lines(spark, str(tmp_path))
+    assert sorted(r.feature for r in lines.where("number IS NOT NULL").collect()) == ['{"type":"Feature","properties":{"a":"}"}}', '{"type":"Feature"}']
+    assert "Window" not in lines._jdf.queryExecution().toString()

@@ -74,7 +74,8 @@ def feature_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``number`` (place among the file's features), ``feature`` (its text); for each file also a row
     with ``number`` NULL whose ``feature`` is the collection without its features.
 
-    Files that hold no feature collection give none. The input is scanned once."""
+    Files that hold no feature collection give none. The input is scanned once; the steps on its
+    records are written as they are formed."""
     scanned = stage(spark.read.option("lineSep", "}").text(path).select(
         F.input_file_name().alias("file"), F.input_file_block_start().alias("start"),
         F.monotonically_increasing_id().alias("row"), "value"))
@@ -85,7 +86,8 @@ def feature_lines(spark: SparkSession, path: str) -> DataFrame:
         "brackets", _brackets(F.col("value"), F.col("inside"))).withColumn("turn", _depths(F.col("brackets")))
     # the brace after a record belongs to it
     turned = turned.withColumn("net", F.col("turn.net") - F.col("closed").cast("int")).drop("quotes", "upto", "brackets")
-    levels = running_sum(turned, ["file"], "start", "row", "net", "after").withColumn("depth", F.col("after") - F.col("net"))
+    # each running sum and what follows it reads its rows several times: they are formed once
+    levels = stage(running_sum(stage(turned), ["file"], "start", "row", "net", "after").withColumn("depth", F.col("after") - F.col("net")))
 
     named = levels.where(F.contains("value", F.lit('"features"'))).select("file", "start", "row", "value", "inside", "depth")
     opening = stage(named.mapInPandas(_array_starts, "file string, start long, row long, offset int").groupBy("file").agg(
@@ -104,12 +106,12 @@ def feature_lines(spark: SparkSession, path: str) -> DataFrame:
     bounded = marked.join(last, F.col("file") == F.col("__file"), "left").drop("__file")
     within = (F.col("place") >= F.col("first")) & (F.col("last").isNull() | (F.col("place") < F.col("last")))
     bounded = bounded.withColumn("within", within).withColumn("ended", (F.col("within") & F.col("ends")).cast("int"))
-    numbered = running_sum(bounded, ["file"], "start", "row", "ended", "upto").withColumn("number", F.col("upto") - F.col("ended"))
+    numbered = stage(running_sum(stage(bounded), ["file"], "start", "row", "ended", "upto").withColumn("number", F.col("upto") - F.col("ended")))
 
     text = F.when(F.col("opens"), rest).otherwise(F.col("value"))
-    parts = numbered.where("within").groupBy("file", "start", "number").agg(
+    parts = stage(numbered.where("within").groupBy("file", "start", "number").agg(
         F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", text.alias("t")))), lambda r: r["t"]), "}")).alias("t"),
-        F.max("ended").alias("ended"))
+        F.max("ended").alias("ended")))
     # a split's first feature may have begun before it, its last may end after it
     edges = parts.groupBy("file", "start").agg(F.min("number").alias("lo"), F.max("number").alias("hi")).select(
         F.col("file").alias("__file"), F.col("start").alias("__start"), "lo", "hi")
