@@ -24,6 +24,7 @@ from tidewake.functions.identity import malformed_identifier
 from tidewake.plans.ordered import (
     attach,
     bounded_slices,
+    by_size,
     last_value_before,
     micros,
     order_slice,
@@ -133,7 +134,7 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     keyed = df.select("*", *[k.alias(f"__{n}") for n, k in zip(names, key)])
     on = [keyed[f"__{n}"].eqNullSafe(repeated[n]) for n in names]
     return (
-        keyed.join(repeated, on, "left")
+        keyed.join(repeated.hint("shuffle_hash"), on, "left")
         .withColumn("is_duplicate", F.coalesce(F.col("source_order") > F.col("first_order"), F.lit(False)))
         .drop("first_order", *names, *[f"__{n}" for n in names])
     )
@@ -190,7 +191,11 @@ def _disorder(prepared: DataFrame, config: QualityConfig) -> DataFrame:
         "observation_id", "entity_id", "entity_key", "source_order", "event_time",
         order_slice(F.col("source_order"), config.source_slice).alias("slice"),
     )
-    seen = last_value_before(rows, ["entity_key"], "slice", "source_order", "event_time", "seen")
+    small, large = by_size(rows, "entity_key", config.slice_rows)
+    before = slice_window(["entity_key"], ["source_order"]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = small.withColumn("seen", F.last("event_time", ignorenulls=True).over(before))
+    if large is not None:
+        seen = seen.unionByName(last_value_before(large, ["entity_key"], "slice", "source_order", "event_time", "seen"))
     return _flags(
         seen.filter(F.col("event_time") < F.col("seen")), "TIMESTAMP_DISORDER", "WARNING",
         F.lit("earlier than the row before it"),
@@ -211,13 +216,12 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
     A row that fails the speed test does not become the reference of the next one, so the
     result is a sequential fold. Almost all rows do not need it: as long as no adjacent pair
     failed within the time a vessel at the speed limit needs to reach any point on Earth,
-    the last accepted row *is* the adjacent row. Only the slices within that horizon of an
-    adjacent failure (and the one slice after them) go through :func:`folded_pairs`.
+    the last accepted row *is* the adjacent row. Only the rows within that horizon of an
+    adjacent failure (and the one row after them) go through :func:`folded_pairs`; of vessels with
+    more than ``slice_rows`` rows, the slices within it and the one slice after them.
     """
-    rows = bounded_slices(
-        screened.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
-            "entity_id", "entity_key", "observation_id", "source_order", "event_time", "latitude", "longitude", "barred"),
-        "entity_key", "event_time", "source_order", config.slice_seconds, config.slice_rows)
+    rows = screened.filter(F.col("event_time").isNotNull() & (F.col("entity_key") != "")).select(
+        "entity_id", "entity_key", "observation_id", "source_order", "event_time", "latitude", "longitude", "barred")
     horizon_us = int(MAX_DISTANCE_M / (config.max_speed_knots / KNOTS_PER_MPS) * 1e6) + 1_000_000
     order = ["event_time", "source_order"]
     point = F.struct("event_time", "latitude", "longitude", "barred", "source_order")
@@ -235,33 +239,56 @@ def screened_pairs(screened: DataFrame, config: QualityConfig = QualityConfig())
         reach = sphere(prev, cur) * (1.0 if config.distance == "haversine" else SPHERE_HIGH)
         return reach / gap(prev, cur) * KNOTS_PER_MPS > config.max_speed_knots
 
-    spec = slice_window(["entity_key", "slice"], order)
-    local = rows.withColumn("prev_local", F.lag(point).over(spec))
-    ordinal = F.struct(*order)
-    summary = local.groupBy("entity_key", "slice").agg(
-        F.min_by(point, ordinal).alias("head"),
-        F.max_by(point, ordinal).alias("tail"), F.count("*").alias("rows"),
-        F.max(F.when(jump(F.col("prev_local"), point), micros(F.col("event_time")))).alias("hit"),
-    )
-    by_entity = Window.partitionBy("entity_key").orderBy("slice")
-    by_island = Window.partitionBy("entity_key", "island")
-    earlier = by_island.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        summary.withColumn("carry", F.lag("tail").over(by_entity))
-        .withColumn("hit", F.greatest(
-            "hit", F.when(jump(F.col("carry"), F.col("head")), micros(F.col("head.event_time")))))
-        .withColumn("last_hit", F.last("hit", ignorenulls=True).over(by_entity))
-        .withColumn("near", F.coalesce(
-            slice_start(F.col("slice"), config.slice_seconds) <= F.col("last_hit") + F.lit(horizon_us), F.lit(False)))
-        .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(by_entity), F.lit(False)))
-        .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(by_entity), F.lit(False)))
-        .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(by_entity)))
-        .withColumn("piece", F.floor(F.coalesce(F.sum("rows").over(earlier), F.lit(0)) / config.slice_rows))
-        .withColumn("alone", F.max("piece").over(by_island) == 0)
-        .select("entity_key", "slice", "carry", "island", "piece", "alone")
-    )
-    joined = attach(local, summary, ["entity_key", "slice"]).withColumn("prev", F.coalesce("prev_local", "carry")).drop("prev_local", "carry")
-    joined = stage(joined)  # read for the slices without and with the fold
+    def within(rows: DataFrame) -> DataFrame:
+        spec = slice_window(["entity_key"], order)
+        upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (
+            rows.withColumn("prev", F.lag(point).over(spec))
+            .withColumn("last_hit", F.max(F.when(jump(F.col("prev"), point), micros(F.col("event_time")))).over(upto))
+            .withColumn("near", F.coalesce(micros(F.col("event_time")) <= F.col("last_hit") + F.lit(horizon_us), F.lit(False)))
+            .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(spec), F.lit(False)))
+            .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(spec), F.lit(False)))
+            .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(upto)))
+            .withColumn("piece", F.lit(0).cast("long"))
+            .withColumn("alone", F.lit(True))
+            .drop("last_hit", "near", "zone", "opens")
+        )
+
+    def over_slices(rows: DataFrame) -> DataFrame:
+        rows = bounded_slices(rows, "entity_key", "event_time", "source_order", config.slice_seconds, config.slice_rows)
+        spec = slice_window(["entity_key", "slice"], order)
+        local = rows.withColumn("prev_local", F.lag(point).over(spec))
+        ordinal = F.struct(*order)
+        summary = local.groupBy("entity_key", "slice").agg(
+            F.min_by(point, ordinal).alias("head"),
+            F.max_by(point, ordinal).alias("tail"), F.count("*").alias("rows"),
+            F.max(F.when(jump(F.col("prev_local"), point), micros(F.col("event_time")))).alias("hit"),
+        )
+        by_entity = Window.partitionBy("entity_key").orderBy("slice")
+        by_island = Window.partitionBy("entity_key", "island")
+        earlier = by_island.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        summary = (
+            summary.withColumn("carry", F.lag("tail").over(by_entity))
+            .withColumn("hit", F.greatest(
+                "hit", F.when(jump(F.col("carry"), F.col("head")), micros(F.col("head.event_time")))))
+            .withColumn("last_hit", F.last("hit", ignorenulls=True).over(by_entity))
+            .withColumn("near", F.coalesce(
+                slice_start(F.col("slice"), config.slice_seconds) <= F.col("last_hit") + F.lit(horizon_us), F.lit(False)))
+            .withColumn("zone", F.col("near") | F.coalesce(F.lag("near").over(by_entity), F.lit(False)))
+            .withColumn("opens", F.col("zone") & ~F.coalesce(F.lag("zone").over(by_entity), F.lit(False)))
+            .withColumn("island", F.when(F.col("zone"), F.sum(F.col("opens").cast("long")).over(by_entity)))
+            .withColumn("piece", F.floor(F.coalesce(F.sum("rows").over(earlier), F.lit(0)) / config.slice_rows))
+            .withColumn("alone", F.max("piece").over(by_island) == 0)
+            .select("entity_key", "slice", "carry", "island", "piece", "alone")
+        )
+        return attach(local, summary, ["entity_key", "slice"]).withColumn("prev", F.coalesce("prev_local", "carry")).drop(
+            "prev_local", "carry", "slice")
+
+    small, large = by_size(rows, "entity_key", config.slice_rows)
+    joined = within(small)
+    if large is not None:
+        joined = joined.unionByName(over_slices(large))
+    joined = stage(joined)  # read for the rows without and with the fold
     calm = (
         joined.filter(F.col("island").isNull())
         .withColumn("gap_seconds", gap(F.col("prev"), point))
@@ -498,6 +525,18 @@ def screened_flags(screened: DataFrame, pairs: DataFrame, config: QualityConfig)
     )
 
 
+def exclusions(screened: DataFrame, pairs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The excluding flags as :func:`split` needs them (``source_order``, ``excluded``), without forming any flag."""
+    fast = pairs.filter(F.col("knots") > config.max_speed_knots)
+    return screened.filter("barred").select("source_order").unionByName(fast.select("source_order")).withColumn("excluded", F.lit(True))
+
+
+def clean(observations: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The cleaned points alone, for callers that need no flags."""
+    screened = stage(screen(observations))
+    return split(observations, stage(exclusions(screened, screened_pairs(screened, config), config)))[0]
+
+
 def split(observations: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cleaned, excluded): the wide rows meet the keys of the excluding flags once and are written
     with the mark, so that every output is a scan."""

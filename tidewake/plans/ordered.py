@@ -38,6 +38,20 @@ PART_BITS = 20
 SAMPLES = 64
 
 
+def by_size(df: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys with at most ``most`` rows, and those of all others (None where there are none).
+
+    A key of the first kind fits one window, so its rows move once and need no slices or summary.
+    At most one key in ``most`` rows is of the other kind, so their list is short. Keys must be non-null.
+    """
+    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    large = stage(counts.where(F.col("__n") > most).select("__key"))
+    if not large.take(1):
+        return df, None
+    on = F.col(key) == F.col("__key")
+    return df.join(large, on, "left_anti"), df.join(large, on, "left_semi")
+
+
 def slice_start(part: Column, width_seconds: int) -> Column:
     """Microseconds at which the time slice of a :func:`bounded_slices` number begins."""
     return F.shiftright(part, PART_BITS) * F.lit(width_seconds * 1_000_000)
