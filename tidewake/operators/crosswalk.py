@@ -313,9 +313,11 @@ def license_matrix(sources: DataFrame) -> DataFrame:
 def unlisted_references(rows: DataFrame, column: str, listed: DataFrame, key: str, sep: str = ";") -> DataFrame:
     """Values of a (multi-value) reference column that the listing lacks, with counts."""
     values = rows.select(F.explode(F.split(column, sep)).alias(key)).filter(F.trim(key) != "")
-    # map-side counts first: a value held by most rows reaches the join once
+    # map-side counts first: a value held by most rows reaches the join once. A left anti join would be
+    # moved below the counts by the optimiser, where every single value is shuffled and sorted
     counts = values.groupBy(key).agg(F.count("*").alias("references"))
-    return counts.join(listed.select(key).distinct(), key, "left_anti")
+    known = listed.select(key).distinct().withColumn("__known", F.lit(True))
+    return counts.join(known, key, "left").filter(F.col("__known").isNull()).drop("__known")
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
