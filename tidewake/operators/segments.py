@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.plans.ordered import attach, bounded_slices, micros, seconds_between, slice_window
+from tidewake.plans.ordered import attach, bounded_slices, by_size, micros, seconds_between, slice_window
 from tidewake.schema import DENSE_SOURCE_TYPES, SEGMENT_COLUMNS, QualityConfig, blank, conform
 from tidewake.session import stage
 
@@ -37,15 +37,15 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
 
     Added: ``prev`` (struct), ``gap_seconds``, ``run_break``, ``dense`` and the run key
     (``run_slice``, ``run_no``): the slice a run starts in and its number there; ``run_place`` is the
-    point's place in its run, from 0. A run that continues over slices keeps the key of its first
-    slice, and its places go on, both found on the per-slice summary.
+    point's place in its run, from 0, and ``alone`` tells runs of one point. A vessel of up to ``slice_rows``
+    points is one slice. A run that continues over slices keeps the key of its first slice, and its places
+    go on, both found on the per-slice summary.
     """
     rows = conform(cleaned).filter(~blank(F.col("entity_id"))).select(
         F.trim("entity_id").alias("entity_id"), "observation_id", "source_order",
         F.col("event_time").cast("timestamp").alias("event_time"), "longitude", "latitude",
         "actor_type", "source_type", "source_name", "source_segment_id",
     )
-    rows = bounded_slices(rows, "entity_id", "event_time", "source_order", config.slice_seconds, config.slice_rows)
     point = F.struct(
         "event_time", "source_order", "observation_id", "actor_type", "source_name",
         "source_segment_id", "longitude", "latitude",
@@ -55,46 +55,77 @@ def linked_points(cleaned: DataFrame, config: QualityConfig = QualityConfig()) -
         gap = seconds_between(cur["event_time"], prev["event_time"])
         return (gap > config.observed_track_max_gap_seconds) | _provider_changed(prev, cur)
 
-    spec = slice_window(["entity_id", "slice"], _ORDER)
-    local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
-        "break_local", F.coalesce(breaks(F.col("prev_local"), point), F.lit(False)).cast("long")
-    ).withColumn("nth_row", F.row_number().over(spec).cast("long") - 1).withColumn("piece", F.floor(F.col("nth_row") / PIECE_ROWS))
-    ordinal = F.struct(*_ORDER)
-    summary = local.groupBy("entity_id", "slice").agg(
-        F.min_by(point, ordinal).alias("head"),
-        F.max_by(point, ordinal).alias("tail"),
-        F.sum("break_local").alias("breaks"), F.count("*").alias("rows"),
-        F.max(F.when(F.col("break_local") == 1, F.col("nth_row"))).alias("last_break"),
-        F.bool_and(F.coalesce(F.col("source_type").isin(*DENSE_SOURCE_TYPES), F.lit(False))).alias("dense"),
-    )
-    by_entity = Window.partitionBy("entity_id").orderBy("slice")
-    earlier = by_entity.rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        summary.withColumn("carry", F.lag("tail").over(by_entity))
-        .withColumn("fresh", F.coalesce(breaks(F.col("carry"), F.col("head")), F.lit(True)).cast("long"))
-        .withColumn("starts", F.col("breaks") + F.col("fresh"))
-        .withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("open_run", F.last(
-            F.when(F.col("starts") > 0, F.struct("slice", "starts", (
-                F.col("rows_before") + F.coalesce("last_break", F.lit(0))).alias("start"))), ignorenulls=True).over(earlier))
-        .withColumn("dense", F.min("dense").over(Window.partitionBy("entity_id")))
-        .select("entity_id", "slice", "carry", "fresh", "open_run", "dense", "rows_before")
-    )
-    joined = attach(local.withColumns({
-        "nth": F.sum("break_local").over(spec),
-        "opened": F.last(F.when(F.col("break_local") == 1, F.col("nth_row")), ignorenulls=True).over(spec),
-    }), summary, ["entity_id", "slice"])
-    number = F.col("nth") + F.col("fresh")
-    return (
-        joined.withColumn("prev", F.coalesce("prev_local", "carry"))
-        .withColumn("gap_seconds", seconds_between(F.col("event_time"), F.col("prev.event_time")))
-        .withColumn("run_break", F.coalesce(breaks(F.col("prev"), point), F.lit(False)))
-        .withColumn("run_slice", F.when(number > 0, F.col("slice")).otherwise(F.col("open_run.slice")))
-        .withColumn("run_no", F.when(number > 0, number).otherwise(F.col("open_run.starts")))
-        .withColumn("run_place", F.when(number > 0, F.col("nth_row") - F.coalesce("opened", F.lit(0))).otherwise(
-            F.col("rows_before") + F.col("nth_row") - F.col("open_run.start")))
-        .drop("prev_local", "break_local", "nth", "nth_row", "opened", "carry", "fresh", "open_run", "rows_before")
-    )
+    def within(rows: DataFrame) -> DataFrame:
+        spec = slice_window(["entity_id"], _ORDER)
+        upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (
+            rows.withColumn("prev", F.lag(point).over(spec))
+            .withColumn("gap_seconds", seconds_between(F.col("event_time"), F.col("prev.event_time")))
+            .withColumn("run_break", F.coalesce(breaks(F.col("prev"), point), F.lit(False)))
+            .withColumn("nth_row", F.row_number().over(spec).cast("long") - 1)
+            .withColumn("opens", (F.col("prev").isNull() | F.col("run_break")).cast("long"))
+            .withColumns({
+                "run_no": F.sum("opens").over(upto),
+                "opened": F.max(F.when(F.col("opens") == 1, F.col("nth_row"))).over(upto),
+                "opens_after": F.lead("opens").over(spec),
+                "dense": F.min(F.coalesce(F.col("source_type").isin(*DENSE_SOURCE_TYPES), F.lit(False))).over(Window.partitionBy("entity_id")),
+            })
+            .withColumns({
+                "slice": F.lit(0).cast("long"), "run_slice": F.lit(0).cast("long"), "piece": F.floor(F.col("nth_row") / PIECE_ROWS),
+                "run_place": F.col("nth_row") - F.col("opened"),
+                "alone": (F.col("opens") == 1) & (F.coalesce("opens_after", F.lit(1)) == 1),
+            })
+            .drop("nth_row", "opens", "opened", "opens_after")
+        )
+
+    def over_slices(rows: DataFrame) -> DataFrame:
+        rows = bounded_slices(rows, "entity_id", "event_time", "source_order", config.slice_seconds, config.slice_rows)
+        spec = slice_window(["entity_id", "slice"], _ORDER)
+        local = rows.withColumn("prev_local", F.lag(point).over(spec)).withColumn(
+            "break_local", F.coalesce(breaks(F.col("prev_local"), point), F.lit(False)).cast("long")
+        ).withColumn("nth_row", F.row_number().over(spec).cast("long") - 1).withColumn("piece", F.floor(F.col("nth_row") / PIECE_ROWS))
+        ordinal = F.struct(*_ORDER)
+        summary = local.groupBy("entity_id", "slice").agg(
+            F.min_by(point, ordinal).alias("head"),
+            F.max_by(point, ordinal).alias("tail"),
+            F.sum("break_local").alias("breaks"), F.count("*").alias("rows"),
+            F.max(F.when(F.col("break_local") == 1, F.col("nth_row"))).alias("last_break"),
+            F.bool_and(F.coalesce(F.col("source_type").isin(*DENSE_SOURCE_TYPES), F.lit(False))).alias("dense"),
+        )
+        by_entity = Window.partitionBy("entity_id").orderBy("slice")
+        earlier = by_entity.rowsBetween(Window.unboundedPreceding, -1)
+        summary = (
+            summary.withColumn("carry", F.lag("tail").over(by_entity))
+            .withColumn("fresh", F.coalesce(breaks(F.col("carry"), F.col("head")), F.lit(True)).cast("long"))
+            .withColumn("starts", F.col("breaks") + F.col("fresh"))
+            .withColumn("rows_before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+            .withColumn("open_run", F.last(
+                F.when(F.col("starts") > 0, F.struct("slice", "starts", (
+                    F.col("rows_before") + F.coalesce("last_break", F.lit(0))).alias("start"))), ignorenulls=True).over(earlier))
+            .withColumn("dense", F.min("dense").over(Window.partitionBy("entity_id")))
+            .withColumn("fresh_after", F.lead("fresh").over(by_entity))
+            .select("entity_id", "slice", "carry", "fresh", "fresh_after", "open_run", "dense", "rows_before")
+        )
+        joined = attach(local.withColumns({
+            "nth": F.sum("break_local").over(spec),
+            "opened": F.last(F.when(F.col("break_local") == 1, F.col("nth_row")), ignorenulls=True).over(spec),
+            "break_after": F.lead("break_local").over(spec),
+        }), summary, ["entity_id", "slice"])
+        number = F.col("nth") + F.col("fresh")
+        return (
+            joined.withColumn("prev", F.coalesce("prev_local", "carry"))
+            .withColumn("gap_seconds", seconds_between(F.col("event_time"), F.col("prev.event_time")))
+            .withColumn("run_break", F.coalesce(breaks(F.col("prev"), point), F.lit(False)))
+            .withColumn("run_slice", F.when(number > 0, F.col("slice")).otherwise(F.col("open_run.slice")))
+            .withColumn("run_no", F.when(number > 0, number).otherwise(F.col("open_run.starts")))
+            .withColumn("run_place", F.when(number > 0, F.col("nth_row") - F.coalesce("opened", F.lit(0))).otherwise(
+                F.col("rows_before") + F.col("nth_row") - F.col("open_run.start")))
+            .withColumn("alone", (F.col("run_place") == 0) & (F.coalesce("break_after", "fresh_after", F.lit(1)) == 1))
+            .drop("prev_local", "break_local", "break_after", "nth", "nth_row", "opened", "carry", "fresh", "fresh_after", "open_run", "rows_before")
+        )
+
+    small, large = by_size(rows, "entity_id", config.slice_rows)
+    return within(small) if large is None else within(small).unionByName(over_slices(large))
 
 
 def observed_runs(linked: DataFrame) -> DataFrame:
@@ -120,8 +151,8 @@ def observed_runs(linked: DataFrame) -> DataFrame:
              F.max("end_us").alias("end_us"), F.sum("points").alias("points"), F.max("max_gap").alias("max_gap"),
              F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"),
              F.array_distinct(F.flatten(F.collect_list("providers"))).alias("providers"), F.min("place").alias("place")]
-    # within a slice, where the rows of a piece are together already
-    parts = linked.filter("dense").withColumn("leaf", F.floor(F.col("run_place") / TREE_WIDTH)).groupBy(
+    # within a slice, where the rows of a piece are together already; runs of one point would be dropped in the end
+    parts = linked.filter("dense AND NOT alone").withColumn("leaf", F.floor(F.col("run_place") / TREE_WIDTH)).groupBy(
         "entity_id", "slice", "piece", "run_slice", "run_no", "leaf").agg(
         joined("run_place", "observation_id").alias("ids"),
         F.min_by("observation_id", "run_place").alias("first_id"), F.max_by("observation_id", "run_place").alias("last_id"),
