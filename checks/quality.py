@@ -184,8 +184,7 @@ def qc13(t):
 
 
 def cleaned_of(t: Inputs, config=CONFIG):
-    """Cleaned points with the shared tables written once, as a build does."""
-    return qc.split(t.view("observations"), flags_of(t, config))[0]
+    return qc.clean(t.view("observations"), config)
 
 
 def flags_of(t: Inputs, config=CONFIG):
