@@ -226,13 +226,15 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index that the edges (a, b) reach, given the labels of earlier edges."""
+    """Smallest index that the edges (a, b) reach, given the labels of earlier edges. Only labels are
+    lowered, never the ends themselves: an end that left its label would lose the earlier edges."""
     while True:
         lower = label.copy()
         least = np.minimum(label[a], label[b])
-        for ends in (a, b, label[a], label[b]):
+        for ends in (label[a], label[b]):
             np.minimum.at(lower, ends, least)
-        lower = lower[lower]
+        while (lower[lower] != lower).any():
+            lower = lower[lower]
         if (lower == label).all():
             return label
         label = lower
