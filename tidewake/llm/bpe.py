@@ -6,14 +6,15 @@ of this kind; they cut a text into words, which are kept with their ids in a bou
 Inside a word, the pretokens are cut again at the remaining forced boundaries, so that a merge
 never runs over more than a fragment however long the word is. Fragments that end a pretoken
 go through the library's own BPE model; fragments inside one go through the same model without
-its end-of-word mark.
+its end-of-word mark. Words, pretokens and fragments are columns throughout: only a fragment
+that no cache knows becomes a Python object.
 """
 
 from __future__ import annotations
 
 import json
-from array import array
-from itertools import pairwise
+from collections.abc import Callable
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,15 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Words and pretokens that each of a cache's two generations holds (about 200 bytes each).
-CACHE_WORDS = 200_000
-CACHE_PRETOKENS = 150_000
+#: Words and pretokens that a cache keeps (about 40 bytes each, twice that while it grows), and bytes of them and their ids.
+CACHE_WORDS = 300_000
+CACHE_PRETOKENS = 300_000
+CACHE_BYTES = 64 << 20
 
-# The tokenizer's pattern of pretokens.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The tokenizer's pattern of pretokens, that is these endings, runs of letters, single
+# numbers, and runs of what is neither.
+ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+LETTER, NUMBER, OTHER = range(3)
 
 
 def byte_letters() -> list[str]:
@@ -54,19 +58,22 @@ class WordEncoder:
         suffix = spec["model"]["end_of_word_suffix"]
         size = 1 + max(max(vocab.values()), *(t["id"] for t in spec["added_tokens"]))
         self.token = [""] * size
-        self.closes = np.zeros(size, bool)
         for token, i in vocab.items():
-            self.token[i], self.closes[i] = token, token.endswith(suffix)
+            self.token[i] = token
         for t in spec["added_tokens"]:
             self.token[t["id"]] = t["content"]
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.letters = byte_letters()
         self.number = np.zeros(1 + max(map(ord, self.letters)), np.uint8)
         self.number[[ord(c) for c in self.letters]] = np.arange(256)
         self.forced = self._forced(vocab, suffix)
-        self.pattern = regex.compile(PRETOKEN + "|\n")
+        self.byte_code = np.array([ord(c) for c in self.letters], "<u2")
         # words that the short way doesn't take: below U+0250 all printable texts are in NFC
-        special = "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])
-        self.odd = regex.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u024f]" + (f"|{special}" if special else ""))
+        low = [chr(c) for c in range(0x250)]
+        odd = regex.compile(r"[^\x20-\x7e\xa1-\xac\xae-\u024f]")
+        self.usual = np.array([not odd.match(c) and len(c.lower()) == 1 and c.lower() <= low[-1] for c in low] + [False])
+        self.lower = np.array([ord(c.lower()) if u else 0 for c, u in zip(low, self.usual)], np.uint16)
+        self.kind = np.array([LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else OTHER for c in low], np.uint8)
         # white space occurs in no token: every pair with it is a forced boundary
         assert all(self.forced[s, :].all() and self.forced[:, s].all() for s in b" \t\n\r\x0b\x0c")
 
@@ -92,78 +99,120 @@ class WordEncoder:
         """Bytes that a text of byte letters stands for."""
         return self.number[np.frombuffer(lettered.encode("utf-16-le"), np.uint16)]
 
-    def _lettered(self, text: str) -> str:
-        if text.isascii() and text.isprintable():
-            return text
-        return "".join(map(self.letters.__getitem__, text.encode("utf-8", "surrogateescape")))
-
-    def pretokens(self, words: list[bytes]) -> list[list[str] | None]:
-        """Lower-cased pretokens of each word; None for words with a special token."""
-        joined = b"\n".join(words).decode()
-        if self.odd.search(joined):
-            texts = joined.split("\n")
-            usual = [not self.odd.search(t) for t in texts]
-            short = iter(self._split([t for t, u in zip(texts, usual) if u]))
-            return [next(short) if u else self._long_way(w, t) for w, t, u in zip(words, texts, usual)]
-        return self._split_joined(joined)
-
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        return self._split_joined("\n".join(texts)) if texts else []
-
-    def _split_joined(self, joined: str) -> list[list[str]]:
-        out: list[list[str]] = [[]]
-        for found in self.pattern.findall(joined.lower()):
-            if found == "\n":
-                out.append([])
-            else:
-                out[-1].append(found)
-        return out
-
-    def _long_way(self, word: bytes, text: str) -> list[str] | None:
-        if any(s in word for s in self.special):
-            return None
+    def pretokens(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lower-cased pretokens of all words (UTF-8 bytes, white space in none), one after another,
+        and how many each word has; -1 for a word with a special token."""
+        offsets, data = _bytes_of(words)
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        places = _upto((data & 0xC0) != 0x80)[offsets]  # of each word's first code point
+        odd = np.diff(_upto(~self.usual[np.minimum(codes, len(self.lower))])[places]) > 0
+        special = np.zeros(len(words), bool)
+        for token in self.special:
+            special |= np.asarray(pc.match_substring(words, token))
+        odd |= special
+        if not odd.any():
+            return self._short_way(codes, places)
+        usual = np.flatnonzero(~odd)
+        sizes = np.diff(places)
+        counts = np.full(len(words), -1)
+        inside, counts[usual] = self._short_way(codes[np.repeat(~odd, sizes)], _upto(sizes[usual]))
+        rows = np.flatnonzero(odd & ~special)
+        split = [self._long_way(word.decode()) for word in words.take(pa.array(rows)).to_pylist()]
+        counts[rows] = list(map(len, split))
+        # the usual words' pretokens stand first
+        known = counts >= 0
+        starts = np.zeros(len(words), np.int64)
+        order = np.concatenate((usual, rows))
+        starts[order] = _upto(counts[order])[:-1]
+        both = pa.concat_arrays([inside, pa.array(list(chain.from_iterable(split)), pa.large_binary())])
+        return both.take(pa.array(_spans(starts[known], counts[known])[0])), counts
+
+    def _short_way(self, codes: np.ndarray, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Pretokens of words whose code points are usual ones, by the pattern's rules."""
+        codes = self.lower[codes]
+        n, kind = len(codes), self.kind[codes]
+        begins = np.zeros(n + 1, bool)
+        begins[places] = True
+        starts = begins.copy()
+        starts[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        marks = np.flatnonzero((codes == ord("'")) & starts[:n])
+        if len(marks):
+            ahead = np.append(codes, (0, 0))
+            first, second = ahead[marks + 1], ahead[marks + 2]
+            one, two = ~begins[marks + 1], ~begins[marks + 1] & ~begins[np.minimum(marks + 2, n)]
+            for ending in ENDINGS:
+                fits = one & (first == ord(ending[1])) if len(ending) == 2 else two & (first == ord(ending[1])) & (second == ord(ending[2]))
+                starts[marks[fits] + 1] = False
+                starts[marks[fits] + len(ending)] = True
+        starts[n] = True
+        bounds = np.flatnonzero(starts)
+        data = codes.astype("<u2").tobytes().decode("utf-16-le").encode()
+        offsets = _upto(1 + (codes >= 0x80))[bounds]
+        return _binary(offsets, data), np.diff(np.searchsorted(bounds, places))
+
+    def _long_way(self, text: str) -> list[bytes]:
         lettered = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
-        return [self._codes(p).tobytes().decode("utf-8", "surrogateescape") for p, _ in lettered]
-
-    def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
-        """Ids of each pretoken, in two calls of the library for all of them."""
-        joined = "".join(pretokens)
-        if joined.isprintable():
-            lettered = pretokens if joined.isascii() else [p if p.isascii() else self._lettered(p) for p in pretokens]
-        else:
-            lettered = list(map(self._lettered, pretokens))
-        joined = "".join(lettered)
-        codes = self._codes(joined)
-        ends = np.cumsum(list(map(len, lettered)))
-        final = np.zeros(len(codes), bool)
-        final[ends - 1] = True
+        return [self._codes(p).tobytes() for p, _ in lettered]
+
+    def encode_pretokens(self, pretokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pretokens (bytes) one after another, and how many each has."""
+        offsets, data = _bytes_of(pretokens)
+        final = np.zeros(len(data), bool)
+        final[offsets[1:] - 1] = True
         cut = final.copy()
-        cut[:-1] |= self.forced[codes[:-1], codes[1:]]
-        stops = np.flatnonzero(cut) + 1
-        closing = final[stops - 1].tolist()
-        fragments = [joined[a:b] for a, b in pairwise([0, *stops.tolist()])]
-        known = {f: None for f, c in zip(fragments, closing) if not c}
-        if known:
-            encoded = self.inner.encode(list(known), is_pretokenized=True, add_special_tokens=False)
-            source = np.array(encoded.word_ids)
-            starts = [*np.flatnonzero(np.append(True, source[1:] != source[:-1])).tolist(), len(source)]
-            inner_ids = encoded.ids
-            known = {f: inner_ids[a:b] for f, (a, b) in zip(known, pairwise(starts))}
-        last = [f for f, c in zip(fragments, closing) if c]
-        ids = self.final.encode(last, is_pretokenized=True, add_special_tokens=False).ids
-        closes = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-        assert len(closes) == len(pretokens)
-        if not known:
-            return [ids[a:b] for a, b in pairwise([0, *closes])]
-        out, inner, bounds = [], [], iter(pairwise([0, *closes]))
-        for fragment, c in zip(fragments, closing):
-            if c:
-                a, b = next(bounds)
-                out.append([*inner, *ids[a:b]])
-                inner = []
-            else:
-                inner += known[fragment]
-        return out
+        cut[:-1] |= self.forced[data[:-1], data[1:]]
+        stops = np.flatnonzero(cut)
+        closing = final[stops]
+        fragments = _binary(np.append(0, stops + 1), data)
+        sizes, starts, found, size = np.zeros(len(stops), np.int64), np.zeros(len(stops), np.int64), [], 0
+        for closes, model in ((True, self.final), (False, self.inner)):
+            own = np.flatnonzero(closing == closes)
+            distinct = fragments.take(pa.array(own)).dictionary_encode()
+            ids, lengths = self._model_ids(model, distinct.dictionary)
+            index = np.asarray(distinct.indices)
+            sizes[own], starts[own] = lengths[index], (size + _upto(lengths)[:-1])[index]
+            found.append(ids)
+            size += len(ids)
+        places, upto = _spans(starts, sizes)
+        return np.concatenate(found)[places], np.diff(upto[np.append(0, np.flatnonzero(closing) + 1)])
+
+    def _model_ids(self, model: Tokenizer, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets, data = _bytes_of(fragments)
+        lettered, tokenize = self.byte_code[data].tobytes().decode("utf-16-le"), model.model.tokenize
+        ids, sizes = [], []
+        for a, b in pairwise(offsets.tolist()):
+            tokens = tokenize(lettered[a:b])
+            ids += [t.id for t in tokens]
+            sizes.append(len(tokens))
+        return np.array(ids, self.dtype), np.array(sizes, np.int64)
+
+
+def _upto(sizes: np.ndarray) -> np.ndarray:
+    """Sums of all sizes before each place, from 0 to their end."""
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of spans one after another, and where each begins among them."""
+    upto = _upto(sizes)
+    small = np.int32 if max(upto[-1], starts.max(initial=0)) < 1 << 30 else np.int64
+    places = np.repeat((starts - upto[:-1]).astype(small), sizes)
+    places += np.arange(upto[-1], dtype=small)
+    return places, upto
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of a large binary column without NULL."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data
+
+
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
 class Recent:
@@ -196,54 +245,77 @@ class Recent:
         return found
 
 
+class KnownIds:
+    """The ids of distinct keys, those used last kept as columns: ``size`` keys at most, ``CACHE_BYTES``
+    of them and their ids."""
+
+    def __init__(self, size: int, learn: Callable, dtype: np.dtype):
+        self.size, self.learn, self.calls = size, learn, 0
+        self.keys, self.ids = pa.array([], pa.large_binary()), np.zeros(0, dtype)
+        self.starts = self.sizes = self.used = np.zeros(0, np.int64)
+
+    def of(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the keys (no key twice) where its own begin and how many they are."""
+        place = pc.index_in(keys, self.keys)
+        absent = np.asarray(place.is_null())
+        place = np.asarray(place.fill_null(0), np.int64)
+        if absent.any():
+            new = keys.filter(pa.array(absent))
+            ids, sizes = self.learn(new)
+            place[absent] = len(self.keys) + np.arange(len(new))
+            self.starts = np.append(self.starts, len(self.ids) + _upto(sizes)[:-1])
+            self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+            self.keys, self.used = pa.concat_arrays([self.keys, new]), np.append(self.used, np.zeros(len(new), np.int64))
+        self.calls += 1
+        self.used[place] = self.calls
+        found = self.ids, self.starts[place], self.sizes[place]
+        if len(self.keys) > self.size or self.keys.nbytes + self.ids.nbytes > CACHE_BYTES:
+            self._forget()
+        return found
+
+    def _forget(self):
+        recent = np.argsort(-self.used, kind="stable")[: self.size // 2]
+        volume = np.asarray(pc.binary_length(self.keys))[recent] + self.sizes[recent] * self.ids.itemsize
+        kept = np.sort(recent[np.cumsum(volume) <= CACHE_BYTES // 2])
+        places, upto = _spans(self.starts[kept], self.sizes[kept])
+        self.keys, self.ids, self.starts = self.keys.take(pa.array(kept)), self.ids[places], upto[:-1]
+        self.sizes, self.used = self.sizes[kept], self.used[kept]
+
+
 class EncodedWords:
-    """Bounded caches from words and pretokens to their packed ids. Texts are split and their words
-    made distinct by Arrow, so that only the distinct words of a group are Python objects."""
+    """Bounded caches from words and pretokens to their ids. Texts are split and their words made
+    distinct by Arrow; no word is a Python object."""
 
     def __init__(self, encoder: WordEncoder):
         self.encoder = encoder
-        self.code = "H" if len(encoder.token) <= 1 << 16 else "I"
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PRETOKENS)
-
-    def _learn(self, words: list[bytes]):
-        def pack(ids):
-            return array(self.code, ids).tobytes()
-
-        split = self.encoder.pretokens(words)
-        new = self.parts.missing(set().union(*filter(None, split)))
-        parts, known = self.parts.now, self.words.now
-        if new:
-            parts.update(zip(new, map(pack, self.encoder.encode_pretokens(new))))
-        for word, pretokens in zip(words, split):
-            if pretokens is None:
-                known[word] = pack(self.encoder.whole.encode(word.decode(), add_special_tokens=False).ids)
-            else:
-                known[word] = b"".join([parts[p] for p in pretokens])
+        self.words = KnownIds(CACHE_WORDS, self._learn, encoder.dtype)
+        self.parts = KnownIds(CACHE_PRETOKENS, encoder.encode_pretokens, encoder.dtype)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pretokens, counts = self.encoder.pretokens(words)
+        distinct = pretokens.dictionary_encode()
+        ids, starts, sizes = self.parts.of(distinct.dictionary)
+        index = np.asarray(distinct.indices)
+        places, upto = _spans(starts[index], sizes[index])
+        ids = ids[places]
+        upto = upto[_upto(np.maximum(counts, 0))]
+        special = np.flatnonzero(counts < 0)
+        if not len(special):
+            return ids, np.diff(upto)
+        sizes, whole = np.diff(upto), [self.encoder.whole.encode(words[i].as_py().decode(), add_special_tokens=False).ids for i in special.tolist()]
+        ids = np.insert(ids, np.repeat(upto[special], list(map(len, whole))), np.array(list(chain.from_iterable(whole)), ids.dtype))
+        sizes[special] = list(map(len, whole))
+        return ids, sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes, no NULL) one after another, and the n + 1 places where each
         text's begin."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
-        packed = self.words.values(distinct)
-        absent = [i for i, p in enumerate(packed) if p is None]
-        if absent:
-            new = [distinct[i] for i in absent if distinct[i]]
-            self._learn(new)
-            for i in absent:  # before and after the words of a text there may be an empty one
-                packed[i] = self.words.now[distinct[i]] if distinct[i] else b""
-        ids = np.frombuffer(b"".join(packed), self.code)
-        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // ids.itemsize
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        ids, starts, sizes = self.words.of(words.dictionary.cast(pa.large_binary()))
         index = np.asarray(words.indices)
-        each = sizes[index]
-        upto = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(each, out=upto[1:])
-        small = np.int32 if upto[-1] < 1 << 31 else np.int64
-        within = np.repeat((starts[index] - upto[:-1]).astype(small), each)
-        within += np.arange(upto[-1], dtype=small)
-        return ids[within], upto[np.asarray(split.offsets, np.int64)]
+        places, upto = _spans(starts[index], sizes[index])
+        return ids[places], upto[np.asarray(split.offsets, np.int64)]
 
     def of(self, texts: list[bytes]) -> list[list[list[int]]]:
         """For each text its ids, in one list."""
