@@ -23,8 +23,8 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words and pretokens that a cache keeps (about 40 bytes each, twice that while it grows), and bytes of them and their ids.
-CACHE_WORDS = 300_000
-CACHE_PRETOKENS = 300_000
+CACHE_WORDS = 100_000
+CACHE_PRETOKENS = 100_000
 CACHE_BYTES = 64 << 20
 
 # The tokenizer's pattern of pretokens, that is these endings, runs of letters, single

@@ -20,7 +20,7 @@ def encoder(path: str) -> WordEncoder:
     return kept(("encoder", path), lambda: WordEncoder(path))
 
 
-def text_groups(column: pa.Array, size: int = 4 << 20):
+def text_groups(column: pa.Array, size: int = 1 << 20):
     """Texts of a column (NULL as empty), in groups of about ``size`` bytes; yields the index of the
     first with the group."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -57,8 +57,8 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
 
     NULL texts are encoded as empty ones: no ids, the hash of nothing. One row per input row,
     repeated rows, repeated and NULL ids included; other columns are dropped; an empty table gives
-    an empty one. No shuffle; memory is bounded by the word cache and a group of texts of four
-    mebibytes, or a single longer text, whose ids are hashed in pieces.
+    an empty one. No shuffle; memory is bounded by the word cache and a group of texts of a
+    mebibyte, or a single longer text, whose ids are hashed in pieces.
     """
 
     def run(batches):
@@ -79,6 +79,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
                 if text:
                     columns["decoded"] = pa.array([b"".join(tokens.parts(r)).decode() for r in rows], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
+        pa.default_memory_pool().release_unused()  # the worker stays, beside those of other steps
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text

@@ -19,6 +19,8 @@ from tidewake.session import stage_folder
 
 #: Documents in a shard, about a million tokens where texts are of usual length.
 SHARD_DOCS = 1024
+#: Bytes of texts encoded at once: the more, the fewer words are looked up again.
+GROUP_BYTES = 4 << 20
 #: Tokens in a file; only a single longer document makes a larger one.
 FILE_TOKENS = 1 << 22
 
@@ -41,7 +43,7 @@ def write_tokens(
     def to_ids(batches):
         cache = kept(("ids", path), lambda: EncodedWords(encoder(path)))
         for batch in batches:
-            for at, group in text_groups(batch.column("text")):
+            for at, group in text_groups(batch.column("text"), GROUP_BYTES):
                 found, ends = cache.ids(group)
                 stops = ends[1:] + np.arange(1, len(ends))  # with an end id each
                 ids = np.full(int(stops[-1]), end_id, found.dtype)
