@@ -62,6 +62,68 @@ def test_region_assignment_equals_brute_force(spark):
     assert got == want
 
 
+def _shuffled_rows(node):
+    """Rows that the exchanges of an executed plan have written."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled_rows(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled_rows(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_points_and_regions_move_but_not_their_pairs(spark):
+    """Without broadcasts, exchanges carry rows in proportion to points and regions."""
+    points = spark.range(500).select("id", (F.col("id") % 7 * 0.01).alias("longitude"), (F.col("id") % 5 * 0.01).alias("latitude"))
+    regions = spark.range(200).select(
+        F.concat(F.lit("r"), F.col("id")).alias("region"), (-1 - F.col("id") * 0.001).alias("xmin"), F.lit(-1.0).alias("ymin"),
+        F.lit(1.0).alias("xmax"), F.lit(1.0).alias("ymax"), F.lit("180").alias("convention"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = filters.assign_regions(points, regions)
+        assert len(out.select("id", "region").distinct().collect()) == 500 * 200
+        assert len(out.collect()) == 500 * 200
+        assert _shuffled_rows(out._jdf.queryExecution().executedPlan()) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("joined", ["-1", "10m"])
+def test_crowded_cells_and_odd_boxes_equal_brute_force(spark, monkeypatch, joined):
+    """Cells are dealt into many tiles; boxes without end, of one point, turned round, or with a missing bound."""
+    from collections import Counter
+
+    for name, value in (("LIST_ROWS", 2), ("BLOCK_POINTS", 3), ("TILE_POINTS", 5), ("TILE_REGIONS", 4)):
+        monkeypatch.setattr(filters, name, value)
+    inf, nan = math.inf, math.nan
+    points = [(i, 120 + i % 9 * 0.125, 20 + i % 4 * 0.25) for i in range(120)] + [(7, 120.0, 20.0)] * 12 + [
+        (200, None, 1.0), (201, 1.0, None), (202, nan, 20.0), (203, 120.0, nan), (204, -0.0, 0.0), (205, -60.0, 95.0), (206, 900.0, 20.0), (207, inf, -inf)]
+    boxes = [(120.0, 20.0, 120.5, 20.5, "180")] * 9 + [
+        (120.0, 20.0, 120.0, 20.0, "360"), (-180.0, -90.0, 180.0, 90.0, "180"), (0.0, -90.0, 360.0, 90.0, "360"),
+        (-inf, -inf, inf, inf, "180"), (119.0, 19.0, nan, 21.0, "180"), (119.0, nan, 121.0, nan, "360"), (121.0, 19.0, 119.0, 21.0, "180"),
+        (None, 19.0, 121.0, 21.0, "180"), (119.0, 19.0, 121.0, 21.0, "270"), (119.0, 19.0, 121.0, 21.0, None), (0.0, 0.0, 0.0, 0.0, "180"),
+        (-1.0, 0.0, -0.0, 1e-9, "180"), (800.0, 0.0, 1000.0, 30.0, "180"), (-180.0, 19.99, 180.0, 20.01, "180"), (299.0, 94.0, 301.0, 96.0, "360")]
+    regions = [(f"r{i}", *b) for i, b in enumerate(boxes)]
+
+    def inside(v, low, high):
+        low, v, high = ((math.isnan(a), a) if not math.isnan(a) else (True, 0.0) for a in (low, v, high))
+        return low <= v <= high
+
+    want = Counter(
+        (o, r) for o, x, y in points for r, x0, y0, x1, y1, conv in regions
+        if None not in (x, y, x0, y0, x1, y1) and conv in ("180", "360")
+        and inside(x % 360 if conv == "360" and math.isfinite(x) else nan if conv == "360" else x, x0, x1) and inside(y, y0, y1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+    try:
+        p = spark.createDataFrame(points, "source_order long, longitude double, latitude double").repartition(3)
+        r = spark.createDataFrame(regions, "region string, xmin double, ymin double, xmax double, ymax double, convention string")
+        assert Counter((x.source_order, x.region) for x in filters.assign_regions(p, r).collect()) == want
+        assert filters.assign_regions(p, r.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_wide_polygon_in_two_parts(spark):
     ring = [(-170.0, -10.0), (170.0, -10.0), (170.0, 10.0), (-170.0, 10.0)]
     df = spark.createDataFrame([(1, 0, ring)], "feature_id int, ring_no int, ring array<struct<x:double,y:double>>")
